@@ -138,7 +138,7 @@ def apply_gates(rows: DataFrame, gates: DataFrame) -> DataFrame:
     )
 
 
-def crawl_tally(applied: DataFrame) -> DataFrame:
+def crawl_tally(applied: DataFrame, *more: Column) -> DataFrame:
     """Counts per source; rows that were not applied count nowhere."""
 
     def counted(*actions: str) -> Column:
@@ -148,4 +148,5 @@ def crawl_tally(applied: DataFrame) -> DataFrame:
         counted(*REINDEX).alias("indexed_files"),
         counted(*SKIPPED).alias("skipped_files"),
         counted("remove").alias("removed_files"),
+        *more,
     )

@@ -136,14 +136,10 @@ def crawl_positions(files: DataFrame) -> DataFrame:
     )
 
 
-def progress_lines(positions: DataFrame) -> DataFrame:
-    """The progress text of each file, as the crawl would print it."""
-    return positions.select(
-        "source_id",
-        "position",
-        F.format_string(
-            "%s: arquivo %d de %d %s", "source_id", "position", "total", "path"
-        ).alias("line"),
+def progress_line() -> Column:
+    """The progress text of a row of `crawl_positions`."""
+    return F.format_string(
+        "%s: arquivo %d de %d %s", "source_id", "position", "total", "path"
     )
 
 

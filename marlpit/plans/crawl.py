@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from marlpit.functions.text import decoded
 from marlpit.operators.changes import (
@@ -101,33 +101,63 @@ def apply_plan(
 
     A failing file stops its source there, or, with `all_or_nothing`, the run.
     """
-    spark = store.spark
     run = version.run + 1
     crawled_at = crawled_at or datetime.now(timezone.utc)
-    _write_chunks(store, run, plan, contents, indexing)
-    judged = stage(_judge(store, run, plan), "judged")
-    gates = stage(source_gates(judged, source_errors), "gates")
-    if all_or_nothing:
+    wrote_chunks = _write_chunks(store, run, plan, contents, indexing)
+    judged = stage(_judge(store, run, plan, wrote_chunks), "judged")
+    applied, gates = _gated(judged, source_errors)
+    if all_or_nothing and gates is not None:
         failure = gates.first()
-        if failure is not None:
-            raise RuntimeError(f"source {failure.source_id}: {failure.gate_error}")
-    applied = apply_gates(judged, broadcast_if_small(gates))
-    if commits is None:
-        commits = spark.createDataFrame([], "source_id string, commit_sha string")
+        raise RuntimeError(f"source {failure.source_id}: {failure.gate_error}")
+
+    # Chunk versions nobody may see again: those replaced or removed, and those
+    # this run wrote for files from the first failure of their source on.
+    replaced = F.when(_changes() & (F.col("stored_n_chunks") > 0), F.col("stored_run"))
+    unwanted = F.when(~F.col("applied") & (F.col("written") > 0), F.lit(run))
+    applied = applied.withColumn("dead_run", F.coalesce(replaced, unwanted))
+
+    report = stage(_report(registry, applied, gates, store, version), "report")
+    size = report.agg(
+        F.sum(F.col("indexed_files") + F.col("removed_files")).alias("changed"),
+        F.sum("dead_rows").alias("dead"),
+    ).first()
+    if size["changed"]:
+        store.write("files", run, _file_rows(applied, indexing.model, commits))
+    if size["dead"]:
+        store.write("dead", run, applied.where("dead_run is not null"))
+    status = _status(report, commits, crawled_at)
+    store.write("status", run, upsert_status(store.status(version), status))
+    store.commit(run, version.base_run, version.dead_rows + (size["dead"] or 0))
+    discard(plan, judged, *([gates] if gates is not None else []))
+    return report.drop("dead_rows")
+
 
-    reindexed = F.col("action").isin(*REINDEX)
-    changed = applied.where(F.col("applied") & (reindexed | (F.col("action") == "remove")))
+def _changes() -> Column:
+    return F.col("applied") & F.col("action").isin(*REINDEX, "remove")
+
+
+def _gated(
+    judged: DataFrame, source_errors: DataFrame | None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with `applied`, and the gates, or none in the usual case without failures."""
+    gates = stage(source_gates(judged, source_errors), "gates")
+    if gates.isEmpty():
+        discard(gates)
+        return judged.withColumn("applied", F.lit(True)), None
+    return apply_gates(judged, broadcast_if_small(gates)), gates
+
+
+def _file_rows(applied: DataFrame, model: str, commits: DataFrame | None) -> DataFrame:
+    """The file log of this run: replaced and new files, and deletions."""
     gone = F.col("action") == "remove"
-    rows = (
-        changed.join(broadcast_if_small(commits), "source_id", "left")
+    return (
+        _with_commits(applied.where(_changes()), commits)
         .select(
             *KEYS,
-            F.when(gone, F.col("stored_hash")).otherwise(F.col("content_hash")).alias(
-                "content_hash"
-            ),
-            F.when(gone, F.col("stored_model"))
-            .otherwise(F.lit(indexing.model))
-            .alias("embed_model"),
+            F.when(gone, F.col("stored_hash"))
+            .otherwise(F.col("content_hash"))
+            .alias("content_hash"),
+            F.when(gone, F.col("stored_model")).otherwise(F.lit(model)).alias("embed_model"),
             F.col("dim").alias("embed_dim"),
             F.when(~gone, F.col("commit_sha")).alias("commit_sha"),
             "n_chunks",
@@ -135,46 +165,37 @@ def apply_plan(
         )
         .hint("rebalance", "source_id")
     )
-    store.write("files", run, rows)
 
-    # Chunk versions nobody may see again: those replaced or removed, and those
-    # this run wrote for files behind the first failure of their source.
-    replaced = F.when(
-        F.col("applied") & (reindexed | gone) & (F.col("stored_n_chunks") > 0),
-        F.col("stored_run"),
-    )
-    unwanted = F.when(~F.col("applied") & reindexed & (F.col("written") > 0), F.lit(run))
-    dead = applied.select(*KEYS, F.coalesce(replaced, unwanted).alias("dead_run")).where(
-        "dead_run is not null"
-    )
-    store.write("dead", run, dead)
 
-    report = stage(_report(registry, applied, gates, store, version), "report")
-    status = _status(registry, report, commits, crawled_at)
-    store.write("status", run, upsert_status(store.status(version), status))
-    dead_rows = version.dead_rows + store.written("dead", run).count()
-    store.commit(run, version.base_run, dead_rows)
-    discard(plan, judged, gates)
-    return report
+def _with_commits(rows: DataFrame, commits: DataFrame | None) -> DataFrame:
+    if commits is None:
+        return rows.withColumn("commit_sha", F.lit(None).cast("string"))
+    return rows.join(broadcast_if_small(commits), "source_id", "left")
 
 
 def _write_chunks(
     store: IndexStore, run: int, plan: DataFrame, contents: Contents, indexing: Indexing
-) -> None:
-    texts = contents.read(_to_reindex(plan, contents.listing))
+) -> bool:
+    wanted = _to_reindex(plan, contents.listing)
+    if wanted is None:
+        return False
     # Texts are spread before they grow into vectors; adaptive execution splits
     # a source that holds much and joins small ones, which also keeps the
     # number of files per source down.
-    texts = texts.select(*KEYS, decoded(F.col("content")).alias("text")).where(
-        "text is not null"
+    texts = (
+        contents.read(wanted)
+        .select(*KEYS, decoded(F.col("content")).alias("text"))
+        .where("text is not null")
+        .hint("rebalance", "source_id")
     )
-    chunks = chunk_documents(texts.hint("rebalance", "source_id"), indexing.context_tokens)
+    chunks = chunk_documents(texts, indexing.context_tokens)
     embedded = embed_chunks(chunks, indexing.embedder, indexing.model)
     store.write("chunks", run, embedded.withColumn("embed_dim", F.size("embedding")))
+    return True
 
 
-def _to_reindex(plan: DataFrame, listing: DataFrame) -> DataFrame:
-    """The planned documents, without moving the others.
+def _to_reindex(plan: DataFrame, listing: DataFrame) -> DataFrame | None:
+    """The planned documents, without moving the others; null when there are none.
 
     The smaller of "to index" and "to leave" decides the join, so a first
     crawl and a quiet one both get by with few keys, which Catalyst broadcasts
@@ -185,7 +206,7 @@ def _to_reindex(plan: DataFrame, listing: DataFrame) -> DataFrame:
         F.count_if(reindex).alias("todo"), F.count_if(~reindex).alias("rest")
     ).first()
     if size["todo"] == 0:
-        return listing.where(F.lit(False))
+        return None
     if size["rest"] == 0:
         return listing
     if size["todo"] <= size["rest"]:
@@ -195,25 +216,30 @@ def _to_reindex(plan: DataFrame, listing: DataFrame) -> DataFrame:
     return listing.join(broadcast_if_small(keys), KEYS, "left_anti")
 
 
-def _judge(store: IndexStore, run: int, plan: DataFrame) -> DataFrame:
+def _judge(store: IndexStore, run: int, plan: DataFrame, wrote_chunks: bool) -> DataFrame:
     """The plan with what indexing came to: dimension, chunk count, error per file."""
-    per_file = (
-        store.written("chunks", run)
-        .groupBy(*KEYS)
-        .agg(
-            F.count("*").alias("written"),
-            F.min("embed_dim").alias("min_dim"),
-            F.max("embed_dim").alias("max_dim"),
-            F.min_by("error", F.when(F.col("error").isNotNull(), F.col("chunk_index"))).alias(
-                "chunk_error"
-            ),
+    if wrote_chunks:
+        first_error = F.min_by("error", F.when(F.col("error").isNotNull(), F.col("chunk_index")))
+        per_file = (
+            store.written("chunks", run)
+            .groupBy(*KEYS)
+            .agg(
+                F.count("*").alias("written"),
+                F.min("embed_dim").alias("min_dim"),
+                F.max("embed_dim").alias("max_dim"),
+                first_error.alias("chunk_error"),
+            )
         )
-    )
+        plan = plan.join(per_file, KEYS, "left")
+    else:
+        nothing = {"written": "long", "min_dim": "int", "max_dim": "int", "chunk_error": "string"}
+        for name, kind in nothing.items():
+            plan = plan.withColumn(name, F.lit(None).cast(kind))
     mixed = F.when(
         F.col("min_dim") != F.col("max_dim"),
         F.concat(F.lit("mixed dimensions in "), "source_id", F.lit(":"), "path"),
     )
-    return plan.join(per_file, KEYS, "left").select(
+    return plan.select(
         *KEYS,
         "action",
         "content_hash",
@@ -233,47 +259,42 @@ def _judge(store: IndexStore, run: int, plan: DataFrame) -> DataFrame:
 def _report(
     registry: DataFrame,
     applied: DataFrame,
-    gates: DataFrame,
+    gates: DataFrame | None,
     store: IndexStore,
     version: Version,
 ) -> DataFrame:
-    touched = F.col("applied") & (
-        F.col("action").isin(*REINDEX) | (F.col("action") == "remove")
-    )
-    growth = applied.groupBy("source_id").agg(
-        F.sum(
-            F.when(touched, F.col("n_chunks") - F.coalesce("stored_n_chunks", F.lit(0)))
-            .otherwise(0)
-        ).alias("growth")
+    growth = F.when(_changes(), F.col("n_chunks") - F.coalesce("stored_n_chunks", F.lit(0)))
+    tally = crawl_tally(
+        applied,
+        F.sum(growth).alias("growth"),
+        F.count("dead_run").alias("dead_rows"),
     )
     before = store.status(version).select(
         F.col("id").alias("source_id"), F.col("chunk_count").alias("before")
     )
-    zero = F.lit(0).cast("long")
-    return (
+    report = (
         registry.select("ordinal", "source_id", "kind")
-        .join(crawl_tally(applied), "source_id", "left")
-        .join(growth, "source_id", "left")
+        .join(tally, "source_id", "left")
         .join(before, "source_id", "left")
-        .join(gates, "source_id", "left")
-        .select(
-            "ordinal",
-            "source_id",
-            "kind",
-            *[
-                F.coalesce(name, zero).alias(name)
-                for name in ("indexed_files", "skipped_files", "removed_files")
-            ],
-            (F.coalesce("before", zero) + F.coalesce("growth", zero)).alias("chunk_count"),
-            F.col("gate_error").alias("error"),
-        )
+    )
+    if gates is None:
+        report = report.withColumn("gate_error", F.lit(None).cast("string"))
+    else:
+        report = report.join(gates, "source_id", "left")
+    zero = F.lit(0).cast("long")
+    counts = ("indexed_files", "skipped_files", "removed_files", "dead_rows")
+    return report.select(
+        "ordinal",
+        "source_id",
+        "kind",
+        *[F.coalesce(name, zero).alias(name) for name in counts],
+        (F.coalesce("before", zero) + F.coalesce("growth", zero)).alias("chunk_count"),
+        F.col("gate_error").alias("error"),
     )
 
 
-def _status(
-    registry: DataFrame, report: DataFrame, commits: DataFrame, crawled_at: datetime
-) -> DataFrame:
-    return report.join(commits, "source_id", "left").select(
+def _status(report: DataFrame, commits: DataFrame | None, crawled_at: datetime) -> DataFrame:
+    return _with_commits(report, commits).select(
         F.col("source_id").alias("id"),
         "kind",
         F.lit(crawled_at).cast("timestamp").alias("last_crawl_at"),

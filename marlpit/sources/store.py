@@ -139,8 +139,8 @@ class IndexStore:
         writer.parquet(f"{self.root}/{table}/run={run}")
 
     def commit(self, run: int, base_run: int, dead_rows: int) -> None:
-        row = self.spark.createDataFrame(
-            [(base_run, dead_rows)], "base_run long, dead_rows long"
+        row = self.spark.range(1).select(
+            F.lit(base_run).alias("base_run"), F.lit(dead_rows).alias("dead_rows")
         )
         self.write("commits", run, row.coalesce(1))
 
