@@ -54,8 +54,11 @@ def top_chunks(queries: DataFrame, chunks: DataFrame, fetch_k: int = FETCH_K) ->
     sources, source_ids (null: all, empty: none). Rows: query_id, candidate
     (1 is best), score and the chunk's key and embedding.
     """
-    per_pass = max(1, min(QUESTIONS_PER_PASS, QUESTION_CELLS // _width(queries)))
-    total = queries.count()
+    size = queries.agg(
+        F.count("*").alias("questions"), F.max(F.size("embedding")).alias("width")
+    ).first()
+    total = size["questions"]
+    per_pass = max(1, min(QUESTIONS_PER_PASS, QUESTION_CELLS // (size["width"] or 1)))
     if total <= per_pass:
         return _one_pass(queries.collect(), queries, chunks, fetch_k)
     # Each slice is collected, answered and stored before the next one, so the
@@ -72,10 +75,6 @@ def top_chunks(queries: DataFrame, chunks: DataFrame, fetch_k: int = FETCH_K) ->
     return answers
 
 
-def _width(queries: DataFrame) -> int:
-    return queries.agg(F.max(F.size("embedding"))).first()[0] or 1
-
-
 def _numbered(queries: DataFrame) -> DataFrame:
     """Questions numbered from 0 without gaps, each partition on its own."""
     rows = stage(queries.withColumn("_row", F.monotonically_increasing_id()), "questions")
@@ -131,7 +130,7 @@ def _one_pass(rows: list, queries: DataFrame, chunks: DataFrame, fetch_k: int) -
     found = chunks.select(*KEY, "embedding").mapInArrow(best, schema)
     # Tasks of a large scan are first combined in groups, so that no task
     # receives the rows of all others for a question.
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions")) // 32
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions")) // 8
     order = [F.desc("score"), *KEY]
     if groups > 1:
         found = found.withColumn("_group", F.spark_partition_id() % groups)

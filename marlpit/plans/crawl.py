@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import partial
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -22,7 +23,7 @@ from marlpit.operators.changes import (
 )
 from marlpit.operators.chunking import chunk_documents
 from marlpit.operators.embedding import ColumnEmbedder, Embedder, embed_chunks
-from marlpit.runtime import broadcast_if_small, discard, stage
+from marlpit.runtime import BROADCAST_ROWS, broadcast_if_small, discard, stage, together
 from marlpit.sources.store import IndexStore, Version
 from marlpit.sources.tables import select_documents
 from marlpit.sources.tree import TreeScan, read_files
@@ -60,16 +61,15 @@ def crawl(
     brings its own. Returns the report, one row per registered source.
     """
     version = store.version()
+    small = broadcast_if_small(registry)
     if isinstance(documents, TreeScan):
         contents = Contents(documents.files, read_files)
         scan = unique_scan(fingerprint(documents.documents))
         source_errors = documents.source_errors
     else:
-        contents = Contents(select_documents(documents, registry))
+        contents = Contents(select_documents(documents, small))
         scan = unique_scan(fingerprint(contents.listing))
-    stored = store.files(version).join(
-        broadcast_if_small(registry.select("source_id")), "source_id", "left_semi"
-    )
+    stored = store.files(version).join(small.select("source_id"), "source_id", "left_semi")
     plan = stage(change_plan(scan, stored, indexing.model), "plan")
     return apply_plan(
         store,
@@ -101,7 +101,7 @@ def apply_plan(
 
     A failing file stops its source there, or, with `all_or_nothing`, the run.
     """
-    run = version.run + 1
+    run = store.begin()
     crawled_at = crawled_at or datetime.now(timezone.utc)
     wrote_chunks = _write_chunks(store, run, plan, contents, indexing)
     judged = stage(_judge(store, run, plan, wrote_chunks), "judged")
@@ -121,12 +121,15 @@ def apply_plan(
         F.sum(F.col("indexed_files") + F.col("removed_files")).alias("changed"),
         F.sum("dead_rows").alias("dead"),
     ).first()
+    status = upsert_status(store.status(version), _status(report, commits, crawled_at))
+    writes = [partial(store.write, "status", run, status)]
     if size["changed"]:
-        store.write("files", run, _file_rows(applied, indexing.model, commits))
+        files = _file_rows(applied, indexing.model, commits)
+        writes.append(partial(store.write, "files", run, files))
     if size["dead"]:
-        store.write("dead", run, applied.where("dead_run is not null"))
-    status = _status(report, commits, crawled_at)
-    store.write("status", run, upsert_status(store.status(version), status))
+        dead = applied.where("dead_run is not null")
+        writes.append(partial(store.write, "dead", run, dead))
+    together(*writes)
     store.commit(run, version.base_run, version.dead_rows + (size["dead"] or 0))
     discard(plan, judged, *([gates] if gates is not None else []))
     return report.drop("dead_rows")
@@ -140,10 +143,10 @@ def _gated(
     judged: DataFrame, source_errors: DataFrame | None
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows with `applied`, and the gates, or none in the usual case without failures."""
-    gates = stage(source_gates(judged, source_errors), "gates")
-    if gates.isEmpty():
-        discard(gates)
+    failing = judged.where("error is not null")
+    if failing.isEmpty() and (source_errors is None or source_errors.isEmpty()):
         return judged.withColumn("applied", F.lit(True)), None
+    gates = stage(source_gates(failing, source_errors), "gates")
     return apply_gates(judged, broadcast_if_small(gates)), gates
 
 
@@ -198,8 +201,8 @@ def _to_reindex(plan: DataFrame, listing: DataFrame) -> DataFrame | None:
     """The planned documents, without moving the others; null when there are none.
 
     The smaller of "to index" and "to leave" decides the join, so a first
-    crawl and a quiet one both get by with few keys, which Catalyst broadcasts
-    when the staged plan shows them to be few.
+    crawl and a quiet one both get by with few keys, which are broadcast as
+    long as their counted number allows.
     """
     reindex = F.col("action").isin(*REINDEX)
     size = plan.where("action <> 'remove'").agg(
@@ -209,11 +212,11 @@ def _to_reindex(plan: DataFrame, listing: DataFrame) -> DataFrame | None:
         return None
     if size["rest"] == 0:
         return listing
-    if size["todo"] <= size["rest"]:
-        keys = plan.where(reindex).select(*KEYS)
-        return listing.join(broadcast_if_small(keys), KEYS, "left_semi")
-    keys = plan.where(~reindex & (F.col("action") != "remove")).select(*KEYS)
-    return listing.join(broadcast_if_small(keys), KEYS, "left_anti")
+    few, how = (reindex, "left_semi") if size["todo"] <= size["rest"] else (~reindex, "left_anti")
+    keys = plan.where(few & (F.col("action") != "remove")).select(*KEYS)
+    if min(size) <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    return listing.join(keys, KEYS, how)
 
 
 def _judge(store: IndexStore, run: int, plan: DataFrame, wrote_chunks: bool) -> DataFrame:

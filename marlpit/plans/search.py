@@ -14,7 +14,7 @@ from marlpit.operators.retrieval import (
     scope_chunks,
     top_chunks,
 )
-from marlpit.runtime import stage
+from marlpit.runtime import broadcast_if_small, stage
 
 
 def search(
@@ -33,13 +33,15 @@ def search(
     `queries` has query_id and either `embedding` or, with an embedder, `text`;
     a `source_ids` column limits single questions, the argument limits all.
     Texts are not carried through scoring: the hits, at most `k` per question,
-    are stored and then joined with the text column.
+    are stored and then sent to the text column. Only when a question table is
+    so large that its hits pass the broadcast bound are both joined by key.
     """
     if embedder is not None:
         queries = stage(embed_queries(queries, embedder, embed_model), "embedded-questions")
     scoped = scope_chunks(chunks, embed_model, source_ids)
     hits = stage(rerank(top_chunks(queries, scoped, fetch_k), k, relevance_weight), "hits")
-    return scoped.select(*KEY, F.col("text").alias("page_content")).join(hits, KEY).select(
+    texts = scoped.select(*KEY, F.col("text").alias("page_content"))
+    return texts.join(broadcast_if_small(hits), KEY).select(
         "query_id",
         "rank",
         "page_content",

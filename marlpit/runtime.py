@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -56,8 +58,20 @@ def discard(*staged: DataFrame) -> None:
     for df in staged:
         path = getattr(df, "_marlpit_path", None)
         if path is not None:
-            file_system, hadoop_path = _hadoop(df.sparkSession, path)
-            file_system.delete(hadoop_path, True)
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder if it is there."""
+    file_system, hadoop_path = _hadoop(spark, path)
+    file_system.delete(hadoop_path, True)
+
+
+def together(*steps: Callable[[], object]) -> None:
+    """Run independent Spark jobs at the same time; the first failure is raised."""
+    with ThreadPoolExecutor(max(1, len(steps))) as pool:
+        for running in [pool.submit(step) for step in steps]:
+            running.result()
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -8,7 +8,7 @@
 
 A run only adds what changed. Its folders count once its commit row exists,
 so a lost run leaves nothing behind that a reader sees, and the next run
-overwrites it. `compact` folds all runs into one. There is one writer at a time.
+clears it first. `compact` folds all runs into one. There is one writer at a time.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from marlpit.model import CHUNKS, FILES, SOURCE_STATUS
-from marlpit.runtime import exists
+from marlpit.runtime import exists, remove
 
 KEYS = ["source_id", "path"]
-DEAD_BROADCAST_ROWS = 500_000
+# Retired chunk keys (about 150 bytes each) up to which readers get them by
+# broadcast; beyond, an exact join by key takes over until the next `compact`.
+DEAD_BROADCAST_ROWS = 3_000_000
 
 _RUN = T.StructType().add("run", T.LongType())
 _CHUNKS = T.StructType(
@@ -87,6 +89,13 @@ class IndexStore:
         )
         return Version(0, 1, 0) if last is None else Version(*last)
 
+    def begin(self) -> int:
+        """Number of the next run, cleared of what a lost run may have left."""
+        run = self.version().run + 1
+        for table in _SCHEMAS:
+            remove(self.spark, f"{self.root}/{table}/run={run}")
+        return run
+
     def files(self, version: Version | None = None) -> DataFrame:
         """Current file rows, with `n_chunks` and the `run` that wrote the chunks."""
         version = version or self.version()
@@ -147,7 +156,7 @@ class IndexStore:
     def compact(self) -> int:
         """Fold the visible runs into one new run without retired rows."""
         version = self.version()
-        run = version.run + 1
+        run = self.begin()
         by_source = lambda rows: rows.hint("rebalance", "source_id")
         chunks = self.chunks(version=version)
         self.write(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marlpit.functions.paths import in_skipped_folder, slashed
-from marlpit.runtime import broadcast_if_small
 from marlpit.sources.registry import compiled_globs
 
 
@@ -22,11 +21,15 @@ def documents_from_table(
 
 
 def select_documents(documents: DataFrame, registry: DataFrame) -> DataFrame:
-    """Rows of registered sources whose path an include and no exclude matches."""
+    """Rows of registered sources whose path an include and no exclude matches.
+
+    Documents stay where they are when the registry is broadcast: pass it
+    through `broadcast_if_small`.
+    """
     path = slashed(F.col("path"))
     return (
         documents.where(~in_skipped_folder(F.col("path")))
-        .join(broadcast_if_small(compiled_globs(registry)), "source_id")
+        .join(compiled_globs(registry), "source_id")
         .where(
             F.rlike(path, F.col("include_regex")) & ~F.rlike(path, F.col("exclude_regex"))
         )

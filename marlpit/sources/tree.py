@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from marlpit.functions.paths import SKIPPED_FOLDERS
 from marlpit.model import DOCUMENTS
-from marlpit.runtime import stage
+from marlpit.runtime import broadcast_if_small, stage
 from marlpit.sources.tables import select_documents
 
 ENTRIES_PER_TASK = 50_000
@@ -42,7 +42,8 @@ def scan_tree(registry: DataFrame, data_dir: str = "data") -> TreeScan:
     missing = listing.where("state = 'missing'").select(
         "source_id", F.concat(F.lit("source folder not found: "), "root").alias("error")
     )
-    files = select_documents(listing.where("state = 'file'"), registry)
+    small = broadcast_if_small(registry)
+    files = select_documents(listing.where("state = 'file'"), small)
     return TreeScan(files, read_files(files), missing)
 
 

@@ -58,7 +58,8 @@ def index_batch(
     stream replays it: a feed, unlike a listing, does not offer a skipped
     document again. Replays of an indexed batch are no-ops by content hash.
     """
-    latest = stage(latest_versions(select_documents(versions, registry)), "feed")
+    small = broadcast_if_small(registry)
+    latest = stage(latest_versions(select_documents(versions, small)), "feed")
     version = store.version()
     plan = stage(feed_plan(latest, store.files(version), indexing.model), "feed-plan")
     report = None
@@ -91,7 +92,11 @@ def index_stream(
     checkpoint: str,
     **trigger,
 ) -> StreamingQuery:
-    """Start indexing a stream of (source_id, path, content, version, deleted)."""
+    """Start indexing a stream of (source_id, path, content, version, deleted).
+
+    Within a micro-batch the highest version of a document counts; across
+    micro-batches the later batch does.
+    """
     return (
         versions.writeStream.foreachBatch(
             lambda batch, _: index_batch(store, registry, batch, indexing) and None

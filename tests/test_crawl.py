@@ -248,6 +248,9 @@ def test_lost_run_is_invisible(spark, store, registry_of):
     # A run that died before its commit row.
     store.write("chunks", run, store.written("chunks", run - 1).withColumn("path", F.lit("ghost.md")))
     assert _rows(store.chunks(), "path") == [("a.md",)]
+    # Neither does it show up when the next run writes no chunks at all.
+    crawl(store, registry, _documents(spark, ("s", "a.md", "alpha")), RULES)
+    assert store.version().run == run and _rows(store.chunks(), "path") == [("a.md",)]
     crawl(store, registry, _documents(spark, ("s", "b.md", "beta")), RULES)
     assert _rows(store.chunks(), "path") == [("b.md",)]
 
