@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from marlpit.functions.vectors import let
+
 # Chunk sizes in characters.
 BASE_CHARS = 500
 CODE_CHARS = 400
@@ -91,18 +93,21 @@ def with_prefix(text: Column, prefix: Column) -> Column:
 
 def line_range(text: Column, start: Column, end: Column) -> Column:
     """Lines `start..end`, inclusive and 1-based; both null gives the whole text."""
-    translated = F.regexp_replace(text, r"\r\n?", "\n")
-    lines = F.split(translated, LINE_BREAKS, -1)
-    lines = F.when(
-        F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)
-    ).otherwise(lines)
-    first = F.greatest(F.coalesce(start, F.lit(1)), F.lit(1))
-    last = F.least(F.greatest(F.coalesce(end, F.size(lines)), first), F.size(lines))
-    last = F.when(end.isNull(), F.size(lines)).otherwise(last)
-    picked = F.slice(lines, first, F.greatest(last - first + 1, F.lit(0)))
-    return F.when(start.isNull() & end.isNull(), translated).otherwise(
-        F.array_join(picked, "\n")
-    )
+
+    def of_lines(lines: Column) -> Column:
+        ends_in_break = F.element_at(lines, -1) == ""
+        count = F.size(lines) - ends_in_break.cast("int")
+        first = F.greatest(F.coalesce(start, F.lit(1)), F.lit(1))
+        last = F.least(F.greatest(F.coalesce(end, count), first), count)
+        length = F.greatest(F.when(end.isNull(), count).otherwise(last) - first + 1, F.lit(0))
+        return F.array_join(F.slice(lines, first, length), "\n")
+
+    def of_text(translated: Column) -> Column:
+        return F.when(start.isNull() & end.isNull(), translated).otherwise(
+            let(F.split(translated, LINE_BREAKS, -1), of_lines)
+        )
+
+    return let(F.regexp_replace(text, r"\r\n?", "\n"), of_text)
 
 
 def strip(text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from marlpit.functions.paths import language_class
 from marlpit.functions.text import base_chars, chunk_chars, chunk_overlap, is_blank
 from marlpit.functions.vectors import let
+from marlpit.runtime import spread
 
 # Where a text may be cut, coarsest first; a cut is made before the match.
 _PROSE = (r"\n\n", r"\n", r" ")
@@ -48,7 +49,7 @@ def chunk_documents(documents: DataFrame, context_tokens: int | None = None) ->
     kept = [name for name in documents.columns if name != "text"]
     size = chunk_chars(F.col("_language"), base_chars(F.lit(context_tokens).cast("int")))
     return (
-        documents.withColumn("_language", language_class(F.col("path")))
+        spread(documents).withColumn("_language", language_class(F.col("path")))
         .withColumn("_size", size)
         .withColumn(
             "_pieces",
@@ -153,6 +154,6 @@ def fixed_chunks(documents: DataFrame, size: int = 500, overlap: int = 50) -> Da
     pieces = F.filter(F.slice(windows, 1, count), lambda piece: ~is_blank(piece))
     # Outer, then filtered: a plain explode would infer a filter on the size
     # of the pieces and cut every text twice.
-    return documents.select(
+    return spread(documents).select(
         *kept, F.posexplode_outer(pieces).alias("chunk_index", "text")
     ).where("text is not null")

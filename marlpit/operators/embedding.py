@@ -11,12 +11,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from marlpit.functions.text import document_prefix, query_prefix, with_prefix
+from marlpit.runtime import spread
 
 BATCH_SIZE = 16  # Fixed value: texts per call.
 
@@ -61,14 +64,18 @@ class HashEmbedder:
 
     def _vector(self, text: str) -> list[float]:
         counts = [0] * self.dim
-        for term in re.split(r"[ \t\n\r\f\v]+", text.lower()):
+        for term, times in Counter(re.split(r"[ \t\n\r\f\v]+", text.lower())).items():
             if term:
-                digest = hashlib.md5(term.encode()).hexdigest()
-                counts[int(digest[:8], 16) % self.dim] += 1
+                counts[_term_hash(term) % self.dim] += times
         length = math.sqrt(sum(count * count for count in counts))
         return [count / length if length else 0.0 for count in counts]
 
 
+@lru_cache(maxsize=1 << 16)
+def _term_hash(term: str) -> int:
+    return int.from_bytes(hashlib.md5(term.encode()).digest()[:4], "big")
+
+
 def embed_chunks(
     chunks: DataFrame,
     embedder: Embedder | ColumnEmbedder,
@@ -84,7 +91,7 @@ def embed_chunks(
     result = _embedded(prepared, F.xxhash64("source_id", "path"), embedder, batch_size)
     empty = F.array().cast("array<float>")
     return (
-        chunks.withColumn("_result", result)
+        spread(chunks).withColumn("_result", result)
         .withColumn("embed_model", F.lit(model))
         .withColumn(
             "embedding",
@@ -178,7 +185,7 @@ def hash_term_counts(texts: DataFrame, key: str, dim: int = 64) -> DataFrame:
     terms = F.filter(F.split(F.lower("text"), r"[ \t\n\r\f\x0b]+"), lambda term: term != "")
     bucket = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("long")
     counts = (
-        texts.select(key, F.explode(terms).alias("term"))
+        spread(texts).select(key, F.explode(terms).alias("term"))
         .groupBy(key, (bucket % dim).alias("bucket"))
         .agg(F.count("*").alias("n"))
     )

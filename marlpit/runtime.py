@@ -67,6 +67,19 @@ def remove(spark: SparkSession, path: str) -> None:
     file_system.delete(hadoop_path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input that comes in fewer pieces than cores.
+
+    Meant before work that costs much more than moving its rows. An input of
+    enough pieces, or one that a shuffle already spread, stays as it is, so
+    large tables are never moved for this.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def together(*steps: Callable[[], object]) -> None:
     """Run independent Spark jobs at the same time; the first failure is raised."""
     with ThreadPoolExecutor(max(1, len(steps))) as pool:

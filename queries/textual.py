@@ -356,7 +356,7 @@ def callable_embed(spark, folder):
     )
     vectors = embed_chunks(rows, HashEmbedder(64), "hash")
     return (
-        vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
+        vectors.select("doc_id", F.posexplode_outer("embedding").alias("bucket", "weight"))
         .where("weight > 0")
         .select(
             "doc_id",
