@@ -92,6 +92,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return file_system.exists(hadoop_path)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the direct entries of a folder; none when it is missing."""
+    file_system, hadoop_path = _hadoop(spark, path)
+    if not file_system.exists(hadoop_path):
+        return []
+    return [entry.getPath().getName() for entry in file_system.listStatus(hadoop_path)]
+
+
 def _hadoop(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path

@@ -13,12 +13,13 @@ clears it first. `compact` folds all runs into one. There is one writer at a tim
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from marlpit.model import CHUNKS, FILES, SOURCE_STATUS
-from marlpit.runtime import exists, remove
+from marlpit.runtime import exists, names_in, remove
 
 KEYS = ["source_id", "path"]
 # Retired chunk keys (about 150 bytes each) up to which readers get them by
@@ -80,20 +81,17 @@ class IndexStore:
         self.root = root.rstrip("/")
 
     def version(self) -> Version:
-        if not exists(self.spark, f"{self.root}/commits"):
-            return Version(0, 1, 0)
-        last = (
-            self._all("commits")
-            .agg(F.max(F.struct("run", "base_run", "dead_rows")).alias("last"))
-            .first()["last"]
-        )
-        return Version(0, 1, 0) if last is None else Version(*last)
+        for run in sorted(self._run_numbers("commits"), reverse=True):
+            if exists(self.spark, f"{self._folder('commits', run)}/_SUCCESS"):
+                row = self._read("commits", [run]).first()
+                return Version(row["run"], row["base_run"], row["dead_rows"])
+        return Version(0, 1, 0)
 
     def begin(self) -> int:
         """Number of the next run, cleared of what a lost run may have left."""
         run = self.version().run + 1
         for table in _SCHEMAS:
-            remove(self.spark, f"{self.root}/{table}/run={run}")
+            remove(self.spark, self._folder(table, run))
         return run
 
     def files(self, version: Version | None = None) -> DataFrame:
@@ -124,9 +122,7 @@ class IndexStore:
 
     def status(self, version: Version | None = None) -> DataFrame:
         version = version or self.version()
-        return (
-            self._all("status").where(F.col("run") == version.run).select(*SOURCE_STATUS.names)
-        )
+        return self._read("status", [version.run]).select(*SOURCE_STATUS.names)
 
     def chunk_counts(self) -> DataFrame:
         """Live chunks per source, all models together, from the file rows alone."""
@@ -134,10 +130,7 @@ class IndexStore:
 
     def written(self, table: str, run: int) -> DataFrame:
         """Rows of a run still being built."""
-        reader = self.spark.read.schema(_SCHEMAS[table])
-        return reader.option("basePath", f"{self.root}/{table}").parquet(
-            f"{self.root}/{table}/run={run}"
-        )
+        return self._read(table, [run])
 
     def write(self, table: str, run: int, rows: DataFrame) -> None:
         columns = [name for name in _SCHEMAS[table].names if name != "run"]
@@ -145,7 +138,7 @@ class IndexStore:
         partitions = _PARTITIONS.get(table)
         if partitions:
             writer = writer.partitionBy(*partitions)
-        writer.parquet(f"{self.root}/{table}/run={run}")
+        writer.parquet(self._folder(table, run))
 
     def commit(self, run: int, base_run: int, dead_rows: int) -> None:
         row = self.spark.range(1).select(
@@ -172,11 +165,29 @@ class IndexStore:
         self.commit(run, base_run=run, dead_rows=0)
         return run
 
+    def expire(self) -> None:
+        """Delete the runs that `compact` replaced; older readers must be done."""
+        base_run = self.version().base_run
+        for table in _SCHEMAS:
+            for run in self._run_numbers(table):
+                if run < base_run:
+                    remove(self.spark, self._folder(table, run))
+
     def _runs(self, table: str, version: Version) -> DataFrame:
-        return self._all(table).where(F.col("run").between(version.base_run, version.run))
+        """All visible rows; only the visible runs' folders are listed."""
+        return self._read(table, range(version.base_run, version.run + 1))
 
-    def _all(self, table: str) -> DataFrame:
-        path = f"{self.root}/{table}"
-        if not exists(self.spark, path):
+    def _read(self, table: str, runs: Iterable[int]) -> DataFrame:
+        present = set(self._run_numbers(table))
+        folders = [self._folder(table, run) for run in runs if run in present]
+        if not folders:
             return self.spark.createDataFrame([], _SCHEMAS[table])
-        return self.spark.read.schema(_SCHEMAS[table]).parquet(path)
+        reader = self.spark.read.schema(_SCHEMAS[table])
+        return reader.option("basePath", f"{self.root}/{table}").parquet(*folders)
+
+    def _folder(self, table: str, run: int) -> str:
+        return f"{self.root}/{table}/run={run}"
+
+    def _run_numbers(self, table: str) -> list[int]:
+        names = names_in(self.spark, f"{self.root}/{table}")
+        return [int(name.removeprefix("run=")) for name in names if name.startswith("run=")]

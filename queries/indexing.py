@@ -14,7 +14,7 @@ from marlpit.operators.chunking import fixed_chunks
 from marlpit.operators.embedding import RuleEmbedder
 from marlpit.operators.reading import list_sources as sources_listing
 from marlpit.plans.crawl import Indexing, crawl
-from marlpit.runtime import fresh_path
+from marlpit.runtime import fresh_path, stage
 from marlpit.sources.registry import (
     local_sources as local_only,
     normalized_registry,
@@ -67,7 +67,7 @@ def removed_paths(spark, folder):
 )
 def next_files(spark, folder):
     """Stored files without the touched ones, plus the re-indexed ones."""
-    plan = _plan(spark, folder).where("action <> 'skip'")
+    plan = stage(_plan(spark, folder).where("action <> 'skip'"), "plan")
     fresh = plan.where("action <> 'remove'").select(
         *KEYS, "content_hash", F.lit("m1").alias("embed_model")
     )
@@ -81,7 +81,7 @@ def next_files(spark, folder):
     SELECT source_id, path, chunk_index, text FROM now"""
 )
 def next_chunks(spark, folder):
-    plan = _plan(spark, folder).where("action <> 'skip'")
+    plan = stage(_plan(spark, folder).where("action <> 'skip'"), "plan")
     stored = fixed_chunks(stored_texts(spark, folder).drop("embed_model"))
     wanted = plan.where("action <> 'remove'").select(*KEYS)
     texts = table(spark, folder, "documents").select(
@@ -124,7 +124,7 @@ def _gated(spark, folder):
         )
     )
     rows = _plan(spark, folder).drop("error").join(toxic, KEYS, "left")
-    rows = rows.withColumnRenamed("failure", "error")
+    rows = stage(rows.withColumnRenamed("failure", "error"), "failing-plan")
     root = table(spark, folder, "documents").where("source = 'src4'").select(
         F.lit("src4").alias("source_id"), F.lit("no root").alias("error")
     ).distinct()
@@ -169,25 +169,23 @@ def crawl_report(spark, folder):
 @query(
     f"""WITH {_REPORT_SQL},
     lines AS (
-      SELECT source_id, 0 AS line_number, source_id || ': indexados=' || indexed_files
+      SELECT NULL AS source_id, -1 AS line_number,
+        CASE WHEN count(*) > 0 THEN 'failed' ELSE 'ok' END AS line FROM report WHERE error <> ''
+      UNION ALL SELECT source_id, 0 AS line_number, source_id || ': indexados=' || indexed_files
         || ' pulados=' || skipped_files || ' removidos=' || removed_files
         || ' chunks=' || chunk_count AS line FROM report
-      UNION ALL SELECT source_id, 1, source_id || ': ' || error FROM report WHERE error <> ''),
-    failed AS (SELECT bool_or(error IS NOT NULL) AS failed FROM report)
-    SELECT source_id, line_number, line, failed FROM lines, failed"""
+      UNION ALL SELECT source_id, 1, source_id || ': ' || error FROM report WHERE error <> '')
+    SELECT source_id, line_number, line FROM lines"""
 )
 def crawl_report_lines(spark, folder):
-    report = _report(spark, folder)
-    flag = reports.any_failed(report).select(F.lit(True).alias("one"), "failed")
-    return (
-        reports.report_lines(report)
-        .withColumn("one", F.lit(True))
-        .join(flag, "one")
-        .drop("one")
+    """The lines of all sources, and one that says whether any failed."""
+    report = stage(_report(spark, folder), "report")
+    flag = reports.any_failed(report).select(
+        F.lit(None).cast("string").alias("source_id"),
+        F.lit(-1).alias("line_number"),
+        F.when(F.col("failed"), "failed").otherwise("ok").alias("line"),
     )
-
-
-_SOURCES_SQL = "SELECT DISTINCT source AS source_id FROM documents"
+    return reports.report_lines(report).unionByName(flag)
 
 
 @query(

@@ -67,6 +67,9 @@ def test_incremental_skip_update_and_delete(spark, store, tree, registry_of):
     assert _rows(store.files(), "path", "content_hash", "embed_dim", "n_chunks") == before
     assert _rows(store.chunks(), "path") == [("alpha.md",)]
     assert store.version().dead_rows == 0
+    store.expire()
+    assert _rows(store.chunks(), "path") == [("alpha.md",)]
+    assert sorted(os.listdir(os.path.join(store.root, "chunks"))) == [f"run={store.version().run}"]
     assert _counts(_tree_crawl(store, registry)) == {"docs": (0, 1, 0, 1)}
 
 
