@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marlpit.functions.paths import parts
-from marlpit.functions.text import content_hash, decoded
+from marlpit.functions.text import content_hash, decoded, redact_credentials
 
 KEYS = ["source_id", "path"]
 REINDEX = ("new", "edited", "remodel")
@@ -112,7 +112,8 @@ def upsert_status(status: DataFrame, fresh: DataFrame) -> DataFrame:
 def source_gates(failing: DataFrame, source_errors: DataFrame | None = None) -> DataFrame:
     """First failure per source: its position (path components) and message.
 
-    An error of the source itself stands before every file.
+    An error of the source itself stands before every file; credentials in its
+    message, as version control tools print them, are not kept.
     """
     failures = failing.where(F.col("error").isNotNull()).select(
         "source_id", parts(F.col("path")).alias("gate"), "error"
@@ -120,7 +121,9 @@ def source_gates(failing: DataFrame, source_errors: DataFrame | None = None) ->
     if source_errors is not None:
         failures = failures.unionByName(
             source_errors.select(
-                "source_id", F.array().cast("array<string>").alias("gate"), "error"
+                "source_id",
+                F.array().cast("array<string>").alias("gate"),
+                redact_credentials(F.col("error")).alias("error"),
             )
         )
     return (

@@ -65,7 +65,7 @@ def crawl(
     if isinstance(documents, TreeScan):
         contents = Contents(documents.files, read_files)
         scan = unique_scan(fingerprint(documents.documents))
-        source_errors = documents.source_errors
+        source_errors = _both(source_errors, documents.source_errors)
     else:
         contents = Contents(select_documents(documents, small))
         scan = unique_scan(fingerprint(contents.listing))
@@ -84,6 +84,10 @@ def crawl(
     )
 
 
+def _both(some: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if some is None else some.unionByName(more)
+
+
 def apply_plan(
     store: IndexStore,
     version: Version,

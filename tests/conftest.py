@@ -12,6 +12,8 @@ from marlpit.runtime import local_session  # noqa: E402
 def spark():
     session = local_session("4", "marlpit-tests")
     session.conf.set("spark.sql.shuffle.partitions", "4")
+    # Tiny inputs: compiling a plan takes longer than running it.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from marlpit.model import COMMITS, DOCUMENTS
+from marlpit.model import COMMITS, DOCUMENTS, SOURCE_ERRORS
 from marlpit.operators.embedding import ColumnEmbedder, HashEmbedder, RuleEmbedder
 from marlpit.plans.crawl import Indexing, crawl
 from marlpit.plans.search import search
@@ -164,6 +164,19 @@ def test_missing_root_keeps_the_index(spark, store, tree, registry_of):
     assert store.chunks().count() == 4
 
 
+def test_failed_sync(spark, store, registry_of):
+    registry = registry_of({"source_id": "repo", "kind": "git", "url": "u", "branch": "main"})
+    documents = _documents(spark, ("repo", "a.md", "alpha"))
+    crawl(store, registry, documents, RULES, commits=spark.createDataFrame([("repo", "c1")], COMMITS))
+    failed = spark.createDataFrame(
+        [("repo", "fatal: https://user:token@host/org/repo.git")], SOURCE_ERRORS)
+    report = crawl(store, registry, documents.limit(0), RULES, source_errors=failed).first()
+    assert (report.indexed_files, report.removed_files, report.chunk_count) == (0, 0, 1)
+    status = store.status().first()
+    assert status.last_error == "fatal: https://***@host/org/repo.git" and status.last_commit is None
+    assert _rows(store.chunks(), "path") == [("a.md",)]
+
+
 def test_duplicate_keys_are_refused(spark, store, registry_of):
     registry = registry_of({"source_id": "s"})
     report = crawl(
