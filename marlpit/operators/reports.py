@@ -136,10 +136,41 @@ def crawl_positions(files: DataFrame) -> DataFrame:
     )
 
 
-def progress_line() -> Column:
-    """The progress text of a row of `crawl_positions`."""
-    return F.format_string(
-        "%s: arquivo %d de %d %s", "source_id", "position", "total", "path"
+def progress_log(positions: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
+    """The progress text of a crawl: rows (source_id, position, batch, line).
+
+    Position 0 heads a source with its file count; files with more than one
+    embedding batch (by `n_chunks`, null for files not embedded) add a line
+    per batch.
+    """
+    line = F.format_string("%s: arquivo %d de %d %s", "source_id", "position", "total", "path")
+    batches = F.ceil(F.coalesce("n_chunks", F.lit(0)) / batch_size).cast("int")
+
+    def entry(position: Column, batch: Column, text: Column) -> Column:
+        return F.struct(
+            position.cast("long").alias("position"),
+            batch.cast("int").alias("batch"),
+            text.alias("line"),
+        )
+
+    head = F.when(
+        F.col("position") == 1,
+        entry(F.lit(0), F.lit(0), F.format_string("%s: %d arquivos", "source_id", "total")),
+    )
+    own = F.array_compact(F.array(head, entry(F.col("position"), F.lit(0), line)))
+    numbers = F.when(batches > 1, F.sequence(F.lit(1), batches)).otherwise(
+        F.array().cast("array<int>")
+    )
+    lots = F.transform(
+        numbers,
+        lambda i: entry(
+            F.col("position"),
+            i,
+            F.concat(line, F.format_string(" (lote %d de %d)", i, batches)),
+        ),
+    )
+    return positions.select("source_id", F.explode(F.concat(own, lots)).alias("entry")).select(
+        "source_id", "entry.*"
     )
 
 

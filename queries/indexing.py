@@ -257,25 +257,50 @@ def source_status_upsert(spark, folder):
     return changes.upsert_status(before, fresh).drop("last_crawl_at")
 
 
-@query(
-    """WITH named AS (
-      SELECT source AS source_id,
-        lang || CASE WHEN n_chars % 2 = 0 THEN '/' ELSE '-' END || doc_id || '.md' AS path
-      FROM documents),
-    placed AS (
-      SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY string_split(path, '/'))
-          AS position, count(*) OVER (PARTITION BY source_id) AS total FROM named)
-    SELECT source_id, path, position, total, source_id || ': arquivo ' || position || ' de '
-      || total || ' ' || path AS line FROM placed"""
-)
-def crawl_positions(spark, folder):
+_PLACED_SQL = """
+named AS (
+  SELECT source AS source_id, n_chars,
+    lang || CASE WHEN n_chars % 2 = 0 THEN '/' ELSE '-' END || doc_id || '.md' AS path
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY string_split(path, '/'))
+      AS position, count(*) OVER (PARTITION BY source_id) AS total FROM named)
+"""
+
+
+def _placed(spark, folder):
+    """Paths like a/1.md and a-2.md, which component order tells apart."""
     separator = F.when(F.col("n_chars") % 2 == 0, "/").otherwise("-")
     files = table(spark, folder, "documents").select(
         F.col("source").alias("source_id"),
         F.concat("lang", separator, "doc_id", F.lit(".md")).alias("path"),
+        "n_chars",
+    )
+    return reports.crawl_positions(files)
+
+
+@query(f"WITH {_PLACED_SQL} SELECT source_id, path, position, total FROM placed")
+def crawl_positions(spark, folder):
+    return _placed(spark, folder).drop("n_chars")
+
+
+@query(
+    f"""WITH {_PLACED_SQL},
+    lines AS (
+      SELECT *, source_id || ': arquivo ' || position || ' de ' || total || ' ' || path AS line,
+        ceil(n_chars / 450 / 16)::BIGINT AS batches
+      FROM placed)
+    SELECT source_id, 0 AS position, 0 AS batch, source_id || ': ' || total || ' arquivos' AS line
+    FROM lines WHERE position = 1
+    UNION ALL SELECT source_id, position, 0, line FROM lines
+    UNION ALL SELECT source_id, position, batch, line || ' (lote ' || batch || ' de ' || batches || ')'
+    FROM (SELECT *, unnest(range(1, batches + 1)) AS batch FROM lines WHERE batches > 1)"""
+)
+def progress_log(spark, folder):
+    """The log of a crawl in which a chunk has 450 characters."""
+    return reports.progress_log(
+        _placed(spark, folder).withColumn("n_chunks", F.col("n_chars") / 450)
     )
-    placed = reports.crawl_positions(files)
-    return placed.withColumn("line", reports.progress_line())
 
 
 @query(
