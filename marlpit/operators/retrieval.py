@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from marlpit.functions.vectors import SCORE_DECIMALS, dot, let, unit
 from marlpit.runtime import stage
@@ -116,9 +117,8 @@ def _one_pass(rows: list, queries: DataFrame, chunks: DataFrame, fetch_k: int) -
         raise ValueError(f"question vectors differ in size: {sorted(widths)}")
     matrix = np.array([row["embedding"] for row in rows], dtype=np.float64)
     matrix = matrix.reshape(len(rows), widths.pop() if widths else 0)
-    shared = spark.sparkContext.broadcast(
-        (matrix, [row["query_id"] for row in rows], scopes)
-    )
+    ids = pa.array([row["query_id"] for row in rows], to_arrow_type(query_type))
+    shared = spark.sparkContext.broadcast((matrix, ids, scopes))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, ids, limits = shared.value
@@ -127,7 +127,8 @@ def _one_pass(rows: list, queries: DataFrame, chunks: DataFrame, fetch_k: int) -
             hits.add(batch)
         yield from hits.rows(ids)
 
-    found = chunks.select(*KEY, "embedding").mapInArrow(best, schema)
+    typed = [F.col(name).cast(schema[name].dataType) for name in [*KEY, "embedding"]]
+    found = chunks.select(*typed).mapInArrow(best, schema)
     # Tasks of a large scan are first combined in groups, so that no task
     # receives the rows of all others for a question.
     groups = int(spark.conf.get("spark.sql.shuffle.partitions")) // 8
@@ -240,14 +241,14 @@ class _BestHits:
         keep = np.flatnonzero(~odd)
         return rows.take(pa.array(keep)), None if allowed is None else allowed[:, keep]
 
-    def rows(self, ids: list) -> Iterator[pa.RecordBatch]:
+    def rows(self, ids: pa.Array) -> Iterator[pa.RecordBatch]:
         if self.table is None:
             return
         for start in range(0, len(self.row), 10_000):
             stop = start + 10_000
             rows = self.table.take(pa.array(self.row[start:stop]))
             columns = {
-                "query_id": pa.array([ids[q] for q in self.query[start:stop]]),
+                "query_id": ids.take(pa.array(self.query[start:stop])),
                 "score": pa.array(self.score[start:stop]),
                 **{name: rows[name] for name in [*KEY, "embedding"]},
             }

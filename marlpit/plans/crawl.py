@@ -118,7 +118,10 @@ def apply_plan(
     # this run wrote for files from the first failure of their source on.
     replaced = F.when(_changes() & (F.col("stored_n_chunks") > 0), F.col("stored_run"))
     unwanted = F.when(~F.col("applied") & (F.col("written") > 0), F.lit(run))
-    applied = applied.withColumn("dead_run", F.coalesce(replaced, unwanted))
+    applied = applied.withColumn("dead_run", F.coalesce(replaced, unwanted)).withColumn(
+        "embed_model",
+        F.when(replaced.isNotNull(), F.col("stored_model")).otherwise(F.lit(indexing.model)),
+    )
 
     report = stage(_report(registry, applied, gates, store, version), "report")
     size = report.agg(

@@ -2,7 +2,7 @@
 
     <root>/chunks/run=R/source_id=S/embed_model=M/   chunks written by run R
     <root>/files/run=R/source_id=S/                  files changed by run R
-    <root>/dead/run=R/                               chunk versions run R retired
+    <root>/dead/run=R/embed_model=M/                 chunk versions run R retired
     <root>/status/run=R/                             status of all sources after run R
     <root>/commits/run=R/                            one row; makes run R visible
 
@@ -48,6 +48,7 @@ _DEAD = (
     .add("source_id", T.StringType())
     .add("path", T.StringType())
     .add("dead_run", T.LongType())
+    .add("embed_model", T.StringType())
     .add("run", T.LongType())
 )
 _STATUS = T.StructType(SOURCE_STATUS.fields + _RUN.fields)
@@ -64,7 +65,11 @@ _SCHEMAS = {
     "status": _STATUS,
     "commits": _COMMITS,
 }
-_PARTITIONS = {"chunks": ["source_id", "embed_model"], "files": ["source_id"]}
+_PARTITIONS = {
+    "chunks": ["source_id", "embed_model"],
+    "files": ["source_id"],
+    "dead": ["embed_model"],
+}
 
 
 class Version(NamedTuple):
@@ -111,11 +116,16 @@ class IndexStore:
         """Live chunks, optionally of one model; filters on source and model prune."""
         version = version or self.version()
         rows = self._runs("chunks", version)
+        dead = self._runs("dead", version)
         if embed_model is not None:
             rows = rows.where(F.col("embed_model") == embed_model)
-        if version.dead_rows:
-            dead = self._runs("dead", version).select(*KEYS, F.col("dead_run").alias("run"))
-            if version.dead_rows <= DEAD_BROADCAST_ROWS:
+            dead = dead.where(F.col("embed_model") == embed_model)
+        dead_rows = version.dead_rows
+        if dead_rows > DEAD_BROADCAST_ROWS:
+            dead_rows = dead.count()  # of this model only, from the file footers
+        if dead_rows:
+            dead = dead.select(*KEYS, F.col("dead_run").alias("run"))
+            if dead_rows <= DEAD_BROADCAST_ROWS:
                 dead = F.broadcast(dead)
             rows = rows.join(dead, [*KEYS, "run"], "left_anti")
         return rows.select(*CHUNKS.names)

@@ -9,6 +9,7 @@ from marlpit.model import COMMITS, DOCUMENTS, SOURCE_ERRORS
 from marlpit.operators.embedding import ColumnEmbedder, HashEmbedder, RuleEmbedder
 from marlpit.plans.crawl import Indexing, crawl
 from marlpit.plans.search import search
+from marlpit.sources import store as index_store
 from marlpit.sources.store import IndexStore
 from marlpit.sources.tree import scan_tree
 
@@ -73,7 +74,7 @@ def test_incremental_skip_update_and_delete(spark, store, tree, registry_of):
     assert _counts(_tree_crawl(store, registry)) == {"docs": (0, 1, 0, 1)}
 
 
-def test_unchanged_crawl_does_not_embed(spark, store, registry_of):
+def test_unchanged_crawl_does_not_embed(spark, store, registry_of, monkeypatch):
     registry = registry_of({"source_id": "s"})
     docs = _documents(spark, ("s", "a.md", "alpha"), ("s", "b.md", "beta"))
 
@@ -86,7 +87,14 @@ def test_unchanged_crawl_does_not_embed(spark, store, registry_of):
     crawl(store, registry, docs, Indexing(embed, "m"))
     report = crawl(store, registry, docs, Indexing(refuse, "m"))
     assert _counts(report) == {"s": (0, 2, 0, 2)} and report.first().error is None
+    def joins(model):
+        return "Join" in store.chunks(model)._jdf.queryExecution().executedPlan().toString()
+
     report = crawl(store, registry, docs, Indexing(embed, "m2"))
+    # Past the broadcast bound, retired rows of one model do not burden another.
+    monkeypatch.setattr(index_store, "DEAD_BROADCAST_ROWS", 1)
+    assert joins("m") and not joins("m2")
+    assert store.chunks("m").count() == 0 and store.chunks("m2").count() == 2
     assert _counts(report) == {"s": (2, 0, 0, 2)}
     assert _rows(store.chunks(), "embed_model", "path") == [("m2", "a.md"), ("m2", "b.md")]
 

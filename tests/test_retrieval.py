@@ -104,6 +104,13 @@ def test_fewer_candidates_than_asked(spark):
     assert hits_of(rerank(top_chunks(questions.limit(0), frame(spark, rows)))) == {}
 
 
+@pytest.mark.parametrize("kind,ids", [("int", [7, 8]), ("string", ["q7", "q8"])])
+def test_any_question_id_and_key_type(spark, kind, ids):
+    chunks = frame(spark, random_chunks(3, 30)).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+    questions = spark.createDataFrame([(i, [1.0] * 6) for i in ids], f"query_id {kind}, embedding array<double>")
+    assert sorted(hits_of(rerank(top_chunks(questions, chunks)))) == ids
+
+
 def test_closeness_below_zero_counts_as_zero(spark):
     rows = [
         ("s", "a", 0, "", [1.0, 0.0], "m"),
