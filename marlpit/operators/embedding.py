@@ -13,7 +13,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -56,8 +55,11 @@ class RuleEmbedder(ColumnEmbedder):
 class HashEmbedder:
     """Feature hashing: term counts in md5 buckets, at length 1."""
 
+    KNOWN_TERMS = 1 << 16
+
     def __init__(self, dim: int = 64):
         self.dim = dim
+        self._known: dict[str, int] = {}
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
         return [self._vector(text) for text in texts]
@@ -66,14 +68,18 @@ class HashEmbedder:
         counts = [0] * self.dim
         for term, times in Counter(re.split(r"[ \t\n\r\f\v]+", text.lower())).items():
             if term:
-                counts[_term_hash(term) % self.dim] += times
+                counts[self._bucket(term)] += times
         length = math.sqrt(sum(count * count for count in counts))
         return [count / length if length else 0.0 for count in counts]
 
-
-@lru_cache(maxsize=1 << 16)
-def _term_hash(term: str) -> int:
-    return int.from_bytes(hashlib.md5(term.encode()).digest()[:4], "big")
+    def _bucket(self, term: str) -> int:
+        bucket = self._known.get(term)
+        if bucket is None:
+            if len(self._known) >= self.KNOWN_TERMS:
+                self._known.clear()
+            digest = hashlib.md5(term.encode()).digest()
+            bucket = self._known[term] = int.from_bytes(digest[:4], "big") % self.dim
+        return bucket
 
 
 def embed_chunks(
