@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -26,15 +27,22 @@ def local_session(cores: str = "8", app: str = "marlpit") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as named by the cluster.
 
-    A folder of our own is made only where the session names none.
+    It comes from `spark.checkpoint.dir` or `setCheckpointDir`. Only a session
+    whose executors are threads of the driver gets a folder of our own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and spark.sparkContext.master.split("[")[0] == "local":
+        base = _own_folder()
     if not base:
-        base = tempfile.mkdtemp(prefix="marlpit-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("the session names no shared folder: set spark.checkpoint.dir")
     return base.rstrip("/")
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="marlpit-")
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/marlpit/{label}-{uuid.uuid4().hex}"
 
