@@ -19,6 +19,9 @@ each region is joined recursively around pivots:
    The rest of the region is joined again around a new pivot.
 3. A region whose members are connected already is done. Regions of at most
    `in_task` members are finished in one task, by the same recursion on arrays.
+4. Before a distance is measured on whole sets, it is bounded from below by the
+   sizes and by counts of shingles in 64 classes (their L1 distance never exceeds
+   the symmetric difference). Only sets that may link are fetched.
 
 Texts with equal sets share one id, a hash of the set, so groups of copies are
 one member. Only links to pivots become rows, never all pairs of a group.
@@ -39,6 +42,8 @@ from marlpit.runtime import stage
 COUNTERS = 1 << 18
 COUNTER_BLOCK = 1 << 12
 IN_TASK = 256
+# Shingles of a set counted by so many classes; a byte each.
+CLASSES = 64
 
 
 def _hashed(texts: tokens.Texts, words: int):
@@ -93,22 +98,25 @@ def _set_id(values: np.ndarray) -> int:
 
 
 def document_sets(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, set_id (null without words) and its anchors."""
+    """Per row: doc_id, n_shingles, set_id (null without words), its anchors and class counts."""
     rarity = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint64))
 
     def build(batches):
         for batch in batches:
             ids = batch.column(0)
             for texts in tokens.slices(batch.column(1)):
-                sizes, names, anchors = [], [], []
+                sizes, names, anchors, sketches = [], [], [], []
                 for values in _sets(texts, words):
                     n = len(values)
                     sizes.append(n)
                     if not n:
                         names.append(None)
+                        sketches.append(None)
                         anchors.append(np.zeros(0, np.int64))
                         continue
                     names.append(_set_id(values))
+                    by_class = np.bincount((values & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+                    sketches.append(np.minimum(by_class, 255).astype(np.uint8).tobytes())
                     frequency = rarity.value[(values >> np.uint64(46)).astype(np.int64)]
                     order = np.argsort(frequency, kind="stable")
                     keep = n - (percent * n + 99) // 100 + 1
@@ -123,12 +131,13 @@ def document_sets(docs: DataFrame, counts: np.ndarray, words: int, percent: int)
                             pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()),
                             pa.array(np.concatenate(anchors) if anchors else np.zeros(0, np.int64)),
                         ),
+                        pa.array(sketches, pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_id", "anchors"],
+                    names=["doc_id", "n_shingles", "set_id", "anchors", "sketch"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        build, "doc_id long, n_shingles long, set_id long, anchors array<long>"
+        build, "doc_id long, n_shingles long, set_id long, anchors array<long>, sketch binary"
     )
 
 
@@ -155,7 +164,8 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 def measure(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with their exact distance and whether they link."""
     both = (
-        pairs.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa")), "a")
+        pairs.select("a", "b")
+        .join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("sb")), "b")
         .select("a", "b", F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb"),
                 F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
@@ -167,6 +177,35 @@ def measure(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def least_distances(na, nb, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lower bounds of the distances of sets from their sizes and class counts."""
+    apart = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=-1)
+    apart = np.maximum(apart, np.abs(na - nb))
+    return 1 - (na + nb - apart) / (na + nb + apart)
+
+
+def _counts_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CLASSES)
+
+
+def bounded(pairs: DataFrame, examples: DataFrame) -> DataFrame:
+    """Pairs (a, b) with a lower bound of their distance."""
+
+    def bound(batches):
+        for batch in batches:
+            low = least_distances(
+                batch.column("na").to_numpy(), batch.column("nb").to_numpy(),
+                _counts_of(batch.column("ka")), _counts_of(batch.column("kb")),
+            )
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(low)], names=["a", "b", "least"])
+
+    side = lambda name: examples.select(
+        F.col("set_id").alias(name), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"k{name}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(
+        bound, "a long, b long, least double"
+    )
+
+
 def region_links(names: np.ndarray, members: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect whatever links within one region, by recursion on pivots."""
     links, todo = [], [np.arange(len(names))]
@@ -202,19 +241,39 @@ def region_links(names: np.ndarray, members: list[np.ndarray], percent: int) ->
     return links
 
 
-def _finish(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within regions (region, set_id) small enough for one task."""
+def _finish(rows: DataFrame, docs: DataFrame, examples: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links within regions (region, set_id, label) small enough for one task."""
+    radius = 1 - percent / 100
+
+    def prune(table):
+        n, label = table.column("n").to_numpy(), table.column("label").to_numpy()
+        counts = _counts_of(table.column("sketch"))
+        near = np.zeros(len(n), bool)
+        for i in range(len(n)):
+            low = least_distances(n[i], n, counts[i], counts)
+            near |= (other := (low <= radius + 1e-9) & (label != label[i]))
+            near[i] |= other.any()
+        # A region is known by its members, so that many equal ones are solved once.
+        kept = table.filter(pa.array(near)).sort_by("set_id")
+        name = _set_id(kept.column("set_id").to_numpy().view(np.uint64)) if len(kept) else 0
+        return pa.table({"region": pa.array([name] * len(kept), pa.int64()), "set_id": kept.column("set_id")})
 
     def solve(table):
         names = table.column("set_id").to_numpy()
-        members = [np.asarray(value.values).view(np.uint64) for value in table.column("shingles")]
+        members = [np.asarray(value.values).view(np.uint64) for value in table.column("shingles").combine_chunks()]
         order = np.argsort(names)
         found = region_links(names[order], [members[i] for i in order], percent)
         return pa.table(
             {"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())}
         )
 
-    return rows.join(sets, "set_id").groupBy("region").applyInArrow(solve, "a long, b long")
+    kept = stage(
+        rows.join(examples.select("set_id", "n", "sketch"), "set_id").groupBy("region")
+        .applyInArrow(prune, "region long, set_id long").distinct(), "regions",
+    )
+    wanted = examples.join(kept.select("set_id"), "set_id", "left_semi")
+    sets = _shingles_of(docs, wanted, words)
+    return kept.join(sets, "set_id").groupBy("region").applyInArrow(solve, "a long, b long").distinct()
 
 
 def connect(links: DataFrame) -> DataFrame:
@@ -251,11 +310,9 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, words: int, percent: int, in
     rows = stage(rows.join(shared.select("region"), "region").distinct(), "regions")
     examples = stage(
         sets.filter("n_shingles > 0").groupBy("set_id")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
         .join(rows.select("set_id"), "set_id", "left_semi"), "examples",
     )
-    all_sets = stage(_shingles_of(docs, examples, words), "sets")
-    sizes = examples.select("set_id", "n")
     found: list[DataFrame] = []
     tested = False
     while True:
@@ -268,24 +325,22 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, words: int, percent: int, in
         tested = True
         pivots = going.groupBy("region").agg(F.min("set_id").alias("pivot"))
         stars = going.join(pivots, "region").filter("set_id <> pivot")
-        pairs = (
-            stars.select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
-            .join(sizes.select(F.col("set_id").alias("a"), F.col("n").alias("na")), "a")
-            .join(sizes.select(F.col("set_id").alias("b"), F.col("n").alias("nb")), "b")
-        )
-        # Sizes alone bound the distance from below; only pairs within twice the radius matter.
-        ratio = F.least("na", "nb") / F.greatest("na", "nb")
-        measured = stage(measure(pairs.filter(1 - ratio <= 2 * radius + 1e-9).select("a", "b"), all_sets, percent), "measured")
-        links = measured.filter("linked").select("a", "b")
+        pairs = stars.select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
+        low = stage(bounded(pairs, examples).filter(F.col("least") < 1), "bounds")
+        maybe = low.filter(F.col("least") <= radius + 1e-9)
+        ends = maybe.select(F.col("a").alias("set_id")).union(maybe.select("b"))
+        fetched = _shingles_of(docs, examples.join(ends, "set_id", "left_semi"), words)
+        exact = stage(measure(maybe, fetched, percent), "measured")
+        links = exact.filter("linked").select("a", "b")
         if not links.isEmpty():
             found.append(links)
+        measured = low.join(exact, ["a", "b"], "left").select(
+            "a", "b", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("distance", "least").alias("distance"))
         rows = _unsettled(spark, stars, measured, staying, found, radius)
         if rows is None:
             break
     if rows is not None:
-        members = rows.groupBy("region").agg(F.array_sort(F.collect_list("set_id")).alias("members"))
-        regions = members.select("members").distinct().select(F.xxhash64("members").alias("region"), F.explode("members").alias("set_id"))
-        rest = stage(_finish(regions, all_sets, percent).distinct(), "links")
+        rest = stage(_finish(rows, docs, examples, words, percent), "links")
         if not rest.isEmpty():
             found.append(rest)
     return reduce(DataFrame.union, found) if found else None
@@ -311,7 +366,7 @@ def _unsettled(spark: SparkSession, stars, measured, staying, found, radius) ->
         named = left.withColumn("label", F.col("set_id"))
     named = stage(named, "named")
     open_ = named.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    rows = stage(named.join(open_.select("region"), "region").select("region", "set_id"), "regions")
+    rows = stage(named.join(open_.select("region"), "region").select("region", "set_id", "label"), "regions")
     return None if rows.isEmpty() else rows
 
 
