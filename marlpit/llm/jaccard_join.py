@@ -17,10 +17,11 @@ each region is joined recursively around pivots:
    `2r` of it, so the core is done unless some member lies in that window; then the
    core's outer ring (those within `r` of the nearest member of the window) is kept.
    The rest of the region is joined again around a new pivot.
-3. A region whose members are connected already is done. Regions of at most
-   `in_task` members are finished in one task, by the same recursion on arrays.
+3. A region whose members are connected already is done. The others are finished
+   by the same recursion on arrays, in which members already connected are not
+   measured again; regions of more than `in_task` members in pairs of blocks.
 4. Before a distance is measured on whole sets, it is bounded from below by the
-   sizes and by counts of shingles in 64 classes (their L1 distance never exceeds
+   sizes and by counts of shingles in 128 classes (their L1 distance never exceeds
    the symmetric difference). Only sets that may link are fetched.
 
 Texts with equal sets share one id, a hash of the set, so groups of copies are
@@ -33,7 +34,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from marlpit.llm import tokens
 from marlpit.runtime import stage
@@ -41,9 +42,9 @@ from marlpit.runtime import stage
 # Counters of the shingle statistics: fixed size, whatever the corpus.
 COUNTERS = 1 << 18
 COUNTER_BLOCK = 1 << 12
-IN_TASK = 256
+IN_TASK = 4096
 # Shingles of a set counted by so many classes; a byte each.
-CLASSES = 64
+CLASSES = 128
 
 
 def _hashed(texts: tokens.Texts, words: int):
@@ -188,8 +189,8 @@ def _counts_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CLASSES)
 
 
-def bounded(pairs: DataFrame, examples: DataFrame) -> DataFrame:
-    """Pairs (a, b) with a lower bound of their distance."""
+def bounded(pairs: DataFrame, examples: DataFrame, most: float) -> DataFrame:
+    """Pairs (a, b) with a lower bound of their distance; none whose sizes put them beyond `most`."""
 
     def bound(batches):
         for batch in batches:
@@ -199,18 +200,28 @@ def bounded(pairs: DataFrame, examples: DataFrame) -> DataFrame:
             )
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(low)], names=["a", "b", "least"])
 
-    side = lambda name: examples.select(
-        F.col("set_id").alias(name), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"k{name}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(
+    sizes = lambda name: examples.select(F.col("set_id").alias(name), F.col("n").alias(f"n{name}"))
+    counts = lambda name: examples.select(F.col("set_id").alias(name), F.col("sketch").alias(f"k{name}"))
+    near = pairs.join(sizes("a"), "a").join(sizes("b"), "b").filter(
+        1 - F.least("na", "nb") / F.greatest("na", "nb") <= most + 1e-9)
+    return near.join(counts("a"), "a").join(counts("b"), "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(
         bound, "a long, b long, least double"
     )
 
 
-def region_links(names: np.ndarray, members: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect whatever links within one region, by recursion on pivots."""
-    links, todo = [], [np.arange(len(names))]
+def region_links(
+    names: np.ndarray, members: list[np.ndarray], percent: int, labels: np.ndarray | None = None
+) -> list[tuple[int, int]]:
+    """Links that connect whatever links within one region, by recursion on pivots.
+
+    Members of one label are connected already; those of rare labels come first
+    as pivots, so that a large connected part is never measured within itself.
+    """
     radius = 1 - percent / 100
-    parent = list(range(len(names)))
+    labels = names if labels is None else labels
+    _, first, group, size = np.unique(labels, return_index=True, return_inverse=True, return_counts=True)
+    parent = first[group].tolist()
+    links, todo = [], [np.argsort(size[group], kind="stable")]
 
     def root(i):
         while parent[i] != i:
@@ -241,35 +252,45 @@ def region_links(names: np.ndarray, members: list[np.ndarray], percent: int) ->
     return links
 
 
-def _finish(rows: DataFrame, docs: DataFrame, examples: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links within regions (region, set_id, label) small enough for one task."""
+def _finish(rows: DataFrame, docs: DataFrame, examples: DataFrame, words: int, percent: int, in_task: int) -> DataFrame:
+    """Links between different labels within regions (region, set_id, label)."""
     radius = 1 - percent / 100
 
     def prune(table):
         n, label = table.column("n").to_numpy(), table.column("label").to_numpy()
         counts = _counts_of(table.column("sketch"))
         near = np.zeros(len(n), bool)
-        for i in range(len(n)):
-            low = least_distances(n[i], n, counts[i], counts)
-            near |= (other := (low <= radius + 1e-9) & (label != label[i]))
+        _, group, size = np.unique(label, return_inverse=True, return_counts=True)
+        for i in np.flatnonzero(group != size.argmax()):
+            other = label != label[i]
+            other[other] = least_distances(n[i], n[other], counts[i], counts[other]) <= radius + 1e-9
+            near |= other
             near[i] |= other.any()
         # A region is known by its members, so that many equal ones are solved once.
         kept = table.filter(pa.array(near)).sort_by("set_id")
         name = _set_id(kept.column("set_id").to_numpy().view(np.uint64)) if len(kept) else 0
-        return pa.table({"region": pa.array([name] * len(kept), pa.int64()), "set_id": kept.column("set_id")})
+        return pa.table(
+            {"region": pa.array([name] * len(kept), pa.int64()), "set_id": kept.column("set_id"), "label": kept.column("label")}
+        )
 
     def solve(table):
-        names = table.column("set_id").to_numpy()
-        members = [np.asarray(value.values).view(np.uint64) for value in table.column("shingles").combine_chunks()]
-        order = np.argsort(names)
-        found = region_links(names[order], [members[i] for i in order], percent)
+        table = table.sort_by("set_id")
+        members = [np.asarray(value.values).view(np.uint64) for value in table.column("shingles")]
+        found = region_links(table.column("set_id").to_numpy(), members, percent, table.column("label").to_numpy())
         return pa.table(
             {"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())}
         )
 
+    blocks = rows.groupBy("region").agg(F.ceil(F.count("*") / in_task).alias("blocks"))
+    own = F.pmod(F.xxhash64("set_id"), F.col("blocks"))
+    dealt = (
+        rows.join(blocks, "region")
+        .select("region", "set_id", "label", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        .select("region", "set_id", "label", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    )
     kept = stage(
-        rows.join(examples.select("set_id", "n", "sketch"), "set_id").groupBy("region")
-        .applyInArrow(prune, "region long, set_id long").distinct(), "regions",
+        dealt.join(examples.select("set_id", "n", "sketch"), "set_id").groupBy("region", "one", "two")
+        .applyInArrow(prune, "region long, set_id long, label long").distinct(), "regions",
     )
     wanted = examples.join(kept.select("set_id"), "set_id", "left_semi")
     sets = _shingles_of(docs, wanted, words)
@@ -303,7 +324,6 @@ def connect(links: DataFrame) -> DataFrame:
 
 def jaccard_links(docs: DataFrame, sets: DataFrame, words: int, percent: int, in_task: int = IN_TASK) -> DataFrame | None:
     """Links between set ids that connect all sets within the distance; None without any."""
-    spark = docs.sparkSession
     radius = 1 - percent / 100
     rows = sets.filter("n_shingles > 0").select(F.explode("anchors").alias("region"), "set_id")
     shared = rows.groupBy("region").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).filter("low < high")
@@ -314,40 +334,30 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, words: int, percent: int, in
         .join(rows.select("set_id"), "set_id", "left_semi"), "examples",
     )
     found: list[DataFrame] = []
-    tested = False
-    while True:
-        big = rows.groupBy("region").agg(F.count("*").alias("members"))
-        if tested and big.filter(F.col("members") > in_task).isEmpty():
-            break
-        # The first time all regions are measured around a pivot, then only the large ones.
-        going = rows if not tested else rows.join(big.filter(F.col("members") > in_task).select("region"), "region")
-        staying = None if not tested else rows.join(big.filter(F.col("members") <= in_task).select("region"), "region")
-        tested = True
-        pivots = going.groupBy("region").agg(F.min("set_id").alias("pivot"))
-        stars = going.join(pivots, "region").filter("set_id <> pivot")
-        pairs = stars.select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
-        low = stage(bounded(pairs, examples).filter(F.col("least") < 1), "bounds")
-        maybe = low.filter(F.col("least") <= radius + 1e-9)
-        ends = maybe.select(F.col("a").alias("set_id")).union(maybe.select("b"))
-        fetched = _shingles_of(docs, examples.join(ends, "set_id", "left_semi"), words)
-        exact = stage(measure(maybe, fetched, percent), "measured")
-        links = exact.filter("linked").select("a", "b")
-        if not links.isEmpty():
-            found.append(links)
-        measured = low.join(exact, ["a", "b"], "left").select(
-            "a", "b", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("distance", "least").alias("distance"))
-        rows = _unsettled(spark, stars, measured, staying, found, radius)
-        if rows is None:
-            break
+    pivots = rows.groupBy("region").agg(F.min("set_id").alias("pivot"))
+    stars = stage(rows.join(pivots, "region").filter("set_id <> pivot"), "stars")
+    pairs = stars.select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
+    # What lies beyond twice the radius is neither linked nor in the window.
+    low = stage(bounded(pairs, examples, 2 * radius).filter(F.col("least") <= 2 * radius + 1e-9), "bounds")
+    maybe = low.filter(F.col("least") <= radius + 1e-9)
+    ends = maybe.select(F.col("a").alias("set_id")).union(maybe.select("b"))
+    fetched = _shingles_of(docs, examples.join(ends, "set_id", "left_semi"), words)
+    exact = stage(measure(maybe, fetched, percent), "measured")
+    links = exact.filter("linked").select("a", "b")
+    if not links.isEmpty():
+        found.append(links)
+    measured = low.join(exact, ["a", "b"], "left").select(
+        "a", "b", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("distance", "least").alias("distance"))
+    rows = _unsettled(stars, measured, found, radius)
     if rows is not None:
-        rest = stage(_finish(rows, docs, examples, words, percent), "links")
+        rest = stage(_finish(rows, docs, examples, words, percent, in_task), "links")
         if not rest.isEmpty():
             found.append(rest)
     return reduce(DataFrame.union, found) if found else None
 
 
-def _unsettled(spark: SparkSession, stars, measured, staying, found, radius) -> DataFrame | None:
-    """What is left of the regions after one pivot each; None if nothing is."""
+def _unsettled(stars: DataFrame, measured: DataFrame, found: list[DataFrame], radius: float) -> DataFrame | None:
+    """What is left of the regions after one pivot each, with labels; None if nothing is."""
     told = stars.join(measured, (F.col("pivot") == F.col("a")) & (F.col("set_id") == F.col("b")), "left").select(
         "region", "set_id", F.coalesce("linked", F.lit(False)).alias("linked"),
         F.coalesce("distance", F.lit(1.0)).alias("distance"),
@@ -357,8 +367,6 @@ def _unsettled(spark: SparkSession, stars, measured, staying, found, radius) ->
     left = told.join(window, "region").filter(
         ~F.col("linked") | (F.col("distance") + radius >= F.col("nearest") - 1e-9)
     ).select("region", "set_id")
-    if staying is not None:
-        left = left.union(staying.select("region", "set_id"))
     if found:
         labels = connect(reduce(DataFrame.union, found))
         named = left.join(labels, "set_id", "left").select("region", "set_id", F.coalesce("label", "set_id").alias("label"))
