@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marlpit.llm import jaccard_join
+from marlpit.llm import jaccard_join, mixing, quality_rules
 
 
 class Query(NamedTuple):
@@ -30,6 +30,65 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op1_quality_rules(spark, folder):
+    """Base counts, likelihood ratio and verdict of all documents."""
+    return quality_rules.quality_rules(table(spark, folder, "documents"))
+
+
+OP5_SQL = r"""
+WITH sized AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS key,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  FROM documents),
+placed AS MATERIALIZED (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM sized),
+weighed AS MATERIALIZED (
+  SELECT source, source_size, place, (CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS weight,
+         source_size * 3.0::DOUBLE AS cap
+  FROM (SELECT source, sum(size)::BIGINT AS source_size,
+               row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source)),
+levels AS MATERIALIZED (
+  SELECT *, cap / weight AS ratio, (sum(source_size) OVER ())::DOUBLE AS total,
+    ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER before, 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM weighed WINDOW before AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS MATERIALIZED (
+  SELECT *, coalesce(least(cap, weight * (SELECT arg_min(level, (ratio, place)) FROM levels WHERE ratio >= level)), 0) AS target
+  FROM levels),
+lows AS MATERIALIZED (
+  SELECT *, CASE WHEN total > 0 THEN least(floor(coalesce(sum(target) OVER (ORDER BY place
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / total * 2147483648), 2147483648)::BIGINT ELSE 0 END AS lo
+  FROM targets),
+bounds AS MATERIALIZED (
+  SELECT *, coalesce(lead(lo) OVER (ORDER BY place), 2147483648) AS hi FROM lows),
+slots AS MATERIALIZED (
+  SELECT s.slot, b.source, b.source_size, row_number() OVER (PARTITION BY b.source ORDER BY s.slot) - 1 AS rank
+  FROM (SELECT slot, ((slot % 2147483648) * 1327217885) % 2147483648 AS point
+        FROM (SELECT unnest(range(((SELECT sum(size) FROM sized) + 31)::BIGINT // 32)) AS slot)) s
+  JOIN bounds b ON s.point >= b.lo AND s.point < b.hi),
+times AS MATERIALIZED (
+  SELECT source, rank % ((source_size + 31) // 32) AS block, count(*) AS times FROM slots
+  WHERE rank // ((source_size + 31) // 32) < 3 GROUP BY ALL),
+taken AS (
+  SELECT r, sum((least(start + size, (b + 1) * 32) - greatest(start, b * 32)) * times) AS taken
+  FROM (SELECT *, unnest(range(start // 32, (start + size - 1) // 32 + 1)) AS b FROM placed WHERE size > 0) p
+  JOIN times t ON t.source IS NOT DISTINCT FROM p.source AND t.block = p.b GROUP BY r)
+SELECT p.doc_id, p.size, t.source_size, round(t.target, 6) AS target, coalesce(k.taken, 0)::BIGINT AS taken
+FROM placed p JOIN targets t ON t.source IS NOT DISTINCT FROM p.source LEFT JOIN taken k USING (r)
+"""
+
+
+@query(OP5_SQL)
+def op5_mixing(spark, folder):
+    """What a mix of all documents by source weights takes of each."""
+    return mixing.mix(table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken"
+    )
+
+
 OP6_SQL = r"""
 WITH RECURSIVE w AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id,
