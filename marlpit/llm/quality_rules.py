@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 14
-THRESHOLD = -0.25
+THRESHOLD = -0.1
 MIN_WORDS = 20
 WINDOW = 8
 
@@ -32,12 +32,31 @@ def _words(text: Column) -> Column:
 
 
 def _count_of(text: Column, characters: str) -> Column:
-    """Occurrences of single characters."""
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
+    """Occurrences of single characters of a class."""
+    return F.regexp_count(text, F.lit(characters)).cast("long")
 
 
-def repeat_words(words: Column) -> Column:
-    """Words within windows of eight words that occur twice or more in `words`."""
+def _word_chars(text: Column) -> Column:
+    return (F.length(text) - _count_of(text, SPACE)).cast("long")
+
+
+def pair_hashes(words: Column) -> Column:
+    """Hashes of all pairs of adjacent words."""
+    return _joined(words, 1)
+
+
+def _joined(values: Column, apart: int) -> Column:
+    """Hashes of all (value, value `apart` places on)."""
+    return F.when(F.size(values) <= apart, F.array().cast("array<long>")).otherwise(
+        F.transform(
+            F.sequence(F.lit(0), F.size(values) - apart - 1),
+            lambda i: F.xxhash64(F.get(values, i), F.get(values, i + apart)),
+        )
+    )
+
+
+def repeat_words(pairs: Column) -> Column:
+    """Words within windows of eight words that occur twice or more, from the hashes of pairs."""
 
     def covered(hashes: Column) -> Column:
         def of_sorted(places: Column) -> Column:
@@ -58,33 +77,26 @@ def repeat_words(words: Column) -> Column:
         pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(let(pairs, of_sorted))
 
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))
-    )
-    return F.when(F.size(words) < WINDOW, 0).otherwise(let(windows, covered)).cast("long")
+    eights = let(_joined(pairs, 2), lambda fours: _joined(fours, 4))
+    return let(eights, covered).cast("long")
 
 
-def grams(words: Column, buckets: int) -> Column:
+def grams(words: Column, pairs: Column, buckets: int) -> Column:
     """Buckets of all words and of all pairs of adjacent words."""
-    single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    pairs = F.when(F.size(words) < 2, F.array().cast("array<int>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(1), F.size(words) - 1),
-            lambda i: F.pmod(F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1)), F.lit(buckets)).cast("int"),
-        )
+    return F.concat(
+        F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")),
+        F.transform(pairs, lambda h: F.pmod(h, F.lit(buckets)).cast("int")),
     )
-    return F.concat(single, pairs)
 
 
 def trusted(text: Column, words: Column) -> Column:
     """Prose by form alone: enough different words, few symbols, capitals and exclamations."""
-    used = F.length(text) - _count_of(text, " \t\n\x0b\f\r")
+    used = _word_chars(text)
     return (
         (F.size(words) >= 50)
         & (3 * F.size(F.array_distinct(words)) >= F.size(words))
-        & (500 * _count_of(text, SYMBOLS) <= used)
-        & (5 * _count_of(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ") <= used)
-        & (500 * _count_of(text, "!") <= used)
+        & (500 * _count_of(text, f"[!{SYMBOLS}]") <= used)
+        & (5 * _count_of(text, "[A-Z]") <= used)
     )
 
 
@@ -96,7 +108,9 @@ def log_ratios(docs: DataFrame, buckets: int = BUCKETS) -> list[float]:
     text = F.coalesce("text", F.lit(""))
     both = let(
         _words(F.col("text")),
-        lambda w: F.struct(trusted(text, w).cast("int").alias("trusted"), grams(w, buckets).alias("grams")),
+        lambda w: F.struct(
+            trusted(text, w).cast("int").alias("trusted"), grams(w, pair_hashes(w), buckets).alias("grams")
+        ),
     )
     counted = (
         docs.select(both.alias("both"))
@@ -126,19 +140,21 @@ def quality_rules(docs: DataFrame, buckets: int = BUCKETS, threshold: float = TH
     text = F.coalesce("text", F.lit(""))
 
     def measured(words: Column) -> Column:
+        return let(pair_hashes(words), lambda pairs: counted(words, pairs))
+
+    def counted(words: Column, pairs: Column) -> Column:
         lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-        total = F.aggregate(grams(words, buckets), F.lit(0.0), lambda acc, g: acc + F.get(ratios, g))
+        total = F.aggregate(grams(words, pairs, buckets), F.lit(0.0), lambda acc, g: acc + F.get(ratios, g))
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-            repeat_words(words).alias("n_repeat_words"),
+            repeat_words(pairs).alias("n_repeat_words"),
             F.when(F.size(words) == 0, 0.0).otherwise(total / (2 * F.size(words) - 1)).alias("score"),
         )
 
     found = docs.select(
         "doc_id", *carry,
-        (F.length(text) - _count_of(text, " \t\n\x0b\f\r")).cast("long").alias("word_chars"),
-        _count_of(text, SYMBOLS).alias("n_symbols"),
+        _word_chars(text).alias("word_chars"), _count_of(text, f"[{SYMBOLS}]").alias("n_symbols"),
         let(_words(F.col("text")), measured).alias("measured"),
     )
     n, repeated = F.col("measured.n_words"), F.col("measured.n_repeat_words")

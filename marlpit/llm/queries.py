@@ -7,7 +7,15 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marlpit.llm import jaccard_join, mixing, quality_rules
+from marlpit.llm import (
+    context_tree,
+    jaccard_join,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    tiles,
+    toxicity,
+)
 
 
 class Query(NamedTuple):
@@ -36,6 +44,18 @@ def op1_quality_rules(spark, folder):
     return quality_rules.quality_rules(table(spark, folder, "documents"))
 
 
+@query()
+def op2_quality_classifier(spark, folder):
+    """Quality of all documents by subword embeddings."""
+    return quality_classifier.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op3_toxicity(spark, folder):
+    """Toxicity of all documents by a recurrent network over windows."""
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 OP5_SQL = r"""
 WITH sized AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS key,
@@ -120,3 +140,31 @@ GROUP BY w.r, w.doc_id, n.n
 def op6_jaccard_join(spark, folder):
     """Near-duplicate components of all documents."""
     return jaccard_join.near_duplicates(table(spark, folder, "documents"))
+
+
+@query()
+def op7_context_tree(spark, folder):
+    """Word unigram and context-tree log probabilities of all documents."""
+    return context_tree.language_scores(table(spark, folder, "documents"))
+
+
+OP10_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(embedding) > 0
+    AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0
+    AND isfinite(list_sum([abs(x::DOUBLE) FOR x IN embedding]))),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+
+@query(OP10_SQL)
+def op10_nearest_tiles(spark, folder):
+    """The five nearest other vectors of every fiftieth vector."""
+    vectors = table(spark, folder, "embeddings")
+    return tiles.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
