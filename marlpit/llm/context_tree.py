@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from marlpit.llm import labels as labelled, tokens
 from marlpit.runtime import stage
 
-DEPTH = 4
+DEPTH = 5
 CONTEXTS = 1 << 15
 FREQUENT = 1 << 20
 END = 0xFF  # never a byte of UTF-8; also stands before the first word
@@ -118,13 +118,16 @@ class Tree:
         depth = len(self.contexts) - 1
         history = _history(data, begin, depth)
         row = np.zeros(len(data), np.int64)
-        for d in range(1, depth + 1):
+        todo = np.arange(len(data))
+        for d in range(depth, 0, -1):
             kept = self.contexts[d]
             if not len(kept):
-                break
-            own = history & ((1 << 8 * d) - 1)
+                continue
+            own = history[todo] & ((1 << 8 * d) - 1)
             at = np.minimum(np.searchsorted(kept, own), len(kept) - 1)
-            row = np.where(kept[at] == own, self.rows[d][at], row)
+            hit = kept[at] == own
+            row[todo[hit]] = self.rows[d][at[hit]]
+            todo = todo[~hit]
         each = self.logs[row, data].astype(np.float64)
         return np.add.reduceat(each, begin[:-1]) if len(begin) > 1 else np.zeros(0)
 
