@@ -11,10 +11,13 @@ from marlpit.llm import (
     context_tree,
     jaccard_join,
     mixing,
+    pieces,
     quality_classifier,
     quality_rules,
     tiles,
     toxicity,
+    warc,
+    wrapper,
 )
 
 
@@ -56,6 +59,12 @@ def op3_toxicity(spark, folder):
     return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query()
+def op4_pieces(spark, folder):
+    """Token ids of all documents, decoded again and compared."""
+    return pieces.encode(table(spark, folder, "documents"), pieces.read_model())
+
+
 OP5_SQL = r"""
 WITH sized AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS key,
@@ -148,6 +157,22 @@ def op7_context_tree(spark, folder):
     return context_tree.language_scores(table(spark, folder, "documents"))
 
 
+@query()
+def op8_warc_derivatives(spark, folder):
+    """Metadata and conversion records of all pages, with the size of each as written."""
+    derived = warc.derive(warc.responses(table(spark, folder, "pages")), carry=("page_id",))
+    return derived.select(
+        "page_id", "warc_type", "record_id", "refers_to", "target_uri", "http_headers", "block_digest", "payload_digest",
+        F.col("block").cast("string").alias("content"), F.length(warc.serialise()).cast("long").alias("record_bytes"),
+    )
+
+
+@query()
+def op9_wrapper_induction(spark, folder):
+    """Main text of all pages."""
+    return wrapper.extract(table(spark, folder, "pages"))
+
+
 OP10_SQL = """
 WITH v AS MATERIALIZED (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
