@@ -133,8 +133,12 @@ class Tree:
 
 
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov probability of so many zeros and ones."""
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - np.log(np.pi)
+    """Log of the Krichevsky-Trofimov probability of so many zeros and ones, some rows at a time."""
+    out = np.empty_like(zeros)
+    for at in range(0, len(zeros), 1024):
+        a, b = zeros[at : at + 1024], ones[at : at + 1024]
+        out[at : at + 1024] = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - np.log(np.pi)
+    return out
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -169,12 +173,12 @@ def weigh(contexts: list[np.ndarray], counts: list[np.ndarray]) -> Tree:
     kt, own_share, below = [], [], None
     for d in range(depth, -1, -1):
         zeros, ones = _bit_counts(counts[d])
-        estimate = _log_kt(zeros.astype(np.float64), ones.astype(np.float64))
+        estimate = _log_kt(zeros, ones)
         if below is None:
             weighted, share = estimate, np.ones_like(estimate)
         else:
             # Counts that continue in no kept context form one more context.
-            rest = counts[d].astype(np.float64)
+            rest = counts[d].copy()
             product = np.zeros_like(estimate)
             if len(contexts[d + 1]):
                 np.subtract.at(rest, parents[d + 1], counts[d + 1])
@@ -182,10 +186,10 @@ def weigh(contexts: list[np.ndarray], counts: list[np.ndarray]) -> Tree:
             product += _log_kt(*_bit_counts(np.maximum(rest, 0)))
             weighted = np.logaddexp(estimate, product) - np.log(2)
             share = np.exp(estimate - np.log(2) - weighted)
-        kt.insert(0, (ones + 0.5) / (zeros + ones + 1.0))
-        own_share.insert(0, share)
+        kt.insert(0, ((ones + 0.5) / (zeros + ones + 1.0)).astype(np.float32))
+        own_share.insert(0, share.astype(np.float32))
         below = weighted
-        del zeros, ones, estimate
+        del zeros, ones, estimate, share
     rows, logs, start, mixed, left = [], [], 0, None, None
     for d in range(depth + 1):
         if d == 0:
@@ -195,8 +199,8 @@ def weigh(contexts: list[np.ndarray], counts: list[np.ndarray]) -> Tree:
         mixed = before + remaining * own_share[d] * kt[d]
         left = remaining * (1 - own_share[d])
         # Where no longer context is kept, this one's estimate stands for the rest.
-        ones = np.clip(mixed + left * kt[d], 1e-12, 1 - 1e-12)
-        logs.append(_byte_logs(ones).astype(np.float32))
+        ones = np.clip(mixed + left * kt[d], 1e-6, 1 - 1e-6)
+        logs.extend(_byte_logs(ones[at : at + 1024].astype(np.float64)).astype(np.float32) for at in range(0, len(ones), 1024))
         rows.append(np.arange(start, start + len(contexts[d])))
         start += len(contexts[d])
     return Tree(contexts, rows, np.concatenate(logs))
