@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from marlpit.functions.paths import is_safe_path
 from marlpit.operators.reading import list_sources, read_requests
 from marlpit.operators.retrieval import TOP_K
 from marlpit.plans.crawl import Indexing, crawl
 from marlpit.plans.search import search
-from marlpit.runtime import broadcast_if_small
 from marlpit.sources.registry import checked_registry, local_sources
 from marlpit.sources.store import IndexStore
-from marlpit.sources.tree import list_tree, read_files, scan_tree
+from marlpit.sources.tree import open_paths, scan_tree
 
 
 class DocumentIndex:
@@ -72,7 +72,6 @@ class DocumentIndex:
         that are asked for are opened.
         """
         if documents is None:
-            wanted = broadcast_if_small(requests.select("source_id", "path").distinct())
-            listing = list_tree(self.registry, self.data_dir).where("state = 'file'")
-            documents = read_files(listing.join(wanted, ["source_id", "path"], "left_semi"))
+            wanted = requests.select("source_id", "path").where(is_safe_path(F.col("path"))).distinct()
+            documents = open_paths(wanted, self.registry, self.data_dir)
         return read_requests(requests, self.registry, documents)

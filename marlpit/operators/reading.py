@@ -42,9 +42,11 @@ def read_requests(requests: DataFrame, registry: DataFrame, documents: DataFrame
     allowed = judged.where("error is null").drop("error")
     allowed = broadcast_if_small(allowed, REQUEST_BROADCAST_ROWS)
     text = decoded(F.col("content"))
-    answers = documents.select(*keys, "content").join(allowed, keys).select(
+    problem = F.col("error") if "error" in documents.columns else F.lit(None).cast("string")
+    answers = documents.select(*keys, "content", problem.alias("problem")).join(allowed, keys).select(
         "request_id",
         F.lit(True).alias("found"),
+        "problem",
         line_range(text, F.col("start_line"), F.col("end_line")).alias("text"),
     )
     return judged.join(answers, "request_id", "left").select(
@@ -53,6 +55,7 @@ def read_requests(requests: DataFrame, registry: DataFrame, documents: DataFrame
         "text",
         F.coalesce(
             "error",
+            "problem",
             F.when(F.col("found").isNull(), "missing_document")
             .when(F.col("text").isNull(), "undecodable_document"),
         ).alias("error"),

@@ -176,6 +176,7 @@ class _BestHits:
         vectors /= np.where(lengths > 0, lengths, 1.0)[:, None]
         scores = np.round(self.units @ vectors.T, SCORE_DECIMALS)
         scores += 0.0  # -0.0 becomes 0.0
+        scores[np.isnan(scores)] = -np.inf  # no hit, and no bar for others
         if allowed is not None:
             scores[~allowed] = -np.inf
         cut = self.floor

@@ -35,12 +35,19 @@ class TreeScan(NamedTuple):
 def scan_tree(registry: DataFrame, data_dir: str = "data") -> TreeScan:
     """Read the selected files of every source root.
 
-    Missing roots come back as source errors, unreadable files as document
-    errors. Only listed and selected files are opened.
+    Missing roots and folders that cannot be listed come back as source errors,
+    since what lies below them is unknown; unreadable files as document errors.
+    Only listed and selected files are opened.
     """
     listing = list_tree(registry, data_dir)
-    missing = listing.where("state = 'missing'").select(
-        "source_id", F.concat(F.lit("source folder not found: "), "root").alias("error")
+    missing = (
+        listing.where("state IN ('missing', 'failed')")
+        .select(
+            "source_id",
+            F.when(F.col("state") == "missing", F.concat(F.lit("source folder not found: "), "root"))
+            .otherwise(F.concat(F.lit("folder cannot be listed: "), "root", F.lit("/"), "path")).alias("error"),
+        )
+        .groupBy("source_id").agg(F.min("error").alias("error"))
     )
     small = broadcast_if_small(registry)
     files = select_documents(listing.where("state = 'file'"), small)
@@ -85,6 +92,39 @@ def read_files(files: DataFrame) -> DataFrame:
     )
 
 
+def open_paths(wanted: DataFrame, registry: DataFrame, data_dir: str = "data") -> DataFrame:
+    """Bytes of the files that (source_id, path) rows name, without any listing.
+
+    Paths are taken below their source's root, links followed; what leads out of
+    the root is not opened. `error` says so, or that the source is not on disk;
+    a path that is no file gives no row.
+    """
+    root = F.coalesce("path", F.concat(F.lit(f"{data_dir}/sources/"), "source_id")).alias("root")
+    roots = broadcast_if_small(registry.select(F.col("source_id").alias("of"), root))
+    placed = wanted.join(roots, F.col("source_id") == F.col("of")).select("source_id", "root", "path")
+    return placed.mapInPandas(_open, DOCUMENTS)
+
+
+def _open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for source_id, root, path in batch.itertuples(index=False):
+            content, error = None, None
+            top, target = os.path.realpath(root), os.path.realpath(os.path.join(root, path or ""))
+            if not os.path.isdir(root):
+                error = "source_not_on_disk"
+            elif not target.startswith(top.rstrip(os.sep) + os.sep):
+                error = "unsafe_path"
+            elif not os.path.isfile(target):
+                continue
+            else:
+                try:
+                    with open(target, "rb") as file:
+                        content = file.read()
+                except OSError as problem:
+                    error = str(problem)
+            yield pd.DataFrame([(source_id, path, content, error)], columns=DOCUMENTS.names)
+
+
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows: list[tuple] = []
     budget = ENTRIES_PER_TASK
@@ -118,6 +158,7 @@ def _entries(source_id: str, root: str, folder: str) -> Iterator[tuple]:
     try:
         entries = os.scandir(here)
     except OSError:
+        yield source_id, root, folder, 0, "failed"
         return
     with entries:
         for entry in entries:

@@ -121,13 +121,13 @@ def vector_queries(spark, folder) -> DataFrame:
 
 
 VECTORS_SQL = """
-chunks AS (
+chunks AS MATERIALIZED (
   SELECT 's' || label AS source_id, vec_id::VARCHAR AS path, 0 AS chunk_index,
          'text of ' || vec_id AS text,
          [(x::DOUBLE * label)::FLOAT::DOUBLE FOR x IN embedding] AS v,
          CASE WHEN embedding[1] < -0.125 THEN 'm0' ELSE 'm1' END AS embed_model
   FROM embeddings),
-questions AS (
+questions AS MATERIALIZED (
   SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS v FROM embeddings)
 """
 
@@ -142,11 +142,11 @@ def cosine_sql(a: str, b: str) -> str:
 def top_sql(where: str = "true", fetch_k: int = 20) -> str:
     """CTE `top` from `chunks` and `questions`."""
     return f"""
-scored AS (
+scored AS MATERIALIZED (
   SELECT q.query_id, c.source_id, c.path, c.chunk_index, c.text, c.v,
          round({cosine_sql('q.v', 'c.v')}, 9) AS score
   FROM questions q, chunks c WHERE {where}),
-top AS (
+top AS MATERIALIZED (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id
              ORDER BY score DESC, source_id, path, chunk_index) AS candidate
@@ -158,17 +158,17 @@ def mmr_sql(k: int = 4) -> str:
     """CTE `picks` (query_id, rank, candidate) from `top`, one step per pick."""
     steps = [
         """
-closeness AS (
+closeness AS MATERIALIZED (
   SELECT a.query_id, a.candidate AS candidate, b.candidate AS other, """
         + cosine_sql("a.v", "b.v")
         + """ AS cosine
   FROM top a JOIN top b USING (query_id)),
-picks1 AS (SELECT query_id, 1 AS rank, candidate FROM top WHERE candidate = 1)"""
+picks1 AS MATERIALIZED (SELECT query_id, 1 AS rank, candidate FROM top WHERE candidate = 1)"""
     ]
     for rank in range(2, k + 1):
         steps.append(
             f"""
-picks{rank} AS (
+picks{rank} AS MATERIALIZED (
   SELECT * FROM picks{rank - 1}
   UNION ALL
   SELECT query_id, {rank} AS rank, candidate FROM (

@@ -102,7 +102,7 @@ def zero_vector_score(spark, folder):
 
 _HASHED_SQL = f"""
 {HASH_WEIGHTS_SQL},
-vectors AS (
+vectors AS MATERIALIZED (
   SELECT id, list(coalesce(weight, 0.0) ORDER BY bucket) AS v
   FROM (SELECT id, bucket FROM texts, range(64) t(bucket))
   LEFT JOIN weights USING (id, bucket) GROUP BY id)
@@ -110,16 +110,16 @@ vectors AS (
 
 
 @query(
-    f"""WITH docs AS (SELECT source AS source_id, {PATH_SQL} AS path, text FROM documents),
-    pieces AS ({windows_sql('docs', 'source_id, path')}),
-    texts AS (
+    f"""WITH docs AS MATERIALIZED (SELECT source AS source_id, {PATH_SQL} AS path, text FROM documents),
+    pieces AS MATERIALIZED ({windows_sql('docs', 'source_id, path')}),
+    texts AS MATERIALIZED (
       SELECT 'q' || item_id AS id, text FROM benchmark
       UNION ALL SELECT path || '#' || chunk_index, text FROM pieces),
     {_HASHED_SQL},
-    chunks AS (
+    chunks AS MATERIALIZED (
       SELECT source_id, path, chunk_index, text, [x::FLOAT::DOUBLE FOR x IN v] AS v
       FROM pieces JOIN vectors ON id = path || '#' || chunk_index),
-    questions AS (
+    questions AS MATERIALIZED (
       SELECT item_id AS query_id, v FROM benchmark JOIN vectors ON id = 'q' || item_id),
     {top_sql()}, {mmr_sql()}
     SELECT query_id, rank, text AS page_content, source_id, path, chunk_index, score
