@@ -44,7 +44,8 @@ def identifier(*parts: str) -> str:
 
 def plain_text(page: str) -> str:
     """Visible text, a line for each block."""
-    body = TAG.sub("", BREAK.sub("\n", HEAD.sub("\n", HIDDEN.sub(" ", page))))
+    flowing = BLANKS.sub(" ", HEAD.sub(" ", HIDDEN.sub(" ", page)))
+    body = TAG.sub("", BREAK.sub("\n", flowing))
     lines = (BLANKS.sub(" ", line).strip() for line in html.unescape(body).split("\n"))
     return "\n".join(line for line in lines if line)
 
