@@ -16,10 +16,10 @@ each region is joined recursively around pivots:
    inequality a member within `r` of the pivot can only link to others within
    `2r` of it, so the core is done unless some member lies in that window; then the
    core's outer ring (those within `r` of the nearest member of the window) is kept.
-   The rest of the region is joined again around a new pivot.
-3. A region whose members are connected already is done. The others are finished
-   by the same recursion on arrays, in which members already connected are not
-   measured again; regions of more than `in_task` members in pairs of blocks.
+3. A region whose members are connected already is done. The others are joined
+   again around further pivots, on arrays within tasks: members of the rarest
+   components first, against all that are not connected to them. Regions of more
+   than `in_task` members are cut into pairs of blocks for that.
 4. Before a distance is measured on whole sets, it is bounded from below by the
    sizes and by counts of shingles in 128 classes (their L1 distance never exceeds
    the symmetric difference). Only sets that may link are fetched.
@@ -210,13 +210,15 @@ def bounded(pairs: DataFrame, examples: DataFrame, most: float) -> DataFrame:
 
 
 def region_links(
-    names: np.ndarray, members: list[np.ndarray], percent: int, labels: np.ndarray | None = None
+    names: np.ndarray, members: list[np.ndarray], percent: int, labels: np.ndarray | None = None, counts: np.ndarray | None = None
 ) -> list[tuple[int, int]]:
     """Links that connect whatever links within one region, by recursion on pivots.
 
     Members of one label are connected already; those of rare labels come first
     as pivots, so that a large connected part is never measured within itself.
+    With class `counts`, members that these put beyond the radius are not measured.
     """
+    lengths = np.array([len(m) for m in members])
     radius = 1 - percent / 100
     labels = names if labels is None else labels
     _, first, group, size = np.unique(labels, return_index=True, return_inverse=True, return_counts=True)
@@ -234,21 +236,20 @@ def region_links(
         if len(region) < 2 or len({root(i) for i in region}) < 2:
             continue
         pivot, rest = region[0], region[1:]
-        sizes = np.array([len(members[i]) for i in rest])
-        joined = np.concatenate([members[i] for i in rest])
-        own = members[pivot]
-        at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
-        common = np.add.reduceat((own[at] == joined).astype(np.int64), np.cumsum(sizes) - sizes)
-        union = sizes + len(own) - common
-        linked = 100 * common >= percent * union
-        distance = 1 - common / union
-        for i in rest[linked]:
-            links.append((int(names[pivot]), int(names[i])))
-            parent[root(i)] = root(pivot)
-        outside = distance[~linked]
-        # The core's outer ring: within the radius of the nearest member beyond it.
-        ring = linked & (distance + radius >= (outside.min() if len(outside) else np.inf) - 1e-9)
-        todo.append(rest[~linked | ring])
+        near = np.array([root(i) != root(pivot) for i in rest])
+        if counts is not None:
+            near &= least_distances(lengths[pivot], lengths[rest], counts[pivot], counts[rest]) <= radius + 1e-9
+        near = rest[near]
+        if len(near):
+            joined = np.concatenate([members[i] for i in near])
+            own = members[pivot]
+            at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+            common = np.add.reduceat((own[at] == joined).astype(np.int64), np.cumsum(lengths[near]) - lengths[near])
+            for i in near[100 * common >= percent * (lengths[near] + len(own) - common)]:
+                links.append((int(names[pivot]), int(names[i])))
+                parent[root(i)] = root(pivot)
+        # The pivot has been measured against all of other labels and is done.
+        todo.append(rest)
     return links
 
 
@@ -274,9 +275,10 @@ def _finish(rows: DataFrame, docs: DataFrame, examples: DataFrame, words: int, p
         )
 
     def solve(table):
-        table = table.sort_by("set_id")
+        table = table.sort_by("set_id").combine_chunks()
         members = [np.asarray(value.values).view(np.uint64) for value in table.column("shingles")]
-        found = region_links(table.column("set_id").to_numpy(), members, percent, table.column("label").to_numpy())
+        found = region_links(table.column("set_id").to_numpy(), members, percent, table.column("label").to_numpy(),
+                             _counts_of(table.column("sketch")) if len(table) else None)
         return pa.table(
             {"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())}
         )
@@ -292,9 +294,18 @@ def _finish(rows: DataFrame, docs: DataFrame, examples: DataFrame, words: int, p
         dealt.join(examples.select("set_id", "n", "sketch"), "set_id").groupBy("region", "one", "two")
         .applyInArrow(prune, "region long, set_id long, label long").distinct(), "regions",
     )
-    wanted = examples.join(kept.select("set_id"), "set_id", "left_semi")
-    sets = _shingles_of(docs, wanted, words)
-    return kept.join(sets, "set_id").groupBy("region").applyInArrow(solve, "a long, b long").distinct()
+    # Regions that share members are solved together, so that each set is sent once,
+    # unless they are too many for one task.
+    stars = kept.join(kept.groupBy("region").agg(F.min("set_id").alias("least")), "region")
+    clusters = connect(stars.select(F.col("least").alias("a"), F.col("set_id").alias("b"))).select(
+        "set_id", F.col("label").alias("cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("sets"))
+    told = kept.join(clusters, "set_id").join(sizes, "cluster")
+    group = F.when(F.col("sets") <= 2 * in_task, F.col("cluster")).otherwise(F.col("region"))
+    grouped = stage(told.select(group.alias("region"), "set_id", "label").distinct(), "clusters")
+    wanted = examples.join(grouped.select("set_id"), "set_id", "left_semi")
+    sets = _shingles_of(docs, wanted, words).join(examples.select("set_id", "sketch"), "set_id")
+    return grouped.join(sets, "set_id").groupBy("region").applyInArrow(solve, "a long, b long").distinct()
 
 
 def connect(links: DataFrame) -> DataFrame:
