@@ -45,6 +45,7 @@ COUNTER_BLOCK = 1 << 12
 IN_TASK = 4096
 # Shingles of a set counted by so many classes; a byte each.
 CLASSES = 128
+FINE_CLASSES = 1024  # made within a task, where members are at hand
 
 
 def _hashed(texts: tokens.Texts, words: int):
@@ -98,6 +99,12 @@ def _set_id(values: np.ndarray) -> int:
     return int(tokens.mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def _classes(values: np.ndarray, classes: int) -> np.ndarray:
+    """Shingles by class, at most 255 of each being told."""
+    by_class = np.bincount((values & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
+    return np.minimum(by_class, 255).astype(np.uint8)
+
+
 def document_sets(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
     """Per row: doc_id, n_shingles, set_id (null without words), its anchors and class counts."""
     rarity = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint64))
@@ -116,8 +123,7 @@ def document_sets(docs: DataFrame, counts: np.ndarray, words: int, percent: int)
                         anchors.append(np.zeros(0, np.int64))
                         continue
                     names.append(_set_id(values))
-                    by_class = np.bincount((values & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
-                    sketches.append(np.minimum(by_class, 255).astype(np.uint8).tobytes())
+                    sketches.append(_classes(values, CLASSES).tobytes())
                     frequency = rarity.value[(values >> np.uint64(46)).astype(np.int64)]
                     order = np.argsort(frequency, kind="stable")
                     keep = n - (percent * n + 99) // 100 + 1
@@ -180,7 +186,7 @@ def measure(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def least_distances(na, nb, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Lower bounds of the distances of sets from their sizes and class counts."""
-    apart = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=-1)
+    apart = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=-1, dtype=np.int64)
     apart = np.maximum(apart, np.abs(na - nb))
     return 1 - (na + nb - apart) / (na + nb + apart)
 
@@ -221,35 +227,31 @@ def region_links(
     lengths = np.array([len(m) for m in members])
     radius = 1 - percent / 100
     labels = names if labels is None else labels
-    _, first, group, size = np.unique(labels, return_index=True, return_inverse=True, return_counts=True)
-    parent = first[group].tolist()
-    links, todo = [], [np.argsort(size[group], kind="stable")]
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    _, component, size = np.unique(labels, return_inverse=True, return_counts=True)
+    fine = np.stack([_classes(m, FINE_CLASSES) for m in members]) if len(members) else None
+    links, todo = [], [np.argsort(size[component], kind="stable")]
     while todo:
         region = todo.pop()
-        if len(region) < 2 or len({root(i) for i in region}) < 2:
+        if len(region) < 2:
             continue
         pivot, rest = region[0], region[1:]
-        near = np.array([root(i) != root(pivot) for i in rest])
-        if counts is not None:
-            near &= least_distances(lengths[pivot], lengths[rest], counts[pivot], counts[rest]) <= radius + 1e-9
-        near = rest[near]
+        near = rest[component[rest] != component[pivot]]
+        if len(near) and counts is not None:
+            near = near[least_distances(lengths[pivot], lengths[near], counts[pivot], counts[near]) <= radius + 1e-9]
+        if len(near):
+            near = near[least_distances(lengths[pivot], lengths[near], fine[pivot], fine[near]) <= radius + 1e-9]
         if len(near):
             joined = np.concatenate([members[i] for i in near])
             own = members[pivot]
             at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
             common = np.add.reduceat((own[at] == joined).astype(np.int64), np.cumsum(lengths[near]) - lengths[near])
             for i in near[100 * common >= percent * (lengths[near] + len(own) - common)]:
-                links.append((int(names[pivot]), int(names[i])))
-                parent[root(i)] = root(pivot)
-        # The pivot has been measured against all of other labels and is done.
-        todo.append(rest)
+                if component[i] != component[pivot]:
+                    links.append((int(names[pivot]), int(names[i])))
+                    component[component == component[i]] = component[pivot]
+        # The pivot has been measured against all that was not connected to it and is done.
+        if (component[rest] != component[rest[0]]).any():
+            todo.append(rest)
     return links
 
 
