@@ -30,7 +30,8 @@ SPACE_CLASS = (
 # The characters at which Python's str.splitlines() breaks, after \r is gone.
 LINE_BREAKS = r"[\n\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 
-_CREDENTIALS = rf"//[^/:{SPACE_CLASS}]+:[^/@{SPACE_CLASS}]+@"
+# Fixed value: user and password in a URL.
+_CREDENTIALS = rf"//[^/{SPACE_CLASS}:]+:[^/{SPACE_CLASS}@]+@"
 
 
 def decoded(content: Column) -> Column:

@@ -13,26 +13,75 @@ from marlpit.functions.text import base_chars, chunk_chars, chunk_overlap, is_bl
 from marlpit.functions.vectors import let
 from marlpit.runtime import spread
 
-# Where a text may be cut, coarsest first; a cut is made before the match.
-_PROSE = (r"\n\n", r"\n", r" ")
+# Where a text may be cut, coarsest first. A cut is made before a match; a match of
+# the group `whole` is stepped over instead, so nothing is cut inside it. Repeats are
+# bounded or end where the next match can begin, so that no text takes more than
+# linear time.
+_PROSE = (r"\n[ \t]*(?=\n)", r"\n", r"[ \t]")
+_DOC_COMMENT = r"(?:[ \t]*/\*\*(?:[^*/]|\*(?!/)|/(?!\*\*))*\*/[ \t]*\n)?"
+
+
+def _lines(opening: str, most: int = 40) -> str:
+    """Up to `most` lines that belong to the declaration below them."""
+    return rf"(?:[ \t]*{opening}[^\n]*\n){{0,{most}}}"
+
+
+def _declared(kinds: str, modifiers: str = "", lead: str = "", indent: str = "") -> str:
+    """A declaration on a new line: lines that belong to it, modifiers in any order, its kind."""
+    before = rf"(?:(?:{modifiers})[ \t]+){{0,9}}" if modifiers else ""
+    return rf"\n{lead}{indent}{before}(?:{kinds})"
+
+
+_INDENTED = r"[ \t]+"
+_FENCE = r"(?P<whole>\n[ \t]{0,3}(?:```|~~~)[\s\S]*?\n[ \t]{0,3}(?:```|~~~)[^\n]*)"
+_JS_WORDS = "export|default|async|abstract|declare"
+_JS_NAMED = r"const\b|let\b|var\b"
+_JAVA_WORDS = "public|protected|private|abstract|final|static|sealed|non-sealed|strictfp|default|synchronized|native"
+_JAVA_LEAD = _DOC_COMMENT + _lines("@(?!interface)")
+_RUST_WORDS = r"pub(?:\([^)\n]{0,80}\))?|async|unsafe|const|default|extern(?:[ \t]+\"[^\"\n]{0,20}\")?"
+_RUST_LEAD = _lines(r"(?:///|#\[)")
 _BOUNDARIES = {
     "markdown": (
-        r"\n#{1,6} ",
-        r"```\n",
-        r"\n(?:\*{3,}|-{3,}|_{3,})\n",
+        rf"{_FENCE}|\n#{{1,6}}[ \t]|\n[^\n]+\n(?:=+|-+)[ \t]*(?=\n)",
+        rf"{_FENCE}|\n[ \t]{{0,3}}(?:(?:\*[ \t]*){{3,}}|(?:-[ \t]*){{3,}}|(?:_[ \t]*){{3,}})(?=\n)",
+        rf"{_FENCE}|{_PROSE[0]}",
+        r"\n(?=[ \t]{0,3}(?:```|~~~))",
+        *_PROSE,
+    ),
+    "python": (
+        _declared(r"class\b|def\b|async[ \t]+def\b", lead=r"(?:@[^\n]*\n(?:[ \t)\]}][^\n]*\n){0,9}){0,9}"),
+        _declared(r"class\b|def\b|async[ \t]+def\b", lead=_lines("@"), indent=_INDENTED),
+        *_PROSE,
+    ),
+    "js": (
+        _declared(r"class\b|function\b", _JS_WORDS, _DOC_COMMENT),
+        _declared(_JS_NAMED, _JS_WORDS, _DOC_COMMENT),
         *_PROSE,
     ),
-    "python": (r"\nclass ", r"\n\t?def ", *_PROSE),
-    "js": (r"\n(?:class|function) ", r"\n(?:const|let|var) ", *_PROSE),
     "ts": (
-        r"\n(?:enum|interface|namespace|type|class|function) ",
-        r"\n(?:const|let|var) ",
+        _declared(
+            r"class\b|function\b|interface\b|type\b|enum\b|const[ \t]+enum\b|namespace\b|module\b",
+            _JS_WORDS, _DOC_COMMENT + _lines("@"),
+        ),
+        _declared(_JS_NAMED, _JS_WORDS, _DOC_COMMENT),
+        *_PROSE,
+    ),
+    "go": (
+        _declared(r"func\b|type\b", lead=_lines("//")),
+        _declared(r"import\b|const\b|var\b", lead=_lines("//")),
+        *_PROSE,
+    ),
+    "java": (
+        _declared(r"class\b|interface\b|enum\b|record\b|@interface\b", _JAVA_WORDS, _JAVA_LEAD),
+        _declared(rf"(?:{_JAVA_WORDS})[ \t]", lead=_JAVA_LEAD, indent=_INDENTED),
+        *_PROSE,
+    ),
+    "rust": (
+        _declared(r"fn\b|struct\b|enum\b|union\b|trait\b|impl\b|mod\b|macro_rules!", _RUST_WORDS, _RUST_LEAD),
+        _declared(r"fn\b", _RUST_WORDS, _RUST_LEAD, _INDENTED),
+        _declared(r"use\b|type\b|const\b|static\b", _RUST_WORDS, _RUST_LEAD),
         *_PROSE,
     ),
-    "go": (r"\n(?:func|type) ", r"\n(?:const|var) ", *_PROSE),
-    "java": (r"\n(?:public |protected |private |static )*class ",
-             r"\n\s*(?:public|protected|private|static) ", *_PROSE),
-    "rust": (r"\n(?:pub )?fn ", r"\n(?:const|let) ", *_PROSE),
 }
 _COMPILED = {
     language: tuple(re.compile(rule) for rule in rules)
@@ -87,7 +136,7 @@ def _pieces(text: str, language: str | None, size: int, overlap: int) -> Iterato
 def _spans(text, start, end, rules, size, overlap) -> Iterator[tuple[int, int]]:
     """Chunk borders of `text[start:end]`, cut by the first rule that occurs in it."""
     for level, rule in enumerate(rules):
-        cuts = [match.start() for match in rule.finditer(text, start, end)]
+        cuts = [match.start() for match in rule.finditer(text, start, end) if match.lastgroup != "whole"]
         if cuts:
             break
     else:

@@ -35,21 +35,20 @@ class ColumnEmbedder:
 
 
 class RuleEmbedder(ColumnEmbedder):
-    """Two dimensions by two marker terms; for tests and trial runs."""
+    """The vector of the first term that occurs in a text, else a vector for the rest.
 
-    def __init__(self, first: str = "alpha", second: str = "beta"):
-        self.first = first
-        self.second = second
+    `vectors` maps terms to vectors, in order of precedence.
+    """
 
-    def column(self, text: Column) -> Column:
-        def vector(x: float, y: float) -> Column:
-            return F.array(F.lit(x), F.lit(y))
+    def __init__(self, vectors: dict[str, list[float]], rest: list[float]):
+        self.vectors = vectors
+        self.rest = rest
 
-        return (
-            F.when(text.contains(self.first), vector(1.0, 0.0))
-            .when(text.contains(self.second), vector(0.0, 1.0))
-            .otherwise(vector(0.2, 0.2))
-        )
+    def column(self, text: Column) -> Column:
+        chosen = F.array(*map(F.lit, self.rest))
+        for term, vector in reversed(self.vectors.items()):
+            chosen = F.when(text.contains(term), F.array(*map(F.lit, vector))).otherwise(chosen)
+        return chosen
 
 
 class HashEmbedder:

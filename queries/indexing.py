@@ -431,7 +431,7 @@ def list_sources(spark, folder):
 
 # Crawls -------------------------------------------------------------------
 
-_RULES = Indexing(RuleEmbedder("the", "que"), "m1")
+_RULES = Indexing(RuleEmbedder({"the": [0.6, 0.8], "que": [-0.8, 0.6]}, [0.3, 0.1]), "m1")
 _FINAL_FILES_SQL = f"""
 SELECT source AS source_id, {PATH_SQL} AS path, sha256(text) AS content_hash,
   'm1' AS embed_model,

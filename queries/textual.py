@@ -307,18 +307,18 @@ def read_lines(spark, folder):
 
 
 @query(
-    """SELECT 'd' || doc_id AS id, CASE WHEN contains(text, 'the') THEN 1.0
-        WHEN contains(text, 'que') THEN 0.0 ELSE 0.2::FLOAT END::DOUBLE AS x,
-      CASE WHEN contains(text, 'the') THEN 0.0 WHEN contains(text, 'que') THEN 1.0
-        ELSE 0.2::FLOAT END::DOUBLE AS y FROM documents
-    UNION ALL SELECT 'q' || item_id, CASE WHEN contains(text, 'the') THEN 1.0
-        WHEN contains(text, 'que') THEN 0.0 ELSE 0.2 END::DOUBLE,
-      CASE WHEN contains(text, 'the') THEN 0.0 WHEN contains(text, 'que') THEN 1.0
-        ELSE 0.2 END::DOUBLE FROM benchmark"""
+    """WITH texts AS (
+      SELECT 'd' || doc_id AS id, text, true AS stored FROM documents
+      UNION ALL SELECT 'q' || item_id, text, false FROM benchmark),
+    ruled AS (
+      SELECT id, stored, CASE WHEN contains(text, 'the') THEN [0.6, 0.8]
+        WHEN contains(text, 'que') THEN [-0.8, 0.6] ELSE [0.3, 0.1] END::DOUBLE[] AS v FROM texts)
+    SELECT id, CASE WHEN stored THEN v[1]::FLOAT::DOUBLE ELSE v[1] END AS x,
+      CASE WHEN stored THEN v[2]::FLOAT::DOUBLE ELSE v[2] END AS y FROM ruled"""
 )
 def rule_embed(spark, folder):
     """Documents rounded to float, questions kept in double precision."""
-    embedder = RuleEmbedder("the", "que")
+    embedder = RuleEmbedder({"the": [0.6, 0.8], "que": [-0.8, 0.6]}, [0.3, 0.1])
     chunks = table(spark, folder, "documents").select(
         F.col("source").alias("source_id"), F.concat(F.lit("d"), "doc_id").alias("path"), "text"
     )

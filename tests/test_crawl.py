@@ -13,16 +13,17 @@ from marlpit.sources import store as index_store
 from marlpit.sources.store import IndexStore
 from marlpit.sources.tree import scan_tree
 
-RULES = Indexing(RuleEmbedder(), "test-model")
+METALS = RuleEmbedder({"tin": [2.0, 0.0], "zinc": [0.0, 2.0]}, [-1.0, -1.0])
+RULES = Indexing(METALS, "metals")
 
 
 @pytest.fixture
 def tree(tmp_path):
-    docs = tmp_path / "docs"
-    docs.mkdir()
-    (docs / "alpha.md").write_text("# Alpha\n\nalpha is the topic\n", encoding="utf-8")
-    (docs / "beta.md").write_text("# Beta\n\nbeta is the other topic\n", encoding="utf-8")
-    return docs
+    root = tmp_path / "metals"
+    (root / "soft").mkdir(parents=True)
+    (root / "soft/tin.md").write_text("tin bends and cries", encoding="utf-8")
+    (root / "zinc.md").write_text("zinc is a bluish metal", encoding="utf-8")
+    return root
 
 
 @pytest.fixture
@@ -51,27 +52,44 @@ def _documents(spark, *rows):
     return spark.createDataFrame(full, DOCUMENTS)
 
 
-def test_incremental_skip_update_and_delete(spark, store, tree, registry_of):
-    registry = registry_of({"source_id": "docs", "path": str(tree)})
-    assert _counts(_tree_crawl(store, registry)) == {"docs": (2, 0, 0, 2)}
-    assert _counts(_tree_crawl(store, registry)) == {"docs": (0, 2, 0, 2)}
-    (tree / "alpha.md").write_text("# Alpha\n\nalpha was edited\n", encoding="utf-8")
-    assert _counts(_tree_crawl(store, registry)) == {"docs": (1, 1, 0, 2)}
-    texts = {row.path: row.text for row in store.chunks().collect()}
-    assert "edited" in texts["alpha.md"] and len(texts) == 2
-    (tree / "beta.md").unlink()
-    assert _counts(_tree_crawl(store, registry)) == {"docs": (0, 1, 1, 1)}
-    assert _rows(store.chunks(), "path") == [("alpha.md",)]
-    assert _rows(store.files(), "source_id", "path") == [("docs", "alpha.md")]
-    before = _rows(store.files(), "path", "content_hash", "embed_dim", "n_chunks")
+def test_history_of_a_tree(spark, store, tree, registry_of):
+    """Each step edits the tree and names the counts and the texts that must follow."""
+    registry = registry_of({"source_id": "m", "path": str(tree)})
+    tin, zinc, lead = tree / "soft/tin.md", tree / "zinc.md", tree / "lead.md"
+    steps = [
+        (lambda: None, (2, 0, 0, 2), {"soft/tin.md": "tin bends and cries", "zinc.md": "zinc is a bluish metal"}),
+        (lambda: os.utime(tin, (1, 1)), (0, 2, 0, 2), None),
+        (lambda: zinc.write_text("zinc again"), (1, 1, 0, 2), {"soft/tin.md": "tin bends and cries", "zinc.md": "zinc again"}),
+        (lambda: (zinc.unlink(), lead.write_text("lead")), (1, 1, 1, 2), {"lead.md": "lead", "soft/tin.md": "tin bends and cries"}),
+        (lambda: tin.unlink(), (0, 1, 1, 1), {"lead.md": "lead"}),
+    ]
+    texts = None
+    for edit, counts, wanted in steps:
+        edit()
+        texts = wanted or texts
+        assert _counts(_tree_crawl(store, registry)) == {"m": counts}
+        assert _rows(store.chunks(), "path", "text") == sorted(texts.items())
+        assert _rows(store.files(), "source_id", "path") == [("m", path) for path in sorted(texts)]
+
+
+def test_upkeep_changes_no_row(spark, store, tree, registry_of):
+    registry = registry_of({"source_id": "m", "path": str(tree)})
+    _tree_crawl(store, registry)
+    (tree / "zinc.md").write_text("zinc again")
+    _tree_crawl(store, registry)
+
+    def state():
+        files = _rows(store.files(), "path", "content_hash", "embed_dim", "n_chunks")
+        return files, _rows(store.chunks(), "path", "text")
+
+    before = state()
+    assert store.version().dead_rows > 0
     store.compact()
-    assert _rows(store.files(), "path", "content_hash", "embed_dim", "n_chunks") == before
-    assert _rows(store.chunks(), "path") == [("alpha.md",)]
-    assert store.version().dead_rows == 0
+    assert state() == before and store.version().dead_rows == 0
     store.expire()
-    assert _rows(store.chunks(), "path") == [("alpha.md",)]
-    assert sorted(os.listdir(os.path.join(store.root, "chunks"))) == [f"run={store.version().run}"]
-    assert _counts(_tree_crawl(store, registry)) == {"docs": (0, 1, 0, 1)}
+    assert state() == before
+    assert os.listdir(os.path.join(store.root, "chunks")) == [f"run={store.version().run}"]
+    assert _counts(_tree_crawl(store, registry)) == {"m": (0, 2, 0, 2)}
 
 
 def test_unchanged_crawl_does_not_embed(spark, store, registry_of, monkeypatch):
@@ -128,7 +146,7 @@ def test_failing_file_stops_its_source_only(spark, store, registry_of):
         spark, ("s", "a/x.md", "new 1"), ("s", "a-y.md", "boom"), ("s", "b.md", "new 2"),
         ("t", "z.md", "new 4"),
     )
-    report = crawl(store, registry, second, Indexing(embed, "test-model"))
+    report = crawl(store, registry, second, Indexing(embed, "metals"))
     assert _counts(report) == {"s": (1, 0, 0, 3), "t": (1, 0, 1, 1)}
     errors = {row.source_id: row.error for row in report.collect()}
     assert errors == {"s": "no vector for boom", "t": None}
@@ -212,39 +230,35 @@ def test_commit_ids(spark, store, registry_of):
     assert store.chunks().first().text == "edited"
 
 
-def test_search_filters_model_and_source(spark, store, tree, registry_of, tmp_path):
-    other = tmp_path / "other"
-    other.mkdir()
-    (other / "alpha.md").write_text("alpha lives here too\n", encoding="utf-8")
-    registry = registry_of(
-        {"source_id": "docs", "path": str(tree)}, {"source_id": "other", "path": str(other)}
+def test_scopes_of_questions(spark, store, registry_of):
+    """Model, common sources and sources of each question; a retired source is still found."""
+    first = registry_of({"source_id": "mines"}, {"source_id": "mills"}, {"source_id": "closed"})
+    crawl(store, first, _documents(
+        spark, ("mines", "north.md", "tin"), ("mines", "south.md", "zinc"), ("mills", "east.md", "tin"),
+        ("closed", "west.md", "tin")), RULES)
+    crawl(store, registry_of({"source_id": "labs"}), _documents(spark, ("labs", "assay.md", "tin")),
+          Indexing(METALS, "assays"))
+    questions = spark.createDataFrame(
+        [("any", [1.0, 0.0], None), ("mills", [1.0, 0.0], ["mills"]), ("none", [1.0, 0.0], []),
+         ("zinc", [0.0, 1.0], ["mines", "absent"])],
+        "query_id string, embedding array<double>, source_ids array<string>",
     )
-    _tree_crawl(store, registry)
-    foreign = registry_of({"source_id": "foreign"})
-    crawl(store, foreign, _documents(spark, ("foreign", "g.md", "alpha gamma")),
-          Indexing(RuleEmbedder(), "other-model"))
-    questions = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
-
-    def ask(model="test-model", source_ids=None, queries=questions):
-        return search(queries, store.chunks(), model, source_ids=source_ids).orderBy("rank").collect()
-
-    hits = ask()
-    assert "alpha" in hits[0].page_content and hits[0].metadata.score > 0.9
-    assert not any("gamma" in hit.page_content for hit in hits)
-    assert len(hits) == 3 and any(hit.metadata.source_id == "docs" for hit in hits)
-    assert {hit.metadata.source_id for hit in ask(source_ids=["other"])} == {"other"}
-    assert ask(source_ids=[]) == []
-    assert ask(model="missing-model") == []
-    per_question = spark.createDataFrame(
-        [(1, [1.0, 0.0], ["other"]), (2, [1.0, 0.0], []), (3, [0.0, 1.0], None)],
-        "query_id long, embedding array<double>, source_ids array<string>",
-    )
-    found = ask(queries=per_question)
-    assert {h.metadata.source_id for h in found if h.query_id == 1} == {"other"}
-    assert not [h for h in found if h.query_id == 2]
-    assert [h.metadata.path for h in found if h.query_id == 3][0] == "beta.md"
-    # A source no longer registered stays searchable.
-    assert ask(model="other-model")[0].metadata.source_id == "foreign"
+
+    def answers(model, **scope):
+        found = {}
+        for hit in search(questions, store.chunks(), model, **scope).orderBy("query_id", "rank").collect():
+            if hit.metadata.score > 0:
+                found.setdefault(hit.query_id, set()).add((hit.metadata.source_id, hit.metadata.path))
+        return found
+
+    tin = {("mines", "north.md"), ("mills", "east.md"), ("closed", "west.md")}
+    assert answers("metals") == {"any": tin, "mills": {("mills", "east.md")}, "zinc": {("mines", "south.md")}}
+    assert answers("assays") == {"any": {("labs", "assay.md")}}
+    common = questions.drop("source_ids")
+    for scope, wanted in ((["mills"], {("mills", "east.md")}), ([], None), (["closed", "mills"], tin - {("mines", "north.md")})):
+        hits = search(common.where("query_id = 'any'"), store.chunks(), "metals", source_ids=scope).collect()
+        assert ({(h.metadata.source_id, h.metadata.path) for h in hits} or None) == wanted
+    assert search(common, store.chunks(), "unknown").count() == 0
 
 
 def test_text_questions_get_their_prefix(spark, store, registry_of):
