@@ -14,7 +14,7 @@ from marlpit.operators.chunking import fixed_chunks
 from marlpit.operators.embedding import RuleEmbedder
 from marlpit.operators.reading import list_sources as sources_listing
 from marlpit.plans.crawl import Indexing, crawl
-from marlpit.runtime import fresh_path, stage
+from marlpit.runtime import broadcast_if_small, fresh_path, stage
 from marlpit.sources.registry import (
     local_sources as local_only,
     normalized_registry,
@@ -125,10 +125,9 @@ def _gated(spark, folder):
     )
     rows = _plan(spark, folder).drop("error").join(toxic, KEYS, "left")
     rows = stage(rows.withColumnRenamed("failure", "error"), "failing-plan")
-    root = table(spark, folder, "documents").where("source = 'src4'").select(
-        F.lit("src4").alias("source_id"), F.lit("no root").alias("error")
-    ).distinct()
-    return changes.apply_gates(rows, changes.source_gates(rows, root))
+    root = spark.range(1).select(F.lit("src4").alias("source_id"), F.lit("no root").alias("error"))
+    gates = stage(changes.source_gates(rows, root), "gates")
+    return changes.apply_gates(rows, broadcast_if_small(gates))
 
 
 @query(
@@ -139,8 +138,22 @@ def error_gate(spark, folder):
     return _gated(spark, folder).select(*KEYS, "action", "applied", "gate_error")
 
 
+_PIECES_SQL = f"""
+docs AS (SELECT source AS source_id, {PATH_SQL} AS path, text FROM documents),
+pieces AS MATERIALIZED ({windows_sql('docs', 'source_id, path')})
+"""
+
+
+def _pieces(spark, folder):
+    """The chunks of all documents."""
+    return fixed_chunks(table(spark, folder, "documents").select(
+        F.col("source").alias("source_id"), doc_path().alias("path"), "text"
+    ))
+
+
 _REPORT_SQL = f"""{PLAN_SQL}, {_FAILED_SQL},
-sizes AS (SELECT source AS source_id, count(*) AS chunk_count FROM documents GROUP BY ALL),
+{_PIECES_SQL},
+sizes AS (SELECT source_id, count(*) AS chunk_count FROM pieces GROUP BY ALL),
 report AS (
   SELECT source_id,
     count(*) FILTER (WHERE applied AND action IN ('new', 'edited', 'remodel')) AS indexed_files,
@@ -155,10 +168,7 @@ def _report(spark, folder):
     tally = changes.crawl_tally(
         _gated(spark, folder), F.first("gate_error", ignorenulls=True).alias("error")
     )
-    sizes = reports.chunk_counts(
-        table(spark, folder, "documents").withColumnRenamed("source", "source_id")
-    )
-    return tally.join(sizes, "source_id")
+    return tally.join(reports.chunk_counts(_pieces(spark, folder)), "source_id")
 
 
 @query(f"WITH {_REPORT_SQL} SELECT * FROM report")
@@ -228,7 +238,7 @@ def file_dims(spark, folder):
 @query(
     f"""SELECT id, kind, last_commit, last_error, sum(n)::BIGINT AS chunk_count FROM (
       SELECT source AS id, 'local' AS kind, NULL::VARCHAR AS last_commit,
-        min(text[:5]) AS last_error, count(*) AS n FROM documents GROUP BY source
+        md5(min(text)) AS last_error, count(*) AS n FROM documents GROUP BY source
       UNION ALL
       SELECT {GONE_SOURCE_SQL} || '-old', 'git', md5({GONE_SOURCE_SQL}), NULL, count(*)
       FROM pages GROUP BY 1, 3) GROUP BY ALL"""
@@ -248,7 +258,7 @@ def source_status_upsert(spark, folder):
         )
 
     fresh = table(spark, folder, "documents").groupBy("source").agg(
-        F.min(F.substring("text", 1, 5)).alias("last_error"), F.count("*").alias("chunk_count")
+        F.md5(F.min("text").cast("binary")).alias("last_error"), F.count("*").alias("chunk_count")
     ).select(
         F.col("source").alias("id"), F.lit("local").alias("kind"), at.alias("last_crawl_at"),
         none.alias("last_commit"), "last_error", "chunk_count",
@@ -259,7 +269,7 @@ def source_status_upsert(spark, folder):
 
 _PLACED_SQL = """
 named AS (
-  SELECT source AS source_id, n_chars,
+  SELECT source AS source_id, doc_id AS number,
     lang || CASE WHEN n_chars % 2 = 0 THEN '/' ELSE '-' END || doc_id || '.md' AS path
   FROM documents),
 placed AS (
@@ -268,28 +278,31 @@ placed AS (
 """
 
 
-def _placed(spark, folder):
+def _named(spark, folder):
     """Paths like a/1.md and a-2.md, which component order tells apart."""
     separator = F.when(F.col("n_chars") % 2 == 0, "/").otherwise("-")
-    files = table(spark, folder, "documents").select(
+    return table(spark, folder, "documents").select(
         F.col("source").alias("source_id"),
         F.concat("lang", separator, "doc_id", F.lit(".md")).alias("path"),
-        "n_chars",
+        "text",
     )
-    return reports.crawl_positions(files)
 
 
 @query(f"WITH {_PLACED_SQL} SELECT source_id, path, position, total FROM placed")
 def crawl_positions(spark, folder):
-    return _placed(spark, folder).drop("n_chars")
+    return reports.crawl_positions(_named(spark, folder).select(*KEYS))
 
 
 @query(
     f"""WITH {_PLACED_SQL},
+    docs AS (
+      SELECT source_id, path, text FROM placed JOIN documents ON doc_id = number),
+    pieces AS MATERIALIZED ({windows_sql('docs', 'source_id, path')}),
+    sizes AS (SELECT source_id, path, count(*) AS n_chunks FROM pieces GROUP BY ALL),
     lines AS (
       SELECT *, source_id || ': arquivo ' || position || ' de ' || total || ' ' || path AS line,
-        ceil(n_chars / 450 / 16)::BIGINT AS batches
-      FROM placed)
+        ceil(coalesce(n_chunks, 0) / 16)::BIGINT AS batches
+      FROM placed LEFT JOIN sizes USING (source_id, path))
     SELECT source_id, 0 AS position, 0 AS batch, source_id || ': ' || total || ' arquivos' AS line
     FROM lines WHERE position = 1
     UNION ALL SELECT source_id, position, 0, line FROM lines
@@ -297,10 +310,11 @@ def crawl_positions(spark, folder):
     FROM (SELECT *, unnest(range(1, batches + 1)) AS batch FROM lines WHERE batches > 1)"""
 )
 def progress_log(spark, folder):
-    """The log of a crawl in which a chunk has 450 characters."""
-    return reports.progress_log(
-        _placed(spark, folder).withColumn("n_chunks", F.col("n_chars") / 450)
-    )
+    """The log of a crawl that embeds the chunks of all documents."""
+    files = _named(spark, folder)
+    sizes = fixed_chunks(files).groupBy(*KEYS).agg(F.count("*").alias("n_chunks"))
+    placed = reports.crawl_positions(files.select(*KEYS))
+    return reports.progress_log(placed.join(sizes, KEYS, "left"))
 
 
 @query(
@@ -391,7 +405,8 @@ def local_sources(spark, folder):
       SELECT {GONE_SOURCE_SQL} AS id, md5(min(url)) AS last_commit, NULL::VARCHAR AS last_error
       FROM pages GROUP BY 1
       UNION ALL SELECT DISTINCT 'dropped', 'x', 'y' FROM pages),
-    counts AS (SELECT source AS id, count(*) AS n FROM documents WHERE lang <> 'fr' GROUP BY ALL)
+    {_PIECES_SQL},
+    counts AS (SELECT source_id AS id, count(*) AS n FROM pieces GROUP BY ALL)
     SELECT ordinal, id, 'local' AS kind, last_commit, last_error,
       CASE WHEN last_commit IS NOT NULL THEN '2024-01-01 00:00:00' END AS last_crawl_at,
       coalesce(n, 0) AS chunk_count
@@ -422,9 +437,7 @@ def list_sources(spark, folder):
         .withColumn("last_crawl_at", F.lit(datetime(2024, 1, 1, tzinfo=timezone.utc)))
         .withColumn("chunk_count", F.lit(-1))
     )
-    counts = reports.chunk_counts(
-        rows.where("lang <> 'fr'").withColumnRenamed("source", "source_id")
-    )
+    counts = reports.chunk_counts(_pieces(spark, folder))
     listed = sources_listing(registry, status, counts)
     return listed.withColumn("last_crawl_at", F.date_format("last_crawl_at", "yyyy-MM-dd HH:mm:ss"))
 
@@ -499,16 +512,15 @@ def _versions(spark, folder):
 
 @query(_FINAL_FILES_SQL)
 def stream_index(spark, folder):
-    """The feed written as two sets of files and indexed as a stream."""
+    """The feed written as two sets of files, the stream run to its end after each."""
     store = IndexStore(spark, fresh_path(spark, "index"))
     feed = fresh_path(spark, "feed")
+    state = fresh_path(spark, "stream-state")
+    registry = _registry(spark, folder)
     for rows in _versions(spark, folder):
-        rows.repartition(4).write.mode("append").parquet(feed)
-    schema = spark.read.parquet(feed).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(feed)
-    index_stream(
-        store, _registry(spark, folder), stream, _RULES, fresh_path(spark, "stream-state")
-    ).awaitTermination()
+        rows.write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(rows.schema).parquet(feed)
+        index_stream(store, registry, stream, _RULES, state).awaitTermination()
     return store.files().select(*_FILE_COLUMNS)
 
 

@@ -15,8 +15,8 @@ from marlpit.operators.embedding import (
 )
 from marlpit.operators.reading import read_requests
 from marlpit.operators.reports import chunk_batches
-from marlpit.sources.registry import compiled_globs
-from marlpit.sources.tables import documents_from_table
+from marlpit.runtime import broadcast_if_small
+from marlpit.sources.tables import documents_from_table, select_documents
 from queries import query, table
 from queries.fixtures import (
     HASH_WEIGHTS_SQL,
@@ -89,12 +89,8 @@ def registry_globs(spark, folder):
         .otherwise(F.array().cast("array<string>"))
         .alias("exclude"),
     )
-    path = F.col("path")
-    return (
-        listed.join(compiled_globs(registry), "source_id")
-        .where(F.rlike(path, F.col("include_regex")) & ~F.rlike(path, F.col("exclude_regex")))
-        .select(F.col("source").alias("source_id"), "path")
-    )
+    selected = select_documents(listed, broadcast_if_small(registry))
+    return selected.select(F.col("source").alias("source_id"), "path")
 
 
 @query(
