@@ -5,6 +5,7 @@ broadcast, every task multiplies its Arrow batches of chunk vectors by that
 slice and keeps the best `fetch_k` per question. What leaves a task is at most
 `fetch_k` rows per question, whatever the size of its input; pairs are never
 rows. More questions than a slice holds take more passes over the chunks.
+Scores are shuffled with keys only; vectors are fetched for the final candidates.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from pyspark.sql.pandas.types import to_arrow_type
 
 from marlpit.functions.vectors import SCORE_DECIMALS, dot, let, unit
-from marlpit.runtime import stage
+from marlpit.runtime import broadcast_if_small, stage
 
 # Candidates, results and the weight of relevance in re-ranking.
 FETCH_K = 20
@@ -53,7 +54,7 @@ def top_chunks(queries: DataFrame, chunks: DataFrame, fetch_k: int = FETCH_K) ->
 
     `queries`: query_id, embedding and, where questions are limited to some
     sources, source_ids (null: all, empty: none). Rows: query_id, candidate
-    (1 is best), score and the chunk's key and embedding.
+    (1 is best), score and the chunk's key.
     """
     size = queries.agg(
         F.count("*").alias("questions"), F.max(F.size("embedding")).alias("width")
@@ -105,7 +106,6 @@ def _one_pass(rows: list, queries: DataFrame, chunks: DataFrame, fetch_k: int) -
         .add("source_id", T.StringType())
         .add("path", T.StringType())
         .add("chunk_index", T.IntegerType())
-        .add("embedding", T.ArrayType(T.FloatType()))
     )
     scoped = "source_ids" in queries.columns
     scopes = [row["source_ids"] if scoped else None for row in rows]
@@ -127,7 +127,8 @@ def _one_pass(rows: list, queries: DataFrame, chunks: DataFrame, fetch_k: int) -
             hits.add(batch)
         yield from hits.rows(ids)
 
-    typed = [F.col(name).cast(schema[name].dataType) for name in [*KEY, "embedding"]]
+    typed = [F.col(name).cast(schema[name].dataType) for name in KEY]
+    typed.append(F.col("embedding").cast("array<float>"))
     found = chunks.select(*typed).mapInArrow(best, schema)
     # Tasks of a large scan are first combined in groups, so that no task
     # receives the rows of all others for a question.
@@ -139,6 +140,18 @@ def _one_pass(rows: list, queries: DataFrame, chunks: DataFrame, fetch_k: int) -
     return _ranked(found, ["query_id"], order, fetch_k)
 
 
+def with_vectors(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Candidates with the vectors of their chunks, whose keys are unique.
+
+    Candidates are staged and, up to the broadcast bound, sent to the chunks, so
+    that no vector is shuffled before it is known to be one of the best. Beyond
+    it the join is by key, where Catalyst's runtime Bloom filter may thin the chunks.
+    """
+    best = stage(candidates, "candidates")
+    vectors = chunks.select(*KEY, F.col("embedding").cast("array<float>").alias("embedding"))
+    return vectors.join(broadcast_if_small(best), KEY).select(*best.columns, "embedding")
+
+
 def _ranked(rows: DataFrame, by: list[str], order: list, limit: int) -> DataFrame:
     number = F.row_number().over(W.partitionBy(*by).orderBy(*order))
     return rows.withColumn("candidate", number).where(F.col("candidate") <= limit)
@@ -188,7 +201,7 @@ class _BestHits:
             return
         used, position = np.unique(column, return_inverse=True)
         held = 0 if self.table is None else self.table.num_rows
-        fresh = rows.take(pa.array(used))
+        fresh = rows.select(KEY).take(pa.array(used))
         self.table = fresh if held == 0 else pa.concat_tables([self.table, fresh])
         self.query = np.concatenate([self.query, query])
         self.score = np.concatenate([self.score, scores[query, column]])
@@ -197,7 +210,7 @@ class _BestHits:
 
     def _trim(self) -> None:
         """Keep `k` rows per question; equal scores are decided by the chunk's key."""
-        by_key = self.table.select(KEY).combine_chunks()
+        by_key = self.table.combine_chunks()
         place = np.empty(by_key.num_rows, dtype=np.int64)
         keys = [(name, "ascending") for name in KEY]
         place[pc.sort_indices(by_key, sort_keys=keys).to_numpy()] = np.arange(len(place))
@@ -251,7 +264,7 @@ class _BestHits:
             columns = {
                 "query_id": ids.take(pa.array(self.query[start:stop])),
                 "score": pa.array(self.score[start:stop]),
-                **{name: rows[name] for name in [*KEY, "embedding"]},
+                **{name: rows[name] for name in KEY},
             }
             yield from pa.table(columns).combine_chunks().to_batches()
 
@@ -316,11 +329,10 @@ def mmr_picks(candidates: Column, k: int, relevance_weight: float = RELEVANCE_WE
 def rerank(
     candidates: DataFrame, k: int = TOP_K, relevance_weight: float = RELEVANCE_WEIGHT
 ) -> DataFrame:
-    """Re-rank the output of `top_chunks`: `rank` 1..k in pick order per question.
+    """Re-rank the output of `with_vectors`: `rank` 1..k in pick order per question.
 
-    A question's group is its `fetch_k` candidates, and the grouping reuses
-    the partitioning of the top-k window. The outer explode keeps Catalyst from
-    evaluating the picks a second time in an inferred size filter.
+    A question's group is its `fetch_k` candidates. The outer explode keeps
+    Catalyst from evaluating the picks a second time in an inferred size filter.
     """
     fields = ["candidate", "score", *KEY, "embedding"]
     grouped = candidates.groupBy("query_id").agg(

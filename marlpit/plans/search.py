@@ -13,6 +13,7 @@ from marlpit.operators.retrieval import (
     rerank,
     scope_chunks,
     top_chunks,
+    with_vectors,
 )
 from marlpit.runtime import broadcast_if_small, stage
 
@@ -39,7 +40,8 @@ def search(
     if embedder is not None:
         queries = stage(embed_queries(queries, embedder, embed_model), "embedded-questions")
     scoped = scope_chunks(chunks, embed_model, source_ids)
-    hits = stage(rerank(top_chunks(queries, scoped, fetch_k), k, relevance_weight), "hits")
+    best = with_vectors(top_chunks(queries, scoped, fetch_k), scoped)
+    hits = stage(rerank(best, k, relevance_weight), "hits")
     texts = scoped.select(*KEY, F.col("text").alias("page_content"))
     return texts.join(broadcast_if_small(hits), KEY).select(
         "query_id",

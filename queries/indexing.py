@@ -472,9 +472,8 @@ def _registry(spark, folder, path=None):
     )
 
 
-@query(_FINAL_FILES_SQL)
-def incremental_crawl(spark, folder):
-    """Two crawls: the stored state, then the documents; the files in the index."""
+def _crawled(spark, folder) -> IndexStore:
+    """Two crawls: the stored state, then the documents."""
     store = IndexStore(spark, fresh_path(spark, "index"))
     registry = _registry(spark, folder)
     before = documents_from_table(
@@ -482,7 +481,42 @@ def incremental_crawl(spark, folder):
     )
     crawl(store, registry, before, _RULES)
     crawl(store, registry, documents(spark, folder), _RULES)
-    return store.files().select(*_FILE_COLUMNS)
+    return store
+
+
+@query(_FINAL_FILES_SQL)
+def incremental_crawl(spark, folder):
+    """The files in the index after two crawls."""
+    return _crawled(spark, folder).files().select(*_FILE_COLUMNS)
+
+
+_INDEXED_CHUNKS_SQL = f"""
+SELECT source AS source_id, {PATH_SQL} AS path, true AS numbered, true AS contained,
+  true AS covered, true AS by_rule
+FROM documents WHERE regexp_matches(text, '[^{SPACES_SQL}]')
+"""
+
+
+def _chunk_facts(store, spark, folder):
+    """Per file: chunks numbered from 0 without gaps, parts of the text, covering it, with their vectors."""
+    texts = table(spark, folder, "documents").select(
+        F.col("source").alias("source_id"), doc_path().alias("path"), F.col("text").alias("whole")
+    )
+    solid = lambda name: F.char_length(F.regexp_replace(name, r"\s+", "")).cast("long")
+    rule = _RULES.embedder.column(F.col("text")).cast("array<float>")
+    rows = store.chunks(_RULES.model).join(texts, KEYS, "left")
+    return rows.groupBy(*KEYS).agg(
+        ((F.count_distinct("chunk_index") == F.count("*")) & (F.max("chunk_index") == F.count("*") - 1)).alias("numbered"),
+        F.bool_and(F.coalesce(F.contains("whole", "text"), F.lit(False))).alias("contained"),
+        (F.sum(solid("text")) >= F.max(solid("whole"))).alias("covered"),
+        F.bool_and(F.col("embedding") == rule).alias("by_rule"),
+    )
+
+
+@query(_INDEXED_CHUNKS_SQL)
+def incremental_chunks(spark, folder):
+    """What two crawls leave as chunks, checked against the texts."""
+    return _chunk_facts(_crawled(spark, folder), spark, folder)
 
 
 def _versions(spark, folder):
@@ -510,8 +544,7 @@ def _versions(spark, folder):
     return first.unionByName(pages), final.unionByName(gone)
 
 
-@query(_FINAL_FILES_SQL)
-def stream_index(spark, folder):
+def _streamed(spark, folder) -> IndexStore:
     """The feed written as two sets of files, the stream run to its end after each."""
     store = IndexStore(spark, fresh_path(spark, "index"))
     feed = fresh_path(spark, "feed")
@@ -521,7 +554,19 @@ def stream_index(spark, folder):
         rows.write.mode("append").parquet(feed)
         stream = spark.readStream.schema(rows.schema).parquet(feed)
         index_stream(store, registry, stream, _RULES, state).awaitTermination()
-    return store.files().select(*_FILE_COLUMNS)
+    return store
+
+
+@query(_FINAL_FILES_SQL)
+def stream_index(spark, folder):
+    """The files in the index after the stream."""
+    return _streamed(spark, folder).files().select(*_FILE_COLUMNS)
+
+
+@query(_INDEXED_CHUNKS_SQL)
+def stream_chunks(spark, folder):
+    """What the stream leaves as chunks, checked against the texts."""
+    return _chunk_facts(_streamed(spark, folder), spark, folder)
 
 
 def _write_files(batches):

@@ -8,7 +8,7 @@ from marlpit.functions.vectors import cosine
 from marlpit.operators.chunking import fixed_chunks
 from marlpit.operators.embedding import HashEmbedder, embed_chunks
 from marlpit.operators.reports import dimension_check, query_dimension_check
-from marlpit.operators.retrieval import rerank, scope_chunks, top_chunks
+from marlpit.operators.retrieval import rerank, scope_chunks, top_chunks, with_vectors
 from marlpit.plans.search import search
 from queries import query, table
 from queries.fixtures import (
@@ -74,7 +74,8 @@ def question_scopes(spark, folder):
         .when(label < 9, sources)
         .alias("source_ids"),
     )
-    hits = rerank(top_chunks(queries, vector_chunks(spark, folder)), k=6)
+    chunks = vector_chunks(spark, folder)
+    hits = rerank(with_vectors(top_chunks(queries, chunks), chunks), k=6)
     return hits.select("query_id", "rank", "source_id", "path", "score")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import marlpit.operators.retrieval as retrieval
 from marlpit.functions.vectors import cosine
 from marlpit.operators.reports import dimension_check, query_dimension_check
-from marlpit.operators.retrieval import rerank, scope_chunks, top_chunks
+from marlpit.operators.retrieval import rerank, scope_chunks, top_chunks, with_vectors
 
 CHUNKS = ("source_id string, path string, chunk_index int, text string, "
           "embedding array<float>, embed_model string")
@@ -63,19 +63,22 @@ def hits_of(df):
     return found
 
 
+def picked(questions, chunks, k=4, fetch_k=20):
+    """Hits of top-k, vectors and re-ranking together."""
+    return hits_of(rerank(with_vectors(top_chunks(questions, chunks, fetch_k), chunks), k))
+
+
 @pytest.mark.parametrize("parts,per_pass,k", [(1, 2048, 4), (5, 2048, 7), (3, 4, 4)])
 def test_matches_brute_force(spark, monkeypatch, parts, per_pass, k):
     """Many equal scores, zero and opposite vectors; several tasks and passes."""
     monkeypatch.setattr(retrieval, "QUESTIONS_PER_PASS", per_pass)
     rows = random_chunks(1, 700)
     questions = [(i, row[4]) for i, row in enumerate(random_chunks(2, 13))]
-    top = top_chunks(
-        spark.createDataFrame(questions, QUERIES).repartition(3), frame(spark, rows).repartition(parts)
-    )
+    asked, chunks = spark.createDataFrame(questions, QUERIES).repartition(3), frame(spark, rows).repartition(parts)
     # Several Arrow batches per task.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     try:
-        found = hits_of(rerank(top, k))
+        found = picked(asked, chunks, k)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert found == {i: brute_search(v, keyed(rows), k=k) for i, v in questions}
@@ -87,8 +90,7 @@ def test_groups_of_tasks_are_combined(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "24")
     try:
-        top = top_chunks(spark.createDataFrame(questions, QUERIES), frame(spark, rows).repartition(9))
-        found = hits_of(rerank(top))
+        found = picked(spark.createDataFrame(questions, QUERIES), frame(spark, rows).repartition(9))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found == {i: brute_search(v, keyed(rows)) for i, v in questions}
@@ -97,18 +99,19 @@ def test_groups_of_tasks_are_combined(spark):
 def test_fewer_candidates_than_asked(spark):
     rows = random_chunks(3, 3)
     questions = spark.createDataFrame([(1, [1.0] * 6)], QUERIES)
-    assert len(hits_of(rerank(top_chunks(questions, frame(spark, rows)), 10))[1]) == 3
-    assert len(hits_of(rerank(top_chunks(questions, frame(spark, rows), 2), 10))[1]) == 2
-    assert hits_of(rerank(top_chunks(questions, frame(spark, rows)), 0)) == {}
-    assert hits_of(rerank(top_chunks(questions, frame(spark, rows), 0))) == {}
-    assert hits_of(rerank(top_chunks(questions.limit(0), frame(spark, rows)))) == {}
+    chunks = frame(spark, rows)
+    assert len(picked(questions, chunks, 10)[1]) == 3
+    assert len(picked(questions, chunks, 10, fetch_k=2)[1]) == 2
+    assert picked(questions, chunks, 0) == {}
+    assert picked(questions, chunks, fetch_k=0) == {}
+    assert picked(questions.limit(0), chunks) == {}
 
 
 @pytest.mark.parametrize("kind,ids", [("int", [7, 8]), ("string", ["q7", "q8"])])
 def test_any_question_id_and_key_type(spark, kind, ids):
     chunks = frame(spark, random_chunks(3, 30)).withColumn("chunk_index", F.col("chunk_index").cast("long"))
     questions = spark.createDataFrame([(i, [1.0] * 6) for i in ids], f"query_id {kind}, embedding array<double>")
-    assert sorted(hits_of(rerank(top_chunks(questions, chunks)))) == ids
+    assert sorted(picked(questions, chunks)) == ids
 
 
 def test_closeness_below_zero_counts_as_zero(spark):
@@ -119,7 +122,7 @@ def test_closeness_below_zero_counts_as_zero(spark):
         ("s", "d", 0, "", [0.0, 0.0], "m"),
     ]
     questions = spark.createDataFrame([(1, [2.0, 0.0])], QUERIES)
-    found = hits_of(rerank(top_chunks(questions, frame(spark, rows)), 4))[1]
+    found = picked(questions, frame(spark, rows), 4)[1]
     # After `a`: d is 0, b is -0.1, c is 0.1 - 0.9.
     assert found == [
         (("s", "a", 0), 1.0), (("s", "d", 0), 0.0), (("s", "b", 0), -1.0), (("s", "c", 0), 1.0)
@@ -179,9 +182,21 @@ def test_cosine_column(spark):
     assert [round(row.c, 12) for row in got.collect()] == [1.0, 0.0, -1.0]
 
 
-def test_one_exchange_per_search(spark):
+def test_scores_are_shuffled_without_vectors(spark):
     rows = frame(spark, random_chunks(7, 50)).repartition(3)
     questions = spark.createDataFrame([(1, [1.0] * 6)], QUERIES)
-    plan = rerank(top_chunks(questions, rows))._jdf.queryExecution().executedPlan().toString()
+    best = top_chunks(questions, rows)
+    assert "embedding" not in best.columns
+    plan = best._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning") == 1 and "WindowGroupLimit" in plan
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    fetched = with_vectors(best, rows)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in fetched and "hashpartitioning" not in fetched
+    for text in (plan, fetched):
+        assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_candidates_beyond_the_broadcast_bound_give_the_same(spark, monkeypatch):
+    rows, questions = random_chunks(8, 60), [(i, row[4]) for i, row in enumerate(random_chunks(9, 5))]
+    monkeypatch.setattr(retrieval, "broadcast_if_small", lambda df: df)
+    found = picked(spark.createDataFrame(questions, QUERIES), frame(spark, rows).repartition(3))
+    assert found == {i: brute_search(v, keyed(rows)) for i, v in questions}
