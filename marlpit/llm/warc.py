@@ -30,7 +30,7 @@ HEAD = re.compile(r"<head\b.*?</head\s*>", re.S | re.I)
 LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|aside|blockquote|pre)\b[^>]*>", re.I)
 TAG = re.compile(r"<[a-zA-Z/!?][^>]*>?")
-BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
+BLANK_RUN = re.compile("  +")
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -42,17 +42,24 @@ def identifier(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(parts))}>"
 
 
+def _flow(text: str, blanks: str = "\t\n\x0b\f\r") -> str:
+    """Each run of blanks as one; single blanks, nearly all of them, are not touched."""
+    for blank in blanks:
+        text = text.replace(blank, " ")
+    return BLANK_RUN.sub(" ", text)
+
+
 def plain_text(page: str) -> str:
     """Visible text, a line for each block."""
-    flowing = BLANKS.sub(" ", HEAD.sub(" ", HIDDEN.sub(" ", page)))
-    body = TAG.sub("", BREAK.sub("\n", flowing))
-    lines = (BLANKS.sub(" ", line).strip() for line in html.unescape(body).split("\n"))
+    flowing = _flow(HEAD.sub(" ", HIDDEN.sub(" ", page)))
+    body = html.unescape(TAG.sub("", BREAK.sub("\n", flowing)))
+    lines = (line.strip() for line in _flow(body, "\t\x0b\f\r").split("\n"))
     return "\n".join(line for line in lines if line)
 
 
 def title(page: str) -> str:
     found = TITLE.search(page)
-    return BLANKS.sub(" ", html.unescape(found[1])).strip() if found else ""
+    return _flow(html.unescape(found[1])).strip() if found else ""
 
 
 def links(page: str) -> list[str]:
