@@ -8,10 +8,13 @@ estimate and half the product of its longer contexts' (Willems, Shtarkov and
 Tjalkens, 1995); the weights that follow mix the predictions of all depths into one
 code length per byte.
 
-Counts of byte runs and of words are summed over all training rows. The tree holds
-the `CONTEXTS` most frequent contexts, a bounded table that scoring tasks look up;
-words are looked up in a bounded table of the most frequent ones, all others by a
-join with the full counts.
+Counts of byte runs and of words are summed over all training rows, and the tree
+holds every context of theirs. Contexts of up to `CROWN` bytes, at most as many as
+there are such byte strings, are weighed together; each longer one belongs to the
+subtree of its nearest CROWN + 1 bytes, and subtrees are dealt over the tasks. A run
+of depth + 1 bytes has one log probability, so runs are scored once each. Words and
+runs are looked up in bounded tables of the most frequent ones, all others by a join
+with the full tables.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from marlpit.llm import labels as labelled, tokens
 from marlpit.runtime import stage
 
 DEPTH = 5
-CONTEXTS = 1 << 15
+CROWN = 2
+RUNS_PER_TASK = 250_000
 FREQUENT = 1 << 20
 END = 0xFF  # never a byte of UTF-8; also stands before the first word
 END_TOKEN = int(tokens.mix(np.array([1], np.uint64)).view(np.int64)[0])
@@ -59,6 +63,11 @@ def _history(data: np.ndarray, begin: np.ndarray, depth: int) -> np.ndarray:
     return context
 
 
+def _runs(data: np.ndarray, begin: np.ndarray, depth: int) -> np.ndarray:
+    """Each byte above the `depth` bytes before it."""
+    return _history(data, begin, depth) | data.astype(np.int64) << (8 * depth)
+
+
 def _sums(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_counts=True)
 
@@ -73,18 +82,22 @@ def _merge(parts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
-    """kind ('w' words, 'b' runs of depth + 1 bytes), key and count over all rows of `docs`."""
+    """kind ('w' words, 'b' runs of depth + 1 bytes), key, and counts: n over the training
+    rows of `docs` (text, held_out), met over all. Words are those of training rows."""
 
     def count(batches):
         kept = {"w": [], "b": []}
         held = 0
         for batch in batches:
-            for texts in tokens.slices(batch.column(0)):
+            out = batch.column("held_out").to_numpy(zero_copy_only=False)
+            for texts in tokens.slices(batch.column("text")):
                 found = tokens.words(texts)
                 hashes = tokens.signed(tokens.word_hashes(tokens.LOWER[texts.data], found))
                 data, begin = _normal(texts, found)
-                kept["w"].append(_sums(np.append(hashes, np.full(texts.count, END_TOKEN))))
-                kept["b"].append(_sums(_history(data, begin, depth) | data.astype(np.int64) << (8 * depth)))
+                left_out = out[texts.first : texts.first + texts.count]
+                kept["w"].append(_sums(np.append(hashes[~left_out[found.text]], np.full((~left_out).sum(), END_TOKEN))))
+                # The lowest bit says whether the text is held out.
+                kept["b"].append(_sums(_runs(data, begin, depth) << 1 | np.repeat(left_out, np.diff(begin))))
                 held += sum(len(parts[-1][0]) for parts in kept.values())
                 if held > 2_000_000:  # what was met so far is summed, then handed on if still large
                     kept = {kind: [_merge(parts)] for kind, parts in kept.items()}
@@ -96,40 +109,178 @@ def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
 
     def rows(kept):
         for kind, parts in kept.items():
-            for keys, counts in parts:
+            for keys, met in parts:
+                n = met if kind == "w" else met * (1 - (keys & 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind] * len(keys)), pa.array(keys), pa.array(counts, pa.int64())], names=["kind", "key", "n"]
+                    [pa.array([kind] * len(keys)), pa.array(keys if kind == "w" else keys >> 1), pa.array(n, pa.int64()), pa.array(met, pa.int64())],
+                    names=["kind", "key", "n", "met"],
                 )
 
-    counted = docs.select("text").mapInArrow(count, "kind string, key long, n long")
-    return stage(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    counted = docs.select("text", "held_out").mapInArrow(count, "kind string, key long, n long, met long")
+    return stage(counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("met").alias("met")), "counts")
 
 
-class Tree:
-    """Log10 probabilities of the next byte: a row of 256 for each kept context.
+class Level:
+    """Nodes of the contexts of one length that training met: sorted codes (context and
+    bit prefix), counts of zeros and ones, and the sums of the longer contexts' weighted logs."""
 
-    `contexts[d]` holds the sorted contexts of d bytes and `rows[d]` their rows.
-    """
+    def __init__(self, codes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None):
+        self.codes, at = np.unique(codes, return_inverse=True)
+        self.zeros, self.ones = (np.bincount(at, x, len(self.codes)) for x in (zeros, ones))
+        estimate = _log_kt(self.zeros, self.ones)
+        self.kt = (self.ones + 0.5) / (self.zeros + self.ones + 1.0)
+        if below is None:
+            self.weighted, self.share = estimate, np.ones_like(estimate)
+        else:
+            self.weighted = np.logaddexp(estimate, np.bincount(at, below, len(self.codes))) - np.log(2)
+            self.share = np.exp(estimate - np.log(2) - self.weighted)
+
+    def shorter(self, d: int) -> np.ndarray:
+        """Codes of the same prefixes after the d nearest bytes."""
+        return (self.codes >> 8 & ((1 << 8 * d) - 1)) << 8 | self.codes & 255
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.codes):
+            return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return at, self.codes[at] == codes
+
+    def mix(self, before: np.ndarray, remaining: np.ndarray) -> None:
+        """The mixture of the depths so far, and the weight that is left for longer contexts."""
+        self.mixed, self.left = before + remaining * self.share * self.kt, remaining * (1 - self.share)
+
+
+def leaves(keys: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, zeros and ones of the eight bit prefixes of each run."""
+    context, byte = keys & ((1 << 8 * depth) - 1), keys >> (8 * depth)
+    codes = np.concatenate([context << 8 | 1 << k | byte >> (8 - k) for k in range(8)])
+    ones, n = np.concatenate([byte >> (7 - k) & 1 for k in range(8)]), np.tile(n, 8)
+    return codes, n * (1 - ones), n * ones
+
+
+def grow(codes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None, top: int, bottom: int) -> dict[int, Level]:
+    """The levels of `top` to `bottom` bytes, weighed from the longest contexts up."""
+    levels = {}
+    for d in range(bottom, top - 1, -1):
+        levels[d] = level = Level(codes, zeros, ones, below)
+        codes, zeros, ones, below = level.shorter(d - 1) if d else None, level.zeros, level.ones, level.weighted
+    return levels
+
+
+def spread_down(levels: dict[int, Level], top: int, bottom: int) -> None:
+    """Mix the levels of `top` to `bottom` bytes; the one above `top` is mixed already."""
+    for d in range(top, bottom + 1):
+        if not d:
+            levels[d].mix(np.zeros(len(levels[d].codes)), np.ones(len(levels[d].codes)))
+        else:
+            at, _ = levels[d - 1].find(levels[d].shorter(d - 1))
+            levels[d].mix(levels[d - 1].mixed[at], levels[d - 1].left[at])
 
-    def __init__(self, contexts: list[np.ndarray], rows: list[np.ndarray], logs: np.ndarray):
-        self.contexts, self.rows, self.logs = contexts, rows, logs
-
-    def scores(self, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        depth = len(self.contexts) - 1
-        history = _history(data, begin, depth)
-        row = np.zeros(len(data), np.int64)
-        todo = np.arange(len(data))
-        for d in range(depth, 0, -1):
-            kept = self.contexts[d]
-            if not len(kept):
-                continue
-            own = history[todo] & ((1 << 8 * d) - 1)
-            at = np.minimum(np.searchsorted(kept, own), len(kept) - 1)
-            hit = kept[at] == own
-            row[todo[hit]] = self.rows[d][at[hit]]
+
+def run_logs(keys: np.ndarray, levels: dict[int, Level], depth: int) -> np.ndarray:
+    """Log10 probability of the last byte of each run, whether training met the run or not."""
+    byte, total, known = keys >> (8 * depth), np.zeros(len(keys)), None
+    for k in range(8):
+        mixed, left, last = np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), 0.5)
+        deepest, todo = np.full(len(keys), -1), np.arange(len(keys))
+        for d in range(depth, -1, -1):
+            at, hit = levels[d].find((keys[todo] & ((1 << 8 * d) - 1)) << 8 | 1 << k | byte[todo] >> (8 - k))
+            at, found = at[hit], todo[hit]
+            mixed[found], left[found], last[found], deepest[found] = levels[d].mixed[at], levels[d].left[at], levels[d].kt[at], d
             todo = todo[~hit]
-        each = self.logs[row, data].astype(np.float64)
-        return np.add.reduceat(each, begin[:-1]) if len(begin) > 1 else np.zeros(0)
+        known = deepest if known is None else known  # the longest context met
+        # Longer contexts that never met this prefix give even chances; where none is, the last estimate stands.
+        one = np.clip(mixed + left * np.where(known > deepest, 0.5, last), 1e-6, 1 - 1e-6)
+        total += np.log10(np.where(byte >> (7 - k) & 1, one, 1 - one))
+    return total
+
+
+def log_table(counts: DataFrame, depth: int) -> DataFrame:
+    """key, log and met of every run of `counts`."""
+    runs = counts.filter("kind = 'b'").select("key", "n", "met")
+    tasks = max(1, -(-runs.count() // RUNS_PER_TASK))
+    top = min(CROWN, depth)
+    subtree = F.col("key").bitwiseAND(F.lit((1 << 8 * (top + 1)) - 1 if top < depth else (1 << 8 * (depth + 1)) - 1))
+    dealt = runs.withColumn("subtree", subtree).repartition(tasks, "subtree").drop("subtree")
+
+    def together(batches):
+        parts = list(batches)
+        if not parts:
+            return None
+        return [np.concatenate([b.column(i).to_numpy() for b in parts]) for i in range(3)]
+
+    def subtrees(keys, n):
+        met = n > 0
+        return grow(*leaves(keys[met], n[met], depth), None, top + 1, depth)
+
+    def upward(batches):
+        given = together(batches)
+        if given is None:
+            return
+        keys, n, _ = given
+        if top < depth:
+            level = subtrees(keys, n)[top + 1]
+            codes, zeros, ones, below = level.shorter(top), level.zeros, level.ones, level.weighted
+        else:
+            codes, zeros, ones = leaves(keys[n > 0], n[n > 0], depth)
+            below = np.zeros(len(codes))
+        distinct, at = np.unique(codes, return_inverse=True)
+        sums = [pa.array(np.bincount(at, x, len(distinct))) for x in (zeros, ones, below)]
+        yield pa.RecordBatch.from_arrays([pa.array(distinct), *sums], names=["code", "zeros", "ones", "below"])
+
+    # At most 255 nodes for each string of CROWN bytes.
+    summed = (
+        dealt.mapInArrow(upward, "code long, zeros double, ones double, below double").groupBy("code")
+        .agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).toArrow()
+    )
+    codes, zeros, ones, below = (summed.column(i).to_numpy() for i in range(4))
+    levels = grow(codes, zeros, ones, below if top < depth else None, 0, top)
+    spread_down(levels, 0, top)
+    crown = counts.sparkSession.sparkContext.broadcast(levels)
+
+    def downward(batches):
+        given = together(batches)
+        if given is None:
+            return
+        keys, n, met = given
+        levels = crown.value | (subtrees(keys, n) if top < depth else {})
+        spread_down(levels, top + 1, depth)
+        logs = run_logs(keys, levels, depth)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(logs), pa.array(met)], names=["key", "log", "met"])
+
+    return stage(dealt.mapInArrow(downward, "key long, log double, met long"), "logs")
+
+
+class Lookup:
+    """A hash table of arrays; keys that find their place taken go to the next, smaller one."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        """Keys are not negative; of those that meet, the last is found first."""
+        self.tables = []
+        while len(keys):
+            bits = (2 * len(keys)).bit_length()
+            own, slots = np.full(1 << bits, -1, np.int64), self._slots(keys, bits)
+            own[slots] = keys
+            placed = own[slots] == keys
+            value = np.zeros(1 << bits)
+            value[slots[placed]] = values[placed]
+            self.tables.append((bits, own, value))
+            keys, values = keys[~placed], values[~placed]
+
+    def _slots(self, keys: np.ndarray, bits: int, nth: int | None = None) -> np.ndarray:
+        salt = np.uint64(len(self.tables) if nth is None else nth) << np.uint64(56)
+        return (tokens.mix(keys.view(np.uint64) ^ salt) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of `keys`, 0 for those that are not there, and the places of these."""
+        out, todo = np.zeros(len(keys)), np.arange(len(keys))
+        for nth, (bits, own, value) in enumerate(self.tables):
+            wanted = keys[todo] if nth else keys
+            slots = self._slots(wanted, bits, nth)
+            hit = own[slots] == wanted
+            out[todo[hit]] = value[slots[hit]]
+            todo = todo[~hit]
+        return out, todo
 
 
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -152,125 +303,22 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - np.log(product)
 
 
-def _bit_counts(byte_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 bit prefixes (heap order from 1) of rows of 256 counts."""
-    levels, part = [], byte_counts
-    while part.shape[1] > 1:
-        levels.append(part)
-        part = part[:, 0::2] + part[:, 1::2]
-    zeros = np.concatenate([level[:, 0::2] for level in reversed(levels)], axis=1)
-    ones = np.concatenate([level[:, 1::2] for level in reversed(levels)], axis=1)
-    return zeros, ones
-
-
-def weigh(contexts: list[np.ndarray], counts: list[np.ndarray]) -> Tree:
-    """The tree of contexts d = 0.. (sorted; every context's shorter one is there) with their
-    counts of next bytes (rows of 256)."""
-    depth = len(contexts) - 1
-    parents = [None] + [
-        np.searchsorted(contexts[d - 1], contexts[d] & ((1 << 8 * (d - 1)) - 1)) for d in range(1, depth + 1)
-    ]
-    kt, own_share, below = [], [], None
-    for d in range(depth, -1, -1):
-        zeros, ones = _bit_counts(counts[d])
-        estimate = _log_kt(zeros, ones)
-        if below is None:
-            weighted, share = estimate, np.ones_like(estimate)
-        else:
-            # Counts that continue in no kept context form one more context.
-            rest = counts[d].copy()
-            product = np.zeros_like(estimate)
-            if len(contexts[d + 1]):
-                np.subtract.at(rest, parents[d + 1], counts[d + 1])
-                np.add.at(product, parents[d + 1], below)
-            product += _log_kt(*_bit_counts(np.maximum(rest, 0)))
-            weighted = np.logaddexp(estimate, product) - np.log(2)
-            share = np.exp(estimate - np.log(2) - weighted)
-        kt.insert(0, ((ones + 0.5) / (zeros + ones + 1.0)).astype(np.float32))
-        own_share.insert(0, share.astype(np.float32))
-        below = weighted
-        del zeros, ones, estimate, share
-    rows, logs, start, mixed, left = [], [], 0, None, None
-    for d in range(depth + 1):
-        if d == 0:
-            before, remaining = np.zeros_like(kt[0]), np.ones_like(kt[0])
-        else:
-            before, remaining = mixed[parents[d]], left[parents[d]]
-        mixed = before + remaining * own_share[d] * kt[d]
-        left = remaining * (1 - own_share[d])
-        # Where no longer context is kept, this one's estimate stands for the rest.
-        ones = np.clip(mixed + left * kt[d], 1e-6, 1 - 1e-6)
-        logs.extend(_byte_logs(ones[at : at + 1024].astype(np.float64)).astype(np.float32) for at in range(0, len(ones), 1024))
-        rows.append(np.arange(start, start + len(contexts[d])))
-        start += len(contexts[d])
-    return Tree(contexts, rows, np.concatenate(logs))
-
-
-def _byte_logs(ones: np.ndarray) -> np.ndarray:
-    """Log10 probabilities of the 256 bytes from the chance of a one at each bit prefix."""
-    total, first = np.zeros((len(ones), 1)), 0
-    while total.shape[1] < 256:
-        chance = ones[:, first : first + total.shape[1]]
-        first += total.shape[1]
-        total = np.stack([total + np.log10(1 - chance), total + np.log10(chance)], axis=2).reshape(len(ones), -1)
-    return total
-
-
-def context_tree(counts: DataFrame, depth: int, most: int) -> Tree:
-    """Weigh the tree of the `most` most frequent contexts; at most 256 counts for each come to the driver."""
-    grams = counts.filter("kind = 'b'").select("key", "n")
-    masks = {d: (1 << 8 * d) - 1 for d in range(depth + 1)}
-    by_depth = F.explode(F.array(*[
-        F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND(F.lit(masks[d])).alias("context")) for d in range(1, depth + 1)
-    ]))
-    frequent = (
-        grams.select(by_depth.alias("c"), "n").groupBy("c.d", "c.context").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "d", "context").limit(most).toPandas()
-    )
-    contexts = [np.zeros(1, np.int64)] + [np.sort(frequent.context[frequent.d == d].to_numpy(np.int64)) for d in range(1, depth + 1)]
-    # Next bytes of each kept context, by joins with the bounded list.
-    kept = counts.sparkSession.sparkContext.broadcast(contexts)
-    offsets = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
-
-    def add(batches):
-        for batch in batches:
-            keys, n = batch.column(0).to_numpy(), batch.column(1)
-            following = keys >> (8 * depth)
-            for d, own in enumerate(kept.value):
-                if not len(own):
-                    continue
-                context = keys & masks[d]
-                at = np.minimum(np.searchsorted(own, context), len(own) - 1)
-                hit = own[at] == context
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(((at + offsets[d]) * 256 + following)[hit]), n.filter(pa.array(hit))], names=["cell", "n"]
-                )
-
-    cells = grams.mapInArrow(add, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(int(offsets[-1]) * 256)
-    table[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    table = table.reshape(-1, 256)
-    return weigh(contexts, [table[offsets[d] : offsets[d + 1]] for d in range(depth + 1)])
-
-
-def frequent_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of all words above the count that at most `most` words reach."""
-    words = counts.filter("kind = 'w'")
+def frequent_keys(table: DataFrame, count: str, value: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of all rows above the count that at most `most` rows reach, rarest first."""
     # The histogram has at most as many rows as there are different counts.
-    sizes = words.select(F.least("n", F.lit(1 << 16)).alias("n")).groupBy("n").count().orderBy(F.desc("n")).collect()
+    sizes = table.select(F.least(count, F.lit(1 << 16)).alias("n")).groupBy("n").count().orderBy(F.desc("n")).collect()
     total, least = 0, 1 << 62
     for n, many in sizes:
         total += many
         if total > most:
             break
         least = n
-    table = words.filter(F.col("n") >= least).select("key", "n").toArrow()
-    keys, n = table.column("key").to_numpy(), table.column("n").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
+    kept = table.filter(F.col(count) >= least).select("key", F.col(value).alias("v"), F.col(count).alias("n")).toArrow()
+    order = np.argsort(kept.column("n").to_numpy(), kind="stable")
+    return kept.column("key").to_numpy()[order], kept.column("v").to_numpy()[order]
 
 
-def language_scores(docs: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS, frequent: int = FREQUENT) -> DataFrame:
+def language_scores(docs: DataFrame, depth: int = DEPTH, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bytes, bits_per_byte.
 
     Rows whose crc32(doc_id) mod 7 is 2 are held out of training. Null, empty and
@@ -279,13 +327,18 @@ def language_scores(docs: DataFrame, depth: int = DEPTH, contexts: int = CONTEXT
     learn from, base counts are 0 and every bit costs one bit.
     """
     given = docs.select("doc_id", "text", labelled.held_out(F.col("doc_id"), 7, 2).alias("held_out"))
-    counts = corpus_counts(given.filter("not held_out"), depth)
-    n, v = counts.filter("kind = 'w'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    counts = corpus_counts(given, depth)
+    words = counts.filter("kind = 'w'")
+    runs = log_table(counts, depth)
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((context_tree(counts, depth, contexts), *frequent_words(counts, frequent)))
+    keys, seen = frequent_keys(words, "n", "n", frequent)
+    order = np.argsort(keys)
+    model = spark.sparkContext.broadcast((keys[order], seen[order], *frequent_keys(runs, "met", "log", frequent)))
 
     def run(batches):
-        tree, keys, seen = model.value
+        keys, seen, *common = model.value
+        logs_of = Lookup(*common)
         for batch in batches:
             for texts in tokens.slices(batch.column("text")):
                 found = tokens.words(texts)
@@ -298,6 +351,9 @@ def language_scores(docs: DataFrame, depth: int = DEPTH, contexts: int = CONTEXT
                 rare = np.flatnonzero(~hit)
                 rare = rare[np.argsort(owner[rare], kind="stable")]
                 many = np.bincount(owner[rare], minlength=texts.count)
+                run_keys = _runs(data, begin, depth)
+                each, deep = logs_of.find(run_keys)
+                deep_many = np.diff(np.searchsorted(deep, begin))
                 part = batch.slice(texts.first, texts.count).drop_columns(["text"])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -306,26 +362,33 @@ def language_scores(docs: DataFrame, depth: int = DEPTH, contexts: int = CONTEXT
                         pa.array(np.bincount(owner[hit], minlength=texts.count).astype(np.int64)),
                         pa.array(np.bincount(owner, weights=logs * hit, minlength=texts.count)),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(hashes[rare])),
-                        pa.array(tree.scores(data, begin)),
+                        pa.array(np.add.reduceat(each, begin[:-1])),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(deep_many)]), pa.int32()), pa.array(run_keys[deep])),
                         pa.array(np.diff(begin).astype(np.int64)),
                     ],
-                    names=["doc_id", "held_out", "n_tokens", "common", "logs", "rare", "score", "bytes"],
+                    names=["doc_id", "held_out", "n_tokens", "common", "logs", "rare", "met_logs", "deep", "bytes"],
                 )
 
     schema = (
         f"doc_id {given.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, common long, "
-        "logs double, rare array<long>, score double, bytes long"
+        "logs double, rare array<long>, met_logs double, deep array<long>, bytes long"
     )
     scored = stage(given.select("doc_id", "held_out", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    words = counts.filter("kind = 'w'").select("key", F.col("n").alias("c"))
+    words = words.select("key", F.col("n").alias("c"))
     found = (
         scored.filter(F.size("rare") > 0).select("row", F.explode("rare").alias("key"))
         .join(words, "key").groupBy("row")
         .agg(F.count("*").alias("known"), F.sum(F.log10(F.col("c") + 1.0)).alias("more"))
     )
+    # A run that repeats within a text is looked up once.
+    rest = (
+        scored.filter(F.size("deep") > 0).select("row", F.explode("deep").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
+        .join(runs.select("key", "log"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("deeper"))
+    )
+    score = F.col("met_logs") + F.coalesce("deeper", F.lit(0.0))
     base = F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
-    return scored.join(found, "row", "left").select(
+    return scored.join(found, "row", "left").join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("common") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "bytes",
-        (F.col("score") * -F.log2(F.lit(10.0)) / F.col("bytes")).alias("bits_per_byte"),
+        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"), "bytes",
+        (score * -F.log2(F.lit(10.0)) / F.col("bytes")).alias("bits_per_byte"),
     )
