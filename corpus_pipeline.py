@@ -49,9 +49,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row of the mix."""
+    """Token ids of every row of the mix, compared with the original library's."""
     ids = pieces.encode(docs, pieces.read_model(), carry=("source",))
-    return ids.select("doc_id", "source", "n_tokens", "ids", "round_trip")
+    return ids.select("doc_id", "source", "n_tokens", "ids", "round_trip", "parity")
 
 
 STAGES = [

@@ -4,7 +4,7 @@ The model's protobuf is parsed and its parts are rebuilt: normaliser (character
 map, extra blanks, dummy prefix), metaspace marker, scored pieces and byte
 fallback. A unigram model keeps its scores; in a BPE model the scores order the
 merges. Texts are encoded in batches by several threads. Every document is decoded
-again, and those chosen by hash are also encoded by the original library.
+again and also encoded by the original library, whose ids count where they differ.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from marlpit.llm import tokens
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
-PARITY_EVERY = 16
+PARITY_EVERY = 1
 # Kinds of pieces in the protobuf.
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 
@@ -127,9 +127,9 @@ def encode(
 
     round_trip says whether the ids decode to the text itself (to its normal form
     where the model's normaliser changes texts). parity says whether the original
-    library gives the same ids; it is null for documents that the hash of doc_id
-    and text does not choose (`parity_every` 1 chooses all). Null and empty texts
-    have no tokens. Repeated rows give equal rows; other columns are ignored.
+    library gives the same ids as the rebuilt tokenizer; where not, ids are the
+    original's. It is null for documents that the hash of doc_id and text does not
+    choose (`parity_every` above 1 chooses a share). Null and empty texts have no tokens. Repeated rows give equal rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast((rebuild(model), model))
 
@@ -150,14 +150,16 @@ def encode(
             for part in tokens.slices(text_column):
                 texts = [t or "" for t in text_column.slice(part.first, part.count).to_pylist()]
                 ids = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                tested = [i for i in range(len(texts)) if chosen[part.first + i]]
+                parity = [None] * len(texts)
+                for i, wanted in zip(tested, original.encode([texts[i] for i in tested], num_threads=1)):
+                    wanted = np.array(wanted, np.int32)
+                    parity[i] = np.array_equal(wanted, ids[i])
+                    ids[i] = wanted
                 trip = spelled.agree(part, ids)
                 for i in np.flatnonzero(~trip):
                     back = tokenizer.decode(ids[i].tolist(), skip_special_tokens=False)
                     trip[i] = back in (texts[i], original.normalize(texts[i]).replace(MARK, " ").removeprefix(" "))
-                tested = [i for i in range(len(texts)) if chosen[part.first + i]]
-                parity = [None] * len(texts)
-                for i, wanted in zip(tested, original.encode([texts[i] for i in tested], num_threads=1)):
-                    parity[i] = wanted == ids[i].tolist()
                 rows = batch.slice(part.first, part.count).drop_columns(["text", "chosen"])
                 for name, column in (
                     ("n_tokens", pa.array([len(x) for x in ids], pa.int64())), ("ids", spelled.lists(ids)),
