@@ -163,7 +163,9 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     {"set_id": pa.array(names, pa.int64()), "shingles": pa.array(values, pa.list_(pa.int64()))}
                 )
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id"), "doc_id", "left_semi")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Sets that only rows without an id hold are told by their own hash below.
+    chosen = given.join(wanted.select("doc_id"), "doc_id", "left_semi").union(given.filter("doc_id IS NULL"))
     sets = chosen.select("text").mapInArrow(build, "set_id long, shingles array<long>")
     return sets.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
