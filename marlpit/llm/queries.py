@@ -14,6 +14,7 @@ from marlpit.llm import (
     pieces,
     quality_classifier,
     quality_rules,
+    term_pipeline,
     tiles,
     toxicity,
     warc,
@@ -193,3 +194,37 @@ def op10_nearest_tiles(spark, folder):
     """The five nearest other vectors of every fiftieth vector."""
     vectors = table(spark, folder, "embeddings")
     return tiles.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+OP13_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+whole AS MATERIALIZED (
+  SELECT count(*) FILTER (len(words) > 0)::BIGINT AS docs, sum(len(words))::BIGINT AS total FROM d),
+i AS MATERIALIZED (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+f AS MATERIALIZED (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(words) AS term FROM d)
+  WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS MATERIALIZED (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM f GROUP BY term), whole),
+scored AS (
+  SELECT i.item_id, d.doc_id, d.r,
+         sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (10 + (90 * len(d.words)::BIGINT * docs) // total))))::BIGINT AS score
+  FROM i JOIN f USING (term) JOIN w USING (term) JOIN d USING (r), whole GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
+@query(OP13_SQL)
+def op13_term_pipeline(spark, folder):
+    """The ten best documents of every benchmark item."""
+    return term_pipeline.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
