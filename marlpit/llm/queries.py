@@ -11,6 +11,7 @@ from marlpit.llm import (
     context_tree,
     jaccard_join,
     mixing,
+    phrases,
     pieces,
     quality_classifier,
     quality_rules,
@@ -196,6 +197,46 @@ def op10_nearest_tiles(spark, folder):
     return tiles.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+OP12_SQL = r"""
+WITH p AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+f AS MATERIALIZED (
+  SELECT lang, m, phrase, count(*)::HUGEINT AS a
+  FROM (SELECT lang, m, unnest([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, len(w) - m + 2)]) AS phrase
+        FROM p, (VALUES (1), (2), (3), (4)) t(m))
+  GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND a >= 30),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS left_part, array_to_string(w[k + 1:], ' ') AS right_part
+  FROM c, (VALUES (1), (2), (3)) t(k) WHERE k < m),
+scored AS (
+  SELECT u.lang, u.phrase, u.a, x.a AS l, y.a AS r, 2000000::HUGEINT * u.a // (x.a + y.a) AS score,
+         row_number() OVER (PARTITION BY u.lang, u.phrase ORDER BY 2000000::HUGEINT * u.a // (x.a + y.a), k) AS o
+  FROM cuts u JOIN f x ON x.lang = u.lang AND x.phrase = left_part JOIN f y ON y.lang = u.lang AND y.phrase = right_part),
+inside AS (
+  SELECT lang, part, max(a) AS longest
+  FROM (SELECT lang, a, unnest([array_to_string(w[i:i + s - 1], ' ') FOR i IN range(1, m - s + 2)]) AS part
+        FROM c, (VALUES (2), (3)) t(s) WHERE s < m)
+  GROUP BY ALL),
+ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.part = s.phrase
+  WHERE o = 1 AND (longest IS NULL OR 100 * longest < 80 * a))
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query(OP12_SQL)
+def op12_phrases(spark, folder):
+    """The first 2000 collocations of every language."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 OP13_SQL = r"""
 WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id,

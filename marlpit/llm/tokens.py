@@ -108,16 +108,17 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values
 
 
-def word_hashes(data: np.ndarray, found: Words) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word."""
+def word_hashes(data: np.ndarray, found: Words, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word; other seeds give other hashes."""
     if not len(found.starts):
         return np.zeros(0, np.uint64)
     lengths = found.ends - found.starts
     longest = int(lengths.max())
     place = POSITION if longest <= len(POSITION) else _random_table(11, longest)
+    values = BYTE_VALUES if not seed else _random_table(7 + (seed << 8))
     at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     source = at + np.repeat(found.starts, lengths)
-    parts = BYTE_VALUES[data[source]] * place[at]
+    parts = values[data[source]] * place[at]
     sums = np.add.reduceat(parts, np.cumsum(lengths) - lengths)
     return mix(sums + lengths.astype(np.uint64) * ODD)
 
