@@ -11,6 +11,7 @@ from marlpit.llm import (
     context_tree,
     jaccard_join,
     mixing,
+    packing,
     phrases,
     pieces,
     quality_classifier,
@@ -197,6 +198,12 @@ def op10_nearest_tiles(spark, folder):
     return tiles.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+@query()
+def op11_packing(spark, folder):
+    """Pieces of all documents and their places in sequences of 2048 tokens."""
+    return packing.packed_pieces(table(spark, folder, "documents"), packing.read_tokenizer(), ids=False)
+
+
 OP12_SQL = r"""
 WITH p AS MATERIALIZED (
   SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
