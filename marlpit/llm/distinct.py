@@ -7,8 +7,9 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pyarrow as pa
 
-# Parts that a task remembers; beyond, it starts anew.
+# Parts, and bytes of them, that a task remembers; beyond, it starts anew.
 REMEMBERED = 1 << 19
+REMEMBERED_BYTES = 1 << 26
 
 
 def parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -16,8 +17,8 @@ def parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     lengths = ends - starts
     stops = np.cumsum(lengths)
     kept = np.zeros(len(data) + 1, np.int8)
-    kept[starts] += 1
-    kept[ends] -= 1
+    kept[starts[lengths > 0]] += 1
+    kept[ends[lengths > 0]] -= 1
     flat = data[np.cumsum(kept[:-1], dtype=np.int8).view(bool)]
     offsets = np.concatenate([[0], stops]).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
@@ -34,7 +35,7 @@ class PartIds:
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.starts, self.lengths, self.flags = (np.zeros(1 << 12, t) for t in (np.int64, np.int64, bool))
-        self.used = 0
+        self.used = self.bytes = 0
 
     def _room(self, name: str, size: int) -> None:
         held = getattr(self, name)
@@ -60,10 +61,12 @@ class PartIds:
         coded = column.dictionary_encode()
         words = coded.dictionary.to_pylist()
         fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED and len(self.known):
+        full = len(self.known) + len(fresh) > REMEMBERED or self.bytes > REMEMBERED_BYTES
+        if full and self.known:
             self._empty()
             fresh = words
         if fresh:
+            self.bytes += sum(map(len, fresh))
             self._learn(fresh)
         place = np.fromiter((self.known[w] for w in words), np.int64, len(words))[coded.indices.to_numpy()]
         lengths = self.lengths[place]

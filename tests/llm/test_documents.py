@@ -278,7 +278,7 @@ def test_pieces(spark, docs, clashing, rows):
 
     model = pieces.read_model()
     original = SentencePieceProcessor(model_proto=model)
-    got = pieces.encode(docs, model, parity_every=1).collect()
+    got = pieces.encode(docs, model).collect()
     by_id = {i: t or "" for i, t, *_ in rows}
     assert len(got) == len(rows) and all(r.parity and r.round_trip for r in got)
     assert all(r.ids == original.encode(by_id[r.doc_id]) and r.n_tokens == len(r.ids) for r in got)
