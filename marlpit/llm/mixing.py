@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marlpit.runtime import stage
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK_WORDS = 32
 REPEATS = 3
@@ -63,7 +63,7 @@ def targets(placed: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS)
 
 def place(docs: DataFrame, carry: tuple = ()) -> DataFrame:
     """Rows with the position `start` of their first word in their source's order."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
     sized = stage(
         docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), *carry)
         .withColumn("bucket", F.substring("key", 1, 3)), "sized",
@@ -142,21 +142,67 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, block
     )
 
 
+def interleaved(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK_WORDS) -> DataFrame:
+    """slot, source, epoch, block, text, spans: the mix itself, whose prefixes follow the weights.
+
+    A row is the slot's block: its words joined by blanks, and of which documents
+    they are, as (doc_id, first, words). Every block but a source's last has `block` words.
+    """
+    words = F.coalesce(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    placed = stage(place(docs.select("doc_id", "source", "text", words.alias("words")), ("words",)), "placed-words")
+    shares = stage(targets(placed, weights, repeats), "targets")
+    first, last = F.col("start"), F.col("start") + F.col("size")
+    b = F.explode(F.sequence(F.floor(first / block), F.floor((last - 1) / block)))
+    at = F.greatest(F.col("b") * block - first, F.lit(0)).cast("int")
+    n = (F.least(last, (F.col("b") + 1) * block) - F.greatest(first, F.col("b") * block)).cast("int")
+    parts = placed.filter("size > 0").select("*", b.alias("b")).select(
+        F.col("source").alias("s"), "b", F.struct("start", "doc_id", at.alias("first"), n.alias("words"), F.slice("words", at + 1, n).alias("text")).alias("part")
+    )
+    blocks = parts.groupBy("s", "b").agg(F.sort_array(F.collect_list("part")).alias("parts")).select(
+        "s", "b", F.array_join(F.flatten("parts.text"), " ").alias("text"),
+        F.transform("parts", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["first"].alias("first"), p["words"].alias("words"))).alias("spans"),
+    )
+    return schedule(shares, block, repeats).join(blocks, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
+
+
+def _first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its n-th word."""
+    words, gaps = (F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (WORD, GAP))
+    lead = text.rlike(f"^{GAP}").cast("int")
+
+    def total(parts: Column, count: Column) -> Column:
+        return F.aggregate(F.slice(parts, 1, count), F.lit(0), lambda so_far, part: so_far + F.length(part))
+
+    return F.substring(text, F.lit(1), total(words, n) + total(gaps, n - 1 + lead))
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mix with the columns of `docs`.
+    """The rows of the mix with the columns of `docs`, in no order (see `interleaved`).
 
     A row taken k times over stands k times; where the mix ends inside a document,
-    that document's first words stand once more, joined by blanks. `n_chars`,
-    where there is such a column, follows the text.
+    that document's text up to there stands once more. `n_chars`, where there is such
+    a column, follows the text. Only hashes and sizes of rows are staged; rows that are
+    equal in all columns share what the mix takes of them, so it does not matter which is which.
     """
-    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))
-    rows = mix(packed, carry=("row",), **options).filter("taken > 0")
+    whole = F.struct(*docs.columns)
+    nulls = [F.col(c).isNull() for c in docs.columns]
+    hashes = (F.xxhash64(whole, *nulls).alias("h1"), F.xxhash64(F.lit(1), whole, *nulls).alias("h2"))
+    keyed = docs.select("doc_id", "text", "source", *hashes)
+    rows = mix(keyed, carry=("h1", "h2"), **options)
     part = F.col("taken") % F.col("size")
-    copies = F.floor(F.col("taken") / F.col("size")).cast("int")
-    first = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), 1, F.greatest(part.cast("int"), F.lit(1))), " ")
+    wanted = rows.filter("size > 0").groupBy("h1", "h2").agg(
+        F.count("*").alias("equal"), F.sum(F.floor(F.col("taken") / F.col("size"))).alias("copies"),
+        F.array_sort(F.collect_list(F.when(part > 0, part.cast("int")))).alias("parts"),
+    ).filter("copies > 0 OR size(parts) > 0")
+    given = docs.select(whole.alias("row"), *hashes).join(wanted, ["h1", "h2"])
+    nth = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("h1")) - 1
+    text = F.col("row.text")
+    copies = F.floor(F.col("copies") / F.col("equal")) + (F.col("nth") < F.col("copies") % F.col("equal")).cast("int")
+    cut = F.get("parts", F.col("nth"))
     texts = F.concat(
-        F.array_repeat(F.col("row.text"), copies), F.when(part > 0, F.array(first)).otherwise(F.array().cast("array<string>"))
+        F.array_repeat(text, copies.cast("int")),
+        F.when(cut.isNotNull(), F.array(_first_words(text, cut))).otherwise(F.array().cast("array<string>")),
     )
-    out = rows.select("row", F.explode(texts).alias("text"))
+    out = given.withColumn("nth", nth).select("row", F.explode(texts).alias("text"))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

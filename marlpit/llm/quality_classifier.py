@@ -26,6 +26,7 @@ CHARACTERS = (3, 5)
 PER_CLASS = 2000
 MAX_BYTES = 1 << 15
 EPOCHS = 6
+CHUNK = 256
 RATE = 0.5
 CHARACTER_VALUES = np.random.default_rng(17).integers(0, 2**32, (max(CHARACTERS), 256), dtype=np.uint64).astype(np.uint32)
 
@@ -91,17 +92,29 @@ def score(model: Model, texts: tokens.Texts) -> np.ndarray:
     return 1 / (1 + np.exp(-(mean + model.bias)))
 
 
+def _bags(rows: list[tuple[str, int]]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Table rows, their shares, and the label of each text; views of a few large arrays."""
+    bags = []
+    for first in range(0, len(rows), CHUNK):
+        ids, shares = [], []
+        for text, _ in rows[first : first + CHUNK]:
+            (texts,) = tokens.slices(pa.array([text], pa.large_string()), max(1, 1 << 30))
+            found = grams(texts)
+            own, counts = np.unique(np.concatenate(found.rows), return_counts=True)
+            counts = np.append(counts, found.repeats[0])
+            ids.append(np.append(own, TABLE).astype(np.int32))
+            shares.append((counts / max(1, found.totals[0])).astype(np.float32))
+        ends = np.cumsum([len(x) for x in ids])[:-1]
+        parts = zip(np.split(np.concatenate(ids), ends), np.split(np.concatenate(shares), ends))
+        bags += [(i, s, label) for (i, s), (_, label) in zip(parts, rows[first:])]
+    return bags
+
+
 def train(rows: list[tuple[str, int]], seed: int = 5) -> Model:
     """Learn vectors and softmax from (text, label) rows by plain SGD, one row at a time."""
     if not rows:
         return Model(np.zeros(TABLE), 0.0, 0.0)
-    bags = []
-    for text, label in rows:
-        (texts,) = tokens.slices(pa.array([text], pa.large_string()), max(1, 1 << 30))
-        found = grams(texts)
-        ids, counts = np.unique(np.concatenate(found.rows), return_counts=True)
-        ids, counts = np.append(ids, TABLE), np.append(counts, found.repeats[0])
-        bags.append((ids, (counts / max(1, found.totals[0])).astype(np.float32), label))
+    bags = _bags(rows)
     random = np.random.default_rng(seed)
     table = (random.random((TABLE + 1, SIZE), np.float32) - 0.5) / SIZE
     outputs = np.zeros((2, SIZE), np.float32)

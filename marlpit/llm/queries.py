@@ -70,7 +70,7 @@ def op4_pieces(spark, folder):
 
 OP5_SQL = r"""
 WITH sized AS MATERIALIZED (
-  SELECT row_number() OVER () AS r, doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS key,
+  SELECT row_number() OVER () AS r, doc_id, source, md5(coalesce(doc_id::VARCHAR, text, '')) AS key,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 placed AS MATERIALIZED (
