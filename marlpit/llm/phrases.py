@@ -15,12 +15,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from marlpit.llm import tokens
+from marlpit.llm import distinct, tokens
 from marlpit.runtime import discard, stage
 
 # What ends a piece, what parts words, and the language of none.
@@ -40,8 +42,10 @@ FIRST_BATCH = 2 * TOP
 # Buckets of word ids; those without a frequent word are left out.
 BUCKET_BITS = 22
 # Rows that a task holds before it combines equal ones.
-HELD = 1 << 21
+HELD = 1 << 20
+SLICE_BYTES = 1 << 21
 SEEDS = 8
+SURVIVOR = ("lang", "phrase", "a", "l", "r", "score")
 
 
 def _mask(characters: str) -> np.ndarray:
@@ -58,28 +62,45 @@ def _salt(lang: str) -> np.uint64:
     return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
 
 
-def _pieces(batch: pa.RecordBatch, seed: int) -> Iterator[tuple]:
-    """Of each slice: lowered bytes, words, their ids, languages, and whether word i and i + 1 share a piece."""
-    langs = batch.column("lang").to_pylist()
-    salts = {lang: _salt(lang) for lang in set(langs)}
-    salt = np.array([salts[lang] for lang in langs], np.uint64)
-    for texts in tokens.slices(batch.column("text")):
+class _Slice(NamedTuple):
+    """Some whole texts as words: spelled once each, their ids, and what follows what."""
+
+    spelled: pa.Array  # distinct words
+    hashes: np.ndarray  # of those
+    word: np.ndarray  # which of them each word is
+    lang: np.ndarray  # which language it is in
+    ids: np.ndarray
+    joined: np.ndarray  # whether word i and i + 1 share a piece
+
+
+def _slices(batch: pa.RecordBatch, langs: list[str], salts: np.ndarray, seed: int) -> Iterator[_Slice]:
+    """`langs` lists the languages seen so far, `salts` what they add to hashes."""
+    of_row = np.array([langs.index(lang) for lang in batch.column("lang").to_pylist()], np.int64)
+    for texts in tokens.slices(batch.column("text"), SLICE_BYTES):
         data = tokens.LOWER[texts.data]
         found = tokens.words(texts, APART)
         if not len(found.starts):
             continue
-        ids = tokens.mix(tokens.word_hashes(data, found, seed) + salt[texts.first + found.text])
+        coded = distinct.parts(data, found.starts, found.ends).dictionary_encode()
+        spelled = coded.dictionary
+        flat = np.frombuffer(spelled.buffers()[2], np.uint8)
+        stops = np.frombuffer(spelled.buffers()[1], np.int32)[: len(spelled) + 1].astype(np.int64)
+        hashes = tokens.word_hashes(flat, tokens.Words(stops[:-1], stops[1:], stops, stops), seed)
+        word, lang = coded.indices.to_numpy(), of_row[texts.first + found.text]
         piece = np.searchsorted(np.flatnonzero(BREAK[data]), found.starts)
         joined = (piece[1:] == piece[:-1]) & (found.text[1:] == found.text[:-1])
-        yield data, found, ids, [langs[texts.first + t] for t in range(texts.count)], joined
+        yield _Slice(spelled, hashes, word, lang, tokens.mix(hashes[word] + salts[lang]), joined)
 
 
-def _spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    lengths = ends - starts
-    stops = np.cumsum(lengths)
-    at = np.arange(int(lengths.sum())) + np.repeat(starts - (stops - lengths), lengths)
-    offsets = np.concatenate([[0], stops]).astype(np.int32)
-    return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])
+def _pieces(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[list[str], np.ndarray, _Slice]]:
+    langs, salts = [], np.zeros(0, np.uint64)
+    for batch in batches:
+        for lang in batch.column("lang").unique().to_pylist():
+            if lang not in langs:
+                langs.append(lang)
+                salts = np.append(salts, _salt(lang))
+        for part in _slices(batch, langs, salts, seed):
+            yield langs, salts, part
 
 
 def _words(seed: int):
@@ -91,24 +112,25 @@ def _words(seed: int):
 
     def run(batches):
         parts, rows = [], 0
-        for batch in batches:
-            for data, found, ids, langs, _ in _pieces(batch, seed):
-                _, first, n = np.unique(ids, return_index=True, return_counts=True)
-                parts.append(
-                    pa.table(
-                        {
-                            "x": tokens.signed(ids[first]), "lang": pa.array([langs[t] for t in found.text[first]], pa.string()),
-                            "word": _spelled(data, found.starts[first], found.ends[first]), "n": n.astype(np.int64),
-                        }
-                    )
+        for langs, salts, part in _pieces(batches, seed):
+            n = np.bincount(part.word * len(langs) + part.lang)
+            code = np.flatnonzero(n)
+            word, lang = np.divmod(code, len(langs))
+            parts.append(
+                pa.table(
+                    {
+                        "x": tokens.signed(tokens.mix(part.hashes[word] + salts[lang])), "lang": pa.array(langs, pa.string()).take(pa.array(lang)),
+                        "word": part.spelled.take(pa.array(word)).cast(pa.string()), "n": n[code].astype(np.int64),
+                    }
                 )
-                rows += len(first)
-                if rows > held:
-                    table = combined(parts)
-                    parts, rows = [table], table.num_rows
-                    if rows > held // 2:
-                        yield from table.to_batches()
-                        parts, rows = [], 0
+            )
+            rows += len(code)
+            if rows > held:
+                table = combined(parts)
+                parts, rows = [table], table.num_rows
+                if rows > held // 2:
+                    yield from table.to_batches()
+                    parts, rows = [], 0
         if parts:
             yield from combined(parts).to_batches()
 
@@ -163,13 +185,12 @@ def _pairs(seed: int, shared):
     def run(batches):
         frequent = np.unpackbits(shared.value).view(bool)
         counts = _Counts(["x", "y"], held)
-        for batch in batches:
-            for _, _, ids, _, joined in _pieces(batch, seed):
-                good = frequent[ids >> shift]
-                at = np.flatnonzero(joined & good[:-1] & good[1:])
-                counts.add(ids[at], ids[at + 1])
-                if counts.full():
-                    yield counts.take()
+        for *_, part in _pieces(batches, seed):
+            good = frequent[part.ids >> shift]
+            at = np.flatnonzero(part.joined & good[:-1] & good[1:])
+            counts.add(part.ids[at], part.ids[at + 1])
+            if counts.full():
+                yield counts.take()
         if counts.rows:
             yield counts.take()
 
@@ -222,20 +243,20 @@ def _extensions(seed: int, shared):
         frequent = np.unpackbits(packed).view(bool)
         lookups = [_Lookup(p) for p in phrases if len(p)]
         counts = _Counts(["a", "b", "c", "side", "x"], held)
-        for batch in batches:
-            for _, _, ids, _, joined in _pieces(batch, seed):
-                good = frequent[ids >> shift]
-                for lookup in lookups:
-                    m, at = lookup.size, lookup.places(ids, joined)
-                    right = at[at + m < len(ids)]
-                    right = right[joined[right + m - 1] & good[right + m]]
-                    left = at[at > 0]
-                    left = left[joined[left - 1] & good[left - 1]]
-                    for side, place, other in ((1, right, right + m), (2, left, left - 1)):
-                        third = ids[place + 2] if m == 3 else np.zeros(len(place), np.uint64)
-                        counts.add(ids[place], ids[place + 1], third, np.full(len(place), side, np.uint64), ids[other])
-                if counts.full():
-                    yield counts.take()
+        for *_, part in _pieces(batches, seed):
+            ids, joined = part.ids, part.joined
+            good = frequent[ids >> shift]
+            for lookup in lookups:
+                m, at = lookup.size, lookup.places(ids, joined)
+                right = at[at + m < len(ids)]
+                right = right[joined[right + m - 1] & good[right + m]]
+                left = at[at > 0]
+                left = left[joined[left - 1] & good[left - 1]]
+                for side, place, other in ((1, right, right + m), (2, left, left - 1)):
+                    third = ids[place + 2] if m == 3 else np.zeros(len(place), np.uint64)
+                    counts.add(ids[place], ids[place + 1], third, np.full(len(place), side, np.uint64), ids[other])
+            if counts.full():
+                yield counts.take()
         if counts.rows:
             yield counts.take()
 
@@ -270,13 +291,6 @@ def _counted_words(docs: DataFrame) -> tuple[DataFrame, int]:
     raise ValueError(f"words share ids under each of {SEEDS} seeds")
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
-
-
 def collocations(docs: DataFrame) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first 2000 surviving phrases.
 
@@ -292,29 +306,32 @@ def collocations(docs: DataFrame) -> DataFrame:
     packed = _frequent_buckets(frequent)
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(packed)
+    # Tasks have combined equal pairs already, so rows are dealt first and then added up once.
     pairs = stage(
-        given.mapInArrow(_pairs(seed, shared), "x long, y long, n long")
+        given.mapInArrow(_pairs(seed, shared), "x long, y long, n long").repartition("x", "y")
         .groupBy("x", "y").agg(F.sum("n").alias("a")).filter(F.col("a") >= LEAST),
         "pairs",
     )
     shared.destroy()
     second = frequent.select(F.col("x").alias("y"), F.col("word").alias("word2"), F.col("f").alias("f2"))
-    known = pairs.join(frequent, "x").join(second, "y").select(
-        "lang", F.array("x", "y").alias("words"), F.concat_ws(" ", "word", "word2").alias("phrase"), "a",
-        F.array("f").alias("lefts"), F.array("f2").alias("rights"),
+    twos = stage(
+        _scored(
+            pairs.join(frequent, "x").join(second, "y").select(
+                "lang", F.array("x", "y").alias("words"), F.concat_ws(" ", "word", "word2").alias("phrase"), "a",
+                F.array("f").alias("lefts"), F.array("f2").alias("rights"),
+            )
+        ),
+        "phrases",
     )
-    twos = stage(_scored(known), "phrases")
     of_two = twos.select(F.col("words").alias("tail"), F.col("a").alias("of_tail"))
-    threes, fours, grown = [], [], []
-    langs = max(1, totals.count())
-    quota, tries = FIRST_BATCH, 0
+    state = _State(twos)
+    langs, quota, tries = max(1, totals.count()), FIRST_BATCH, 0
     while True:
-        open_, best = _open(twos, threes, fours, grown)
-        batch = stage(_batch(open_, max(1, min(quota, BATCH // langs)), tries), "batch")
+        batch = stage(_batch(state.open, max(1, min(quota, BATCH // langs)), tries), "batch")
         sent = [tuple(row["words"]) for row in batch.select("words").collect()]
         tries += 1
         if not sent:
-            if open_.isEmpty():
+            if state.open.isEmpty():
                 break
             continue
         quota *= 2
@@ -328,64 +345,89 @@ def collocations(docs: DataFrame) -> DataFrame:
             "extensions",
         )
         shared.destroy()
-        most = found.groupBy("words").agg(F.max("n").alias("longer"))
-        grown.append(stage(batch.select("words").join(most, "words", "left").na.fill(0, ["longer"]), "grown"))
-        children = (
+        made = stage(
             found.filter("side = 1").select("words", "x", F.col("n").alias("count")).join(batch, "words")
             .join(frequent.select("x", "word", "f"), "x")
             .select(
                 "lang", F.concat("words", F.array("x")).alias("words"), F.concat_ws(" ", "phrase", "word").alias("phrase"),
                 F.col("count").alias("a"), F.concat("lefts", F.array("a")).alias("lefts"), "f",
             )
-            .withColumn("tail", F.slice("words", -2, 2)).join(of_two, "tail")
+            .withColumn("tail", F.slice("words", -2, 2)).join(of_two, "tail").drop("tail"),
+            "children",
         )
-        made = stage(children.drop("tail"), "children")
-        threes.append(stage(_scored(made.filter("size(words) = 3").withColumn("rights", F.array("of_tail", "f")).drop("of_tail", "f")), "threes"))
-        fours.append(made.filter("size(words) = 4"))
-    # `best` has the survivors that can be among the first of their language.
+        state.extend(batch, found, made)
+        discard(found, made)
     place = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = best.withColumn("rank", F.row_number().over(place).cast("long")).filter(F.col("rank") <= TOP)
+    ranked = state.above(state.survivors, "score").withColumn("rank", F.row_number().over(place).cast("long")).filter(F.col("rank") <= TOP)
     return ranked.join(totals, F.col("lang") == F.col("of_lang")).select(
         "lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score"
     )
 
 
-def _open(twos: DataFrame, threes: list, fours: list, grown: list) -> tuple[DataFrame, DataFrame]:
-    """Phrases still to be extended, with what for, and the survivors from the floor on."""
-    short = _union([twos, *threes])
-    if not grown:
-        return short.withColumn("priority", F.col("bound")), short.limit(0)
-    done = _union(grown)
-    middles = _union(threes).select(F.col("words").alias("tail3"), F.col("a").alias("of_tail3"))
-    four = _scored(
-        _union(fours).withColumn("tail3", F.slice("words", 2, 3)).join(middles, "tail3", "left")
-        .withColumn("rights", F.array("of_tail3", "of_tail", "f"))
-        .select("lang", "words", "phrase", "a", "lefts", "rights")
-    )
-    share, whole = ABSORBED
-    survivors = (
-        short.join(done, "words").filter(F.col("longer") * whole < F.col("a") * share).drop("longer")
-        .unionByName(four.filter("rights[0] IS NOT NULL"))
-    )
-    by_score = survivors.groupBy("lang", "score").agg(F.count("*").alias("n"))
-    so_far = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("score")))
-    floors = stage(
-        by_score.withColumn("so_far", so_far).filter(F.col("so_far") >= TOP)
-        .groupBy(F.col("lang").alias("of_lang")).agg(F.max("score").alias("floor")),
-        "floors",
-    )
+class _State:
+    """What is known of phrases; each part a written table that a round replaces.
 
-    def above(rows: DataFrame, value: str) -> DataFrame:
-        same = F.col("lang") == F.col("of_lang")
-        return rows.join(floors, same, "left").filter(F.col(value) >= F.coalesce("floor", F.lit(0))).drop("of_lang", "floor")
+    open: phrases that may be extended, by priority. survivors: phrases that no longer
+    one absorbs. waiting: phrases of four words without the count of their last three.
+    floors: the 2000th surviving score of languages that have as many. What lies below
+    its floor is left out; floors only rise.
+    """
 
-    # A phrase of four words waits for the count of its last three: their first two are extended.
-    waiting = above(four.filter("rights[0] IS NULL"), "score").groupBy(F.slice("words", 2, 2).alias("words")).agg(F.max("score").alias("asked"))
-    open_ = short.join(done, "words", "left_anti")
-    wanted = above(open_.withColumn("priority", F.col("bound")), "priority")
-    asked = open_.join(waiting, "words").withColumn("priority", F.col("asked")).drop("asked")
-    both = wanted.unionByName(asked).groupBy("words").agg(F.max("priority").alias("priority"))
-    return open_.join(both, "words"), above(survivors, "score")
+    def __init__(self, twos: DataFrame):
+        self.twos, self.open = twos, twos.withColumn("priority", F.col("bound"))
+        self.survivors = twos.limit(0).select(*SURVIVOR)
+        self.floors = twos.limit(0).select(F.col("lang").alias("of_lang"), F.col("score").alias("floor"))
+        self.done, self.middles, self.waiting = [], [], None
+
+    def above(self, rows: DataFrame, value: str) -> DataFrame:
+        same = F.col("lang") == F.col("of_lang")
+        return rows.join(self.floors, same, "left").filter(F.col(value) >= F.coalesce("floor", F.lit(0))).drop("of_lang", "floor")
+
+    def extend(self, batch: DataFrame, found: DataFrame, made: DataFrame) -> None:
+        """Take in the extensions of a batch, and the phrases of `made`, its right ones."""
+        old = [self.open, self.survivors, self.floors]
+        rights = {3: F.array("of_tail", "f"), 4: F.array("of_three", "of_tail", "f")}
+        threes = stage(_scored(made.filter("size(words) = 3").withColumn("rights", rights[3]).drop("of_tail", "f")), "threes")
+        self.done.append(batch.select("words"))
+        self.middles.append(threes.select(F.col("words").alias("last3"), F.col("a").alias("of_three")))
+        known = reduce(DataFrame.unionByName, self.middles)
+        four = made.filter("size(words) = 4")
+        if self.waiting is not None:
+            four = four.unionByName(self.waiting)
+        fours = stage(
+            _scored(
+                four.withColumn("last3", F.slice("words", 2, 3)).join(known, "last3", "left")
+                .withColumn("rights", rights[4]).drop("last3", "of_three")
+            ),
+            "fours",
+        )
+        # Absorbed: longer / a >= share / whole, for the most frequent extension by one word.
+        share, whole = ABSORBED
+        most = found.groupBy("words").agg(F.max("n").alias("longer"))
+        extended = batch.join(most, "words", "left").filter(F.coalesce("longer", F.lit(0)) * whole < F.col("a") * share)
+        self.survivors = stage(
+            self.above(
+                self.survivors.unionByName(extended.select(*SURVIVOR))
+                .unionByName(fours.filter("rights[0] IS NOT NULL").select(*SURVIVOR)), "score",
+            ),
+            "survivors",
+        )
+        by_score = self.survivors.groupBy("lang", "score").agg(F.count("*").alias("n"))
+        so_far = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("score")))
+        self.floors = stage(
+            by_score.withColumn("so_far", so_far).filter(F.col("so_far") >= TOP)
+            .groupBy(F.col("lang").alias("of_lang")).agg(F.max("score").alias("floor")),
+            "floors",
+        )
+        self.waiting = self.above(fours.filter("rights[0] IS NULL"), "score").select(*made.columns)
+        # The first two of the missing three words are to be extended, whatever their bound.
+        asked = self.above(fours.filter("rights[0] IS NULL"), "score").groupBy(F.slice("words", 2, 2).alias("words")).agg(F.max("score").alias("priority"))
+        left = self.open.drop("priority").join(self.done[-1], "words", "left_anti").unionByName(threes)
+        left = self.above(left.withColumn("priority", F.col("bound")), "priority")
+        others = self.twos.join(asked, "words").join(reduce(DataFrame.unionByName, self.done), "words", "left_anti")
+        both = left.unionByName(others.select(*left.columns))
+        self.open = stage(both.dropDuplicates(["words"]) if not asked.isEmpty() else both, "open")
+        discard(*old)
 
 
 def _batch(open_: DataFrame, quota: int, salt: int) -> DataFrame:
@@ -402,4 +444,4 @@ def _batch(open_: DataFrame, quota: int, salt: int) -> DataFrame:
     )
     rows = open_.join(taken, (F.col("lang") == F.col("of")) & (F.col("priority") == F.col("at")))
     part = F.pmod(F.xxhash64("words", F.lit(salt)), F.col("parts"))
-    return rows.filter((F.col("parts") == 1) | (part == 0)).select("lang", "words", "phrase", "a", "lefts")
+    return rows.filter((F.col("parts") == 1) | (part == 0)).drop("of", "at", "parts", "priority", "rights", "bound")
