@@ -27,17 +27,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(scale == 0, F.lit(0.0)).otherwise(dot(a, b) / scale)
 
 
-def unit(a: Column) -> Column:
-    """The vector at length 1; a zero vector stays zero."""
-    return let(
-        norm(a),
-        lambda length: F.transform(
-            a,
-            lambda x: F.when(length == 0, F.lit(0.0)).otherwise(x.cast("double") / length),
-        ),
-    )
-
-
 def let(value: Column, body) -> Column:
     """Evaluate `value` once and use it in `body`."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,24 +1,26 @@
 """Exact cosine retrieval for tables of questions.
 
-Questions travel to the chunks: a bounded slice of question vectors is
-broadcast, every task multiplies its Arrow batches of chunk vectors by that
-slice and keeps the best `fetch_k` per question. What leaves a task is at most
-`fetch_k` rows per question, whatever the size of its input; pairs are never
-rows. More questions than a slice holds take more passes over the chunks.
+Questions travel to the chunks: slices of question vectors are broadcast, every task
+multiplies its Arrow batches of chunk vectors by each slice and keeps the best
+`fetch_k` per question. What leaves a task is at most `fetch_k` rows per question,
+whatever the size of its input; pairs are never rows. All slices of a scan share one
+read of the chunks; where there are several, a few chunks are scored first, and the
+lowest of a question's best there is its floor, below which no task hands on a row.
 Scores are shuffled with keys only; vectors are fetched for the final candidates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from marlpit.functions.vectors import SCORE_DECIMALS, dot, let, unit
+from marlpit.functions.vectors import SCORE_DECIMALS
 from marlpit.runtime import broadcast_if_small, stage
 
 # Candidates, results and the weight of relevance in re-ranking.
@@ -26,9 +28,16 @@ FETCH_K = 20
 TOP_K = 4
 RELEVANCE_WEIGHT = 0.1
 
-# Bounds of one pass: questions, and cells of the broadcast question matrix.
-QUESTIONS_PER_PASS = 2048
-QUESTION_CELLS = 8 << 20
+# Bounds of a slice and of a scan: questions, and cells of the broadcast question vectors.
+# A task holds the best of all questions of a scan.
+QUESTIONS_PER_SLICE = 2048
+SLICE_CELLS = 2 << 20
+QUESTIONS_PER_SCAN = 64 << 10
+SCAN_CELLS = 16 << 20
+# Chunks that are scored first for the floors.
+FLOOR_CHUNKS = 4096
+# Sources up to which the questions' own limits become a filter of the scan.
+SCOPE_SOURCES = 1024
 # Cells of one block of scores inside a task (32 MB of doubles).
 SCORE_CELLS = 4 << 20
 
@@ -49,30 +58,33 @@ def scope_chunks(
     return rows.where(F.col("source_id").isin(*source_ids))
 
 
-def top_chunks(queries: DataFrame, chunks: DataFrame, fetch_k: int = FETCH_K) -> DataFrame:
+def top_chunks(
+    queries: DataFrame, chunks: DataFrame, fetch_k: int = FETCH_K, per_slice: int | None = None
+) -> DataFrame:
     """The `fetch_k` best chunks per question, ranked by score, then by key.
 
     `queries`: query_id, embedding and, where questions are limited to some
     sources, source_ids (null: all, empty: none). Rows: query_id, candidate
-    (1 is best), score and the chunk's key.
+    (1 is best), score and the chunk's key. `per_slice` bounds the questions
+    that are multiplied at once.
     """
     size = queries.agg(
         F.count("*").alias("questions"), F.max(F.size("embedding")).alias("width")
     ).first()
-    total = size["questions"]
-    per_pass = max(1, min(QUESTIONS_PER_PASS, QUESTION_CELLS // (size["width"] or 1)))
-    if total <= per_pass:
-        return _one_pass(queries.collect(), queries, chunks, fetch_k)
-    # Each slice is collected, answered and stored before the next one, so the
+    total, width = size["questions"], max(1, size["width"] or 1)
+    per_slice = max(1, min(per_slice or QUESTIONS_PER_SLICE, SLICE_CELLS // width))
+    per_scan = max(per_slice, min(QUESTIONS_PER_SCAN, SCAN_CELLS // width))
+    if total <= per_scan:
+        return _one_scan(queries, chunks, fetch_k, per_slice)
+    # What a scan asks is collected, answered and stored before the next one, so the
     # driver never holds more than one. The cut is by rank, hence exact.
     cut = _numbered(queries)
-    passes = -(-total // per_pass)
     answers = None
-    for number in range(passes):
+    for number in range(-(-total // per_scan)):
         rows = cut.where(
-            F.col("_number").between(number * per_pass, (number + 1) * per_pass - 1)
+            F.col("_number").between(number * per_scan, (number + 1) * per_scan - 1)
         ).drop("_number")
-        answer = stage(_one_pass(rows.collect(), queries, chunks, fetch_k), "top-chunks")
+        answer = stage(_one_scan(rows, chunks, fetch_k, per_slice), "top-chunks")
         answers = answer if answers is None else answers.unionByName(answer)
     return answers
 
@@ -96,50 +108,105 @@ def _numbered(queries: DataFrame) -> DataFrame:
     )
 
 
-def _one_pass(rows: list, queries: DataFrame, chunks: DataFrame, fetch_k: int) -> DataFrame:
+class _Slice(NamedTuple):
+    """Some of a scan's questions: vectors, sources each is limited to, and floors."""
+
+    vectors: np.ndarray
+    scopes: list
+    floors: np.ndarray
+
+
+def _slices(asked: pa.Table, per_slice: int) -> list[_Slice]:
+    column = asked["embedding"].combine_chunks()
+    widths = set(pc.list_value_length(column).to_pylist())
+    if len(widths) > 1:
+        raise ValueError(f"question vectors differ in size: {sorted(widths, key=str)}")
+    matrix = _matrix(asked["embedding"], widths.pop() if widths else 0)
+    matrix = matrix.reshape(asked.num_rows, -1) if asked.num_rows else matrix.reshape(0, 0)
+    if "source_ids" in asked.column_names:
+        scopes = asked["source_ids"].to_pylist()
+    else:
+        scopes = [None] * asked.num_rows
+    return [
+        _Slice(matrix[at : at + per_slice], scopes[at : at + per_slice], np.full(len(matrix[at : at + per_slice]), -np.inf))
+        for at in range(0, max(1, asked.num_rows), per_slice)
+    ]
+
+
+def _one_scan(queries: DataFrame, chunks: DataFrame, fetch_k: int, per_slice: int) -> DataFrame:
     spark = chunks.sparkSession
-    query_type = queries.schema["query_id"].dataType
+    scoped = ["source_ids"] if "source_ids" in queries.columns else []
+    given = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), *scoped)
+    asked = given.toArrow()
     schema = (
         T.StructType()
-        .add("query_id", query_type)
+        .add("query_id", queries.schema["query_id"].dataType)
         .add("score", T.DoubleType())
         .add("source_id", T.StringType())
         .add("path", T.StringType())
         .add("chunk_index", T.IntegerType())
     )
-    scoped = "source_ids" in queries.columns
-    scopes = [row["source_ids"] if scoped else None for row in rows]
+    ids = asked["query_id"].combine_chunks().cast(to_arrow_type(queries.schema["query_id"].dataType))
+    slices = _slices(asked, per_slice)
+    scopes = [scope for part in slices for scope in part.scopes]
     if all(scope is not None for scope in scopes):
         wanted = sorted({source for scope in scopes for source in scope})
-        chunks = chunks.where(F.col("source_id").isin(*wanted) if wanted else F.lit(False))
-    widths = {len(row["embedding"]) for row in rows}
-    if len(widths) > 1:
-        raise ValueError(f"question vectors differ in size: {sorted(widths)}")
-    matrix = np.array([row["embedding"] for row in rows], dtype=np.float64)
-    matrix = matrix.reshape(len(rows), widths.pop() if widths else 0)
-    ids = pa.array([row["query_id"] for row in rows], to_arrow_type(query_type))
-    shared = spark.sparkContext.broadcast((matrix, ids, scopes))
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, ids, limits = shared.value
-        hits = _BestHits(vectors, limits, fetch_k)
-        for batch in batches:
-            hits.add(batch)
-        yield from hits.rows(ids)
-
+        if len(wanted) <= SCOPE_SOURCES:
+            chunks = chunks.where(F.col("source_id").isin(*wanted) if wanted else F.lit(False))
     typed = [F.col(name).cast(schema[name].dataType) for name in KEY]
     typed.append(F.col("embedding").cast("array<float>"))
-    found = chunks.select(*typed).mapInArrow(best, schema)
+    vectors = chunks.select(*typed)
+    if len(slices) > 1:
+        slices = _with_floors(slices, ids, vectors, schema, fetch_k)
+    order = [F.desc("score"), *KEY]
+    found = vectors.mapInArrow(_best(spark, slices, ids, fetch_k), schema)
     # Tasks of a large scan are first combined in groups, so that no task
     # receives the rows of all others for a question.
     groups = int(spark.conf.get("spark.sql.shuffle.partitions")) // 8
-    order = [F.desc("score"), *KEY]
     if groups > 1:
         found = found.withColumn("_group", F.spark_partition_id() % groups)
         found = _ranked(found, ["query_id", "_group"], order, fetch_k).drop("_group", "candidate")
     return _ranked(found, ["query_id"], order, fetch_k)
 
 
+def _best(spark, slices: list[_Slice], ids: pa.Array, fetch_k: int):
+    shared = spark.sparkContext.broadcast(([tuple(part) for part in slices], ids))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, ids = shared.value
+        hits = [_BestHits(vectors, limits, floors, fetch_k) for vectors, limits, floors in parts]
+        for batch in batches:
+            for part in hits:
+                part.add(batch)
+        at = 0
+        for part in hits:
+            yield from part.rows(ids.slice(at, len(part.units)))
+            at += len(part.units)
+
+    return best
+
+
+def _with_floors(
+    slices: list[_Slice], ids: pa.Array, vectors: DataFrame, schema: T.StructType, fetch_k: int
+) -> list[_Slice]:
+    """Slices with the score of each question's last candidate among a few chunks.
+
+    At least `fetch_k` chunks score as much, so a lower one is no candidate; questions
+    that find fewer there have no floor.
+    """
+    numbers = pa.array(np.arange(len(ids)))
+    numbered = T.StructType([T.StructField("query_id", T.LongType()), *schema.fields[1:]])
+    some = vectors.limit(FLOOR_CHUNKS).mapInArrow(_best(vectors.sparkSession, slices, numbers, fetch_k), numbered)
+    lowest = (
+        _ranked(some, ["query_id"], [F.desc("score"), *KEY], fetch_k)
+        .where(F.col("candidate") == fetch_k).select("query_id", "score").toArrow()
+    )
+    floors = np.full(len(ids), -np.inf)
+    floors[lowest["query_id"].to_numpy()] = lowest["score"].to_numpy()
+    ends = np.cumsum([len(part.vectors) for part in slices])[:-1]
+    return [part._replace(floors=own) for part, own in zip(slices, np.split(floors, ends))]
+
+
 def with_vectors(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
     """Candidates with the vectors of their chunks, whose keys are unique.
 
@@ -160,14 +227,15 @@ def _ranked(rows: DataFrame, by: list[str], order: list, limit: int) -> DataFram
 class _BestHits:
     """The best `k` rows per question seen so far by one task."""
 
-    def __init__(self, vectors: np.ndarray, scopes: list, k: int):
+    def __init__(self, vectors: np.ndarray, scopes: list, floors: np.ndarray, k: int):
         lengths = np.linalg.norm(vectors, axis=1)
         self.units = vectors / np.where(lengths > 0, lengths, 1.0)[:, None]
         self.scopes = None if all(s is None for s in scopes) else [
             None if s is None else set(s) for s in scopes
         ]
         self.k = k
-        self.floor = np.full(len(vectors), -np.inf)
+        self.least = floors
+        self.floor = floors
         self.query = np.empty(0, dtype=np.int64)
         self.score = np.empty(0)
         self.row = np.empty(0, dtype=np.int64)
@@ -224,7 +292,7 @@ class _BestHits:
         count = np.bincount(self.query, minlength=len(self.floor))
         lowest = np.full(len(self.floor), np.inf)
         np.minimum.at(lowest, self.query, self.score)
-        self.floor = np.where(count >= self.k, lowest, -np.inf)
+        self.floor = np.where(count >= self.k, lowest, self.least)
 
     def _allowed(self, rows: pa.Table) -> np.ndarray | None:
         if self.scopes is None:
@@ -273,80 +341,82 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     flat = column.combine_chunks()
     if isinstance(flat, pa.ChunkedArray):
         flat = pa.concat_arrays(flat.chunks)
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(flat), width) if len(flat) else values.reshape(0, max(width, 0))
 
 
-def mmr_picks(candidates: Column, k: int, relevance_weight: float = RELEVANCE_WEIGHT) -> Column:
-    """Indices (0-based) of the maximal-marginal-relevance picks, in pick order.
+def rerank(
+    candidates: DataFrame, k: int = TOP_K, relevance_weight: float = RELEVANCE_WEIGHT
+) -> DataFrame:
+    """Re-rank the output of `with_vectors`: `rank` 1..k in pick order per question.
 
-    `candidates` is an array of structs with `score` and `embedding`, best
-    first. Each pick maximizes weight * score - (1 - weight) * closeness, where
-    closeness is the highest cosine to an earlier pick, at least 0; equal
-    values go to the earlier candidate. Every candidate's closeness is kept in
-    the state, so a round compares it with the newest pick only.
+    Each pick maximizes weight * score - (1 - weight) * closeness, where closeness is
+    the highest cosine to an earlier pick, at least 0; equal values go to the earlier
+    candidate. A question's candidates, at most `fetch_k`, lie next to one another in
+    one task, which works on all questions of an Arrow batch at once.
     """
-    if k <= 0:
-        return F.array().cast("array<int>")
-    weight = F.lit(float(relevance_weight))
-
-    def run(units: Column) -> Column:
-        start = F.struct(
-            F.array().cast("array<int>").alias("picks"),
-            F.transform(candidates, lambda c: F.lit(0.0)).alias("closeness"),
-        )
+    fields = ["query_id", "candidate", "score", *KEY]
+    schema = T.StructType([candidates.schema[name] for name in fields if name != "candidate"]).add("rank", T.IntegerType())
+    weight = float(relevance_weight)
 
-        def step(state: Column, _: Column) -> Column:
-            def value(candidate: Column, i: Column) -> Column:
-                gain = weight * candidate["score"]
-                loss = (F.lit(1.0) - weight) * F.get(state["closeness"], i)
-                return F.when(
-                    ~F.array_contains(state["picks"], i),
-                    F.struct(
-                        F.round(gain - loss, SCORE_DECIMALS).alias("mmr"), (-i).alias("earlier")
-                    ),
-                )
-
-            best = F.array_max(F.transform(candidates, value))
-            return let(
-                -best["earlier"],
-                lambda pick: F.struct(
-                    F.concat(state["picks"], F.array(pick)).alias("picks"),
-                    F.transform(
-                        state["closeness"],
-                        lambda close, i: F.greatest(
-                            close, dot(F.get(units, i), F.get(units, pick))
-                        ),
-                    ).alias("closeness"),
-                ),
-            )
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            # The last question may go on in the next batch.
+            starts = np.flatnonzero(held["candidate"].to_numpy() == 1)
+            if len(starts) > 1:
+                yield from _picked(held.slice(0, starts[-1]), starts[:-1], k, weight)
+                held = held.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield from _picked(held, np.zeros(1, np.int64), k, weight)
 
-        rounds = F.slice(F.sequence(F.lit(1), F.lit(k)), 1, F.size(candidates))
-        return F.aggregate(rounds, start, step, lambda state: state["picks"])
+    return (
+        candidates.select(*fields, "embedding")
+        .repartition("query_id").sortWithinPartitions("query_id", "candidate")
+        .mapInArrow(pick, schema)
+        .select("query_id", "rank", "score", *KEY)
+    )
 
-    return let(F.transform(candidates, lambda c: unit(c["embedding"])), run)
 
+def _picked(rows: pa.Table, starts: np.ndarray, k: int, weight: float) -> Iterator[pa.RecordBatch]:
+    """The picks of whole questions, each beginning at one of `starts`."""
+    sizes = np.diff(np.append(starts, rows.num_rows))
+    picks, ranks = [], []
+    for size in np.unique(sizes):
+        of_size = starts[sizes == size]
+        at = of_size[:, None] + np.arange(size)
+        order = mmr_order(
+            _matrix(rows["embedding"].take(pa.array(at.ravel())), -1).reshape(len(at), size, -1),
+            rows["score"].to_numpy()[at], k, weight,
+        )
+        picks.append(np.take_along_axis(at, order, axis=1).ravel())
+        ranks.append(np.tile(np.arange(1, order.shape[1] + 1, dtype=np.int32), len(at)))
+    picks, ranks = np.concatenate(picks), np.concatenate(ranks)
+    if len(picks):
+        out = rows.drop_columns(["candidate", "embedding"]).take(pa.array(picks)).append_column("rank", pa.array(ranks))
+        yield from out.combine_chunks().to_batches()
 
-def rerank(
-    candidates: DataFrame, k: int = TOP_K, relevance_weight: float = RELEVANCE_WEIGHT
-) -> DataFrame:
-    """Re-rank the output of `with_vectors`: `rank` 1..k in pick order per question.
 
-    A question's group is its `fetch_k` candidates. The outer explode keeps
-    Catalyst from evaluating the picks a second time in an inferred size filter.
+def mmr_order(vectors: np.ndarray, scores: np.ndarray, k: int, weight: float) -> np.ndarray:
+    """Maximal-marginal-relevance picks of many questions with as many candidates each.
+
+    `vectors` (questions, candidates, width) and `scores` (questions, candidates) give
+    the candidates' places in pick order (questions, k at most).
     """
-    fields = ["candidate", "score", *KEY, "embedding"]
-    grouped = candidates.groupBy("query_id").agg(
-        F.sort_array(F.collect_list(F.struct(*fields))).alias("_candidates")
-    )
-    return (
-        grouped.withColumn("_picks", mmr_picks(F.col("_candidates"), k, relevance_weight))
-        .select("query_id", "_candidates", F.posexplode_outer("_picks").alias("_pos", "_pick"))
-        .where("_pick is not null")
-        .withColumn("_hit", F.get("_candidates", "_pick"))
-        .select(
-            "query_id",
-            (F.col("_pos") + 1).alias("rank"),
-            "_hit.score",
-            *[f"_hit.{name}" for name in KEY],
-        )
-    )
+    questions, size, _ = vectors.shape
+    lengths = np.linalg.norm(vectors, axis=2, keepdims=True)
+    units = vectors / np.where(lengths > 0, lengths, 1.0)
+    closeness = np.matmul(units, units.transpose(0, 2, 1))
+    nearest = np.zeros((questions, size))
+    open_ = np.ones((questions, size), bool)
+    order = np.empty((questions, max(0, min(k, size))), np.int64)
+    every = np.arange(questions)
+    for step in range(order.shape[1]):
+        value = np.round(weight * scores - (1.0 - weight) * nearest, SCORE_DECIMALS)
+        value[~open_] = -np.inf
+        order[:, step] = pick = value.argmax(axis=1)
+        open_[every, pick] = False
+        nearest = np.maximum(nearest, closeness[every, pick])
+    return order

@@ -121,13 +121,13 @@ def vector_queries(spark, folder) -> DataFrame:
 
 
 VECTORS_SQL = """
-chunks AS MATERIALIZED (
+chunks AS (
   SELECT 's' || label AS source_id, vec_id::VARCHAR AS path, 0 AS chunk_index,
          'text of ' || vec_id AS text,
          [(x::DOUBLE * label)::FLOAT::DOUBLE FOR x IN embedding] AS v,
          CASE WHEN embedding[1] < -0.125 THEN 'm0' ELSE 'm1' END AS embed_model
   FROM embeddings),
-questions AS MATERIALIZED (
+questions AS (
   SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS v FROM embeddings)
 """
 
@@ -140,52 +140,42 @@ def cosine_sql(a: str, b: str) -> str:
 
 
 def top_sql(where: str = "true", fetch_k: int = 20) -> str:
-    """CTE `top` from `chunks` and `questions`."""
+    """CTE `top` from `chunks` and `questions`; no CTE is referred to twice."""
     return f"""
-scored AS MATERIALIZED (
-  SELECT q.query_id, c.source_id, c.path, c.chunk_index, c.text, c.v,
-         round({cosine_sql('q.v', 'c.v')}, 9) AS score
-  FROM questions q, chunks c WHERE {where}),
-top AS MATERIALIZED (
+top AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id
              ORDER BY score DESC, source_id, path, chunk_index) AS candidate
-    FROM scored) WHERE candidate <= {fetch_k})
+    FROM (SELECT q.query_id, c.source_id, c.path, c.chunk_index, c.text, c.v,
+                 round({cosine_sql('q.v', 'c.v')}, 9) AS score
+          FROM questions q, chunks c WHERE {where}))
+  WHERE candidate <= {fetch_k})
 """
 
 
-def mmr_sql(k: int = 4) -> str:
-    """CTE `picks` (query_id, rank, candidate) from `top`, one step per pick."""
-    steps = [
-        """
-closeness AS MATERIALIZED (
-  SELECT a.query_id, a.candidate AS candidate, b.candidate AS other, """
-        + cosine_sql("a.v", "b.v")
-        + """ AS cosine
-  FROM top a JOIN top b USING (query_id)),
-picks1 AS MATERIALIZED (SELECT query_id, 1 AS rank, candidate FROM top WHERE candidate = 1)"""
-    ]
-    for rank in range(2, k + 1):
-        steps.append(
-            f"""
-picks{rank} AS MATERIALIZED (
-  SELECT * FROM picks{rank - 1}
-  UNION ALL
-  SELECT query_id, {rank} AS rank, candidate FROM (
-    SELECT t.query_id, t.candidate, row_number() OVER (PARTITION BY t.query_id ORDER BY
-             round(0.1::DOUBLE * t.score - 0.9::DOUBLE * greatest(0.0, m.nearest), 9) DESC,
-             t.candidate) AS place
-    FROM top t JOIN (
-      SELECT c.query_id, c.candidate, max(c.cosine) AS nearest
-      FROM closeness c JOIN picks{rank - 1} p
-        ON p.query_id = c.query_id AND p.candidate = c.other
-      GROUP BY ALL) m ON m.query_id = t.query_id AND m.candidate = t.candidate
-    WHERE NOT EXISTS (SELECT 1 FROM picks{rank - 1} p
-                      WHERE p.query_id = t.query_id AND p.candidate = t.candidate))
-  WHERE place = 1)"""
-        )
-    steps.append(f"\npicks AS (SELECT * FROM picks{k})")
-    return ",".join(steps)
+def hits_sql(k: int = 4) -> str:
+    """Query: query_id, rank, hit of re-ranking `top`, a fold over one list for each question.
+
+    Each step reads the one before once: the values of all candidates, null where
+    picked already, and the place of the first of the highest.
+    """
+    rows = f"""
+  SELECT query_id, c, [[{cosine_sql('a.v', 'b.v')} FOR b IN c] FOR a IN c] AS near, [1::BIGINT] AS picks
+  FROM (SELECT query_id, list(struct_pack(source_id, path, chunk_index, text, v, score) ORDER BY candidate) AS c
+        FROM top GROUP BY query_id)"""
+    for _ in range(1, k):
+        rows = f"""
+  SELECT query_id, c, near,
+         CASE WHEN len(picks) < len(c) THEN list_append(picks, list_position(worth, list_max(worth)))
+              ELSE picks END AS picks
+  FROM (SELECT *, [CASE WHEN list_contains(picks, i) THEN NULL
+                   ELSE round(0.1::DOUBLE * c[i].score - 0.9::DOUBLE
+                              * greatest(0.0::DOUBLE, list_max([near[i][p] FOR p IN picks])), 9)
+                   END FOR i IN range(1, len(c) + 1)] AS worth
+        FROM ({rows}))"""
+    return f"""
+  SELECT query_id, rank::INTEGER AS rank, c[pick] AS hit
+  FROM (SELECT query_id, c, unnest(picks) AS pick, generate_subscripts(picks, 1) AS rank FROM ({rows}))"""
 
 
 # fixed windows of a text column -------------------------------------------
@@ -222,3 +212,13 @@ buckets AS (
 weights AS (
   SELECT id, bucket, n, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS weight FROM buckets)
 """
+
+
+def hashed_sql(text: str, dim: int = 64) -> str:
+    """The hashed vector of a text column, as a list."""
+    terms = rf"list_filter(string_split_regex(lower({text}), '[ \t\n\r\f\v]+'), lambda t: t <> '')"
+    buckets = f"[('0x' || substring(md5(t), 1, 8))::BIGINT % {dim} FOR t IN {terms}]"
+    counts = f"[coalesce(h[b], 0)::DOUBLE FOR b IN range({dim})]"
+    return f"""(SELECT CASE WHEN size = 0 THEN n ELSE [x / sqrt(size) FOR x IN n] END
+      FROM (SELECT n, list_dot_product(n, n) AS size
+            FROM (SELECT {counts} AS n FROM (SELECT list_aggregate({buckets}, 'histogram') AS h))))"""

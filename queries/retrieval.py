@@ -12,12 +12,14 @@ from marlpit.operators.retrieval import rerank, scope_chunks, top_chunks, with_v
 from marlpit.plans.search import search
 from queries import query, table
 from queries.fixtures import (
-    HASH_WEIGHTS_SQL,
     PATH_SQL,
     VECTORS_SQL,
     cosine_sql,
     doc_path,
-    mmr_sql,
+    hashed_sql,
+    hits_sql,
+    hashed_sql,
+    hits_sql,
     top_sql,
     vector_chunks,
     vector_queries,
@@ -25,12 +27,12 @@ from queries.fixtures import (
 )
 
 _TOP = "query_id, candidate, source_id, path, chunk_index, score"
+_HIT = "hit.text AS page_content, hit.source_id AS source_id, hit.path AS path, hit.chunk_index AS chunk_index, hit.score AS score"
 
 
 @query(
-    f"""WITH {VECTORS_SQL}, {top_sql("c.embed_model = 'm1'")}, {mmr_sql()}
-    SELECT query_id, rank, text AS page_content, source_id, path, chunk_index, score
-    FROM picks JOIN top USING (query_id, candidate)"""
+    f"""WITH {VECTORS_SQL}, {top_sql("c.embed_model = 'm1'")}
+    SELECT query_id, rank, {_HIT} FROM ({hits_sql()})"""
 )
 def mmr_search(spark, folder):
     hits = search(vector_queries(spark, folder), vector_chunks(spark, folder), "m1")
@@ -47,6 +49,13 @@ def topk_cosine(spark, folder):
     return top.selectExpr(*_TOP.split(", "))
 
 
+@query(f"WITH {VECTORS_SQL}, {top_sql()} SELECT {_TOP} FROM top")
+def sliced_search(spark, folder):
+    """All vectors as questions, in many slices that share one scan of the chunks."""
+    top = top_chunks(vector_queries(spark, folder), vector_chunks(spark, folder), per_slice=16)
+    return top.selectExpr(*_TOP.split(", "))
+
+
 @query(
     f"""WITH {VECTORS_SQL},
     {top_sql("c.embed_model = 'm1' AND c.source_id IN ('s1', 's2', 's5', 's8')")}
@@ -60,8 +69,8 @@ def scoped_search(spark, folder):
 @query(
     f"""WITH {VECTORS_SQL}, {top_sql('''
       (q.label = 9 OR c.source_id IN ('s' || q.label, 's' || (q.label + 1)))
-      AND q.label <> 7 ''')}, {mmr_sql(6)}
-    SELECT query_id, rank, source_id, path, score FROM picks JOIN top USING (query_id, candidate)"""
+      AND q.label <> 7 ''')}
+    SELECT query_id, rank, hit.source_id AS source_id, hit.path AS path, hit.score AS score FROM ({hits_sql(6)})"""
 )
 def question_scopes(spark, folder):
     """Each question limited to two sources; label 9 asks all, label 7 none."""
@@ -101,30 +110,14 @@ def zero_vector_score(spark, folder):
     )
 
 
-_HASHED_SQL = f"""
-{HASH_WEIGHTS_SQL},
-vectors AS MATERIALIZED (
-  SELECT id, list(coalesce(weight, 0.0) ORDER BY bucket) AS v
-  FROM (SELECT id, bucket FROM texts, range(64) t(bucket))
-  LEFT JOIN weights USING (id, bucket) GROUP BY id)
-"""
-
-
 @query(
-    f"""WITH docs AS MATERIALIZED (SELECT source AS source_id, {PATH_SQL} AS path, text FROM documents),
-    pieces AS MATERIALIZED ({windows_sql('docs', 'source_id, path')}),
-    texts AS MATERIALIZED (
-      SELECT 'q' || item_id AS id, text FROM benchmark
-      UNION ALL SELECT path || '#' || chunk_index, text FROM pieces),
-    {_HASHED_SQL},
-    chunks AS MATERIALIZED (
-      SELECT source_id, path, chunk_index, text, [x::FLOAT::DOUBLE FOR x IN v] AS v
-      FROM pieces JOIN vectors ON id = path || '#' || chunk_index),
-    questions AS MATERIALIZED (
-      SELECT item_id AS query_id, v FROM benchmark JOIN vectors ON id = 'q' || item_id),
-    {top_sql()}, {mmr_sql()}
-    SELECT query_id, rank, text AS page_content, source_id, path, chunk_index, score
-    FROM picks JOIN top USING (query_id, candidate)"""
+    f"""WITH docs AS (SELECT source AS source_id, {PATH_SQL} AS path, text FROM documents),
+    chunks AS (
+      SELECT source_id, path, chunk_index, text, [x::FLOAT::DOUBLE FOR x IN {hashed_sql('text')}] AS v
+      FROM ({windows_sql('docs', 'source_id, path')})),
+    questions AS (SELECT item_id AS query_id, {hashed_sql('text')} AS v FROM benchmark),
+    {top_sql()}
+    SELECT query_id, rank, {_HIT} FROM ({hits_sql()})"""
 )
 def text_search(spark, folder):
     """Benchmark texts as questions over all documents: embed, score, re-rank."""

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ import marlpit.operators.retrieval as retrieval
 from marlpit.functions.vectors import cosine
 from marlpit.operators.reports import dimension_check, query_dimension_check
 from marlpit.operators.retrieval import rerank, scope_chunks, top_chunks, with_vectors
+from tests.mmr_columns import mmr_picks
 
 CHUNKS = ("source_id string, path string, chunk_index int, text string, "
           "embedding array<float>, embed_model string")
@@ -68,10 +70,12 @@ def picked(questions, chunks, k=4, fetch_k=20):
     return hits_of(rerank(with_vectors(top_chunks(questions, chunks, fetch_k), chunks), k))
 
 
-@pytest.mark.parametrize("parts,per_pass,k", [(1, 2048, 4), (5, 2048, 7), (3, 4, 4)])
-def test_matches_brute_force(spark, monkeypatch, parts, per_pass, k):
-    """Many equal scores, zero and opposite vectors; several tasks and passes."""
-    monkeypatch.setattr(retrieval, "QUESTIONS_PER_PASS", per_pass)
+@pytest.mark.parametrize("parts,per_slice,per_scan,k", [(1, 2048, 4096, 4), (5, 2048, 4096, 7), (3, 4, 4096, 4), (3, 3, 6, 4)])
+def test_matches_brute_force(spark, monkeypatch, parts, per_slice, per_scan, k):
+    """Many equal scores, zero and opposite vectors; several tasks, slices and scans."""
+    monkeypatch.setattr(retrieval, "QUESTIONS_PER_SLICE", per_slice)
+    monkeypatch.setattr(retrieval, "QUESTIONS_PER_SCAN", per_scan)
+    monkeypatch.setattr(retrieval, "FLOOR_CHUNKS", 60)
     rows = random_chunks(1, 700)
     questions = [(i, row[4]) for i, row in enumerate(random_chunks(2, 13))]
     asked, chunks = spark.createDataFrame(questions, QUERIES).repartition(3), frame(spark, rows).repartition(parts)
@@ -200,3 +204,53 @@ def test_candidates_beyond_the_broadcast_bound_give_the_same(spark, monkeypatch)
     monkeypatch.setattr(retrieval, "broadcast_if_small", lambda df: df)
     found = picked(spark.createDataFrame(questions, QUERIES), frame(spark, rows).repartition(3))
     assert found == {i: brute_search(v, keyed(rows)) for i, v in questions}
+
+
+def test_slices_share_one_scan_and_a_floor_keeps_rows_in_their_tasks(spark, tmp_path):
+    """40 slices: one read of the chunk table beside the few chunks of the floors, and few rows leave the tasks."""
+    rows = random_chunks(7, 3000, dim=8)
+    frame(spark, rows).repartition(6).write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    questions = [(i, row[4]) for i, row in enumerate(random_chunks(8, 80, dim=8))]
+    asked = spark.createDataFrame(questions, QUERIES)
+    top = top_chunks(asked, chunks, per_slice=2)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    found = hits_of(rerank(with_vectors(top, chunks)))
+    assert found == {i: brute_search(v, keyed(rows)) for i, v in questions}
+
+    numbers = pa.array(range(len(questions)))
+    slices = retrieval._slices(asked.toArrow(), 2)
+    schema = "query_id long, score double, source_id string, path string, chunk_index int"
+    vectors = chunks.select(*retrieval.KEY, "embedding")
+    from pyspark.sql.types import _parse_datatype_string
+
+    floored = retrieval._with_floors(slices, numbers, vectors, _parse_datatype_string(schema), 20)
+    handed = [
+        vectors.mapInArrow(retrieval._best(spark, parts, numbers, 20), schema).count() for parts in (slices, floored)
+    ]
+    assert handed[1] < handed[0] == vectors.rdd.getNumPartitions() * 20 * len(questions)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rerank_agrees_with_its_column_form(spark, seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 2, 5, 20]) for _ in range(30)]
+    rows = [
+        (q, c + 1, round(rng.choice([0.9, 0.5, 0.5, -0.2, rng.random()]), 9), "s", f"p{c}", 0, [float(rng.randint(-2, 2)) for _ in range(4)])
+        for q, size in enumerate(sizes) for c in range(size)
+    ]
+    table = spark.createDataFrame(
+        rows, "query_id int, candidate int, score double, source_id string, path string, chunk_index int, embedding array<float>"
+    ).repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.query_id, r.rank): r.path for r in rerank(table, 6, 0.3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lists = table.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("candidate", "score", "embedding"))).alias("c"))
+    wanted = {
+        (r.query_id, at + 1): f"p{pick}"
+        for r in lists.select("query_id", mmr_picks(F.col("c"), 6, 0.3).alias("picks")).collect() for at, pick in enumerate(r.picks)
+    }
+    assert got == wanted
