@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +45,14 @@ class PartIds:
 
     def _learn(self, words: list[bytes]) -> None:
         encoded, flags = self.encode([w.decode() for w in words])
-        lengths = np.array([len(e) for e in encoded], np.int64)
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
         n, total = len(self.known), int(lengths.sum())
         for name, size in (("ids", self.used + total), ("starts", n + len(words)), ("lengths", n + len(words)), ("flags", n + len(words))):
             self._room(name, size)
         at = slice(n, n + len(words))
         self.starts[at] = self.used + np.cumsum(lengths) - lengths
         self.lengths[at], self.flags[at] = lengths, flags
-        if total:
-            self.ids[self.used : self.used + total] = np.concatenate([np.asarray(e, np.int32) for e in encoded])
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(encoded), np.int32, total)
         self.used += total
         self.known.update(zip(words, range(n, n + len(words))))
 
@@ -60,7 +60,8 @@ class PartIds:
         """All ids one after another, how many each part has, and its flag."""
         coded = column.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        fresh = [w for w in words if w not in self.known]
+        places = list(map(self.known.get, words))
+        fresh = [w for w, place in zip(words, places) if place is None]
         full = len(self.known) + len(fresh) > REMEMBERED or self.bytes > REMEMBERED_BYTES
         if full and self.known:
             self._empty()
@@ -68,8 +69,9 @@ class PartIds:
         if fresh:
             self.bytes += sum(map(len, fresh))
             self._learn(fresh)
-        place = np.fromiter((self.known[w] for w in words), np.int64, len(words))[coded.indices.to_numpy()]
+            places = list(map(self.known.get, words))
+        place = np.array(places, np.int64)[coded.indices.to_numpy()]
         lengths = self.lengths[place]
-        before = np.cumsum(lengths) - lengths
-        at = np.arange(int(lengths.sum())) + np.repeat(self.starts[place] - before, lengths)
+        stops = np.cumsum(lengths)
+        at = np.arange(stops[-1] if len(stops) else 0) + np.repeat(self.starts[place] - stops + lengths, lengths)
         return self.ids[at], lengths, self.flags[place]

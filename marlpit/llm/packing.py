@@ -1,7 +1,7 @@
 """Best-two-fit packing of documents into sequences of equal width.
 
-Words are encoded apart, each distinct one once a task; only documents longer than
-the width are cut. How pieces are packed depends on their lengths alone, so the plan
+Words are encoded apart, without marks after them, each distinct one once a task; only
+documents longer than the width are cut. How pieces are packed depends on their lengths alone, so the plan
 is made from the number of pieces of each length, of which there are at most as many
 as the width: a bin is filled greedily, its smallest piece gives way to two that fill
 its gap better, and the same bin is made again while there are pieces for it. Pieces
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, bisect_right
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from marlpit.runtime import broadcast_if_small, stage
 WIDTH = 2048
 END = 0
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 22
 
 
 def read_tokenizer(path: str = TOKENIZER) -> str:
@@ -97,8 +98,56 @@ def _places(bins: list) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "sequence", "copies", "place"), np.ascontiguousarray(columns)))
 
 
-def pieces(docs: DataFrame, tokenizer: str, width: int = WIDTH, end: int = END) -> DataFrame:
-    """doc_id, piece, start, length, ids, and part and nth: the task and the rank among its pieces of that length."""
+def _units(texts: tokens.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, and starts, ends and texts of parts whose ids, one after another, are those of the texts.
+
+    Words are such parts, as no token holds white space. So is what follows an ASCII
+    letter from the first ASCII mark on, since a run of letters ends there whatever
+    comes next. Words of ASCII alone are lowered, as the normaliser does. A word that
+    may hold the name of a special token stays as it is.
+    """
+    found, data = tokens.words(texts), texts.data
+    special = np.zeros(len(data) + 1, bool)
+    special[1:-1] = (data[:-1] == NAME[0]) & (data[1:] == NAME[1])
+
+    def of_words(marks: np.ndarray) -> np.ndarray:
+        which = np.zeros(len(found.starts), bool)
+        which[np.searchsorted(found.ends, np.flatnonzero(marks), side="right")] = True
+        return which
+
+    def inside(which: np.ndarray) -> np.ndarray:
+        edges = np.zeros(len(data) + 1, np.int8)
+        edges[found.starts[which]] += 1
+        edges[found.ends[which]] -= 1
+        return np.cumsum(edges[:-1], dtype=np.int8).view(bool)
+
+    named = of_words(special[1:])
+    kept = inside(of_words(data >= 128) | named)
+    cut = np.zeros(len(data), bool)
+    cut[1:] = LETTER[data[:-1]] & MARK[data[1:]]
+    if named.any():
+        cut &= ~inside(named)
+    cuts = np.flatnonzero(cut)
+    starts, ends = np.sort(np.concatenate([found.starts, cuts])), np.sort(np.concatenate([found.ends, cuts]))
+    return np.where(kept, data, tokens.LOWER[data]), starts, ends, np.searchsorted(texts.offsets, starts, side="right") - 1
+
+
+def _ascii(test) -> np.ndarray:
+    return np.array([value < 128 and test(chr(value)) for value in range(256)])
+
+
+# What special tokens begin with.
+NAME = b"<|"
+LETTER = _ascii(str.isalpha)
+MARK = _ascii(lambda c: c.isprintable() and not c.isalnum() and c != " ")
+
+
+def pieces(docs: DataFrame, tokenizer: str, width: int = WIDTH, end: int = END, ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids, and part and nth: the task and the rank among its pieces of that length.
+
+    Without `ids` their CRC-32 stands instead, of little-endian unsigned 32-bit numbers, as ids_crc32.
+    """
+    whole = ids
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches):
@@ -119,14 +168,14 @@ def pieces(docs: DataFrame, tokenizer: str, width: int = WIDTH, end: int = END)
         for batch in batches:
             doc_ids = batch.column("doc_id")
             for texts in tokens.slices(batch.column("text"), SLICE_BYTES):
-                found = tokens.words(texts)
-                ids, lengths, _ = table.of(distinct.parts(texts.data, found.starts, found.ends))
-                sizes = np.bincount(found.text, weights=lengths, minlength=texts.count).astype(np.int64) + 1
+                data, starts, ends, owner = _units(texts)
+                found, lengths, _ = table.of(distinct.parts(data, starts, ends))
+                sizes = np.bincount(owner, weights=lengths, minlength=texts.count).astype(np.int64) + 1
                 stops = np.cumsum(sizes)
                 flat = np.full(int(stops[-1]), end, np.int32)
                 is_id = np.ones(len(flat), bool)
                 is_id[stops - 1] = False
-                flat[is_id] = ids
+                flat[is_id] = found
                 # Pieces: all of full width but the last of each document.
                 n = -(-sizes // width)
                 doc = np.repeat(np.arange(texts.count), n)
@@ -139,36 +188,26 @@ def pieces(docs: DataFrame, tokenizer: str, width: int = WIDTH, end: int = END)
                 nth = np.empty(len(order), np.int64)
                 nth[order] = seen[length[order]] + np.arange(len(order)) - first
                 seen += np.bincount(length, minlength=width + 1)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
+                bounds = np.concatenate([[0], np.cumsum(length)])
+                if whole:
+                    content = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
+                else:
+                    raw = memoryview(flat.astype("<u4", copy=False)).cast("B")
+                    content = pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in pairwise(bounds.tolist())], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         doc_ids.take(pa.array(texts.first + doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
-                        pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(np.full(len(doc), task, np.int32)), pa.array(nth),
+                        content, pa.array(np.full(len(doc), task, np.int32)), pa.array(nth),
                     ],
-                    names=["doc_id", "piece", "start", "length", "ids", "part", "nth"],
+                    names=["doc_id", "piece", "start", "length", "ids" if whole else "ids_crc32", "part", "nth"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids array<int>, part int, nth long"
+    content = "ids array<int>" if ids else "ids_crc32 long"
+    schema = f"doc_id {kind}, piece int, start long, length long, {content}, part int, nth long"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def digests(cut: DataFrame) -> DataFrame:
-    """Pieces with the CRC-32 of their ids, as little-endian unsigned 32-bit numbers, in place of the ids."""
-    fields = [f for f in cut.schema.fields if f.name != "ids"]
-
-    def run(batches):
-        for batch in batches:
-            column = batch.column("ids")
-            raw = column.flatten().to_numpy().astype("<u4").tobytes()
-            ends = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]) * 4
-            sums = [zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            yield batch.drop_columns(["ids"]).append_column("ids_crc32", pa.array(sums, pa.int64()))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return cut.mapInArrow(run, f"{schema}, ids_crc32 long")
-
-
 def pack(cut: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of `pieces` with sequence_id and offset, in place of part and nth.
 
@@ -212,8 +251,7 @@ def packed_pieces(docs: DataFrame, tokenizer: str, width: int = WIDTH, end: int
     shorter. Repeated rows are documents of their own; other columns are ignored; an
     empty table gives no rows.
     """
-    cut = pieces(docs, tokenizer, width, end)
-    packed = pack(stage(cut if ids else digests(cut), "pieces"), width)
+    packed = pack(stage(pieces(docs, tokenizer, width, end, ids), "pieces"), width)
     return packed.select("doc_id", "piece", "start", "length", "ids" if ids else "ids_crc32", "sequence_id", "offset")
 
 

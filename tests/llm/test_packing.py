@@ -18,6 +18,8 @@ def rows():
     random_ = random.Random(3)
     words = ["river", "Stone", "été", "x1", "don't", "...", "wörter"]
     made = [(i, " ".join(random_.choices(words, k=random_.randrange(0, 90)))) for i in range(150)]
+    odd = ["W", "w", "e", "É", "'", "'s", "'Re", "!", "!!", ",", "<", "|", "<|", "|>", "<|ENDOFTEXT|>", "<|endoftext|>", "1", "\u030a", "\u0301", "\u00a0", " ", "\n", "…", "木", "K", "\u212a", "İ"]
+    made += [(300 + i, "".join(random_.choices(odd, k=random_.randrange(1, 60)))) for i in range(300)]
     return made + [(1, made[1][1]), (200, None), (201, ""), (202, " \n "), (203, ODD), (204, "ab " * 5000), (None, "no id"), (205, "x" * 9000)]
 
 
