@@ -23,6 +23,7 @@ from marlpit.operators.changes import (
 )
 from marlpit.operators.chunking import chunk_documents
 from marlpit.operators.embedding import ColumnEmbedder, Embedder, embed_chunks
+from marlpit.operators.key_filter import key_filter
 from marlpit.runtime import BROADCAST_ROWS, broadcast_if_small, discard, stage, together
 from marlpit.sources.store import IndexStore, Version
 from marlpit.sources.tables import select_documents
@@ -207,9 +208,10 @@ def _write_chunks(
 def _to_reindex(plan: DataFrame, listing: DataFrame) -> DataFrame | None:
     """The planned documents, without moving the others; null when there are none.
 
-    The smaller of "to index" and "to leave" decides the join, so a first
-    crawl and a quiet one both get by with few keys, which are broadcast as
-    long as their counted number allows.
+    The smaller of "to index" and "to leave" decides, so a first crawl and a quiet one
+    both get by with few keys. As long as their counted number allows, these are
+    broadcast. Beyond it a key filter of bounded size parts the listing below the
+    shuffle: what it does not hold is decided there, and only the rest is joined.
     """
     reindex = F.col("action").isin(*REINDEX)
     size = plan.where("action <> 'remove'").agg(
@@ -222,8 +224,12 @@ def _to_reindex(plan: DataFrame, listing: DataFrame) -> DataFrame | None:
     few, how = (reindex, "left_semi") if size["todo"] <= size["rest"] else (~reindex, "left_anti")
     keys = plan.where(few & (F.col("action") != "remove")).select(*KEYS)
     if min(size) <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    return listing.join(keys, KEYS, how)
+        return listing.join(F.broadcast(keys), KEYS, how)
+    may_hold = key_filter(keys, KEYS, min(size))
+    unclear = listing.where(may_hold).join(keys, KEYS, how)
+    if how == "left_semi":
+        return unclear
+    return unclear.unionByName(listing.where(~may_hold))
 
 
 def _judge(store: IndexStore, run: int, plan: DataFrame, wrote_chunks: bool) -> DataFrame:
