@@ -24,11 +24,14 @@ def fingerprint(documents: DataFrame) -> DataFrame:
 
 
 def unique_scan(scan: DataFrame) -> DataFrame:
-    """One row per key; a key listed twice becomes an error row.
+    """One row per key: copies with one content are one document, others an error.
 
-    Copies are folded before the shuffle, and the change plan's join reuses
-    the partitioning of this aggregate.
+    A copy that could not be read makes its key an error too. `copies` counts them.
+    Copies are folded
+    before the shuffle, and the change plan's join reuses the partitioning of this
+    aggregate.
     """
+    differs = F.min("content_hash") != F.max("content_hash")
     return (
         scan.groupBy(*KEYS)
         .agg(
@@ -36,18 +39,19 @@ def unique_scan(scan: DataFrame) -> DataFrame:
             F.min("decodable").alias("decodable"),
             F.min("error").alias("error"),
             F.count("*").alias("copies"),
+            F.coalesce(differs, F.lit(False)).alias("differs"),
         )
         .withColumn(
             "error",
             F.coalesce(
                 "error",
                 F.when(
-                    F.col("copies") > 1,
+                    F.col("differs"),
                     F.concat(F.col("copies"), F.lit(" documents share the path "), "path"),
                 ),
             ),
         )
-        .drop("copies")
+        .drop("differs")
     )
 
 

@@ -101,10 +101,12 @@ def apply_plan(
     commits: DataFrame | None = None,
     crawled_at: datetime | None = None,
     all_or_nothing: bool = False,
+    versions: DataFrame | None = None,
 ) -> DataFrame:
     """Carry out a staged change plan as one run of the store.
 
     A failing file stops its source there, or, with `all_or_nothing`, the run.
+    `versions` (source_id, path, version) become visible with it.
     """
     run = store.begin()
     crawled_at = crawled_at or datetime.now(timezone.utc)
@@ -137,6 +139,8 @@ def apply_plan(
     if size["dead"]:
         dead = applied.where("dead_run is not null")
         writes.append(partial(store.write, "dead", run, dead))
+    if versions is not None:
+        writes.append(partial(store.write, "versions", run, versions.hint("rebalance", "source_id")))
     together(*writes)
     store.commit(run, version.base_run, version.dead_rows + (size["dead"] or 0))
     discard(plan, judged, *([gates] if gates is not None else []))
@@ -214,18 +218,29 @@ def _to_reindex(plan: DataFrame, listing: DataFrame) -> DataFrame | None:
     shuffle: what it does not hold is decided there, and only the rest is joined.
     """
     reindex = F.col("action").isin(*REINDEX)
+    copied = reindex & (F.col("copies") > 1) if "copies" in plan.columns else F.lit(False)
     size = plan.where("action <> 'remove'").agg(
-        F.count_if(reindex).alias("todo"), F.count_if(~reindex).alias("rest")
+        F.count_if(reindex).alias("todo"), F.count_if(~reindex).alias("rest"), F.count_if(copied).alias("copied")
     ).first()
     if size["todo"] == 0:
         return None
-    if size["rest"] == 0:
+    picked = _picked(plan, listing, reindex, size["todo"], size["rest"])
+    if not size["copied"]:
+        return picked
+    # Copies have one content, so any of them will do; only they are moved for it.
+    keys = broadcast_if_small(plan.where(copied).select(*KEYS))
+    once = picked.join(keys, KEYS, "left_semi").dropDuplicates(KEYS)
+    return picked.join(keys, KEYS, "left_anti").unionByName(once)
+
+
+def _picked(plan: DataFrame, listing: DataFrame, reindex: Column, todo: int, rest: int) -> DataFrame:
+    if rest == 0:
         return listing
-    few, how = (reindex, "left_semi") if size["todo"] <= size["rest"] else (~reindex, "left_anti")
+    few, how = (reindex, "left_semi") if todo <= rest else (~reindex, "left_anti")
     keys = plan.where(few & (F.col("action") != "remove")).select(*KEYS)
-    if min(size) <= BROADCAST_ROWS:
+    if min(todo, rest) <= BROADCAST_ROWS:
         return listing.join(F.broadcast(keys), KEYS, how)
-    may_hold = key_filter(keys, KEYS, min(size))
+    may_hold = key_filter(keys, KEYS, min(todo, rest))
     unclear = listing.where(may_hold).join(keys, KEYS, how)
     if how == "left_semi":
         return unclear

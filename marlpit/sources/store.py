@@ -3,6 +3,7 @@
     <root>/chunks/run=R/source_id=S/embed_model=M/   chunks written by run R
     <root>/files/run=R/source_id=S/                  files changed by run R
     <root>/dead/run=R/embed_model=M/                 chunk versions run R retired
+    <root>/versions/run=R/source_id=S/               feed versions that run R took in
     <root>/status/run=R/                             status of all sources after run R
     <root>/commits/run=R/                            one row; makes run R visible
 
@@ -51,6 +52,13 @@ _DEAD = (
     .add("embed_model", T.StringType())
     .add("run", T.LongType())
 )
+_VERSIONS = (
+    T.StructType()
+    .add("source_id", T.StringType())
+    .add("path", T.StringType())
+    .add("version", T.LongType())
+    .add("run", T.LongType())
+)
 _STATUS = T.StructType(SOURCE_STATUS.fields + _RUN.fields)
 _COMMITS = (
     T.StructType()
@@ -62,6 +70,7 @@ _SCHEMAS = {
     "chunks": _CHUNKS,
     "files": _FILES,
     "dead": _DEAD,
+    "versions": _VERSIONS,
     "status": _STATUS,
     "commits": _COMMITS,
 }
@@ -69,6 +78,7 @@ _PARTITIONS = {
     "chunks": ["source_id", "embed_model"],
     "files": ["source_id"],
     "dead": ["embed_model"],
+    "versions": ["source_id"],
 }
 
 
@@ -130,6 +140,11 @@ class IndexStore:
             rows = rows.join(dead, [*KEYS, "run"], "left_anti")
         return rows.select(*CHUNKS.names)
 
+    def versions(self, version: Version | None = None) -> DataFrame:
+        """The highest feed version of every document that a feed named, deleted ones too."""
+        log = self._runs("versions", version or self.version())
+        return log.groupBy(*KEYS).agg(F.max("version").alias("version"))
+
     def status(self, version: Version | None = None) -> DataFrame:
         version = version or self.version()
         return self._read("status", [version.run]).select(*SOURCE_STATUS.names)
@@ -171,6 +186,7 @@ class IndexStore:
         )
         files = self.files(version).withColumn("deleted", F.lit(False))
         self.write("files", run, by_source(files))
+        self.write("versions", run, by_source(self.versions(version)))
         self.write("status", run, self.status(version))
         self.commit(run, base_run=run, dead_rows=0)
         return run

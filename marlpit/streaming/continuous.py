@@ -16,12 +16,21 @@ from marlpit.sources.tables import select_documents
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
-    """The highest version per document; folded before the shuffle."""
-    return (
-        versions.groupBy(*KEYS)
-        .agg(F.max_by(F.struct("content", "deleted"), F.col("version")).alias("last"))
-        .select(*KEYS, "last.content", "last.deleted")
-    )
+    """The highest version per document; folded before the shuffle.
+
+    Of equal versions a deletion counts before contents, then the greater content, so
+    that every order of arrival ends in the same.
+    """
+    last = F.max(F.struct("version", "deleted", "content")).alias("last")
+    return versions.groupBy(*KEYS).agg(last).select(*KEYS, "last.content", "last.deleted", "last.version")
+
+
+def newer_versions(latest: DataFrame, known: DataFrame) -> DataFrame:
+    """Documents whose version the index has not reached yet; a null version counts always."""
+    keys = broadcast_if_small(latest.select(*KEYS))
+    seen = known.join(keys, KEYS, "left_semi").withColumnRenamed("version", "_known")
+    newer = F.col("version").isNull() | F.col("_known").isNull() | (F.col("version") > F.col("_known"))
+    return latest.join(seen, KEYS, "left").where(newer).drop("_known")
 
 
 def feed_plan(latest: DataFrame, files: DataFrame, model: str) -> DataFrame:
@@ -56,16 +65,20 @@ def index_batch(
 
     A failing document fails the batch before anything becomes visible, so the
     stream replays it: a feed, unlike a listing, does not offer a skipped
-    document again. Replays of an indexed batch are no-ops by content hash.
+    document again. What the index took in is kept by version, deletions too, in the
+    same commit: older versions that come late, and replays, change nothing.
     """
     small = broadcast_if_small(registry)
-    latest = stage(latest_versions(select_documents(versions, small)), "feed")
     version = store.version()
+    arrived = latest_versions(select_documents(versions, small))
+    latest = stage(newer_versions(arrived, store.versions(version)), "feed")
     plan = stage(feed_plan(latest, store.files(version), indexing.model), "feed-plan")
     report = None
-    if not plan.where(~F.col("action").isin("skip", "skip_binary")).isEmpty():
+    taken = latest.where("version is not null").select(*KEYS, "version")
+    idle = F.col("action").isin("skip", "skip_binary")
+    if not plan.where(~idle).isEmpty() or not taken.isEmpty():
         touched = registry.join(
-            broadcast_if_small(plan.select("source_id").distinct()), "source_id", "left_semi"
+            broadcast_if_small(latest.select("source_id").distinct()), "source_id", "left_semi"
         )
         documents = latest.where(~F.col("deleted")).withColumn(
             "error", F.lit(None).cast("string")
@@ -79,6 +92,7 @@ def index_batch(
             indexing,
             crawled_at=datetime.now(timezone.utc),
             all_or_nothing=True,
+            versions=taken,
         )
     discard(latest, plan)
     return report
@@ -94,8 +108,7 @@ def index_stream(
 ) -> StreamingQuery:
     """Start indexing a stream of (source_id, path, content, version, deleted).
 
-    Within a micro-batch the highest version of a document counts; across
-    micro-batches the later batch does.
+    The highest version of a document counts, in whatever order and micro-batch it comes.
     """
     return (
         versions.writeStream.foreachBatch(

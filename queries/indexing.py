@@ -569,6 +569,38 @@ def stream_chunks(spark, folder):
     return _chunk_facts(_streamed(spark, folder), spark, folder)
 
 
+def _shuffled_feed(spark, folder):
+    """Three versions of each document over three sets of files, in an order that its id decides.
+
+    The last version of every seventh document deletes it; pages come and go.
+    """
+    first, final = _versions(spark, folder)
+    rows = table(spark, folder, "documents").select(
+        F.col("source").alias("source_id"), doc_path().alias("path"),
+        F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("last "), "text").cast("binary")).alias("content"),
+        F.lit(3).cast("long").alias("version"), (F.col("doc_id") % 7 == 0).alias("deleted"),
+    )
+    everything = first.unionByName(final).unionByName(rows)
+    part = F.pmod(F.xxhash64("path", "version"), F.lit(3))
+    return [everything.where(part == k) for k in range(3)]
+
+
+@query(
+    f"""SELECT source AS source_id, {PATH_SQL} AS path, sha256('last ' || text) AS content_hash
+    FROM documents WHERE doc_id % 7 <> 0"""
+)
+def stream_versions(spark, folder):
+    """The files that remain when versions arrive in any order over micro-batches."""
+    store = IndexStore(spark, fresh_path(spark, "index"))
+    feed, state = fresh_path(spark, "feed"), fresh_path(spark, "stream-state")
+    registry = _registry(spark, folder)
+    for rows in _shuffled_feed(spark, folder):
+        rows.write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(rows.schema).parquet(feed)
+        index_stream(store, registry, stream, _RULES, state).awaitTermination()
+    return store.files().select("source_id", "path", "content_hash")
+
+
 def _write_files(batches):
     for batch in batches:
         for root, path, content in batch.itertuples(index=False):
