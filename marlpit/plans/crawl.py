@@ -27,7 +27,7 @@ from marlpit.operators.key_filter import key_filter
 from marlpit.runtime import BROADCAST_ROWS, broadcast_if_small, discard, stage, together
 from marlpit.sources.store import IndexStore, Version
 from marlpit.sources.tables import select_documents
-from marlpit.sources.tree import TreeScan, read_files
+from marlpit.sources.tree import TreeScan
 
 
 class Indexing(NamedTuple):
@@ -64,7 +64,7 @@ def crawl(
     version = store.version()
     small = broadcast_if_small(registry)
     if isinstance(documents, TreeScan):
-        contents = Contents(documents.files, read_files)
+        contents = Contents(documents.files, documents.read)
         scan = unique_scan(fingerprint(documents.documents))
         source_errors = _both(source_errors, documents.source_errors)
     else:

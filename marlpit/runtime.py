@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -100,6 +101,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return file_system.exists(hadoop_path)
 
 
+def folder_at(spark: SparkSession, path: str) -> str | None:
+    """The full URI of a folder, or none where there is nothing; a file is no folder."""
+    file_system, hadoop_path = _hadoop(spark, path.rstrip("/"))
+    if not file_system.exists(hadoop_path):
+        return None
+    if not file_system.getFileStatus(hadoop_path).isDirectory():
+        raise NotADirectory(path)
+    return file_system.makeQualified(hadoop_path).toString()
+
+
+class NotADirectory(PySparkException):
+    def __init__(self, path: str):
+        super().__init__(f"no folder: {path}")
+
+
 def names_in(spark: SparkSession, path: str) -> list[str]:
     """Names of the direct entries of a folder; none when it is missing."""
     file_system, hadoop_path = _hadoop(spark, path)

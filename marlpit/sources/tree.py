@@ -1,10 +1,10 @@
-"""Scan of document trees on storage that every executor mounts."""
+"""Scan of document trees: of folders that every executor mounts, and of URIs that Spark reads."""
 
 from __future__ import annotations
 
 import os
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from marlpit.functions.paths import SKIPPED_FOLDERS
 from marlpit.model import DOCUMENTS
 from marlpit.runtime import broadcast_if_small, stage
+from marlpit.sources.hadoop_tree import LISTING, Root, is_uri, list_roots, open_listed, read_listed
 from marlpit.sources.tables import select_documents
 
 ENTRIES_PER_TASK = 50_000
@@ -21,15 +22,25 @@ BYTES_PER_BATCH = 32 << 20
 BYTES_PER_TASK = 128 << 20
 FILES_PER_TASK = 5_000
 
-_LISTING = "source_id string, root string, path string, bytes long, state string"
-
 
 class TreeScan(NamedTuple):
-    """`files` is the listing of selected files, `documents` the same with bytes."""
+    """`files` is the listing of selected files, `documents` the same with bytes; `read` turns one into the other."""
 
     files: DataFrame
     documents: DataFrame
     source_errors: DataFrame
+    read: Callable[[DataFrame], DataFrame]
+
+
+def _root(data_dir: str):
+    return F.coalesce("path", F.concat(F.lit(f"{data_dir}/sources/"), "source_id"))
+
+
+def _on_stores(registry: DataFrame, data_dir: str) -> tuple[list[Root], DataFrame]:
+    """Roots that are URIs, as few as the registry has, and the registry of the others."""
+    uri = is_uri(_root(data_dir))
+    rows = registry.where(uri).select("source_id", _root(data_dir).alias("uri")).collect()
+    return [Root(*row) for row in rows], registry.where(~uri) if rows else registry
 
 
 def scan_tree(registry: DataFrame, data_dir: str = "data") -> TreeScan:
@@ -39,7 +50,11 @@ def scan_tree(registry: DataFrame, data_dir: str = "data") -> TreeScan:
     since what lies below them is unknown; unreadable files as document errors.
     Only listed and selected files are opened.
     """
-    listing = list_tree(registry, data_dir)
+    roots, mounted = _on_stores(registry, data_dir)
+    listing = list_tree(mounted, data_dir)
+    if roots:
+        listing = stage(listing.unionByName(list_roots(registry.sparkSession, roots)), "tree-listing")
+    read = _read_both if roots else read_files
     missing = (
         listing.where("state IN ('missing', 'failed')")
         .select(
@@ -51,7 +66,12 @@ def scan_tree(registry: DataFrame, data_dir: str = "data") -> TreeScan:
     )
     small = broadcast_if_small(registry)
     files = select_documents(listing.where("state = 'file'"), small)
-    return TreeScan(files, read_files(files), missing)
+    return TreeScan(files, read(files), missing, read)
+
+
+def _read_both(files: DataFrame) -> DataFrame:
+    uri = is_uri(F.col("root"))
+    return read_files(files.where(~uri)).unionByName(read_listed(files.where(uri)))
 
 
 def list_tree(registry: DataFrame, data_dir: str = "data") -> DataFrame:
@@ -62,18 +82,17 @@ def list_tree(registry: DataFrame, data_dir: str = "data") -> DataFrame:
     deep trees spread over the cluster. The driver only counts open folders.
     """
     spark = registry.sparkSession
-    root = F.coalesce("path", F.concat(F.lit(f"{data_dir}/sources/"), "source_id"))
-    open_folders = registry.select("source_id", root.alias("root"), F.lit("").alias("path"))
-    levels = None
+    open_folders = registry.select("source_id", _root(data_dir).alias("root"), F.lit("").alias("path"))
+    levels = spark.createDataFrame([], LISTING)
     while True:
         waiting = open_folders.count()
         if waiting == 0:
             return levels
         tasks = min(waiting, 4 * spark.sparkContext.defaultParallelism)
         level = stage(
-            open_folders.repartition(tasks).mapInPandas(_walk, _LISTING), "tree-level"
+            open_folders.repartition(tasks).mapInPandas(_walk, LISTING), "tree-level"
         )
-        levels = level if levels is None else levels.unionByName(level)
+        levels = levels.unionByName(level)
         open_folders = level.where("state = 'folder'").select("source_id", "root", "path")
 
 
@@ -99,10 +118,13 @@ def open_paths(wanted: DataFrame, registry: DataFrame, data_dir: str = "data") -
     the root is not opened. `error` says so, or that the source is not on disk;
     a path that is no file gives no row.
     """
-    root = F.coalesce("path", F.concat(F.lit(f"{data_dir}/sources/"), "source_id")).alias("root")
-    roots = broadcast_if_small(registry.select(F.col("source_id").alias("of"), root))
-    placed = wanted.join(roots, F.col("source_id") == F.col("of")).select("source_id", "root", "path")
-    return placed.mapInPandas(_open, DOCUMENTS)
+    roots, mounted = _on_stores(registry, data_dir)
+    tops = broadcast_if_small(mounted.select(F.col("source_id").alias("of"), _root(data_dir).alias("root")))
+    placed = wanted.join(tops, F.col("source_id") == F.col("of")).select("source_id", "root", "path")
+    opened = placed.mapInPandas(_open, DOCUMENTS)
+    if not roots:
+        return opened
+    return opened.unionByName(open_listed(wanted, roots))
 
 
 def _open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
