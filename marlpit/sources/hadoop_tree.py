@@ -8,6 +8,7 @@ names that begin with `_` or `.` are not seen.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import reduce
 from typing import NamedTuple
 from urllib.parse import unquote
@@ -30,6 +31,14 @@ class Root(NamedTuple):
     uri: str
 
 
+class StoreListing(NamedTuple):
+    """`rows` as in a walk, the reader whose files Spark has listed, and the folder of each root."""
+
+    rows: DataFrame
+    reader: DataFrame | None
+    tops: dict[str, str]
+
+
 def is_uri(column: Column) -> Column:
     """Whether a root names its store."""
     return column.rlike(STORE + "/")
@@ -40,61 +49,81 @@ def _within(column: Column) -> Column:
     return F.regexp_replace(column, STORE, "")
 
 
-def list_roots(spark: SparkSession, roots: list[Root]) -> DataFrame:
+def list_roots(spark: SparkSession, roots: list[Root]) -> StoreListing:
     """Files below each root: source_id, root, path, bytes, state.
 
     A root that is not there gives one row `missing`; one that is no folder or that
-    cannot be listed as a whole, `failed`.
+    cannot be listed as a whole, `failed`. All others are listed together.
     """
-    rows = [_listed(spark, root) for root in roots]
-    return reduce(DataFrame.unionByName, rows, spark.createDataFrame([], LISTING))
-
-
-def _listed(spark: SparkSession, root: Root) -> DataFrame:
+    tops, lost = {}, {}
+    for root in roots:
+        try:
+            tops[root.uri] = folder_at(spark, root.uri)
+            if tops[root.uri] is None:
+                lost[root.uri] = "missing"
+        except (PySparkException, Py4JJavaError):
+            lost[root.uri] = "failed"
+    good = {uri: top for uri, top in tops.items() if top}
     try:
-        top = folder_at(spark, root.uri)
-        files = _reader(spark).option("recursiveFileLookup", True).load(top) if top else None
+        reader = _reader(spark, good.values())
     except (PySparkException, Py4JJavaError):
-        return spark.createDataFrame([(root.source_id, root.uri, "", 0, "failed")], LISTING)
-    if files is None:
-        return spark.createDataFrame([(root.source_id, root.uri, "", 0, "missing")], LISTING)
-    inner = F.substring(_within(F.col("path")), F.lit(len(re.sub(STORE, "", top)) + 2), F.length("path"))
-    listed = files.select("path", F.col("length").alias("bytes"))
+        for uri, top in good.items():
+            try:
+                _reader(spark, [top])
+            except (PySparkException, Py4JJavaError):
+                lost[uri] = "failed"
+        good = {uri: top for uri, top in good.items() if uri not in lost}
+        reader = _reader(spark, good.values())
+    rows = spark.createDataFrame([(r.source_id, r.uri, "", 0, lost[r.uri]) for r in roots if r.uri in lost], LISTING)
+    if reader is not None:
+        rows = rows.unionByName(_listed([r for r in roots if r.uri in good], good, reader))
+    return StoreListing(rows, reader, {uri: _plain(top) for uri, top in good.items()})
+
+
+def _listed(roots: list[Root], tops: dict[str, str], files: DataFrame) -> DataFrame:
+    listed = files.select(_within(F.col("path")).alias("full"), F.col("length").alias("bytes"))
     # Readers pass over empty files, the listing does not.
     names = files.inputFiles()
     if len(names) > listed.count():
-        every = spark.createDataFrame([(unquote(name),) for name in names], "path string")
-        empty = every.join(listed, _within(every["path"]) == _within(listed["path"]), "left_anti").select("path", F.lit(0).cast("long").alias("bytes"))
-        listed = listed.unionByName(empty)
-    return listed.select(
-        F.lit(root.source_id).alias("source_id"), F.lit(root.uri).alias("root"),
-        inner.alias("path"), "bytes", F.lit("file").alias("state"),
+        every = files.sparkSession.createDataFrame([(_plain(unquote(name)),) for name in names], "full string")
+        listed = listed.unionByName(every.join(listed, "full", "left_anti").withColumn("bytes", F.lit(0).cast("long")))
+    # A file lies below each root that it lies below.
+    folders = F.array(*[F.struct(F.lit(r.source_id).alias("source_id"), F.lit(r.uri).alias("root"), F.lit(_plain(tops[r.uri]) + "/").alias("top")) for r in roots])
+    held = F.explode(F.filter(folders, lambda folder: F.startswith(F.col("full"), folder["top"]))).alias("of")
+    return listed.select("full", "bytes", held).select(
+        "of.source_id", "of.root", F.substring(F.col("full"), F.length("of.top") + 1, F.length("full")).alias("path"),
+        "bytes", F.lit("file").alias("state"),
     )
 
 
-def read_listed(files: DataFrame) -> DataFrame:
+def read_listed(files: DataFrame, listing: StoreListing) -> DataFrame:
     """Bytes of listed files (source_id, root, path, bytes).
 
     The listing is on the driver already, as Spark's file sources keep it, and so are
-    the names of those to read. A file that is gone or torn by now is an error row.
+    the names of those to read: a filter on them prunes the other files before any is
+    opened. A file that is gone or torn by now is an error row.
     """
     spark = files.sparkSession
-    wanted = files.select("source_id", "root", "path", "bytes").toArrow().to_pylist()
-    if not wanted:
-        return spark.createDataFrame([], DOCUMENTS)
-    tops = {root: folder_at(spark, root) or root.rstrip("/") for root in {row["root"] for row in wanted}}
-    named = [(row["source_id"], row["path"], f"{tops[row['root']]}/{row['path']}", row["bytes"] == 0) for row in wanted]
-    paths = sorted({path for *_, path, _ in named})
-    readers = []
-    for at in range(0, len(paths), FILES_PER_READER):
-        readers.append(_reader(spark).load([_escaped(path) for path in paths[at : at + FILES_PER_READER]]).select("path", "content"))
-    contents = reduce(DataFrame.unionByName, readers).select(_within(F.col("path")).alias("of"), "content")
-    keys = spark.createDataFrame(named, "source_id string, path string, of string, empty boolean")
-    keys = keys.withColumn("of", _within(F.col("of")))
-    content = F.when(F.col("empty") & F.col("content").isNull(), F.lit(b"")).otherwise(F.col("content"))
-    return keys.join(contents, "of", "left").select(
-        "source_id", "path", content.alias("content"), F.when(content.isNull(), "file cannot be read").alias("error"),
-    )
+    wanted = files.select("root", "source_id", "path", "bytes").toArrow().to_pylist()
+    spelled = {_plain(unquote(name)): name for name in listing.reader.inputFiles()} if wanted else {}
+    parts = [spark.createDataFrame([], DOCUMENTS)]
+    for at in range(0, len(wanted), FILES_PER_READER):
+        named = [
+            (row["source_id"], row["path"], f"{listing.tops[row['root']]}/{row['path']}", row["bytes"] == 0)
+            for row in wanted[at : at + FILES_PER_READER]
+        ]
+        names = [spelled[full] for *_, full, empty in named if full in spelled and not empty]
+        # A store without a host is spelled with one slash or with three.
+        names += [name.replace(":///", ":/", 1) for name in names if ":///" in name]
+        contents = listing.reader.where(F.col("_metadata.file_path").isin(names)).select(_within(F.col("path")).alias("full"), "content")
+        keys = spark.createDataFrame(named, "source_id string, path string, full string, empty boolean")
+        content = F.when(F.col("empty"), F.lit(b"")).otherwise(F.col("content"))
+        parts.append(
+            keys.join(contents, "full", "left").select(
+                "source_id", "path", content.alias("content"), F.when(content.isNull(), "file cannot be read").alias("error")
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 def open_listed(wanted: DataFrame, roots: list[Root]) -> DataFrame:
@@ -107,23 +136,21 @@ def open_listed(wanted: DataFrame, roots: list[Root]) -> DataFrame:
     listing = list_roots(spark, roots)
     plain = F.regexp_replace(F.regexp_replace("path", r"/(?:\./)+", "/"), "/+", "/")
     asked = wanted.withColumn("asked", F.col("path")).withColumn("path", plain)
-    found = asked.join(listing.where("state = 'file'"), ["source_id", "path"])
-    texts = read_listed(found.select("source_id", "root", "path", "bytes").distinct())
+    found = asked.join(listing.rows.where("state = 'file'"), ["source_id", "path"])
+    texts = read_listed(found.select("source_id", "root", "path", "bytes").distinct(), listing)
     answers = texts.join(asked, ["source_id", "path"]).select("source_id", F.col("asked").alias("path"), "content", "error")
-    lost = listing.where("state <> 'file'").select("source_id")
+    lost = listing.rows.where("state <> 'file'").select("source_id")
     errors = wanted.join(lost, "source_id", "left_semi").select(
         "source_id", "path", F.lit(None).cast("binary").alias("content"), F.lit("source_not_on_disk").alias("error")
     )
     return answers.unionByName(errors)
 
 
-def _reader(spark: SparkSession):
-    return (
-        spark.read.format("binaryFile")
-        .option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
-    )
+def _reader(spark: SparkSession, tops: Iterable[str]) -> DataFrame | None:
+    options = {"recursiveFileLookup": True, "ignoreMissingFiles": True, "ignoreCorruptFiles": True}
+    tops = sorted(set(tops))
+    return spark.read.format("binaryFile").options(**options).load(tops) if tops else None
 
 
-def _escaped(path: str) -> str:
-    """A path whose glob characters stand for themselves."""
-    return "".join(f"\\{c}" if c in "\\*?[]{}" else c for c in path)
+def _plain(path: str) -> str:
+    return re.sub(STORE, "", path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import partial
 from typing import NamedTuple
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from marlpit.functions.paths import SKIPPED_FOLDERS
 from marlpit.model import DOCUMENTS
 from marlpit.runtime import broadcast_if_small, stage
-from marlpit.sources.hadoop_tree import LISTING, Root, is_uri, list_roots, open_listed, read_listed
+from marlpit.sources.hadoop_tree import LISTING, Root, StoreListing, is_uri, list_roots, open_listed, read_listed
 from marlpit.sources.tables import select_documents
 
 ENTRIES_PER_TASK = 50_000
@@ -52,9 +53,11 @@ def scan_tree(registry: DataFrame, data_dir: str = "data") -> TreeScan:
     """
     roots, mounted = _on_stores(registry, data_dir)
     listing = list_tree(mounted, data_dir)
+    read = read_files
     if roots:
-        listing = stage(listing.unionByName(list_roots(registry.sparkSession, roots)), "tree-listing")
-    read = _read_both if roots else read_files
+        on_stores = list_roots(registry.sparkSession, roots)
+        listing = stage(listing.unionByName(on_stores.rows), "tree-listing")
+        read = partial(_read_both, on_stores)
     missing = (
         listing.where("state IN ('missing', 'failed')")
         .select(
@@ -69,9 +72,9 @@ def scan_tree(registry: DataFrame, data_dir: str = "data") -> TreeScan:
     return TreeScan(files, read(files), missing, read)
 
 
-def _read_both(files: DataFrame) -> DataFrame:
+def _read_both(on_stores: StoreListing, files: DataFrame) -> DataFrame:
     uri = is_uri(F.col("root"))
-    return read_files(files.where(~uri)).unionByName(read_listed(files.where(uri)))
+    return read_files(files.where(~uri)).unionByName(read_listed(files.where(uri), on_stores))
 
 
 def list_tree(registry: DataFrame, data_dir: str = "data") -> DataFrame:

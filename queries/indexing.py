@@ -8,11 +8,12 @@ from datetime import datetime, timezone
 import pandas as pd
 from pyspark.sql import functions as F
 
+from marlpit.functions.paths import is_safe_path
 from marlpit.model import REGISTRY
 from marlpit.operators import changes, reports
 from marlpit.operators.chunking import fixed_chunks
 from marlpit.operators.embedding import RuleEmbedder
-from marlpit.operators.reading import list_sources as sources_listing
+from marlpit.operators.reading import list_sources as sources_listing, read_requests
 from marlpit.plans.crawl import Indexing, crawl
 from marlpit.runtime import broadcast_if_small, fresh_path, stage
 from marlpit.sources.registry import (
@@ -22,7 +23,7 @@ from marlpit.sources.registry import (
 )
 from marlpit.sources.store import IndexStore
 from marlpit.sources.tables import documents_from_table
-from marlpit.sources.tree import scan_tree
+from marlpit.sources.tree import open_paths, scan_tree
 from marlpit.streaming.continuous import index_stream
 from queries import query, table
 from queries.fixtures import (
@@ -54,6 +55,21 @@ def change_plan(spark, folder):
     return _plan(spark, folder).select(*KEYS, "action")
 
 
+@query(
+    f"""WITH {PLAN_SQL} SELECT source_id, path,
+      CASE WHEN doc_id % 5 = 1 AND action <> 'remove' THEN 'fail' ELSE action END AS action,
+      CASE WHEN doc_id % 5 = 1 AND action <> 'remove' THEN '2 documents share the path ' || path END AS error
+    FROM plan LEFT JOIN (SELECT source AS source_id, {PATH_SQL} AS path, doc_id FROM documents) USING (source_id, path)"""
+)
+def change_plan_copies(spark, folder):
+    """Every document listed twice: with one content, or, one in five, with two."""
+    once = documents(spark, folder)
+    odd = F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long") % 5 == 1
+    again = once.withColumn("content", F.when(odd, F.concat("content", F.lit("y").cast("binary"))).otherwise(F.col("content")))
+    scan = changes.unique_scan(changes.fingerprint(once.unionByName(again)))
+    return changes.change_plan(scan, stored_files(spark, folder), "m1").select(*KEYS, "action", "error")
+
+
 @query(f"WITH {PLAN_SQL} SELECT source_id, path FROM plan WHERE action = 'remove'")
 def removed_paths(spark, folder):
     return changes.removed_paths(
@@ -631,3 +647,47 @@ def tree_scan(spark, folder):
         F.sha2(content, 256).alias("content_hash"),
         F.char_length(content.cast("string")).cast("long").alias("n_chars"),
     )
+
+
+@query(
+    r"""WITH docs AS (
+      SELECT doc_id, source, text || chr(10) AS text,
+        string_split_regex(text, '[\n\x{85}\x{2028}]') AS lines,
+        CASE WHEN doc_id % 10 > 0 THEN (doc_id % 4)::INTEGER END AS start_line,
+        CASE WHEN doc_id % 10 > 1 THEN (doc_id % 6)::INTEGER END AS end_line
+      FROM documents)
+    SELECT doc_id AS request_id, source AS source_id,
+      CASE WHEN doc_id % 10 IN (8, 9) THEN NULL
+        WHEN start_line IS NULL AND end_line IS NULL THEN text
+        ELSE array_to_string(list_slice(lines, greatest(coalesce(start_line, 1), 1),
+          CASE WHEN end_line IS NULL THEN len(lines)
+          ELSE greatest(end_line, greatest(coalesce(start_line, 1), 1)) END), chr(10)) END AS text,
+      CASE doc_id % 10 WHEN 8 THEN 'missing_document' WHEN 9 THEN 'unsafe_path' END AS error
+    FROM docs"""
+)
+def tree_read(spark, folder):
+    """Whole files and line ranges read from trees that Spark wrote, by path.
+
+    A source's files are named by the listing of its root, a URI of the shared folder.
+    """
+    path = fresh_path(spark, "read-tree")
+    root = path if ":" in path.split("/")[0] else f"file://{path}"
+    rows = table(spark, folder, "documents")
+    rows.select("source", "doc_id", "text").write.partitionBy("source", "doc_id").text(root)
+    registry = _registry(spark, folder, f"{root}/source=").withColumn("path", F.replace("path", F.lit("source=/"), F.lit("source=")))
+    registry = registry.withColumn("include", F.array(F.lit("**/*.txt")))
+    number = F.regexp_extract("path", r"^doc_id=(\d+)/", 1).cast("long")
+    listed = scan_tree(registry).files.select("source_id", "path", number.alias("request_id"))
+    requests = stage(
+        listed.select(
+            "request_id", "source_id",
+            F.when(number % 10 == 8, F.concat("path", F.lit(".md"))).when(number % 10 == 9, F.concat(F.lit("../"), "path"))
+            .otherwise(F.col("path")).alias("path"),
+            F.when(number % 10 > 0, (number % 4).cast("int")).alias("start_line"),
+            F.when(number % 10 > 1, (number % 6).cast("int")).alias("end_line"),
+        ),
+        "requests",
+    )
+    wanted = requests.where(is_safe_path(F.col("path"))).select("source_id", "path").distinct()
+    documents_ = open_paths(wanted, registry)
+    return read_requests(requests, registry, documents_).select("request_id", "source_id", "text", "error")

@@ -363,11 +363,44 @@ def callable_embed(spark, folder):
 
 
 @query()
-def boundary_chunks(spark, folder):
+def boundary_chunk_rows(spark, folder):
     rows = table(spark, folder, "documents").select(doc_path().alias("path"), "doc_id", "text")
     return chunk_batches(chunk_documents(rows))
 
 
+@query(
+    f"""SELECT doc_id, true AS some, true AS short, true AS in_order, true AS covered, true AS little_twice
+      FROM documents WHERE regexp_matches(text, '[^{SPACES_SQL}]')"""
+)
+def boundary_chunks(spark, folder):
+    """What must hold of a document's chunks, overlaps included.
+
+    There is one; none is longer than allowed; each stands in the text, from the start
+    of the one before on; together they hold every non-blank character, and no more of
+    them twice than the overlaps allow.
+    """
+    rows = table(spark, folder, "documents").select("doc_id", "text", doc_path().alias("path"))
+    language = paths.language_class(F.col("path"))
+    size = texts.chunk_chars(language, texts.base_chars(F.lit(None).cast("int")))
+    rows = rows.withColumn("size", size).withColumn("overlap", texts.chunk_overlap(F.col("size")))
+    cut = rows.withColumn("pieces", boundary_pieces("text", language, "size", "overlap")).where(F.size("pieces") > 0)
+    solid = lambda column: F.char_length(F.regexp_replace(column, f"[{texts.SPACE_CLASS}]", ""))
+    # The place of each piece, from that of the one before on; -1 once a piece is not found.
+    place = F.expr(
+        "aggregate(pieces, 1, (at, piece) -> CASE WHEN at < 1 THEN -1"
+        " WHEN locate(piece, text, at) = 0 THEN -1 ELSE locate(piece, text, at) END)"
+    )
+    held = F.aggregate(F.transform("pieces", solid), F.lit(0), lambda total, n: total + n)
+    return cut.select(
+        "doc_id",
+        (F.size("pieces") > 0).alias("some"),
+        F.forall("pieces", lambda piece: F.char_length(piece) <= F.col("size")).alias("short"),
+        (place > 0).alias("in_order"),
+        (held >= solid(F.col("text"))).alias("covered"),
+        (held <= solid(F.col("text")) + (F.size("pieces") - 1) * F.col("overlap")).alias("little_twice"),
+    )
+
+
 @query(
     f"""SELECT doc_id, 0::BIGINT AS oversized, md5(regexp_replace(text, '[{SPACES_SQL}]', '', 'g'))
       AS squeezed FROM documents WHERE regexp_matches(text, '[^{SPACES_SQL}]')"""
