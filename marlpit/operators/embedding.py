@@ -13,8 +13,10 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from marlpit.functions.text import document_prefix, query_prefix, with_prefix
@@ -133,24 +135,32 @@ def _embedded(
             F.lit(None).cast("string").alias("error"),
         )
 
-    @F.pandas_udf(_RESULT)
-    def embed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(_RESULT)
+    def embed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, owners in batches:
-            yield _embed_batch(embedder, texts.tolist(), owners.tolist(), batch_size)
+            yield _embed_batch(embedder, texts.to_pylist(), owners.to_pylist(), batch_size)
 
     return embed(prepared, owner)
 
 
 def _embed_batch(
     embedder: Embedder, texts: list[str], owners: list[int], batch_size: int
-) -> pd.DataFrame:
-    vectors: list = []
-    errors: list = []
+) -> pa.StructArray:
+    """Vectors as one list column over one flat buffer, and errors."""
+    flat: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    errors: list[str | None] = []
+
+    def take(batch: list[str]) -> str | None:
+        values, lengths, error = _try(embedder, batch)
+        if error is None:
+            flat.append(values)
+            sizes.append(lengths)
+        return error
+
     for start in range(0, len(texts), batch_size):
         batch = texts[start : start + batch_size]
-        found, error = _try(embedder, batch)
-        if error is None:
-            vectors += found
+        if take(batch) is None:
             errors += [None] * len(batch)
             continue
         # Ask again owner by owner, so that only the failing ones carry the error.
@@ -160,24 +170,32 @@ def _embed_batch(
             stop = at + 1
             while stop < len(batch) and members[stop] == members[at]:
                 stop += 1
-            found, error = _try(embedder, batch[at:stop])
-            vectors += found
+            error = take(batch[at:stop])
+            if error is not None:
+                sizes.append(np.zeros(stop - at, np.int64))
             errors += [error] * (stop - at)
             at = stop
-    return pd.DataFrame({"embedding": vectors, "error": errors})
+    values = np.concatenate(flat or [np.zeros(0)])
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes or [np.zeros(0, np.int64)]))])
+    reasons = pa.array(errors, pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values), mask=reasons.is_valid())
+    return pa.StructArray.from_arrays([lists, reasons], names=["embedding", "error"])
 
 
-def _try(embedder: Embedder, batch: list[str]) -> tuple[list, str | None]:
+def _try(embedder: Embedder, batch: list[str]) -> tuple[np.ndarray | None, np.ndarray | None, str | None]:
+    """All numbers of a call's vectors, the size of each vector, and the error if there is one."""
     try:
-        vectors = [[float(item) for item in vector] for vector in embedder(batch)]
+        vectors = embedder(batch)
+        lengths = np.fromiter(map(len, vectors), np.int64, len(vectors))
+        if isinstance(vectors, np.ndarray):
+            values = vectors.astype(np.float64).ravel()
+        else:
+            values = np.fromiter(chain.from_iterable(vectors), np.float64, int(lengths.sum()))
     except Exception as problem:  # noqa: BLE001 - becomes the error of the rows
-        return [None] * len(batch), str(problem) or type(problem).__name__
-    if len(vectors) != len(batch):
-        return (
-            [None] * len(batch),
-            f"the embedder returned {len(vectors)} vectors for {len(batch)} texts",
-        )
-    return vectors, None
+        return None, None, str(problem) or type(problem).__name__
+    if len(lengths) != len(batch):
+        return None, None, f"the embedder returned {len(lengths)} vectors for {len(batch)} texts"
+    return values, lengths, None
 
 
 def hash_term_counts(texts: DataFrame, key: str, dim: int = 64) -> DataFrame:
