@@ -16,20 +16,21 @@ import html
 import json
 import re
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from marlpit.llm import markup
+
 SCHEMA = (
     "record_id string, warc_type string, refers_to string, target_uri string, date string, content_type string, "
     "http_headers string, block binary, block_digest string, payload_digest string, length long"
 )
-HIDDEN = re.compile(r"<(script|style|template|noscript)\b[^>]*>.*?(</\1\s*>|\Z)|<!--.*?(-->|\Z)", re.S | re.I)
-TITLE = re.compile(r"<title\b[^>]*>(.*?)(</title\s*>|<)", re.S | re.I)
-HEAD = re.compile(r"<head\b.*?</head\s*>", re.S | re.I)
-LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|aside|blockquote|pre)\b[^>]*>", re.I)
-TAG = re.compile(r"<[a-zA-Z/!?][^>]*>?")
+HIDDEN = frozenset("script style template noscript".split())
+LINES = frozenset(
+    "p div br li ul ol h1 h2 h3 h4 h5 h6 tr table section article header footer nav aside blockquote pre".split()
+)
 BLANK_RUN = re.compile("  +")
 DATE = "1970-01-01T00:00:00Z"
 
@@ -49,21 +50,51 @@ def _flow(text: str, blanks: str = "\t\n\x0b\f\r") -> str:
     return BLANK_RUN.sub(" ", text)
 
 
+def _texts(page: str) -> Iterator[tuple[str | None, str]]:
+    """Each markup token's name, `/` before that of an end, and the text after it."""
+    before, name = 0, None
+    for token in markup.tokens(page, HIDDEN):
+        yield name, page[before : token.start]
+        before, name = token.end, ("/" if token.closing else "") + token.name
+        if token.name in HIDDEN and not token.closing:
+            before = markup.raw_end(page, token.name, token.end)
+    yield name, page[before:]
+
+
 def plain_text(page: str) -> str:
     """Visible text, a line for each block."""
-    flowing = _flow(HEAD.sub(" ", HIDDEN.sub(" ", page)))
-    body = html.unescape(TAG.sub("", BREAK.sub("\n", flowing)))
+    parts, hidden = [], False
+    pieces = list(_texts(page))
+    # A head that nothing ends hides nothing.
+    ends = max((i for i, (name, _) in enumerate(pieces) if name in ("/head", "body")), default=0)
+    for i, (name, text) in enumerate(pieces):
+        if name == "head":
+            hidden = i < ends
+        elif name in ("/head", "body"):
+            hidden = False
+        if name and name.removeprefix("/") in LINES:
+            parts.append("\n")
+        elif name is not None and (name.removeprefix("/") in HIDDEN or name in ("head", "/head")):
+            parts.append(" ")
+        if not hidden:
+            parts.append(_flow(text))
+    body = html.unescape("".join(parts))
     lines = (line.strip() for line in _flow(body, "\t\x0b\f\r").split("\n"))
     return "\n".join(line for line in lines if line)
 
 
 def title(page: str) -> str:
-    found = TITLE.search(page)
-    return _flow(html.unescape(found[1])).strip() if found else ""
+    """The text of the first title, up to other markup."""
+    for name, text in _texts(page):
+        if name == "title":
+            return _flow(html.unescape(text)).strip()
+    return ""
 
 
 def links(page: str) -> list[str]:
-    return [html.unescape(next(filter(None, groups), "")) for groups in LINK.findall(page)]
+    """The targets of all links."""
+    found = (markup.attributes(t.attributes) for t in markup.tokens(page, HIDDEN) if t.name == "a" and not t.closing)
+    return [html.unescape(known["href"]) for known in found if known.get("href")]
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
