@@ -135,6 +135,13 @@ class Level:
             self.weighted = np.logaddexp(estimate, np.bincount(at, below, len(self.codes))) - np.log(2)
             self.share = np.exp(estimate - np.log(2) - self.weighted)
 
+    @classmethod
+    def of(cls, arrays: dict) -> Level:
+        """A level from its `vars`."""
+        level = cls.__new__(cls)
+        level.__dict__.update(arrays)
+        return level
+
     def shorter(self, d: int) -> np.ndarray:
         """Codes of the same prefixes after the d nearest bytes."""
         return (self.codes >> 8 & ((1 << 8 * d) - 1)) << 8 | self.codes & 255
@@ -236,14 +243,15 @@ def log_table(counts: DataFrame, depth: int) -> DataFrame:
     codes, zeros, ones, below = (summed.column(i).to_numpy() for i in range(4))
     levels = grow(codes, zeros, ones, below if top < depth else None, 0, top)
     spread_down(levels, 0, top)
-    crown = counts.sparkSession.sparkContext.broadcast(levels)
+    # As plain arrays: executors need no copy of this package to read them.
+    crown = counts.sparkSession.sparkContext.broadcast({d: vars(level) for d, level in levels.items()})
 
     def downward(batches):
         given = together(batches)
         if given is None:
             return
         keys, n, met = given
-        levels = crown.value | (subtrees(keys, n) if top < depth else {})
+        levels = {d: Level.of(arrays) for d, arrays in crown.value.items()} | (subtrees(keys, n) if top < depth else {})
         spread_down(levels, top + 1, depth)
         logs = run_logs(keys, levels, depth)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(logs), pa.array(met)], names=["key", "log", "met"])

@@ -153,13 +153,16 @@ def quality_scores(
     score of a text without n-grams. Without labelled rows every score is 0.5.
     Repeated rows score alike; other columns are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(labelled.sample(docs, labels, "quality", per_class, max_bytes)))
+    learned = train(labelled.sample(docs, labels, "quality", per_class, max_bytes))
+    # As a plain tuple: executors need no copy of this package to read it.
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(learned))
 
     def run(batches):
+        model = Model(*shared.value)
         for batch in batches:
             for texts in tokens.slices(batch.column("text")):
                 part = batch.slice(texts.first, texts.count).drop_columns(["text"])
-                yield part.append_column("score", pa.array(score(model.value, texts)))
+                yield part.append_column("score", pa.array(score(model, texts)))
 
     given = docs.select("doc_id", labelled.held_out(F.col("doc_id"), 3, 1).alias("held_out"), *carry, "text")
     schema = given.drop("text").schema.add("score", "double")
