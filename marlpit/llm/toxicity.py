@@ -3,11 +3,13 @@
 A window of words is read in both directions by gated recurrent units; attention
 pools the states, a logistic output follows. A word enters as a learned vector of
 its hash and the mean of learned vectors of its character trigrams. Every text is
-scored over all its overlapping windows; the highest probability counts.
+scored over all its overlapping windows: the odds of its worst window and the number
+of toxic windows together decide, by a logistic output that is learned last, since a
+word that is harmless once may be toxic when it goes on.
 
 Labels belong to whole texts, so training alternates: the network learns on
-windows, then the windows it finds most toxic in a toxic text stand for it, and
-toxic texts without any such window (wrong labels) are left out.
+windows, then the windows it finds most toxic in a toxic text stand for it. Each toxic
+text keeps some; those that are missed are drawn more often.
 """
 
 from __future__ import annotations
@@ -28,6 +30,11 @@ PER_CLASS = 1500
 MAX_BYTES = 1 << 13
 AT_ONCE = 2048  # windows that go through the network together
 THRESHOLD = 0.7
+ROUNDS = 13
+CLIP = 8.0  # odds beyond count as this
+CLOSE = (0.3, 0.9)  # scores between which every word begins a window
+NEAR = 3.0  # windows of a toxic text within so much of its worst stand for it
+BALANCE = 2.0  # weight of the clean rows where the pooling is fitted; the toxic ones have 0.5
 
 
 def _separators() -> np.ndarray:
@@ -63,15 +70,18 @@ class Vocabulary:
         self.chars = (tokens.mix(grams) >> np.uint64(52)).astype(np.int32)
         self.owner, self.counts = owner, counts
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of all windows (-1 beyond a text's end) and their texts."""
-        lengths = np.diff(self.bounds)
-        each = np.maximum(1, -(-(lengths - WINDOW) // STRIDE) + 1)
+    def windows(self, texts: np.ndarray | None = None, stride: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of all windows (-1 beyond a text's end) of some texts, by default
+        of all, and which of these texts each window is of."""
+        stride, texts = stride or STRIDE, np.arange(len(self.bounds) - 1) if texts is None else texts
+        begin = self.bounds[:-1][texts]
+        lengths = self.bounds[1:][texts] - begin
+        each = np.maximum(1, -(-(lengths - WINDOW) // stride) + 1)
         text = np.repeat(np.arange(len(lengths)), each)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)
-        place = (nth * STRIDE)[:, None] + np.arange(WINDOW)
+        place = (nth * stride)[:, None] + np.arange(WINDOW)
         inside = place < lengths[text][:, None]
-        at = np.where(inside, self.bounds[:-1][text][:, None] + place, 0)
+        at = np.where(inside, begin[text][:, None] + place, 0)
         if not len(self.word):
             return np.full(at.shape, -1), text
         return np.where(inside, self.word[at], -1), text
@@ -209,40 +219,109 @@ def window_odds(net: dict, words: Vocabulary, windows: np.ndarray) -> np.ndarray
     return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
 
-def train(rows: list[tuple[str, int]], rounds: int = 9, batch: int = 256, seed: int = 3) -> dict | None:
-    """Weights from (text, label) rows; None where one class is missing."""
+def _pool(odds: np.ndarray, text: np.ndarray, texts: int, stride: int | None = None) -> np.ndarray:
+    """Of each text: the highest odds, and the logarithm of how many windows apart are toxic."""
+    first = np.searchsorted(text, np.arange(texts))
+    worst = np.maximum.reduceat(odds, first).astype(np.float64)
+    many = np.add.reduceat(_sigmoid(odds.astype(np.float64)), first) * (stride or STRIDE) / WINDOW
+    return np.stack([np.clip(worst, -CLIP, CLIP), np.log(many + 0.01)], axis=1)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 0.05) -> np.ndarray:
+    """Weights and bias, both classes weighing alike, by Newton's method."""
+    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), BALANCE / max(1, (y == 0).sum()))
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = _sigmoid(x @ w)
+        gradient = x.T @ (share * (p - y)) + ridge * 0.01 * np.append(w[:-1], 0)
+        curve = (x * (share * p * (1 - p))[:, None]).T @ x + np.eye(len(w)) * 1e-3
+        w -= np.clip(np.linalg.solve(curve, gradient), -1, 1)
+    return w
+
+
+def train(rows: list[tuple[str, int]], rounds: int | None = None, batch: int = 256, seed: int = 3) -> dict | None:
+    """Weights from (text, label) rows; None where one class is missing.
+
+    The pooling is fitted on every third row by a network that learned from the others.
+    """
     if len({label for _, label in rows}) < 2:
         return None
-    column = pa.array([text for text, _ in rows], pa.large_string())
-    (texts,) = tokens.slices(column, 1 << 40)
+    rounds, third = rounds or ROUNDS, np.arange(len(rows)) % 3 == 0
+    parts = [[row for row, t in zip(rows, third) if t == side] for side in (False, True)]
+    net = _train_windows(rows, rounds, batch, seed)
+    pool = None
+    if all(len({label for _, label in part}) == 2 for part in parts):
+        other = _train_windows(parts[0], rounds, batch, seed)
+        pool = _logistic(_features(other, parts[1]), np.array([y for _, y in parts[1]]))
+    if pool is None:
+        pool = _logistic(_features(net, rows), np.array([y for _, y in rows]))
+    return net | {"pool": pool}
+
+
+def _prepared(rows: list[tuple[str, int]]):
+    (texts,) = tokens.slices(pa.array([text for text, _ in rows], pa.large_string()), 1 << 40)
     words = Vocabulary(texts)
+    return words, *words.windows()
+
+
+def text_scores(net: dict, words: Vocabulary) -> np.ndarray:
+    """The toxicity of each text.
+
+    Windows begin at every `STRIDE`-th word, and at every word of the texts whose score
+    then lies between the bounds of `CLOSE`.
+    """
+    count = len(words.bounds) - 1
+    pool = net["pool"]
     windows, text = words.windows()
-    label = np.array([y for _, y in rows])[text]
+    scores = _sigmoid(_pool(window_odds(net, words, windows), text, count) @ pool[:-1] + pool[-1])
+    close = np.flatnonzero((scores > CLOSE[0]) & (scores < CLOSE[1]))
+    if len(close):
+        windows, text = words.windows(close, 1)
+        scores[close] = _sigmoid(_pool(window_odds(net, words, windows), text, len(close), 1) @ pool[:-1] + pool[-1])
+    return scores
+
+
+def _features(net: dict, rows: list[tuple[str, int]]) -> np.ndarray:
+    words, windows, text = _prepared(rows)
+    return _pool(window_odds(net, words, windows), text, len(rows))
+
+
+def _train_windows(rows: list[tuple[str, int]], rounds: int, batch: int, seed: int) -> dict:
+    words, windows, text = _prepared(rows)
+    label = np.array([y for _, y in rows])
     random = np.random.default_rng(seed)
     net = fresh(seed)
     trainer = Trainer(net)
-    ones, zeros = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    odds = None
+    zeros, toxic = np.flatnonzero(label[text] == 0), np.flatnonzero(label == 1)
+    first = np.searchsorted(text, np.arange(len(rows) + 1))
+    chance, odds = np.full(len(toxic), 1 / len(toxic)), None
     for turn in range(rounds):
         size = 4000 if turn == 0 else 2500
-        chosen = [random.choice(ones, size), random.choice(zeros, 2 * size)]
+        # A toxic text, then one of its windows: any at first, later one near its worst.
+        drawn = random.choice(toxic, size, p=chance)
+        if odds is None:
+            ones = first[drawn] + (random.random(size) * (first[drawn + 1] - first[drawn])).astype(np.int64)
+        else:
+            ones = np.array([random.choice(near[t]) for t in drawn])
+        chosen = [ones, random.choice(zeros, 2 * size)]
         if turn:  # with the clean windows that look worst
             chosen.append(zeros[np.argsort(-odds[zeros], kind="stable")[: size // 2]])
         chosen = np.concatenate(chosen)
-        wanted = label[chosen].astype(np.float32)
+        wanted = label[text[chosen]].astype(np.float32)
         trainer.rate = 0.02 if turn < rounds // 2 else 0.006
         order = random.permutation(len(chosen))
         for i in range(0, len(order), batch):
             part = order[i : i + batch]
             trainer.learn(words, windows[chosen[part]], wanted[part])
         odds = window_odds(net, words, windows)
-        best = np.full(len(rows), -np.inf)
-        np.maximum.at(best, text, odds)
-        # Windows that stand for their text: near its best one, if that is toxic at all.
-        clean = np.array([y for _, y in rows]) == 0
-        bar = np.quantile(best[clean], 0.9) if turn < 2 else max(0.0, np.quantile(best[clean], 0.95))
-        found = np.flatnonzero((label == 1) & (odds > bar) & (odds >= best[text] - 2))
-        ones = found if len(found) else ones
+        near, worst = {}, np.zeros(len(toxic))
+        for k, t in enumerate(toxic):
+            own = odds[first[t] : first[t + 1]]
+            worst[k] = own.max()
+            near[t] = first[t] + np.flatnonzero(own >= worst[k] - NEAR)
+        chance = 0.2 + 0.8 * _sigmoid(-worst)
+        chance /= chance.sum()
     return net
 
 
@@ -252,8 +331,8 @@ def toxicity_scores(
     """doc_id, held_out, score, predicted for each row of `docs` (doc_id, text).
 
     Learns from a bounded sample of labelled rows that are not held out (see
-    `labels.sample`), scores every window of every whole text and returns the
-    highest. A text without words is one empty window. Where labels of one class
+    `labels.sample`; all of its labels count), and scores every window of every whole
+    text. A text without words is one empty window. Where labels of one class
     are missing every score is their share. Repeated rows score alike; other
     columns are ignored.
     """
@@ -267,11 +346,7 @@ def toxicity_scores(
                 if net.value is None:
                     scores = np.full(texts.count, share)
                 else:
-                    words = Vocabulary(texts)
-                    windows, text = words.windows()
-                    odds = window_odds(net.value, words, windows)
-                    first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-                    scores = _sigmoid(np.maximum.reduceat(odds, first).astype(np.float64))
+                    scores = text_scores(net.value, Vocabulary(texts))
                 part = batch.slice(texts.first, texts.count).drop_columns(["text"])
                 yield part.append_column("score", pa.array(scores))
 
