@@ -24,7 +24,16 @@ from marlpit.operators.changes import (
 from marlpit.operators.chunking import chunk_documents
 from marlpit.operators.embedding import ColumnEmbedder, Embedder, embed_chunks
 from marlpit.operators.key_filter import key_filter
-from marlpit.runtime import BROADCAST_ROWS, broadcast_if_small, discard, stage, together
+from marlpit.runtime import (
+    BROADCAST_ROWS,
+    broadcast_counted,
+    broadcast_if_small,
+    discard,
+    held_bytes,
+    stage,
+    stage_observed,
+    together,
+)
 from marlpit.sources.store import IndexStore, Version
 from marlpit.sources.tables import select_documents
 from marlpit.sources.tree import TreeScan
@@ -38,6 +47,24 @@ class Indexing(NamedTuple):
     context_tokens: int | None = None
 
 
+class Plan(NamedTuple):
+    """A staged change plan, and how many of its rows are to index, to leave, to remove, and copies to index."""
+
+    rows: DataFrame
+    todo: int
+    rest: int
+    gone: int
+    copied: int
+
+    @staticmethod
+    def of(rows: DataFrame) -> Plan:
+        reindex, gone = F.col("action").isin(*REINDEX), F.col("action") == "remove"
+        copied = reindex & (F.col("copies") > 1) if "copies" in rows.columns else F.lit(False)
+        counts = {"todo": reindex, "rest": ~reindex & ~gone, "gone": gone, "copied": copied}
+        staged, seen = stage_observed(rows, "plan", **{name: F.count_if(test) for name, test in counts.items()})
+        return Plan(staged, **{name: seen[name] or 0 for name in counts})
+
+
 class Contents(NamedTuple):
     """Documents by key; `read` turns rows of the listing into their bytes."""
 
@@ -62,7 +89,9 @@ def crawl(
     brings its own. Returns the report, one row per registered source.
     """
     version = store.version()
-    small = broadcast_if_small(registry)
+    # Read several times below, and it may be a query.
+    registry, size = stage_observed(registry, "registry", rows=F.count(F.lit(1)), bytes=held_bytes(registry))
+    small = broadcast_counted(registry, size)
     if isinstance(documents, TreeScan):
         contents = Contents(documents.files, documents.read)
         scan = unique_scan(fingerprint(documents.documents))
@@ -71,8 +100,8 @@ def crawl(
         contents = Contents(select_documents(documents, small))
         scan = unique_scan(fingerprint(contents.listing))
     stored = store.files(version).join(small.select("source_id"), "source_id", "left_semi")
-    plan = stage(change_plan(scan, stored, indexing.model), "plan")
-    return apply_plan(
+    plan = Plan.of(change_plan(scan, stored, indexing.model))
+    report = apply_plan(
         store,
         version,
         registry,
@@ -83,6 +112,8 @@ def crawl(
         commits=commits,
         crawled_at=crawled_at,
     )
+    discard(registry)
+    return report
 
 
 def _both(some: DataFrame | None, more: DataFrame) -> DataFrame:
@@ -93,7 +124,7 @@ def apply_plan(
     store: IndexStore,
     version: Version,
     registry: DataFrame,
-    plan: DataFrame,
+    plan: Plan,
     contents: Contents,
     indexing: Indexing,
     *,
@@ -108,11 +139,13 @@ def apply_plan(
     A failing file stops its source there, or, with `all_or_nothing`, the run.
     `versions` (source_id, path, version) become visible with it.
     """
-    run = store.begin()
+    run = store.begin(version)
     crawled_at = crawled_at or datetime.now(timezone.utc)
     wrote_chunks = _write_chunks(store, run, plan, contents, indexing)
-    judged = stage(_judge(store, run, plan, wrote_chunks), "judged")
-    applied, gates = _gated(judged, source_errors)
+    judged, seen = stage_observed(
+        _judge(store, run, plan.rows, wrote_chunks), "judged", failures=F.count_if(F.col("error").isNotNull())
+    )
+    applied, gates = _gated(judged, seen["failures"] or 0, source_errors)
     if all_or_nothing and gates is not None:
         failure = gates.first()
         raise RuntimeError(f"source {failure.source_id}: {failure.gate_error}")
@@ -126,11 +159,10 @@ def apply_plan(
         F.when(replaced.isNotNull(), F.col("stored_model")).otherwise(F.lit(indexing.model)),
     )
 
-    report = stage(_report(registry, applied, gates, store, version), "report")
-    size = report.agg(
-        F.sum(F.col("indexed_files") + F.col("removed_files")).alias("changed"),
-        F.sum("dead_rows").alias("dead"),
-    ).first()
+    report, size = stage_observed(
+        _report(registry, applied, gates, store, version), "report",
+        changed=F.sum(F.col("indexed_files") + F.col("removed_files")), dead=F.sum("dead_rows"),
+    )
     status = upsert_status(store.status(version), _status(report, commits, crawled_at))
     writes = [partial(store.write, "status", run, status)]
     if size["changed"]:
@@ -143,7 +175,7 @@ def apply_plan(
         writes.append(partial(store.write, "versions", run, versions.hint("rebalance", "source_id")))
     together(*writes)
     store.commit(run, version.base_run, version.dead_rows + (size["dead"] or 0))
-    discard(plan, judged, *([gates] if gates is not None else []))
+    discard(plan.rows, judged, *([gates] if gates is not None else []))
     return report.drop("dead_rows")
 
 
@@ -152,13 +184,12 @@ def _changes() -> Column:
 
 
 def _gated(
-    judged: DataFrame, source_errors: DataFrame | None
+    judged: DataFrame, failures: int, source_errors: DataFrame | None
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows with `applied`, and the gates, or none in the usual case without failures."""
-    failing = judged.where("error is not null")
-    if failing.isEmpty() and (source_errors is None or source_errors.isEmpty()):
+    if not failures and (source_errors is None or source_errors.isEmpty()):
         return judged.withColumn("applied", F.lit(True)), None
-    gates = stage(source_gates(failing, source_errors), "gates")
+    gates = stage(source_gates(judged.where("error is not null"), source_errors), "gates")
     return apply_gates(judged, broadcast_if_small(gates)), gates
 
 
@@ -189,7 +220,7 @@ def _with_commits(rows: DataFrame, commits: DataFrame | None) -> DataFrame:
 
 
 def _write_chunks(
-    store: IndexStore, run: int, plan: DataFrame, contents: Contents, indexing: Indexing
+    store: IndexStore, run: int, plan: Plan, contents: Contents, indexing: Indexing
 ) -> bool:
     wanted = _to_reindex(plan, contents.listing)
     if wanted is None:
@@ -209,7 +240,7 @@ def _write_chunks(
     return True
 
 
-def _to_reindex(plan: DataFrame, listing: DataFrame) -> DataFrame | None:
+def _to_reindex(plan: Plan, listing: DataFrame) -> DataFrame | None:
     """The planned documents, without moving the others; null when there are none.
 
     The smaller of "to index" and "to leave" decides, so a first crawl and a quiet one
@@ -217,30 +248,27 @@ def _to_reindex(plan: DataFrame, listing: DataFrame) -> DataFrame | None:
     broadcast. Beyond it a key filter of bounded size parts the listing below the
     shuffle: what it does not hold is decided there, and only the rest is joined.
     """
-    reindex = F.col("action").isin(*REINDEX)
-    copied = reindex & (F.col("copies") > 1) if "copies" in plan.columns else F.lit(False)
-    size = plan.where("action <> 'remove'").agg(
-        F.count_if(reindex).alias("todo"), F.count_if(~reindex).alias("rest"), F.count_if(copied).alias("copied")
-    ).first()
-    if size["todo"] == 0:
+    if plan.todo == 0:
         return None
-    picked = _picked(plan, listing, reindex, size["todo"], size["rest"])
-    if not size["copied"]:
+    picked = _picked(plan, listing)
+    if not plan.copied:
         return picked
     # Copies have one content, so any of them will do; only they are moved for it.
-    keys = broadcast_if_small(plan.where(copied).select(*KEYS))
+    copied = F.col("action").isin(*REINDEX) & (F.col("copies") > 1)
+    keys = broadcast_if_small(plan.rows.where(copied).select(*KEYS))
     once = picked.join(keys, KEYS, "left_semi").dropDuplicates(KEYS)
     return picked.join(keys, KEYS, "left_anti").unionByName(once)
 
 
-def _picked(plan: DataFrame, listing: DataFrame, reindex: Column, todo: int, rest: int) -> DataFrame:
-    if rest == 0:
+def _picked(plan: Plan, listing: DataFrame) -> DataFrame:
+    if plan.rest == 0:
         return listing
-    few, how = (reindex, "left_semi") if todo <= rest else (~reindex, "left_anti")
-    keys = plan.where(few & (F.col("action") != "remove")).select(*KEYS)
-    if min(todo, rest) <= BROADCAST_ROWS:
+    reindex, smaller = F.col("action").isin(*REINDEX), min(plan.todo, plan.rest)
+    few, how = (reindex, "left_semi") if plan.todo <= plan.rest else (~reindex, "left_anti")
+    keys = plan.rows.where(few & (F.col("action") != "remove")).select(*KEYS)
+    if smaller <= BROADCAST_ROWS:
         return listing.join(F.broadcast(keys), KEYS, how)
-    may_hold = key_filter(keys, KEYS, min(todo, rest))
+    may_hold = key_filter(keys, KEYS, smaller)
     unclear = listing.where(may_hold).join(keys, KEYS, how)
     if how == "left_semi":
         return unclear

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F, types as T
 
 
 def local_session(cores: str = "8", app: str = "marlpit") -> SparkSession:
@@ -62,6 +62,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return staged
 
 
+def stage_observed(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """A staged table, and aggregates of it that the write itself has gathered."""
+    seen = Observation()
+    staged = stage(df.observe(seen, *[metric.alias(name) for name, metric in metrics.items()]), label)
+    return staged, seen.get
+
+
 def discard(*staged: DataFrame) -> None:
     """Remove staged tables that no plan reads any more."""
     for df in staged:
@@ -129,16 +136,40 @@ def _hadoop(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
 
-# Rows up to which a configuration-sized side is broadcast.
+# Rows and bytes up to which a configuration-sized side is broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a cheap side whose counted size allows it.
+    """Broadcast a cheap side whose counted rows and bytes allow it.
 
-    Beyond the bound the join is left to Catalyst: a sort-merge join whose
+    Beyond the bounds the join is left to Catalyst: a sort-merge join whose
     skewed partitions adaptive execution splits.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    size = df.limit(max_rows + 1).agg(F.count("*").alias("rows"), held_bytes(df).alias("bytes")).first()
+    return broadcast_counted(df, size, max_rows)
+
+
+def broadcast_counted(df: DataFrame, size: dict | Row, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The same for a side whose `rows` and `bytes` are known, as from `stage_observed`."""
+    small = size["rows"] <= max_rows and (size["bytes"] or 0) <= BROADCAST_BYTES
+    return F.broadcast(df) if small else df
+
+
+def held_bytes(df: DataFrame) -> Column:
+    """About how many bytes of values the rows of `df` hold, an aggregate."""
+    total = F.lit(16)
+    for field in df.schema.fields:
+        total = total + F.coalesce(_value_bytes(F.col(f"`{field.name}`"), field.dataType), F.lit(0))
+    return F.sum(total.cast("long"))
+
+
+def _value_bytes(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.octet_length(value)
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType):
+            return F.octet_length(F.array_join(value, ",", ""))
+        return F.size(value) * 16
+    return F.lit(8)

@@ -102,9 +102,9 @@ class IndexStore:
                 return Version(row["run"], row["base_run"], row["dead_rows"])
         return Version(0, 1, 0)
 
-    def begin(self) -> int:
+    def begin(self, version: Version | None = None) -> int:
         """Number of the next run, cleared of what a lost run may have left."""
-        run = self.version().run + 1
+        run = (version or self.version()).run + 1
         for table in _SCHEMAS:
             remove(self.spark, self._folder(table, run))
         return run
@@ -174,7 +174,7 @@ class IndexStore:
     def compact(self) -> int:
         """Fold the visible runs into one new run without retired rows."""
         version = self.version()
-        run = self.begin()
+        run = self.begin(version)
         by_source = lambda rows: rows.hint("rebalance", "source_id")
         chunks = self.chunks(version=version)
         self.write(

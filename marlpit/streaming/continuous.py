@@ -9,8 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marlpit.model import DOCUMENTS
 from marlpit.operators.changes import KEYS, action_for, fingerprint, stored_side
-from marlpit.plans.crawl import Contents, Indexing, apply_plan
-from marlpit.runtime import broadcast_if_small, discard, stage
+from marlpit.plans.crawl import Contents, Indexing, Plan, apply_plan
+from marlpit.runtime import broadcast_if_small, discard, stage_observed
 from marlpit.sources.store import IndexStore
 from marlpit.sources.tables import select_documents
 
@@ -71,12 +71,16 @@ def index_batch(
     small = broadcast_if_small(registry)
     version = store.version()
     arrived = latest_versions(select_documents(versions, small))
-    latest = stage(newer_versions(arrived, store.versions(version)), "feed")
-    plan = stage(feed_plan(latest, store.files(version), indexing.model), "feed-plan")
+    latest, seen = stage_observed(
+        newer_versions(arrived, store.versions(version)), "feed", taken=F.count("version"), rows=F.count(F.lit(1))
+    )
     report = None
+    if not seen["rows"]:
+        discard(latest)
+        return report
+    plan = Plan.of(feed_plan(latest, store.files(version), indexing.model))
     taken = latest.where("version is not null").select(*KEYS, "version")
-    idle = F.col("action").isin("skip", "skip_binary")
-    if not plan.where(~idle).isEmpty() or not taken.isEmpty():
+    if plan.todo or plan.gone or seen["taken"]:
         touched = registry.join(
             broadcast_if_small(latest.select("source_id").distinct()), "source_id", "left_semi"
         )
@@ -94,7 +98,7 @@ def index_batch(
             all_or_nothing=True,
             versions=taken,
         )
-    discard(latest, plan)
+    discard(latest, plan.rows)
     return report
 
 

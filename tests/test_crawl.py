@@ -319,3 +319,17 @@ def test_hash_embedder_index(spark, store, registry_of):
     hits = search(questions, store.chunks(), "hash", embedder=HashEmbedder(64)).orderBy("rank")
     assert hits.first().metadata.path == "a.md"
     assert os.path.isdir(store.root)
+
+
+def test_few_jobs_a_crawl(spark, store, registry_of):
+    """Counts come from the writes themselves; 32 and 25 jobs where each was counted by a job of its own."""
+    registry = registry_of({"source_id": "s"}, {"source_id": "t"})
+    first = _documents(spark, ("s", "a.md", "1"), ("s", "b.md", "2"), ("t", "c.md", "3"))
+    second = _documents(spark, ("s", "a.md", "1"), ("s", "b.md", "changed"))
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for name, documents in (("first", first), ("second", second), ("quiet", second)):
+        spark.sparkContext.setJobGroup(name, name)
+        crawl(store, registry, documents, RULES)
+        jobs.append(len(tracker.getJobIdsForGroup(name)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] <= 20 and jobs[1] <= 20 and jobs[2] <= 14, jobs

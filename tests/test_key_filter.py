@@ -27,10 +27,11 @@ def _listing(spark, n, edited):
 
 
 def _plan(spark, n, edited):
-    return spark.createDataFrame(
+    rows = spark.createDataFrame(
         [("s" if i % 3 else "t", f"{i:04}.md", "edited" if i in edited else "skip") for i in range(n)],
         "source_id string, path string, action string",
     )
+    return crawls.Plan.of(rows)
 
 
 @pytest.mark.parametrize("edited", [set(range(0, 600, 40)), set(range(600)) - set(range(0, 600, 40))])
