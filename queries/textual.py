@@ -15,7 +15,7 @@ from marlpit.operators.embedding import (
 )
 from marlpit.operators.reading import read_requests
 from marlpit.operators.reports import chunk_batches
-from marlpit.runtime import broadcast_if_small
+from marlpit.runtime import broadcast_if_small, spread
 from marlpit.sources.tables import documents_from_table, select_documents
 from queries import query, table
 from queries.fixtures import (
@@ -383,21 +383,22 @@ def boundary_chunks(spark, folder):
     language = paths.language_class(F.col("path"))
     size = texts.chunk_chars(language, texts.base_chars(F.lit(None).cast("int")))
     rows = rows.withColumn("size", size).withColumn("overlap", texts.chunk_overlap(F.col("size")))
-    cut = rows.withColumn("pieces", boundary_pieces("text", language, "size", "overlap")).where(F.size("pieces") > 0)
-    solid = lambda column: F.char_length(F.regexp_replace(column, f"[{texts.SPACE_CLASS}]", ""))
+    cut = spread(rows).withColumn("pieces", boundary_pieces("text", language, "size", "overlap")).where(F.size("pieces") > 0)
+    solid = lambda column: F.char_length(F.regexp_replace(column, f"[{texts.SPACE_CLASS}]+", ""))
     # The place of each piece, from that of the one before on; -1 once a piece is not found.
-    place = F.expr(
-        "aggregate(pieces, 1, (at, piece) -> CASE WHEN at < 1 THEN -1"
-        " WHEN locate(piece, text, at) = 0 THEN -1 ELSE locate(piece, text, at) END)"
-    )
+    place = F.expr("aggregate(pieces, 1, (at, piece) -> CASE WHEN at < 1 THEN -1 ELSE coalesce(nullif(locate(piece, text, at), 0), -1) END)")
     held = F.aggregate(F.transform("pieces", solid), F.lit(0), lambda total, n: total + n)
-    return cut.select(
+    facts = cut.select(
+        "doc_id", "overlap", "size", F.size("pieces").alias("n"), F.array_max(F.transform("pieces", F.char_length)).alias("longest"),
+        place.alias("place"), held.alias("held"), solid(F.col("text")).alias("whole"),
+    )
+    return facts.select(
         "doc_id",
-        (F.size("pieces") > 0).alias("some"),
-        F.forall("pieces", lambda piece: F.char_length(piece) <= F.col("size")).alias("short"),
-        (place > 0).alias("in_order"),
-        (held >= solid(F.col("text"))).alias("covered"),
-        (held <= solid(F.col("text")) + (F.size("pieces") - 1) * F.col("overlap")).alias("little_twice"),
+        (F.col("n") > 0).alias("some"),
+        (F.col("longest") <= F.col("size")).alias("short"),
+        (F.col("place") > 0).alias("in_order"),
+        (F.col("held") >= F.col("whole")).alias("covered"),
+        (F.col("held") <= F.col("whole") + (F.col("n") - 1) * F.col("overlap")).alias("little_twice"),
     )
 
 
