@@ -20,12 +20,12 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from marlpit.model import CHUNKS, FILES, SOURCE_STATUS
-from marlpit.runtime import exists, names_in, remove
+from marlpit.runtime import broadcast_counted, exists, held_bytes, names_in, remove
 
 KEYS = ["source_id", "path"]
-# Retired chunk keys (about 150 bytes each) up to which readers get them by
-# broadcast; beyond, an exact join by key takes over until the next `compact`.
-DEAD_BROADCAST_ROWS = 3_000_000
+# Folders (a run's part of a source) up to which readers treat those with retired
+# chunks apart from all others.
+TOUCHED_FOLDERS = 10_000
 
 _RUN = T.StructType().add("run", T.LongType())
 _CHUNKS = T.StructType(
@@ -126,19 +126,31 @@ class IndexStore:
         """Live chunks, optionally of one model; filters on source and model prune."""
         version = version or self.version()
         rows = self._runs("chunks", version)
-        dead = self._runs("dead", version)
-        if embed_model is not None:
-            rows = rows.where(F.col("embed_model") == embed_model)
-            dead = dead.where(F.col("embed_model") == embed_model)
-        dead_rows = version.dead_rows
-        if dead_rows > DEAD_BROADCAST_ROWS:
-            dead_rows = dead.count()  # of this model only, from the file footers
-        if dead_rows:
-            dead = dead.select(*KEYS, F.col("dead_run").alias("run"))
-            if dead_rows <= DEAD_BROADCAST_ROWS:
-                dead = F.broadcast(dead)
-            rows = rows.join(dead, [*KEYS, "run"], "left_anti")
-        return rows.select(*CHUNKS.names)
+        if not version.dead_rows:
+            return self._of_model(rows, embed_model).select(*CHUNKS.names)
+        rows, dead = (self._of_model(table, embed_model) for table in (rows, self._runs("dead", version)))
+        # The folders that hold retired chunks, as many as sources were touched by runs.
+        folders = dead.groupBy("source_id", "dead_run").agg(F.count("*").alias("rows"), held_bytes(dead).alias("bytes"))
+        folders = folders.limit(TOUCHED_FOLDERS + 1).collect()
+        if not folders:
+            return rows.select(*CHUNKS.names)
+        retired = dead.select(*KEYS, F.col("dead_run").alias("run"))
+        if len(folders) > TOUCHED_FOLDERS:
+            return rows.join(retired, [*KEYS, "run"], "left_anti").select(*CHUNKS.names)
+        size = {name: sum(folder[name] for folder in folders) for name in ("rows", "bytes")}
+        by_run: dict[int, list[str]] = {}
+        for folder in folders:
+            by_run.setdefault(folder["dead_run"], []).append(folder["source_id"])
+        touched = F.lit(False)
+        for run, sources in by_run.items():
+            touched = touched | ((F.col("run") == run) & F.col("source_id").isin(*sources))
+        live = rows.where(touched).join(broadcast_counted(retired, size), [*KEYS, "run"], "left_anti")
+        # All other folders are read without a join.
+        return rows.where(~touched).select(*CHUNKS.names).unionByName(live.select(*CHUNKS.names))
+
+    @staticmethod
+    def _of_model(rows: DataFrame, embed_model: str | None) -> DataFrame:
+        return rows if embed_model is None else rows.where(F.col("embed_model") == embed_model)
 
     def versions(self, version: Version | None = None) -> DataFrame:
         """The highest feed version of every document that a feed named, deleted ones too."""

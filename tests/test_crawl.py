@@ -110,7 +110,7 @@ def test_unchanged_crawl_does_not_embed(spark, store, registry_of, monkeypatch):
 
     report = crawl(store, registry, docs, Indexing(embed, "m2"))
     # Past the broadcast bound, retired rows of one model do not burden another.
-    monkeypatch.setattr(index_store, "DEAD_BROADCAST_ROWS", 1)
+    monkeypatch.setattr(index_store, "TOUCHED_FOLDERS", 0)
     assert joins("m") and not joins("m2")
     assert store.chunks("m").count() == 0 and store.chunks("m2").count() == 2
     assert _counts(report) == {"s": (2, 0, 0, 2)}
@@ -333,3 +333,26 @@ def test_few_jobs_a_crawl(spark, store, registry_of):
         jobs.append(len(tracker.getJobIdsForGroup(name)))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0] <= 20 and jobs[1] <= 20 and jobs[2] <= 14, jobs
+
+
+def test_only_touched_folders_are_joined_with_retired_keys(spark, store, registry_of, monkeypatch):
+    """Folders without retired chunks are read by a scan of their own, without a join."""
+    sources = [f"s{i}" for i in range(5)]
+    registry = registry_of(*[{"source_id": s} for s in sources])
+    texts = {(s, f"{k}.md"): f"text {k} of {s}" for s in sources for k in range(4)}
+    crawl(store, registry, _documents(spark, *[(*key, t) for key, t in texts.items()]), RULES)
+    texts["s2", "1.md"] = "edited"
+    del texts["s2", "3.md"]
+    crawl(store, registry, _documents(spark, *[(*key, t) for key, t in texts.items()]), RULES)
+    chunks = store.chunks()
+    assert _rows(chunks, "source_id", "path", "text") == sorted((*key, t) for key, t in texts.items())
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    branches = plan.split("\n:- ")
+    assert plan.startswith("Union") and plan.count("Join LeftAnti") == 1
+    files = lambda df: {f.split("/chunks/")[1].rsplit("/", 2)[0] for f in df.inputFiles() if "/chunks/" in f}
+    assert len(files(chunks)) == 6
+    scans = [line for line in chunks._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line and "PartitionFilters" in line]
+    assert any("NOT" in line or "<=>" in line for line in scans) and len(branches) >= 1
+    # The same rows where there are too many folders to tell apart.
+    monkeypatch.setattr(index_store, "TOUCHED_FOLDERS", 0)
+    assert _rows(store.chunks(), "source_id", "path", "text") == sorted((*key, t) for key, t in texts.items())
