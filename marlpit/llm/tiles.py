@@ -47,6 +47,12 @@ def cosine(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.clip(dot / np.sqrt(lengths), -1.0, 1.0)
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which changes no cosine, so that no square overflows or vanishes."""
+    _, exponent = np.frexp(np.abs(rows).max(axis=1, keepdims=True))
+    return np.ldexp(rows, -exponent)
+
+
 def cell(query_ids, queries, ids, vectors, k: int) -> list[tuple[int, int, float]]:
     """(query_id, vec_id, score) of the k best of a cell for each query."""
     small_q, scale_q, error_q = quantise(queries)
@@ -95,7 +101,8 @@ def nearest(
     Rows are (vec_id, embedding). Vectors that are null, empty, zero or hold null or
     non-finite components take no part, on either side; vectors of another number of
     dimensions are no candidates. Ties go to the smaller vec_id; fewer candidates
-    give fewer rows. Repeated candidate rows count once, repeated queries too.
+    give fewer rows. Repeated candidate rows count once, repeated queries too. Components
+    may be as large or small as doubles are; other columns are ignored.
     """
     wanted = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     offered = usable(vectors)
@@ -115,6 +122,7 @@ def nearest(
                 np.concatenate([np.asarray(c.flatten()) for c in t.column("v").chunks]).reshape(-1, dims),
             )
             (query_ids, qs), (ids, vs) = read(a), read(b)
+            qs, vs = scaled(qs), scaled(vs)
             order = np.argsort(ids, kind="stable")
             ids, vs = ids[order], vs[order]
             once = np.concatenate([[True], ids[1:] != ids[:-1]])
