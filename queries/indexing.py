@@ -98,15 +98,14 @@ def next_files(spark, folder):
 )
 def next_chunks(spark, folder):
     plan = stage(_plan(spark, folder).where("action <> 'skip'"), "plan")
-    stored = fixed_chunks(stored_texts(spark, folder).drop("embed_model"))
+    # Files that the plan touches go before the rest are cut.
+    kept = changes.delete_rows(stored_texts(spark, folder).drop("embed_model"), plan)
     wanted = plan.where("action <> 'remove'").select(*KEYS)
     texts = table(spark, folder, "documents").select(
         F.col("source").alias("source_id"), doc_path().alias("path"), "text"
     )
     fresh = fixed_chunks(texts.join(wanted, KEYS, "left_semi"))
-    return changes.replace_rows(stored, plan, fresh).withColumn(
-        "chunk_index", F.col("chunk_index").cast("long")
-    )
+    return fixed_chunks(kept).unionByName(fresh).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 _FAILED_SQL = f"""
@@ -642,7 +641,10 @@ def tree_scan(spark, folder):
     everything = files.unionByName(skipped).unionByName(drafts)
     everything.mapInPandas(_write_files, "written long").agg(F.sum("written")).collect()
     content = F.col("content")
-    return scan_tree(_registry(spark, folder, root)).documents.select(
+    scan = scan_tree(_registry(spark, folder, root))
+    if not scan.source_errors.isEmpty():
+        raise RuntimeError("a tree could not be listed")
+    return scan.documents.select(
         *KEYS,
         F.sha2(content, 256).alias("content_hash"),
         F.char_length(content.cast("string")).cast("long").alias("n_chars"),
