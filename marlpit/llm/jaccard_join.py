@@ -46,6 +46,12 @@ IN_TASK = 4096
 # Shingles of a set counted by so many classes; a byte each.
 CLASSES = 128
 FINE_CLASSES = 1024  # made within a task, where members are at hand
+# Within a task, regions with more members apart from the largest component are split by
+# so many pivots, while the parts hold no more than GROWTH times the members.
+LEAF = 64
+PIVOTS = 8
+GROWTH = 1.5
+FAR = 0.75  # members further than this from every pivot are a region of their own
 
 
 def _hashed(texts: tokens.Texts, words: int):
@@ -222,9 +228,12 @@ def region_links(
 ) -> list[tuple[int, int]]:
     """Links that connect whatever links within one region, by recursion on pivots.
 
-    Members of one label are connected already; those of rare labels come first
-    as pivots, so that a large connected part is never measured within itself.
-    With class `counts`, members that these put beyond the radius are not measured.
+    A region is split into the cells of its nearest pivots, a member going to each cell
+    that the triangle inequality leaves open for its neighbours. What can be split no
+    further is joined one pivot after another. Members of one label are connected
+    already; those of rare labels come first as pivots, so that a large connected part
+    is never measured within itself. With class `counts`, members that these put beyond
+    the radius are not measured.
     """
     lengths = np.array([len(m) for m in members])
     radius = 1 - percent / 100
@@ -232,10 +241,29 @@ def region_links(
     _, component, size = np.unique(labels, return_inverse=True, return_counts=True)
     fine = np.stack([_classes(m, FINE_CLASSES) for m in members]) if len(members) else None
     links, todo = [], [np.argsort(size[component], kind="stable")]
+
+    def common_with(pivot: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles each of some members shares with one."""
+        joined, own = np.concatenate([members[i] for i in others]), members[pivot]
+        at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+        return np.add.reduceat((own[at] == joined).astype(np.int64), np.cumsum(lengths[others]) - lengths[others])
+
+    def link(pivot: int, others: np.ndarray, common: np.ndarray) -> None:
+        for i in others[100 * common >= percent * (lengths[others] + lengths[pivot] - common)]:
+            if component[i] != component[pivot]:
+                links.append((int(names[pivot]), int(names[i])))
+                component[component == component[i]] = component[pivot]
+
     while todo:
         region = todo.pop()
         if len(region) < 2:
             continue
+        most = np.unique(component[region], return_counts=True)[1].max()
+        if len(region) - most > LEAF:
+            cells = _cells(region, lengths, radius, common_with, link)
+            if cells:
+                todo += cells
+                continue
         pivot, rest = region[0], region[1:]
         near = rest[component[rest] != component[pivot]]
         if len(near) and counts is not None:
@@ -243,20 +271,44 @@ def region_links(
         if len(near):
             near = near[least_distances(lengths[pivot], lengths[near], fine[pivot], fine[near]) <= radius + 1e-9]
         if len(near):
-            joined = np.concatenate([members[i] for i in near])
-            own = members[pivot]
-            at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
-            common = np.add.reduceat((own[at] == joined).astype(np.int64), np.cumsum(lengths[near]) - lengths[near])
-            for i in near[100 * common >= percent * (lengths[near] + len(own) - common)]:
-                if component[i] != component[pivot]:
-                    links.append((int(names[pivot]), int(names[i])))
-                    component[component == component[i]] = component[pivot]
+            link(pivot, near, common_with(pivot, near))
         # The pivot has been measured against all that was not connected to it and is done.
         if (component[rest] != component[rest[0]]).any():
             todo.append(rest)
     return links
 
 
+def _cells(region: np.ndarray, lengths: np.ndarray, radius: float, common_with, link) -> list[np.ndarray]:
+    """The region split around pivots, each the furthest from those before; none if that is no gain.
+
+    Let x and y link, d(x, y) <= r, and p be nearest to y. Then d(x, p) <= d(y, p) + r, and
+    d(y, p) <= d(y, q) <= d(x, q) + r for the pivot q nearest to x: so x goes to every cell
+    whose pivot is within 2r of its own distance to the nearest. Members further than
+    `FAR` from all pivots have a cell of their own; what links to one of them is
+    further than `FAR` - r from all, and goes there too.
+    """
+    distance = np.full((0, len(region)), np.inf)
+    pivot = 0
+    for _ in range(PIVOTS):
+        common = common_with(region[pivot], region)
+        link(region[pivot], region, common)
+        union = lengths[region] + lengths[region[pivot]] - common
+        distance = np.concatenate([distance, [1 - common / union]])
+        pivot = int(distance.min(axis=0).argmax())
+        if distance[:, pivot].min() <= 2 * radius:
+            break
+    nearest = distance.min(axis=0)
+    slack = 1e-9
+    inside = (distance <= nearest + 2 * radius + slack) & (nearest <= FAR)
+    masks = [*inside, nearest > FAR - radius - slack]
+    # Cells in which no member has its own nearest pivot find nothing that others do not.
+    owns = [*((distance == nearest) & (nearest <= FAR)), nearest > FAR]
+    cells = [region[mask] for mask, own in zip(masks, owns) if own.any() and mask.sum() > 1]
+    if sum(map(len, cells)) > GROWTH * len(region) or max(map(len, cells), default=0) > 0.9 * len(region):
+        return []
+    return cells
+
+
 def _finish(rows: DataFrame, docs: DataFrame, examples: DataFrame, words: int, percent: int, in_task: int) -> DataFrame:
     """Links between different labels within regions (region, set_id, label)."""
     radius = 1 - percent / 100

@@ -1,0 +1,59 @@
+"""Regions split around pivots link what measuring all pairs links."""
+
+import numpy as np
+import pytest
+
+from marlpit.llm import jaccard_join
+
+
+def closed(n, pairs):
+    label = list(range(n))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        label[b] = a
+    return [root(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(8))
+@pytest.mark.parametrize("leaf,growth", [(2, 1.5), (2, 100.0), (16, 1.5), (10_000, 1.5)])
+def test_cells_lose_no_link(monkeypatch, seed, leaf, growth):
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    monkeypatch.setattr(jaccard_join, "GROWTH", growth)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2 + seed % 4)
+    random_ = np.random.default_rng(seed)
+    bases = [random_.integers(0, 2**60, 40).astype(np.uint64) for _ in range(12)]
+    members = []
+    for i in range(160):
+        base = bases[random_.integers(12)]
+        other = bases[random_.integers(12)] if random_.random() < 0.2 else base
+        kept = np.concatenate([base[random_.random(40) < random_.choice([0.5, 0.8, 0.95])], other[:random_.integers(20)]])
+        members.append(np.unique(np.concatenate([kept, random_.integers(0, 2**60, random_.integers(1, 8)).astype(np.uint64)])))
+    n = len(members)
+    every = [
+        (a, b) for a in range(n) for b in range(a)
+        if 100 * len(np.intersect1d(members[a], members[b])) >= 75 * len(np.union1d(members[a], members[b]))
+    ]
+    links = jaccard_join.region_links(np.arange(n), members, 75)
+    assert closed(n, links) == closed(n, every)
+    known = set(every)
+    assert all((max(p), min(p)) in known for p in links)
+
+
+def test_cells_are_used():
+    random_ = np.random.default_rng(1)
+    bases = [random_.integers(0, 2**60, 30).astype(np.uint64) for _ in range(20)]
+    members = [np.unique(np.append(bases[i % 20], random_.integers(0, 2**60, 3).astype(np.uint64))) for i in range(200)]
+    lengths = np.array([len(m) for m in members])
+
+    def common_with(pivot, others):
+        return np.array([len(np.intersect1d(members[pivot], members[i])) for i in others])
+
+    cells = jaccard_join._cells(np.arange(200), lengths, 0.25, common_with, lambda *given: None)
+    assert len(cells) == 9 and sum(map(len, cells)) == 200
+    assert all(len({i % 20 for i in cell}) == 1 for cell in cells[:8])
