@@ -1,16 +1,24 @@
-"""Token ids of texts whose parts are encoded apart: each distinct part once a task."""
+"""Token ids of texts whose parts are encoded apart: each distinct part once a worker.
+
+Spark gives a Python worker one task after another; what a worker has learned of one
+tokenizer stays for its next tasks, up to a bound.
+"""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Sequence
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 
-# Parts, and bytes of them, that a task remembers; beyond, it starts anew.
-REMEMBERED = 1 << 19
+# Parts, and bytes of them, that a worker remembers; beyond, it starts anew.
+REMEMBERED = 1 << 20
 REMEMBERED_BYTES = 1 << 26
+# Where a worker keeps them: functions come to it by value, so modules of ours do not last.
+SHELF = "part_ids_of_this_worker"
 
 
 def parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -75,3 +83,14 @@ class PartIds:
         stops = np.cumsum(lengths)
         at = np.arange(stops[-1] if len(stops) else 0) + np.repeat(self.starts[place] - stops + lengths, lengths)
         return self.ids[at], lengths, self.flags[place]
+
+
+def of_worker(name: str, make: Callable[[], Callable]) -> PartIds:
+    """The parts that this worker knows under a name; `make` gives the encoder of new ones."""
+    shelf = sys.modules.setdefault(SHELF, ModuleType(SHELF))
+    known = vars(shelf).get(name)
+    if known is None:
+        # One tokenizer at a time, so that the bound holds.
+        vars(shelf).clear()
+        known = vars(shelf)[name] = PartIds(make())
+    return known

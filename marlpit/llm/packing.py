@@ -1,6 +1,6 @@
 """Best-two-fit packing of documents into sequences of equal width.
 
-Words are encoded apart, without marks after them, each distinct one once a task; only
+Words are encoded apart, without marks after them, each distinct one once a worker; only
 documents longer than the width are cut. How pieces are packed depends on their lengths alone, so the plan
 is made from the number of pieces of each length, of which there are at most as many
 as the width: a bin is filled greedily, its smallest piece gives way to two that fill
@@ -10,6 +10,7 @@ then find their places by their rank among those of their length.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from bisect import bisect_left, bisect_right
 from itertools import pairwise
@@ -149,6 +150,7 @@ def pieces(docs: DataFrame, tokenizer: str, width: int = WIDTH, end: int = END,
     """
     whole = ids
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    name = "packing " + hashlib.sha256(tokenizer.encode()).hexdigest()
 
     def run(batches):
         import os
@@ -157,13 +159,16 @@ def pieces(docs: DataFrame, tokenizer: str, width: int = WIDTH, end: int = END,
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_str(shared.value)
+        def encoder():
+            library = Tokenizer.from_str(shared.value)
 
-        def encode(words):
-            found = library.encode_batch_fast(words, add_special_tokens=False)
-            return [e.ids for e in found], np.zeros(len(words), bool)
+            def encode(words):
+                found = library.encode_batch_fast(words, add_special_tokens=False)
+                return [e.ids for e in found], np.zeros(len(words), bool)
 
-        table, task = distinct.PartIds(encode), TaskContext.get().partitionId()
+            return encode
+
+        table, task = distinct.of_worker(name, encoder), TaskContext.get().partitionId()
         seen = np.zeros(width + 1, np.int64)
         for batch in batches:
             doc_ids = batch.column("doc_id")
