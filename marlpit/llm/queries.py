@@ -204,37 +204,46 @@ def op11_packing(spark, folder):
     return packing.packed_pieces(table(spark, folder, "documents"), packing.read_tokenizer(), ids=False)
 
 
+# Each occurrence of a word carries the counts of the one to four words that begin there, so
+# that no table is named twice. A phrase inside a longer one is inside one longer by a word,
+# which is at least as frequent.
 OP12_SQL = r"""
-WITH p AS MATERIALIZED (
-  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
-  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
-          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
-        FROM documents)),
-f AS MATERIALIZED (
-  SELECT lang, m, phrase, count(*)::HUGEINT AS a
-  FROM (SELECT lang, m, unnest([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, len(w) - m + 2)]) AS phrase
-        FROM p, (VALUES (1), (2), (3), (4)) t(m))
-  GROUP BY ALL),
-n AS (SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang),
-c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND a >= 30),
-cuts AS (
-  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS left_part, array_to_string(w[k + 1:], ' ') AS right_part
-  FROM c, (VALUES (1), (2), (3)) t(k) WHERE k < m),
+WITH words AS (
+  SELECT lang, p, unnest(w) AS w1, generate_subscripts(w, 1) AS i
+  FROM (SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+        FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+              FROM documents))),
+grams AS (
+  SELECT lang, p, i, w1, w1 || ' ' || b AS w2, w1 || ' ' || b || ' ' || c AS w3, w1 || ' ' || b || ' ' || c || ' ' || d AS w4
+  FROM (SELECT *, lead(w1, 1) OVER x AS b, lead(w1, 2) OVER x AS c, lead(w1, 3) OVER x AS d
+        FROM words WINDOW x AS (PARTITION BY p ORDER BY i))),
+counts AS (
+  SELECT *, count(*) OVER (PARTITION BY lang) AS n, count(*) OVER (PARTITION BY lang, w1) AS c1,
+         count(w2) OVER (PARTITION BY lang, w2) AS c2, count(w3) OVER (PARTITION BY lang, w3) AS c3,
+         count(w4) OVER (PARTITION BY lang, w4) AS c4
+  FROM grams),
+around AS (
+  SELECT *, lead(c1, 1) OVER x AS c1b, lead(c1, 2) OVER x AS c1c, lead(c1, 3) OVER x AS c1d,
+         lead(c2, 1) OVER x AS c2b, lead(c2, 2) OVER x AS c2c, lead(c3, 1) OVER x AS c3b,
+         greatest(c3, coalesce(lag(c3) OVER x, 0)) AS longer3, greatest(c4, coalesce(lag(c4) OVER x, 0)) AS longer4
+  FROM counts WINDOW x AS (PARTITION BY p ORDER BY i)),
+found AS (
+  SELECT lang, g.phrase AS phrase, any_value(n) AS n, any_value(g.a) AS a, max(g.longer) AS longer, any_value(g.cuts) AS cuts
+  FROM (SELECT lang, n, unnest([
+          {'phrase': w2, 'a': c2, 'longer': longer3, 'cuts': [[c1, c1b]]},
+          {'phrase': w3, 'a': c3, 'longer': longer4, 'cuts': [[c1, c2b], [c2, c1c]]},
+          {'phrase': w4, 'a': c4, 'longer': 0, 'cuts': [[c1, c3b], [c2, c2c], [c3, c1d]]}]) AS g
+        FROM around)
+  WHERE g.phrase IS NOT NULL AND g.a >= 30 GROUP BY lang, g.phrase),
 scored AS (
-  SELECT u.lang, u.phrase, u.a, x.a AS l, y.a AS r, 2000000::HUGEINT * u.a // (x.a + y.a) AS score,
-         row_number() OVER (PARTITION BY u.lang, u.phrase ORDER BY 2000000::HUGEINT * u.a // (x.a + y.a), k) AS o
-  FROM cuts u JOIN f x ON x.lang = u.lang AND x.phrase = left_part JOIN f y ON y.lang = u.lang AND y.phrase = right_part),
-inside AS (
-  SELECT lang, part, max(a) AS longest
-  FROM (SELECT lang, a, unnest([array_to_string(w[i:i + s - 1], ' ') FOR i IN range(1, m - s + 2)]) AS part
-        FROM c, (VALUES (2), (3)) t(s) WHERE s < m)
-  GROUP BY ALL),
-ranked AS (
-  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
-  FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.part = s.phrase
-  WHERE o = 1 AND (longest IS NULL OR 100 * longest < 80 * a))
-SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
-FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+  SELECT lang, phrase, n, a, list_min([
+           {'score': 2000000::HUGEINT * a // (cuts[k][1] + cuts[k][2]), 'k': k, 'l': cuts[k][1], 'r': cuts[k][2]}
+           FOR k IN range(1, len(cuts) + 1)]) AS cut
+  FROM found WHERE longer < 30 OR 100 * longer < 80 * a)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, cut.l::BIGINT AS l, cut.r::BIGINT AS r, n::BIGINT AS n, cut.score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, a DESC, phrase) AS rank FROM scored)
+WHERE rank <= 2000
 """
 
 
