@@ -1,7 +1,7 @@
-"""Token ids of texts whose parts are encoded apart: each distinct part once a worker.
+"""Token ids of texts whose parts are encoded apart: each distinct part once a task, or once a worker.
 
-Spark gives a Python worker one task after another; what a worker has learned of one
-tokenizer stays for its next tasks, up to a bound.
+Spark gives a Python worker one task after another; with `of_worker`, what a worker has
+learned of one tokenizer stays for its next tasks, up to a bound.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from types import ModuleType
 import numpy as np
 import pyarrow as pa
 
-# Parts, and bytes of them, that a worker remembers; beyond, it starts anew.
+# Parts, and bytes of them, that are remembered; beyond, all begins anew.
 REMEMBERED = 1 << 20
 REMEMBERED_BYTES = 1 << 26
 # Where a worker keeps them: functions come to it by value, so modules of ours do not last.
@@ -36,8 +36,8 @@ def parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
 class PartIds:
     """Remembers the ids and a flag of each distinct part."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[Sequence, Sequence[bool]]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], tuple[Sequence, Sequence[bool]]], most: int = REMEMBERED):
+        self.encode, self.most = encode, most
         self._empty()
 
     def _empty(self) -> None:
@@ -70,7 +70,7 @@ class PartIds:
         words = coded.dictionary.to_pylist()
         places = list(map(self.known.get, words))
         fresh = [w for w, place in zip(words, places) if place is None]
-        full = len(self.known) + len(fresh) > REMEMBERED or self.bytes > REMEMBERED_BYTES
+        full = len(self.known) + len(fresh) > self.most or self.bytes > REMEMBERED_BYTES
         if full and self.known:
             self._empty()
             fresh = words

@@ -4,15 +4,13 @@ The model's protobuf is parsed and its parts are rebuilt: normaliser (character
 map, extra blanks, dummy prefix), metaspace marker, scored pieces and byte
 fallback. A unigram model keeps its scores; in a BPE model the scores order the
 merges. Where no piece goes on after a marker, runs of blanks with the word after them
-are encoded apart, so each distinct one is encoded once a worker, in batches by several
+are encoded apart, so each distinct one is encoded once a task, in batches by several
 threads, by the rebuilt tokenizer and by the original library, whose ids count where
 they differ. Every document is decoded again.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +21,7 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
 SLICE_BYTES = 1 << 21
+REMEMBERED = 1 << 19
 # Kinds of pieces in the protobuf.
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 
@@ -171,10 +170,7 @@ def encode(docs: DataFrame, model: bytes, threads: int = THREADS, carry: tuple =
     where not, ids are the original's. Null and empty texts have no tokens and parity.
     Repeated rows give equal rows; other columns are ignored.
     """
-    rebuilt = rebuild(model)
-    shared = docs.sparkSession.sparkContext.broadcast((rebuilt, model, apart(model)))
-    # Also the rebuilt one, since what was compared belongs to it.
-    known_as = "pieces " + hashlib.sha256(model + rebuilt.encode()).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast((rebuild(model), model, apart(model)))
 
     def run(batches):
         import os
@@ -196,7 +192,7 @@ def encode(docs: DataFrame, model: bytes, threads: int = THREADS, carry: tuple =
                 own[at], wanted[at] = [tokenizer.token_to_id(MARK)], [original.piece_to_id(MARK)]
             return wanted, [a == b for a, b in zip(own, wanted)]
 
-        table = distinct.of_worker(known_as, lambda: both)
+        table = distinct.PartIds(both, REMEMBERED)
         for batch in batches:
             text_column = batch.column("text")
             for part in tokens.slices(text_column, SLICE_BYTES):
