@@ -9,20 +9,23 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import reduce
 from typing import NamedTuple
 from urllib.parse import unquote
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marlpit.model import DOCUMENTS
-from marlpit.runtime import folder_at
+from marlpit.runtime import broadcast_if_small, folder_at, stage, stage_observed
 
 LISTING = "source_id string, root string, path string, bytes long, state string"
-# Files named to one reader; more are read by several.
+# Up to so many files are named to the reader, which then opens no other; more are joined with all.
 FILES_PER_READER = 20_000
+# Spark deals small files out a few to a task, thousands of tasks for a wide tree; these bound them.
+FILES_PER_TASK = 5_000
+BYTES_PER_TASK = 128 << 20
 STORE = "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
 
 
@@ -81,11 +84,13 @@ def list_roots(spark: SparkSession, roots: list[Root]) -> StoreListing:
 
 
 def _listed(roots: list[Root], tops: dict[str, str], files: DataFrame) -> DataFrame:
-    listed = files.select(_within(F.col("path")).alias("full"), F.col("length").alias("bytes"))
+    sizes = files.select(_within(F.col("path")).alias("full"), F.col("length").alias("bytes"))
+    count = len(files._jdf.inputFiles())  # names stay in the JVM
+    listed, seen = stage_observed(sizes.coalesce(_tasks(files, count)), "store-listing", files=F.count(F.lit(1)))
     # Readers pass over empty files, the listing does not.
-    names = files.inputFiles()
-    if len(names) > listed.count():
-        every = files.sparkSession.createDataFrame([(_plain(unquote(name)),) for name in names], "full string")
+    if count > (seen["files"] or 0):
+        names = pa.table({"full": pa.array([_plain(unquote(name)) for name in _names(files)], pa.string())})
+        every = files.sparkSession.createDataFrame(names)
         listed = listed.unionByName(every.join(listed, "full", "left_anti").withColumn("bytes", F.lit(0).cast("long")))
     # A file lies below each root that it lies below.
     folders = F.array(*[F.struct(F.lit(r.source_id).alias("source_id"), F.lit(r.uri).alias("root"), F.lit(_plain(tops[r.uri]) + "/").alias("top")) for r in roots])
@@ -99,31 +104,31 @@ def _listed(roots: list[Root], tops: dict[str, str], files: DataFrame) -> DataFr
 def read_listed(files: DataFrame, listing: StoreListing) -> DataFrame:
     """Bytes of listed files (source_id, root, path, bytes).
 
-    The listing is on the driver already, as Spark's file sources keep it, and so are
-    the names of those to read: a filter on them prunes the other files before any is
-    opened. A file that is gone or torn by now is an error row.
+    Spark keeps the listing on the driver, as for all its file sources. Few files are
+    named to the reader: a filter on their names prunes the others before any is opened.
+    Many are joined with what the reader has, and no name passes the driver. A file that
+    is gone or torn by now is an error row.
     """
     spark = files.sparkSession
-    wanted = files.select("root", "source_id", "path", "bytes").toArrow().to_pylist()
-    spelled = {_plain(unquote(name)): name for name in listing.reader.inputFiles()} if wanted else {}
-    parts = [spark.createDataFrame([], DOCUMENTS)]
-    for at in range(0, len(wanted), FILES_PER_READER):
-        named = [
-            (row["source_id"], row["path"], f"{listing.tops[row['root']]}/{row['path']}", row["bytes"] == 0)
-            for row in wanted[at : at + FILES_PER_READER]
-        ]
-        names = [spelled[full] for *_, full, empty in named if full in spelled and not empty]
+    if listing.reader is None:
+        return spark.createDataFrame([], DOCUMENTS)
+    top = F.element_at(F.create_map(*[F.lit(x) for pair in listing.tops.items() for x in pair]), F.col("root"))
+    keys = files.select("source_id", "path", F.concat(top, F.lit("/"), "path").alias("full"), (F.col("bytes") == 0).alias("empty"))
+    size = files.agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes")).first()
+    reader, tasks = listing.reader, _tasks(files, size["files"], size["bytes"] or 0)
+    if size["files"] <= FILES_PER_READER:
+        wanted = set(keys.where(~F.col("empty")).select("full").toArrow()["full"].to_pylist())
+        names = [name for name in _names(reader) if _plain(unquote(name)) in wanted] if wanted else []
         # A store without a host is spelled with one slash or with three.
         names += [name.replace(":///", ":/", 1) for name in names if ":///" in name]
-        contents = listing.reader.where(F.col("_metadata.file_path").isin(names)).select(_within(F.col("path")).alias("full"), "content")
-        keys = spark.createDataFrame(named, "source_id string, path string, full string, empty boolean")
-        content = F.when(F.col("empty"), F.lit(b"")).otherwise(F.col("content"))
-        parts.append(
-            keys.join(contents, "full", "left").select(
-                "source_id", "path", content.alias("content"), F.when(content.isNull(), "file cannot be read").alias("error")
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+        reader = reader.where(_named(names))
+    contents = reader.select(_within(F.col("path")).alias("full"), "content").coalesce(tasks)
+    # Empty files are not read; the others stay where they are while their names can be sent to them.
+    held = contents.join(broadcast_if_small(keys.select("full").distinct()), "full", "left_semi")
+    content = F.when(F.col("empty"), F.lit(b"")).otherwise(F.col("content"))
+    return keys.join(held, "full", "left").select(
+        "source_id", "path", content.alias("content"), F.when(content.isNull(), "file cannot be read").alias("error")
+    )
 
 
 def open_listed(wanted: DataFrame, roots: list[Root]) -> DataFrame:
@@ -137,7 +142,7 @@ def open_listed(wanted: DataFrame, roots: list[Root]) -> DataFrame:
     plain = F.regexp_replace(F.regexp_replace("path", r"/(?:\./)+", "/"), "/+", "/")
     asked = wanted.withColumn("asked", F.col("path")).withColumn("path", plain)
     found = asked.join(listing.rows.where("state = 'file'"), ["source_id", "path"])
-    texts = read_listed(found.select("source_id", "root", "path", "bytes").distinct(), listing)
+    texts = read_listed(stage(found.select("source_id", "root", "path", "bytes").distinct(), "wanted-files"), listing)
     answers = texts.join(asked, ["source_id", "path"]).select("source_id", F.col("asked").alias("path"), "content", "error")
     lost = listing.rows.where("state <> 'file'").select("source_id")
     errors = wanted.join(lost, "source_id", "left_semi").select(
@@ -152,5 +157,22 @@ def _reader(spark: SparkSession, tops: Iterable[str]) -> DataFrame | None:
     return spark.read.format("binaryFile").options(**options).load(tops) if tops else None
 
 
+def _named(names: list[str]) -> Column:
+    """Whether a file has one of the names, written as SQL: a literal at a time takes a call to the JVM each."""
+    listed = ", ".join(f"'{name}'" for name in names if "'" not in name)
+    test = F.col("_metadata.file_path").isin([name for name in names if "'" in name])
+    return test | F.expr(f"_metadata.file_path IN ({listed})") if listed else test
+
+
+def _names(reader: DataFrame) -> list[str]:
+    """The reader's files as Spark spells them, URIs without line breaks, brought over at once."""
+    names = reader.sparkSession._jvm.org.apache.hadoop.util.StringUtils.join("\n", reader._jdf.inputFiles())
+    return names.split("\n") if names else []
+
+
+def _tasks(df: DataFrame, files: int, size: int = 0) -> int:
+    return max(4 * df.sparkSession.sparkContext.defaultParallelism, files // FILES_PER_TASK, size // BYTES_PER_TASK)
+
+
 def _plain(path: str) -> str:
     return re.sub(STORE, "", path)

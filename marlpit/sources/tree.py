@@ -56,7 +56,7 @@ def scan_tree(registry: DataFrame, data_dir: str = "data") -> TreeScan:
     read = read_files
     if roots:
         on_stores = list_roots(registry.sparkSession, roots)
-        listing = stage(listing.unionByName(on_stores.rows), "tree-listing")
+        listing = listing.unionByName(on_stores.rows)
         read = partial(_read_both, on_stores)
     missing = (
         listing.where("state IN ('missing', 'failed')")

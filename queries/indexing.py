@@ -651,6 +651,26 @@ def tree_scan(spark, folder):
     )
 
 
+def _write_tree(rows, root):
+    """Each document as a file below `source=S`, its text and a line break.
+
+    Files on a mounted folder are written by tasks themselves, some thousand ids to a
+    folder: Hadoop's local file system starts a process for every folder and file it
+    makes. Other stores get a folder for each document from Spark's writer.
+    """
+    if not root.startswith("file:"):
+        rows.select("source", "doc_id", "text").write.partitionBy("source", "doc_id").text(root)
+        return
+    # As in that writer, rows of one id are one file, and a source without a name has a default one.
+    lines = F.array_join(F.sort_array(F.collect_list(F.concat(F.coalesce("text", F.lit("")), F.lit("\n")))), "")
+    source = F.coalesce(F.nullif("source", F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    path = F.concat(F.lit("source="), "source", F.lit("/"), F.expr("doc_id DIV 20000"), F.lit("/doc_id="), "doc_id", F.lit(".txt"))
+    files = rows.groupBy(source.alias("source"), "doc_id").agg(lines.alias("text")).select(
+        F.lit("/" + root.removeprefix("file:").lstrip("/")).alias("root"), path.alias("path"), F.col("text").cast("binary").alias("content")
+    )
+    files.mapInPandas(_write_files, "written long").agg(F.sum("written")).collect()
+
+
 @query(
     r"""WITH docs AS (
       SELECT doc_id, source, text || chr(10) AS text,
@@ -668,17 +688,16 @@ def tree_scan(spark, folder):
     FROM docs"""
 )
 def tree_read(spark, folder):
-    """Whole files and line ranges read from trees that Spark wrote, by path.
+    """Whole files and line ranges read from trees that tasks wrote, by path.
 
     A source's files are named by the listing of its root, a URI of the shared folder.
     """
     path = fresh_path(spark, "read-tree")
     root = path if ":" in path.split("/")[0] else f"file://{path}"
-    rows = table(spark, folder, "documents")
-    rows.select("source", "doc_id", "text").write.partitionBy("source", "doc_id").text(root)
+    _write_tree(table(spark, folder, "documents"), root)
     registry = _registry(spark, folder, f"{root}/source=").withColumn("path", F.replace("path", F.lit("source=/"), F.lit("source=")))
     registry = registry.withColumn("include", F.array(F.lit("**/*.txt")))
-    number = F.regexp_extract("path", r"^doc_id=(\d+)/", 1).cast("long")
+    number = F.regexp_extract("path", r"\bdoc_id=(\d+)[/.]", 1).cast("long")
     listed = scan_tree(registry).files.select("source_id", "path", number.alias("request_id"))
     requests = stage(
         listed.select(

@@ -6,6 +6,7 @@ from marlpit.index import DocumentIndex
 from marlpit.operators.embedding import HashEmbedder
 from marlpit.plans.crawl import Indexing
 from marlpit.sources.store import IndexStore
+from marlpit.sources import hadoop_tree
 from marlpit.sources.tree import scan_tree
 from tests.test_crawl import RULES, _counts, _rows
 from marlpit.plans.crawl import crawl
@@ -82,3 +83,35 @@ def test_read_from_a_store(spark, folder, store_uri, registry_of, tmp_path):
         (None, "missing_document"), ("text of schön/ü%20.md", None), (None, "missing_document"), ("text of deep/[x]{1}.md", None),
     ]
     assert got[90] == (None, "source_not_on_disk")
+
+
+def test_many_files_are_joined_not_named(spark, registry_of, tmp_path, monkeypatch):
+    """Beyond a bound no name becomes a literal of the plan; contents are the same either way."""
+    root = tmp_path / "many"
+    root.mkdir()
+    texts = {f"{name}.md": f"text of {name}" for name in ("plain", "it's", "a b", "a+b", "é", "x%20y")} | {"empty.md": ""}
+    for name, text in texts.items():
+        (root / name).write_text(text)
+    registry = registry_of({"source_id": "s", "path": f"file://{root}"})
+    for bound in (100, 3):
+        monkeypatch.setattr(hadoop_tree, "FILES_PER_READER", bound)
+        documents = scan_tree(registry).documents
+        plan = documents._jdf.queryExecution().optimizedPlan().toString()
+        assert ("_metadata" in plan or "file_path" in plan) == (bound == 100)
+        assert {r.path: (bytes(r.content).decode(), r.error) for r in documents.collect()} == {k: (v, None) for k, v in texts.items()}
+
+
+def test_listing_is_kept_in_few_files(spark, registry_of, tmp_path):
+    """However small the tasks are that Spark deals a tree's files to."""
+    root = tmp_path / "wide"
+    root.mkdir()
+    for i in range(60):
+        (root / f"{i}.md").write_text(str(i))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        files = scan_tree(registry_of({"source_id": "s", "path": f"file://{root}"})).files
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert files.count() == 60
+    assert len(files.inputFiles()) <= 16
