@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -254,3 +255,67 @@ def test_rerank_agrees_with_its_column_form(spark, seed):
         for r in lists.select("query_id", mmr_picks(F.col("c"), 6, 0.3).alias("picks")).collect() for at, pick in enumerate(r.picks)
     }
     assert got == wanted
+
+
+class _OneTask:
+    """Stands for a session: what is broadcast stays as it is."""
+
+    def __init__(self):
+        self.sparkContext = self
+
+    def broadcast(self, value):
+        return type("Shared", (), {"value": value})
+
+
+def _task(slices, n=2000, width=8):
+    """What one task finds for slices of questions (vectors, scopes) in chunks of ten sources, by brute force too."""
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-9, 9, (n, width)).astype(np.float32)
+    sources = [f"s{i % 10}" for i in range(n)]
+    batch = pa.RecordBatch.from_pydict({
+        "source_id": sources, "path": [f"{i:05}" for i in range(n)], "chunk_index": pa.array([0] * n, pa.int32()),
+        "embedding": pa.array(list(vectors), pa.list_(pa.float32())),
+    })
+    parts = [retrieval._Slice(v, s, np.full(len(v), -np.inf)) for v, s in slices]
+    ids = pa.array(np.arange(sum(len(v) for v, _ in slices)))
+    found = [r for out in retrieval._best(_OneTask(), parts, ids, 5)(iter([batch])) for r in out.to_pylist()]
+    got = {(r["query_id"], r["path"], r["score"]) for r in found}
+    questions = [(v, s) for part, scopes in slices for v, s in zip(part, scopes)]
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-30)
+    want = set()
+    for q, (v, scope) in enumerate(questions):
+        scores = np.round(unit(vectors.astype(float)) @ unit(v), 9) + 0.0
+        allowed = [i for i in range(n) if scope is None or sources[i] in scope]
+        best = sorted(allowed, key=lambda i: (-scores[i], sources[i], i))[:5]
+        want |= {(q, f"{i:05}", scores[i]) for i in best}
+    return got, want
+
+
+def test_slices_share_the_vectors_of_a_batch(monkeypatch):
+    made = []
+    monkeypatch.setattr(retrieval, "_matrix", lambda *a, f=retrieval._matrix: made.append(1) or f(*a))
+    rng = np.random.default_rng(1)
+    got, want = _task([(rng.normal(size=(4, 8)), [None] * 4) for _ in range(10)])
+    assert got == want
+    assert len(made) == 1
+
+
+def test_pairs_beyond_a_questions_limits_are_not_scored(monkeypatch):
+    cells = []
+
+    class Counted(np.ndarray):
+        def __matmul__(self, other):
+            cells.append(self.shape[0] * other.shape[1])
+            return np.asarray(self) @ np.asarray(other)
+
+    start = retrieval._BestHits.__init__
+
+    def counted(self, *given):
+        start(self, *given)
+        self.units = self.units.view(Counted)
+
+    monkeypatch.setattr(retrieval._BestHits, "__init__", counted)
+    scopes = [None, [], ["s1"], ["s1", "s2"], ["none"], ["s2", "s9"]] * 5
+    got, want = _task([(np.random.default_rng(2).normal(size=(30, 8)), scopes)])
+    assert got == want
+    assert sum(cells) == 5 * (2000 + 200 + 400 + 400)
