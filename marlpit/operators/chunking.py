@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from marlpit.functions.paths import language_class
@@ -13,6 +14,10 @@ from marlpit.functions.text import base_chars, chunk_chars, chunk_overlap, is_bl
 from marlpit.functions.vectors import let
 from marlpit.runtime import spread
 
+# Bytes of pieces, and documents, after which a task hands them on.
+PIECE_BYTES = 4 << 20
+PIECE_ROWS = 1 << 10
+
 # Where a text may be cut, coarsest first. A cut is made before a match; a match of
 # the group `whole` is stepped over instead, so nothing is cut inside it. Repeats are
 # bounded or end where the next match can begin, so that no text takes more than
@@ -113,16 +118,30 @@ def chunk_documents(documents: DataFrame, context_tokens: int | None = None) ->
     )
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def boundary_pieces(
-    text: pd.Series, language: pd.Series, size: pd.Series, overlap: pd.Series
-) -> pd.Series:
-    return pd.Series(
-        [
-            list(_pieces(*row))
-            for row in zip(text, language, size.tolist(), overlap.tolist())
-        ]
-    )
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def boundary_pieces(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Pieces of (text, language, size, overlap).
+
+    Only the texts being cut are Python strings, and what is cut goes out after every
+    `PIECE_BYTES`, so that a task holds little besides Spark's batch, whatever its rows.
+    """
+    for columns in batches:
+        pieces, counts, held = [], [], 0
+        for row in zip(*columns):
+            own = list(_pieces(*(value.as_py() for value in row)))
+            pieces.append(pa.array(own, pa.string()))
+            counts.append(len(own))
+            held += pieces[-1].nbytes
+            if held >= PIECE_BYTES or len(counts) >= PIECE_ROWS:
+                yield _lists(pieces, counts)
+                pieces, counts, held = [], [], 0
+        if counts or not len(columns[0]):
+            yield _lists(pieces, counts)
+
+
+def _lists(values: list[pa.Array], counts: list[int]) -> pa.Array:
+    offsets = pa.array([0, *accumulate(counts)], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.concat_arrays([pa.array([], pa.string()), *values]))
 
 
 def _pieces(text: str, language: str | None, size: int, overlap: int) -> Iterator[str]:
