@@ -513,18 +513,32 @@ FROM documents WHERE regexp_matches(text, '[^{SPACES_SQL}]')
 
 
 def _chunk_facts(store, spark, folder):
-    """Per file: chunks numbered from 0 without gaps, parts of the text, covering it, with their vectors."""
+    """Per file: chunks numbered from 0 without gaps, parts of the text, covering it, with their vectors.
+
+    Chunks and texts meet once a file, so a text is searched, and measured, once and not
+    with each of its chunks.
+    """
     texts = table(spark, folder, "documents").select(
         F.col("source").alias("source_id"), doc_path().alias("path"), F.col("text").alias("whole")
     )
-    solid = lambda name: F.char_length(F.regexp_replace(name, r"\s+", "")).cast("long")
+    solid = lambda text: F.char_length(F.regexp_replace(text, r"\s+", "")).cast("long")
     rule = _RULES.embedder.column(F.col("text")).cast("array<float>")
-    rows = store.chunks(_RULES.model).join(texts, KEYS, "left")
-    return rows.groupBy(*KEYS).agg(
-        ((F.count_distinct("chunk_index") == F.count("*")) & (F.max("chunk_index") == F.count("*") - 1)).alias("numbered"),
-        F.bool_and(F.coalesce(F.contains("whole", "text"), F.lit(False))).alias("contained"),
-        (F.sum(solid("text")) >= F.max(solid("whole"))).alias("covered"),
-        F.bool_and(F.col("embedding") == rule).alias("by_rule"),
+    # A path may stand for several documents, as many times as it does.
+    wholes = texts.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("times"), F.collect_set("whole").alias("wholes"), F.bool_or(F.col("whole").isNull()).alias("lost")
+    )
+    files = store.chunks(_RULES.model).groupBy(*KEYS).agg(
+        F.collect_list("text").alias("pieces"), F.collect_set("chunk_index").alias("numbers"), F.count(F.lit(1)).alias("n"),
+        F.sum(solid(F.col("text"))).alias("solid"), F.bool_and(F.col("embedding") == rule).alias("by_rule"),
+    )
+    n, times = F.col("n") * F.coalesce("times", F.lit(1)), F.coalesce("times", F.lit(1))
+    within = F.forall("pieces", lambda piece: F.forall("wholes", lambda whole: F.contains(whole, piece)))
+    return files.join(wholes, KEYS, "left").select(
+        *KEYS,
+        ((F.size("numbers") == n) & (F.array_max("numbers") == n - 1)).alias("numbered"),
+        F.coalesce(~F.col("lost") & within, F.lit(False)).alias("contained"),
+        (F.col("solid") * times >= F.array_max(F.transform("wholes", solid))).alias("covered"),
+        "by_rule",
     )
 
 
