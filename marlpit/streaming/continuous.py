@@ -10,27 +10,53 @@ from pyspark.sql.streaming import StreamingQuery
 from marlpit.model import DOCUMENTS
 from marlpit.operators.changes import KEYS, action_for, fingerprint, stored_side
 from marlpit.plans.crawl import Contents, Indexing, Plan, apply_plan
-from marlpit.runtime import broadcast_if_small, discard, stage_observed
+from marlpit.runtime import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, discard, held_bytes, stage_observed
 from marlpit.sources.store import IndexStore
 from marlpit.sources.tables import select_documents
 
 
-def latest_versions(versions: DataFrame) -> DataFrame:
-    """The highest version per document; folded before the shuffle.
+def latest_versions(versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The highest version per document, whose keys are not null.
 
     Of equal versions a deletion counts before contents, then the greater content, so
-    that every order of arrival ends in the same.
+    that every order of arrival ends in the same. Also returns the staged keys it reads.
     """
+    once = versions.select(*KEYS, "content", "deleted", "version")
+    repeated, size = _staged_keys(versions.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
+    if not size["rows"]:
+        return once, repeated
+    if not _small(size):
+        return _last(versions), repeated
+    # Only the documents that come several times are moved.
+    keys = F.broadcast(repeated)
+    return once.join(keys, KEYS, "left_anti").unionByName(_last(versions.join(keys, KEYS, "left_semi"))), repeated
+
+
+def _last(versions: DataFrame) -> DataFrame:
     last = F.max(F.struct("version", "deleted", "content")).alias("last")
     return versions.groupBy(*KEYS).agg(last).select(*KEYS, "last.content", "last.deleted", "last.version")
 
 
-def newer_versions(latest: DataFrame, known: DataFrame) -> DataFrame:
-    """Documents whose version the index has not reached yet; a null version counts always."""
-    keys = broadcast_if_small(latest.select(*KEYS))
-    seen = known.join(keys, KEYS, "left_semi").withColumnRenamed("version", "_known")
-    newer = F.col("version").isNull() | F.col("_known").isNull() | (F.col("version") > F.col("_known"))
-    return latest.join(seen, KEYS, "left").where(newer).drop("_known")
+def _staged_keys(rows: DataFrame) -> tuple[DataFrame, dict]:
+    keys = rows.select(*KEYS)
+    return stage_observed(keys, "keys", rows=F.count(F.lit(1)), bytes=held_bytes(keys))
+
+
+def _small(size: dict) -> bool:
+    return size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES
+
+
+def newer_versions(latest: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents whose version the index has not reached yet; a null version counts always.
+
+    Those that come late are found by their keys and taken out, so contents stay where
+    they are while these keys are few. Also returns the staged keys it reads.
+    """
+    asked = latest.where("version is not null").select(*KEYS, F.col("version").alias("_version"))
+    late, size = _staged_keys(known.join(asked, KEYS).where("_version <= version"))
+    if not size["rows"]:
+        return latest, late
+    return latest.join(F.broadcast(late) if _small(size) else late, KEYS, "left_anti"), late
 
 
 def feed_plan(latest: DataFrame, files: DataFrame, model: str) -> DataFrame:
@@ -70,10 +96,10 @@ def index_batch(
     """
     small = broadcast_if_small(registry)
     version = store.version()
-    arrived = latest_versions(select_documents(versions, small))
-    latest, seen = stage_observed(
-        newer_versions(arrived, store.versions(version)), "feed", taken=F.count("version"), rows=F.count(F.lit(1))
-    )
+    arrived, repeated = latest_versions(select_documents(versions, small))
+    newer, late = newer_versions(arrived, store.versions(version))
+    latest, seen = stage_observed(newer, "feed", taken=F.count("version"), rows=F.count(F.lit(1)))
+    discard(repeated, late)
     report = None
     if not seen["rows"]:
         discard(latest)
