@@ -233,6 +233,54 @@ def test_slices_share_one_scan_and_a_floor_keeps_rows_in_their_tasks(spark, tmp_
     assert handed[1] < handed[0] == vectors.rdd.getNumPartitions() * 20 * len(questions)
 
 
+def test_floors_are_of_all_parts_of_the_chunks(spark, tmp_path, monkeypatch):
+    """Files of one source each, and fewer chunks for the floors than one file has: all questions get a floor."""
+    monkeypatch.setattr(retrieval, "FLOOR_CHUNKS", 200)
+    rows = sorted((f"s{i % 4}", *row[1:]) for i, row in enumerate(random_chunks(11, 1600)))
+    for i in range(4):
+        frame(spark, rows[i * 400 : i * 400 + 400]).coalesce(1).write.mode("append").parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    questions = [(i, row[4], [f"s{i % 4}"]) for i, row in enumerate(random_chunks(12, 40))]
+    floors, floored = [], retrieval._with_floors
+    monkeypatch.setattr(retrieval, "_with_floors", lambda *given: floors.extend(floored(*given)) or floors)
+    asked = spark.createDataFrame(questions, QUERIES + ", source_ids array<string>")
+    found = hits_of(rerank(with_vectors(top_chunks(asked, chunks, 5, 10), chunks)))
+    assert len(floors) == 4 and all(np.isfinite(part.floors).all() for part in floors)
+    assert found == {
+        i: brute_search(v, [kept for kept in keyed(rows) if kept[0][0] in scope], fetch_k=5) for i, v, scope in questions
+    }
+
+
+def test_rows_of_many_questions_are_shuffled_once(spark):
+    chunks = frame(spark, random_chunks(5, 300)).repartition(9)
+    questions = spark.createDataFrame([(i, row[4]) for i, row in enumerate(random_chunks(6, 40))], QUERIES)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        plan = top_chunks(questions, chunks)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert plan.count("hashpartitioning") == 1
+
+
+def test_a_floor_is_the_last_score_among_the_chunks_given():
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-2, 3, (900, 6)).astype(np.float32)
+    asked = rng.integers(-2, 3, (12, 6)).astype(float)
+    scopes = [None, [], ["s1"], ["s1", "none"], ["s2", "s0"], ["s1"]] * 2
+    sources = ["s0" if i % 3 else "s1" for i in range(880)] + ["s2"] * 20
+    blocks = [
+        retrieval._Chunks(pa.table({
+            "source_id": sources[at : at + 300], "embedding": pa.array(list(vectors[at : at + 300]), pa.list_(pa.float32())),
+        }))
+        for at in range(0, 900, 300)
+    ]
+    got = retrieval._BestHits(asked, scopes, np.full(12, -np.inf), 310).lowest(blocks)
+    for question, scope, score in zip(asked, scopes, got):
+        scores = sorted((round(brute_cosine(question, v), 9) for v, s in zip(vectors.astype(float), sources) if scope is None or s in scope), reverse=True)
+        assert score == (scores[309] if len(scores) >= 310 else -np.inf)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_rerank_agrees_with_its_column_form(spark, seed):
     rng = random.Random(seed)
