@@ -37,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from marlpit.llm import tokens
-from marlpit.runtime import stage
+from marlpit.operators.key_filter import key_filter
+from marlpit.runtime import discard, free_shuffles, stage
 
 # Counters of the shingle statistics: fixed size, whatever the corpus.
 COUNTERS = 1 << 18
@@ -46,6 +47,16 @@ IN_TASK = 4096
 # Shingles of a set counted by so many classes; a byte each.
 CLASSES = 128
 FINE_CLASSES = 1024  # made within a task, where members are at hand
+# Whole sets are sent in rounds, each of about one such part of all shingles, and no more rounds than these.
+PARTS = 1
+MOST_ROUNDS = 16
+
+
+def _held(df: DataFrame, label: str) -> DataFrame:
+    """A staged table; what was shuffled for it leaves the disks."""
+    staged = stage(df, label)
+    free_shuffles(df.sparkSession)
+    return staged
 
 
 def _hashed(texts: tokens.Texts, words: int):
@@ -149,7 +160,11 @@ def document_sets(docs: DataFrame, counts: np.ndarray, words: int, percent: int)
 
 
 def _shingles_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """set_id and shingles of the sets whose example rows `wanted` (doc_id, set_id) names."""
+    """set_id and shingles of the sets whose example rows `wanted` (doc_id, set_id) names, staged.
+
+    Texts stay where they are: a Bloom filter of the ids tells which to cut, and what
+    it lets through besides is told by its set.
+    """
 
     def build(batches):
         for batch in batches:
@@ -163,11 +178,14 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     {"set_id": pa.array(names, pa.int64()), "shingles": pa.array(values, pa.list_(pa.int64()))}
                 )
 
+    wanted = stage(wanted.select("doc_id", "set_id").distinct(), "wanted")
+    may_be = key_filter(wanted.select("doc_id"), ["doc_id"], wanted.count())
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Sets that only rows without an id hold are told by their own hash below.
-    chosen = given.join(wanted.select("doc_id"), "doc_id", "left_semi").union(given.filter("doc_id IS NULL"))
-    sets = chosen.select("text").mapInArrow(build, "set_id long, shingles array<long>")
-    return sets.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
+    sets = given.filter(may_be | F.col("doc_id").isNull()).select("text").mapInArrow(build, "set_id long, shingles array<long>")
+    fetched = _held(sets.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "fetched")
+    discard(wanted)
+    return fetched
 
 
 def measure(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -257,8 +275,8 @@ def region_links(
     return links
 
 
-def _finish(rows: DataFrame, docs: DataFrame, examples: DataFrame, words: int, percent: int, in_task: int) -> DataFrame:
-    """Links between different labels within regions (region, set_id, label)."""
+def _finish(rows: DataFrame, docs: DataFrame, examples: DataFrame, whole: DataFrame, words: int, percent: int, in_task: int) -> DataFrame:
+    """Links between different labels within regions (region, set_id, label), staged."""
     radius = 1 - percent / 100
 
     def prune(table):
@@ -294,7 +312,7 @@ def _finish(rows: DataFrame, docs: DataFrame, examples: DataFrame, words: int, p
         .select("region", "set_id", "label", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
         .select("region", "set_id", "label", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
     )
-    kept = stage(
+    kept = _held(
         dealt.join(examples.select("set_id", "n", "sketch"), "set_id").groupBy("region", "one", "two")
         .applyInArrow(prune, "region long, set_id long, label long").distinct(), "regions",
     )
@@ -306,10 +324,19 @@ def _finish(rows: DataFrame, docs: DataFrame, examples: DataFrame, words: int, p
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("sets"))
     told = kept.join(clusters, "set_id").join(sizes, "cluster")
     group = F.when(F.col("sets") <= 2 * in_task, F.col("cluster")).otherwise(F.col("region"))
-    grouped = stage(told.select(group.alias("region"), "set_id", "label").distinct(), "clusters")
-    wanted = examples.join(grouped.select("set_id"), "set_id", "left_semi")
-    sets = _shingles_of(docs, wanted, words).join(examples.select("set_id", "sketch"), "set_id")
-    return grouped.join(sets, "set_id").groupBy("region").applyInArrow(solve, "a long, b long").distinct()
+    grouped = _held(told.select(group.alias("region"), "set_id", "label").distinct(), "clusters")
+    discard(kept)
+    links = None
+    sent = grouped.join(examples.select("set_id", "n"), "set_id")
+    for part in _in_rounds(grouped, "region", _rounds(sent, whole)):
+        wanted = examples.join(part.select("set_id"), "set_id", "left_semi")
+        fetched = _shingles_of(docs, wanted, words)
+        sets = fetched.join(examples.select("set_id", "sketch"), "set_id")
+        solved = _held(part.join(sets, "set_id").groupBy("region").applyInArrow(solve, "a long, b long").distinct(), "links")
+        discard(fetched)
+        links = solved if links is None else links.union(solved)
+    discard(grouped)
+    return links
 
 
 def connect(links: DataFrame) -> DataFrame:
@@ -321,7 +348,7 @@ def connect(links: DataFrame) -> DataFrame:
     edges = stage(
         links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links"
     )
-    labels = stage(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "set_id"), "labels")
+    labels = held = stage(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "set_id"), "labels")
     while True:
         near = edges.join(labels, edges.b == labels.set_id).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, F.col("set_id") == F.col("a")).select("set_id", F.least("label", "near").alias("next"), "label")
@@ -332,42 +359,130 @@ def connect(links: DataFrame) -> DataFrame:
             ),
             "labels",
         )
+        discard(held)
         if after.filter("moved").isEmpty():
+            discard(edges)
             return after.select("set_id", "label")
-        labels = after.select("set_id", "label")
+        labels, held = after.select("set_id", "label"), after
+
+
+def may_link(region: np.ndarray, place: np.ndarray, names: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Regions and names, once each, of the sets that some other set of a region may link with.
+
+    Rows are sorted by region; `place` says how many shingles of the set come before the
+    region's in the common order. In the region of the first shingle that two sets share,
+    they share no more than either has from there on, so sets of n and m shingles
+    that link have at least percent / (100 + percent) (n + m) left.
+    """
+    with_next = region[1:] == region[:-1]
+    some = np.concatenate([with_next, [False]]) | np.concatenate([[False], with_next])
+    region, place, names, n = (x[some] for x in (region, place, names, n))
+    order = np.lexsort((names, n, region))
+    region, place, names, n = (x[order] for x in (region, place, names, n))
+    first = np.ones(len(region), bool)
+    first[1:] = (region[1:] != region[:-1]) | (names[1:] != names[:-1])
+    region, place, names, n = (x[first] for x in (region, place, names, n))
+    if not len(region):
+        return region, names
+    # x and y may link if need(y) <= has(x) and need(x) <= has(y).
+    need, has = percent * n, 100 * n - (100 + percent) * place
+    wide = max(need.max(), has.max()) + 1
+    base = np.concatenate([[0], np.cumsum(region[1:] != region[:-1])]) * wide
+    upto = np.searchsorted(base + need, base + has, side="right") - 1
+    # The most that any set, and any other set, of the region so far has.
+    most = np.maximum.accumulate(base + has)
+    second = np.maximum.accumulate(np.minimum(base + has, np.concatenate([[-1], most[:-1]])))
+    own = (need <= has) & (most[upto] == base + has)
+    met = (upto >= 0) & (np.where(own, second[upto], most[upto]) >= base + need)
+    return region[met], names[met]
+
+
+def shared_regions(sets: DataFrame, percent: int) -> DataFrame:
+    """region and set_id of the sets that share a region with one they may link with.
+
+    Nearly all anchors are of one set; they are dealt once, and no more of them is kept.
+    """
+
+    def meet(batches):
+        waiting: list[tuple] = []
+
+        def settled():
+            found = may_link(*(np.concatenate(x) for x in zip(*waiting)), percent)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["region", "set_id"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "place", "set_id", "n"))
+            last = int(np.searchsorted(rows[0], rows[0][-1]))  # a region may go on in the next batch
+            if last or (waiting and waiting[-1][0][-1] != rows[0][0]):
+                waiting.append(tuple(x[:last] for x in rows))
+                yield settled()
+                waiting = []
+            waiting.append(tuple(x[last:] for x in rows))
+        if waiting:
+            yield settled()
+
+    # Columns in this order are packed best: the last two stay the same from row to row.
+    dealt = sets.filter("n_shingles > 0").select(
+        F.posexplode("anchors").alias("place", "region"), "set_id", F.col("n_shingles").alias("n")
+    ).select("region", "place", "set_id", "n").repartition("region").sortWithinPartitions("region")
+    return dealt.mapInArrow(meet, "region long, set_id long")
+
+
+def _rounds(volume: DataFrame, whole: DataFrame) -> int:
+    """In how many rounds sets are sent, so that no more than a part of all shingles is on its way at once."""
+    sent, held = (df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for df in (volume, whole))
+    return max(1, min(MOST_ROUNDS, -(-sent // max(1, held // PARTS))))
+
+
+def _in_rounds(df: DataFrame, key: str, rounds: int) -> list[DataFrame]:
+    turn = F.pmod(F.xxhash64(F.lit("round"), key), F.lit(rounds))
+    return [df.filter(turn == k) for k in range(rounds)] if rounds > 1 else [df]
 
 
 def jaccard_links(docs: DataFrame, sets: DataFrame, words: int, percent: int, in_task: int = IN_TASK) -> DataFrame | None:
-    """Links between set ids that connect all sets within the distance; None without any."""
+    """Links between set ids that connect all sets within the distance; None without any.
+
+    A staged `sets` is discarded once its anchors and counts are read.
+    """
     radius = 1 - percent / 100
-    rows = sets.filter("n_shingles > 0").select(F.explode("anchors").alias("region"), "set_id")
-    shared = rows.groupBy("region").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).filter("low < high")
-    rows = stage(rows.join(shared.select("region"), "region").distinct(), "regions")
-    examples = stage(
-        sets.filter("n_shingles > 0").groupBy("set_id")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-        .join(rows.select("set_id"), "set_id", "left_semi"), "examples",
-    )
+    rows = _held(shared_regions(sets, percent), "regions")
+    every = sets.filter("n_shingles > 0").groupBy("set_id").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    examples = _held(every.join(rows.select("set_id").distinct(), "set_id", "left_semi"), "examples")
+    whole = _held(sets.agg(F.sum("n_shingles").alias("n")), "shingles")
+    discard(sets)
     found: list[DataFrame] = []
     pivots = rows.groupBy("region").agg(F.min("set_id").alias("pivot"))
-    stars = stage(rows.join(pivots, "region").filter("set_id <> pivot"), "stars")
+    stars = _held(rows.join(pivots, "region").filter("set_id <> pivot"), "stars")
+    discard(rows)
     pairs = stars.select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
     # What lies beyond twice the radius is neither linked nor in the window.
-    low = stage(bounded(pairs, examples, 2 * radius).filter(F.col("least") <= 2 * radius + 1e-9), "bounds")
+    low = _held(bounded(pairs, examples, 2 * radius).filter(F.col("least") <= 2 * radius + 1e-9), "bounds")
     maybe = low.filter(F.col("least") <= radius + 1e-9)
-    ends = maybe.select(F.col("a").alias("set_id")).union(maybe.select("b"))
-    fetched = _shingles_of(docs, examples.join(ends, "set_id", "left_semi"), words)
-    exact = stage(measure(maybe, fetched, percent), "measured")
+    sizes = examples.select("set_id", "n")
+    sent = maybe.select(F.explode(F.array("a", "b")).alias("set_id")).join(sizes, "set_id")
+    exact = None
+    for part in _in_rounds(maybe, "b", _rounds(sent, whole)):
+        ends = part.select(F.col("a").alias("set_id")).union(part.select("b"))
+        fetched = _shingles_of(docs, examples.join(ends, "set_id", "left_semi"), words)
+        measured = _held(measure(part, fetched, percent), "measured")
+        discard(fetched)
+        exact = measured if exact is None else exact.union(measured)
     links = exact.filter("linked").select("a", "b")
     if not links.isEmpty():
         found.append(links)
     measured = low.join(exact, ["a", "b"], "left").select(
         "a", "b", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("distance", "least").alias("distance"))
     rows = _unsettled(stars, measured, found, radius)
+    discard(stars, low)
     if rows is not None:
-        rest = stage(_finish(rows, docs, examples, words, percent, in_task), "links")
+        rest = _finish(rows, docs, examples, whole, words, percent, in_task)
+        discard(rows)
         if not rest.isEmpty():
             found.append(rest)
+    discard(examples, whole)
     return reduce(DataFrame.union, found) if found else None
 
 
@@ -377,7 +492,7 @@ def _unsettled(stars: DataFrame, measured: DataFrame, found: list[DataFrame], ra
         "region", "set_id", F.coalesce("linked", F.lit(False)).alias("linked"),
         F.coalesce("distance", F.lit(1.0)).alias("distance"),
     )
-    told = stage(told, "told")
+    told = _held(told, "told")
     window = told.filter("not linked").groupBy("region").agg(F.min("distance").alias("nearest"))
     left = told.join(window, "region").filter(
         ~F.col("linked") | (F.col("distance") + radius >= F.col("nearest") - 1e-9)
@@ -387,10 +502,15 @@ def _unsettled(stars: DataFrame, measured: DataFrame, found: list[DataFrame], ra
         named = left.join(labels, "set_id", "left").select("region", "set_id", F.coalesce("label", "set_id").alias("label"))
     else:
         named = left.withColumn("label", F.col("set_id"))
-    named = stage(named, "named")
+    named = _held(named, "named")
+    discard(told)
     open_ = named.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    rows = stage(named.join(open_.select("region"), "region").select("region", "set_id", "label"), "regions")
-    return None if rows.isEmpty() else rows
+    rows = _held(named.join(open_.select("region"), "region").select("region", "set_id", "label"), "regions")
+    discard(named)
+    if rows.isEmpty():
+        discard(rows)
+        return None
+    return rows
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, in_task: int = IN_TASK) -> DataFrame:
@@ -403,8 +523,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, in_task:
     and rows of one doc_id each give a row. A null doc_id never names a component
     that has another. Other columns are ignored; an empty table gives no rows.
     """
-    sets = stage(document_sets(docs, shingle_counts(docs, words), words, percent), "document-sets")
-    links = jaccard_links(docs, sets, words, percent, in_task)
+    anchored = stage(document_sets(docs, shingle_counts(docs, words), words, percent), "anchored-sets")
+    sets = stage(anchored.select("doc_id", "n_shingles", "set_id"), "document-sets")
+    links = jaccard_links(docs, anchored, words, percent, in_task)
     classes = sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     if links is not None:
         labels = connect(links)
