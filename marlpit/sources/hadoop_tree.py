@@ -3,12 +3,15 @@
 Roots are URIs. Spark lists them, many folders at a time for wide trees, and packs the
 files into tasks by size; executors need no mount. As in all of Spark's file sources,
 names that begin with `_` or `.` are not seen.
+
+Spark keeps what it lists on the driver. Large trees on a file system that executors
+mount are therefore walked and opened by tasks, with the same rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from typing import NamedTuple
 from urllib.parse import unquote
 
@@ -18,7 +21,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marlpit.model import DOCUMENTS
-from marlpit.runtime import broadcast_if_small, folder_at, stage, stage_observed
+from marlpit.runtime import broadcast_if_small, discard, folder_at, stage, stage_observed
 
 LISTING = "source_id string, root string, path string, bytes long, state string"
 # Up to so many files are named to the reader, which then opens no other; more are joined with all.
@@ -35,11 +38,15 @@ class Root(NamedTuple):
 
 
 class StoreListing(NamedTuple):
-    """`rows` as in a walk, the reader whose files Spark has listed, and the folder of each root."""
+    """`rows` as in a walk, the reader whose files Spark has listed, and the folder of each root.
+
+    `walked` are the folders of roots that tasks have listed, which no reader has.
+    """
 
     rows: DataFrame
     reader: DataFrame | None
     tops: dict[str, str]
+    walked: dict[str, str]
 
 
 def is_uri(column: Column) -> Column:
@@ -52,11 +59,12 @@ def _within(column: Column) -> Column:
     return F.regexp_replace(column, STORE, "")
 
 
-def list_roots(spark: SparkSession, roots: list[Root]) -> StoreListing:
+def list_roots(spark: SparkSession, roots: list[Root], walk: Callable[[DataFrame], DataFrame]) -> StoreListing:
     """Files below each root: source_id, root, path, bytes, state.
 
     A root that is not there gives one row `missing`; one that is no folder or that
-    cannot be listed as a whole, `failed`. All others are listed together.
+    cannot be listed as a whole, `failed`. All others are listed together, those that
+    are mounted (`file:`) by `walk` if they have more files than a reader is given names of.
     """
     tops, lost = {}, {}
     for root in roots:
@@ -67,6 +75,10 @@ def list_roots(spark: SparkSession, roots: list[Root]) -> StoreListing:
         except (PySparkException, Py4JJavaError):
             lost[root.uri] = "failed"
     good = {uri: top for uri, top in tops.items() if top}
+    walked, walked_rows = _walked(spark, [r for r in roots if good.get(r.uri, "").startswith("file:")], good, walk)
+    lost |= {uri: "failed" for uri, top in walked.items() if top is None}
+    good = {uri: top for uri, top in good.items() if uri not in walked}
+    walked = {uri: top for uri, top in walked.items() if top is not None}
     try:
         reader = _reader(spark, good.values())
     except (PySparkException, Py4JJavaError):
@@ -80,7 +92,32 @@ def list_roots(spark: SparkSession, roots: list[Root]) -> StoreListing:
     rows = spark.createDataFrame([(r.source_id, r.uri, "", 0, lost[r.uri]) for r in roots if r.uri in lost], LISTING)
     if reader is not None:
         rows = rows.unionByName(_listed([r for r in roots if r.uri in good], good, reader))
-    return StoreListing(rows, reader, {uri: _plain(top) for uri, top in good.items()})
+    if walked:
+        rows = rows.unionByName(walked_rows)
+    return StoreListing(rows, reader, {uri: _plain(top) for uri, top in good.items()}, walked)
+
+
+def _walked(
+    spark: SparkSession, roots: list[Root], tops: dict[str, str], walk: Callable[[DataFrame], DataFrame]
+) -> tuple[dict[str, str | None], DataFrame | None]:
+    """The folder of each root that tasks have listed, none where they could not, and its files; no root if files are few."""
+    if not roots:
+        return {}, None
+    folders = spark.createDataFrame([(uri, _plain(tops[uri]), "") for uri in sorted({r.uri for r in roots})], "source_id string, root string, path string")
+    listed = walk(folders)
+    listed, seen = stage_observed(listed.withColumnRenamed("source_id", "uri"), "walked", files=F.count(F.when(F.col("state") == "file", 1)))
+    if (seen["files"] or 0) <= FILES_PER_READER:
+        discard(listed)
+        return {}, None
+    failed = {row.uri for row in listed.where("state IN ('missing', 'failed')").select("uri").distinct().collect()}
+    names = spark.createDataFrame([tuple(r) for r in roots if r.uri not in failed], "source_id string, uri string")
+    rows = listed.where("state = 'file'").join(F.broadcast(names), "uri").select("source_id", F.col("uri").alias("root"), "path", "bytes", "state")
+    return {r.uri: None if r.uri in failed else _plain(tops[r.uri]) for r in roots}, rows
+
+
+def hidden(name: str) -> bool:
+    """Whether Spark's file sources pass over a file or folder of this name."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
 
 
 def _listed(roots: list[Root], tops: dict[str, str], files: DataFrame) -> DataFrame:
@@ -131,18 +168,20 @@ def read_listed(files: DataFrame, listing: StoreListing) -> DataFrame:
     )
 
 
-def open_listed(wanted: DataFrame, roots: list[Root]) -> DataFrame:
+def open_listed(
+    wanted: DataFrame, roots: list[Root], walk: Callable[[DataFrame], DataFrame], read: Callable[[StoreListing, DataFrame], DataFrame]
+) -> DataFrame:
     """Bytes of the files that (source_id, path) rows name, whose paths lie below their roots.
 
     Only names are listed before; a path that is no file gives no row, and every path of
     a source without a folder is an error.
     """
     spark = wanted.sparkSession
-    listing = list_roots(spark, roots)
+    listing = list_roots(spark, roots, walk)
     plain = F.regexp_replace(F.regexp_replace("path", r"/(?:\./)+", "/"), "/+", "/")
     asked = wanted.withColumn("asked", F.col("path")).withColumn("path", plain)
     found = asked.join(listing.rows.where("state = 'file'"), ["source_id", "path"])
-    texts = read_listed(stage(found.select("source_id", "root", "path", "bytes").distinct(), "wanted-files"), listing)
+    texts = read(listing, stage(found.select("source_id", "root", "path", "bytes").distinct(), "wanted-files"))
     answers = texts.join(asked, ["source_id", "path"]).select("source_id", F.col("asked").alias("path"), "content", "error")
     lost = listing.rows.where("state <> 'file'").select("source_id")
     errors = wanted.join(lost, "source_id", "left_semi").select(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from marlpit.functions.paths import SKIPPED_FOLDERS
 from marlpit.model import DOCUMENTS
 from marlpit.runtime import broadcast_if_small, stage
-from marlpit.sources.hadoop_tree import LISTING, Root, StoreListing, is_uri, list_roots, open_listed, read_listed
+from marlpit.sources.hadoop_tree import LISTING, Root, StoreListing, hidden, is_uri, list_roots, open_listed, read_listed
 from marlpit.sources.tables import select_documents
 
 ENTRIES_PER_TASK = 50_000
@@ -55,7 +55,7 @@ def scan_tree(registry: DataFrame, data_dir: str = "data") -> TreeScan:
     listing = list_tree(mounted, data_dir)
     read = read_files
     if roots:
-        on_stores = list_roots(registry.sparkSession, roots)
+        on_stores = list_roots(registry.sparkSession, roots, _walk_store)
         listing = listing.unionByName(on_stores.rows)
         read = partial(_read_both, on_stores)
     missing = (
@@ -74,7 +74,23 @@ def scan_tree(registry: DataFrame, data_dir: str = "data") -> TreeScan:
 
 def _read_both(on_stores: StoreListing, files: DataFrame) -> DataFrame:
     uri = is_uri(F.col("root"))
-    return read_files(files.where(~uri)).unionByName(read_listed(files.where(uri), on_stores))
+    return read_files(files.where(~uri)).unionByName(_read_stores(on_stores, files.where(uri)))
+
+
+def _read_stores(on_stores: StoreListing, files: DataFrame) -> DataFrame:
+    """Bytes of listed files of stores; those that tasks have listed are opened by tasks."""
+    if not on_stores.walked:
+        return read_listed(files, on_stores)
+    tops = F.create_map(*[F.lit(x) for pair in on_stores.walked.items() for x in pair])
+    walked = F.col("root").isin(list(on_stores.walked))
+    opened = read_files(files.where(walked).withColumn("root", F.element_at(tops, F.col("root")))).withColumn(
+        "error", F.when(F.col("error").isNotNull(), "file cannot be read"))
+    return opened.unionByName(read_listed(files.where(~walked), on_stores))
+
+
+def _walk_store(folders: DataFrame) -> DataFrame:
+    """The listing of mounted folders (source_id, root, path) as Spark's file sources see them."""
+    return _list_folders(folders, partial(_walk, entries=_entries_of_store))
 
 
 def list_tree(registry: DataFrame, data_dir: str = "data") -> DataFrame:
@@ -84,8 +100,11 @@ def list_tree(registry: DataFrame, data_dir: str = "data") -> DataFrame:
     share hands the folders it did not reach to the next round, so wide and
     deep trees spread over the cluster. The driver only counts open folders.
     """
-    spark = registry.sparkSession
-    open_folders = registry.select("source_id", _root(data_dir).alias("root"), F.lit("").alias("path"))
+    return _list_folders(registry.select("source_id", _root(data_dir).alias("root"), F.lit("").alias("path")), _walk)
+
+
+def _list_folders(open_folders: DataFrame, walk: Callable) -> DataFrame:
+    spark = open_folders.sparkSession
     levels = spark.createDataFrame([], LISTING)
     while True:
         waiting = open_folders.count()
@@ -93,7 +112,7 @@ def list_tree(registry: DataFrame, data_dir: str = "data") -> DataFrame:
             return levels
         tasks = min(waiting, 4 * spark.sparkContext.defaultParallelism)
         level = stage(
-            open_folders.repartition(tasks).mapInPandas(_walk, LISTING), "tree-level"
+            open_folders.repartition(tasks).mapInPandas(walk, LISTING), "tree-level"
         )
         levels = levels.unionByName(level)
         open_folders = level.where("state = 'folder'").select("source_id", "root", "path")
@@ -127,7 +146,7 @@ def open_paths(wanted: DataFrame, registry: DataFrame, data_dir: str = "data") -
     opened = placed.mapInPandas(_open, DOCUMENTS)
     if not roots:
         return opened
-    return opened.unionByName(open_listed(wanted, roots))
+    return opened.unionByName(open_listed(wanted, roots, _walk_store, _read_stores))
 
 
 def _open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,7 +169,8 @@ def _open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame([(source_id, path, content, error)], columns=DOCUMENTS.names)
 
 
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _walk(batches: Iterator[pd.DataFrame], entries: Callable | None = None) -> Iterator[pd.DataFrame]:
+    entries = entries or _entries
     rows: list[tuple] = []
     budget = ENTRIES_PER_TASK
     for batch in batches:
@@ -160,7 +180,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if folder and budget <= 0:
                 rows.append((source_id, root, folder, 0, "folder"))
                 continue
-            for row in _entries(source_id, root, folder):
+            for row in entries(source_id, root, folder):
                 budget -= 1
                 if row[-1] == "folder":
                     folders.append(row[:3])
@@ -196,6 +216,31 @@ def _entries(source_id: str, root: str, folder: str) -> Iterator[tuple]:
                 yield source_id, root, path, _bytes(entry), "file"
 
 
+def _entries_of_store(source_id: str, root: str, folder: str) -> Iterator[tuple]:
+    """As Spark's file sources list: links are followed, names they pass over and lost links are not seen."""
+    here = os.path.join(root, folder)
+    try:
+        entries = os.scandir(here)
+    except OSError:
+        yield source_id, root, folder, 0, "failed"
+        return
+    with entries:
+        for entry in entries:
+            name = entry.name.encode("utf-8", "replace").decode("utf-8")
+            path = f"{folder}/{name}" if folder else name
+            if hidden(name) or not os.path.exists(entry.path):
+                continue
+            if not entry.is_dir():
+                yield source_id, root, path, _bytes(entry), "file"
+            elif not entry.is_symlink() or not _leads_back(entry.path, here):
+                yield source_id, root, path, 0, "folder"
+
+
+def _leads_back(link: str, here: str) -> bool:
+    target, here = os.path.realpath(link), os.path.realpath(here)
+    return here == target or here.startswith(target.rstrip(os.sep) + os.sep)
+
+
 def _bytes(entry: os.DirEntry) -> int:
     try:
         return entry.stat().st_size
